@@ -1,12 +1,57 @@
-"""Corpus pipeline: quality classifier, near-duplicates, decontamination, mixing, token output."""
+"""Corpus pipeline: quality classifier, SimHash near-duplicates, decontamination, mixing, token-ID output.
+
+Each stage takes (spark, docs, sf_dir). All but the last return rows of docs as they are; the last returns the digest of
+the token store that it has written and read back, in the order of the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilmetrics.llm import decontamination, mixing, quality, simhash, token_store
+from veilmetrics.llm.common import cut, new_dir, ready, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble scores 0.5 or more."""
+    ready(spark)
+    return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, that of the least doc_id."""
+    ready(spark)
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their files in the order of the Pfair schedule."""
+    ready(spark)
+    return mixing.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store in the order of the Pfair schedule, which the same rows give again."""
+    ready(spark)
+    path = new_dir(spark, "store")
+    ordered = mixing.schedule(docs.select("doc_id", "text", "source")).withColumn("position", F.col("_mix.position"))
+    token_store.write_store(ordered, path, order_by="position")
+    return token_store.read_back(spark, path).select("doc_id", "place", "start", "n_tokens", "ids_crc32")
 
-from veilmetrics.llm.common import cut, table
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_store", write_tokens),
+]
 ORACLE_SQL = None
 
 

@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import language, mixing, quality, secrets, sharding, simhash, sketches, substrings, token_store
+from . import decontamination, language, mixing, quality, secrets, sharding, simhash, sketches, substrings, token_store
 
-MODULES = [secrets, sharding, token_store, simhash, quality, language, mixing, sketches, substrings]
+MODULES = [secrets, decontamination, sharding, token_store, simhash, quality, language, mixing, sketches, substrings]
 
 
 def queries() -> dict:

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, plain, skewed_lookup, table
@@ -46,12 +46,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches):
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    d = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, key (a hash of the text) and fp of every row."""
+    d = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string"))
+    return d.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def grid_masks(groups: int = GROUPS, distance: int = DISTANCE) -> list[int]:
@@ -113,16 +114,28 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
+    """doc_id, key, fp, label (a fingerprint of the component) and component_id of every row."""
     fps = cut(fingerprints(docs, doc_id, text), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     joined = components(links(nodes.select("fp"), distance))
     label = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("label", "fp").alias("label"))
     least = label.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    of_fp = label.join(least.hint("shuffle_merge"), "label").select("fp", "component_id")
+    of_fp = label.join(least.hint("shuffle_merge"), "label").select("fp", "label", "component_id")
     return skewed_lookup(fps, of_fp, ["fp"], "inner")
 
 
+def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component, that of its least doc_id (null ones last), as it is."""
+    found = near_duplicates(docs, distance=distance)
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r"))
+    none = F.lit(-(1 << 63))
+    best = cut(best.select(F.coalesce("r.doc_id", none).alias("_best_id"), F.col("r.key").alias("_best_key")), "best")
+    d = docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("long"), none), "_own_key": F.xxhash64("text")})
+    d = d.join(best.hint("shuffle_merge"), (F.col("_own_id") == F.col("_best_id")) & (F.col("_own_key") == F.col("_best_key")))
+    w = Window.partitionBy("_own_id", "_own_key").orderBy(F.lit(1))
+    return d.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -180,23 +180,19 @@ def _roots(recipes: DataFrame) -> DataFrame:
     return recipes.select("part", "place", "doc_id", "n_tokens", "digests").repartition(n, "part").sortWithinPartitions("part", "place").drop("place").mapInArrow(_manifest_batches, MANIFEST)
 
 
-def write_store(docs: DataFrame, path: str, doc_id="doc_id", text="text", order_by=None, tokenizer: str | None = None) -> None:
-    """Encodes docs and writes the store. order_by: a column that gives the stream order; by default the doc_id."""
+def write_store(docs: DataFrame, path: str, doc_id="doc_id", text="text", order_by: str | None = None, tokenizer: str | None = None) -> None:
+    """Encodes docs and writes the store. order_by: a long column, distinct in each row, that gives the stream order; by default that is the doc_id."""
     spark = ready(docs.sparkSession)
     n = partitions(spark)
     at = tokenizer or tokenizer_path()
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.monotonically_increasing_id() if order_by is None else F.col(order_by).cast("long")).alias("row"))
     coded = d.mapInArrow(lambda it: _encode_batches(it, at), "kind int, key binary, doc_id long, row long, digests array<binary>, ns array<int>, payload binary")
     one = coded.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_unique_batches, coded.schema)
     raw = f"{path}/encoded"
     one.write.partitionBy("kind").option("compression", "zstd").parquet(raw)
     back = spark.read.schema(coded.schema).parquet(raw)
     recipes = back.where("kind = 0").select("doc_id", "row", "digests", "ns", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
-    order = [F.col("doc_id").asc_nulls_first()]
-    if order_by is not None:
-        recipes = recipes.join(order_by.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").alias("_at")), "doc_id")
-        order = [F.col("_at").asc_nulls_first(), *order]
-    order.append(F.col("row"))
+    order = [F.col("row")] if order_by else [F.col("doc_id").asc_nulls_first(), F.col("row")]
     ranged = cut(recipes.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "recipes")
     sums = {r["part"]: (r["n"], r["t"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}  # a row for each part
     firsts, place, start = [], 0, 0
