@@ -1,6 +1,8 @@
 """The queries of the redaction-leakage operators and their SQL; plan modules add theirs here."""
 
-MODULES: list = []
+from . import flagship
+
+MODULES: list = [flagship]
 
 
 def queries() -> dict:
