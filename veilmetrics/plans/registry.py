@@ -1,8 +1,8 @@
 """The queries of the redaction-leakage operators and their SQL; plan modules add theirs here."""
 
-from . import flagship
+from . import flagship, spatial
 
-MODULES: list = [flagship]
+MODULES: list = [flagship, spatial]
 
 
 def queries() -> dict:
