@@ -1,8 +1,8 @@
 """The queries of the redaction-leakage operators and their SQL; plan modules add theirs here."""
 
-from . import flagship, spatial
+from . import dictionary, flagship, spatial
 
-MODULES: list = [flagship, spatial]
+MODULES: list = [flagship, spatial, dictionary]
 
 
 def queries() -> dict:
