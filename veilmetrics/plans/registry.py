@@ -1,8 +1,8 @@
 """The queries of the redaction-leakage operators and their SQL; plan modules add theirs here."""
 
-from . import dictionary, flagship, spatial
+from . import dictionary, evaluation, flagship, spatial
 
-MODULES: list = [flagship, spatial, dictionary]
+MODULES: list = [flagship, spatial, dictionary, evaluation]
 
 
 def queries() -> dict:
