@@ -1,8 +1,8 @@
 """The queries of the redaction-leakage operators and their SQL; plan modules add theirs here."""
 
-from . import dictionary, evaluation, flagship, spatial
+from . import binary, dictionary, evaluation, flagship, measuring, spatial
 
-MODULES: list = [flagship, spatial, dictionary, evaluation]
+MODULES: list = [flagship, spatial, dictionary, measuring, evaluation, binary]
 
 
 def queries() -> dict:
