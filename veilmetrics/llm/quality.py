@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, plain, table
 
 SAMPLE = 12_000
-ROUNDS, DEPTH, BINS, LEAF = 24, 3, 24, 15
+ROUNDS, DEPTH, BINS, LEAF = 24, 3, 24, 8
 LASSO = 2e-3
 
 #: Statistics of a text t with n characters, w words and the lines ls.
