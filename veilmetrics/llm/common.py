@@ -10,11 +10,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 512
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver found it."""
+    """Lets Python workers import this package from where the driver found it, and bounds the texts that a worker holds at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = f"{env.get('PYTHONPATH', '')}:{os.environ.get('PYTHONPATH', '')}".split(":")
     if _ROOT not in have:

@@ -17,8 +17,9 @@ are ignored; an empty table gives empty files and an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -32,39 +33,80 @@ from .common import cut, new_dir, partitions, ready, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 WINDOW, MASK, LEAST, MOST = 32, 1023, 128, 8192
-CACHE_WORDS = 400_000
-#: Between two non-spaces, a single space always begins a new pre-token; here it might not.
-UNSURE = re.compile(r"\s \s|\x00|<\||^\s|\s$")
-
-
+CACHE_WORDS, GIVEN = 600_000, 300_000
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level models use for bytes: printable ones stand for themselves, the rest from 256 on."""
+    plain_ones = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain_ones]
+    return {b: chr(b) for b in plain_ones} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """The ids that Tokenizer.encode gives, with each distinct word encoded once while it stays in the cache."""
+    """The ids that Tokenizer.encode gives.
+
+    A single space between two non-spaces always begins a new pre-token, so a text is cut there, and each distinct piece is
+    encoded once while it stays in the cache; a piece that is one word, with a comma or full stop or without, goes to the
+    tokenizer's model at once. Texts with a piece of which this isn't sure, and those that may hold special tokens, are
+    encoded as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
-
-    def words(self, words: list[str]) -> None:
-        for w, e in zip(words, self.of.encode_batch_fast(words, add_special_tokens=False)):
-            self.seen[w] = np.array(e.ids, "<u4").tobytes()
+        self.seen: dict[str, bytes | None] = {"": b""}
+        self.letters = byte_letters()
+
+    def _word(self, w: str) -> bytes:
+        return array("I", [t.id for t in self.of.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        seen, stops, rest = self.seen, {c: self._word(c) for c in ",."}, []
+        for w in pieces:
+            if w[1:].isalpha() and w[0] == " ":
+                seen[w] = self._word(w)
+            elif w[-1] in stops and w[0] == " " and w[1:-1].isalpha():
+                seen[w] = (seen.get(w[:-1]) or self._word(w[:-1])) + stops[w[-1]]
+            elif w[0] == " " and (w == " " or w[1].isspace()):
+                seen[w] = None  # white space next to a cut
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.of.encode_batch_fast(rest, add_special_tokens=False)):
+            seen[w] = array("I", e.ids).tobytes()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        cut = [None if UNSURE.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        new = list({w for ws in cut if ws for w in ws} - self.seen.keys())
-        for i in range(0, len(new), 20_000):
-            self.words(new[i : i + 20_000])
-        get = self.seen.__getitem__
-        return [np.array(self.of.encode(t, add_special_tokens=False).ids, "<u4") if ws is None else np.frombuffer(b"".join(map(get, ws)), "<u4") for t, ws in zip(texts, cut)]
+            self.seen = {"": b""}
+        seen = self.seen
+        cut = [None if "\0" in t or "<|" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        self.learn([w for w in {w for ws in cut if ws for w in ws} if w not in seen])
+        out = []
+        for t, ws in zip(texts, cut):
+            try:
+                out.append(self.whole(t) if ws is None else np.frombuffer(b"".join(map(seen.__getitem__, ws)), "<u4"))
+            except TypeError:  # a None among them
+                out.append(self.whole(t))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process and file, with its cache, from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 _GEAR = np.random.default_rng(7).integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
@@ -96,13 +138,13 @@ def boundaries(ids: np.ndarray) -> list[int]:
 
 def _encode_batches(batches, path: str):
     """Recipe rows (kind 0) and chunk rows (kind 1); a chunk that this task has given before is not given again while it is remembered."""
-    encode, given = Encoder(path), set()
+    encode, given = encoder(path), set()
     for big in batches:
         for at in range(0, big.num_rows, 256):
             b = big.slice(at, 256)
             ids_of = encode([t or "" for t in b.column("text").to_pylist()])
             rows = {k: [] for k in ("kind", "key", "doc_id", "row", "digests", "ns", "payload")}
-            if len(given) > 2_000_000:
+            if len(given) > GIVEN:
                 given.clear()
             for doc_id, row, ids in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), ids_of):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
