@@ -66,6 +66,9 @@ def crc_mod(doc_id, n: int = 3):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join of many rows with at most one row a key. Both sides are shuffled by the join itself, so that adaptive execution can split a hot key."""
-    return left.join(right.hint("shuffle_merge"), keys, how)
+def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", name: str = "lookup") -> DataFrame:
+    """Equi-join of many rows with at most one row a key.
+
+    right is written first, so that the join shuffles both sides itself: only then can adaptive execution split a hot key.
+    """
+    return left.join(cut(right, name).hint("shuffle_merge"), keys, how)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, plain, table
+from .common import cut, plain, skewed_lookup, table
 from .shingles import mix, powers, window_hashes, word_hashes, words_of
 
 WINDOW, PREFIX = 50, 12
@@ -112,16 +112,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     t = cut(docs.where("doc_id is not null").mapInArrow(_run_batches, "doc_id long, key long, first array<int>, n array<int>, prefix array<long>, run array<long>"), "runs")
     each = t.select("doc_id", "key", F.explode(F.arrays_zip("first", "n", "prefix", "run")).alias("r")).select("doc_id", "key", "r.*")
     many = each.groupBy("prefix").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("run").alias("r0"), F.max("run").alias("r1")).where("d0 < d1").select("prefix", (F.col("r0") < F.col("r1")).alias("branches"))
-    shared = cut(each.join(many.hint("shuffle_merge"), "prefix"), "shared")
+    shared = cut(skewed_lookup(each, many, ["prefix"]), "shared")
     owner = shared.groupBy("prefix", "run").agg(F.min("doc_id").alias("owner"))
-    judged = cut(shared.join(owner.hint("shuffle_merge"), ["prefix", "run"]).where("owner < doc_id or branches").select("doc_id", "key", "first", "n", (F.col("owner") < F.col("doc_id")).alias("gone")), "judged")
+    judged = cut(skewed_lookup(shared, owner, ["prefix", "run"]).where("owner < doc_id or branches").select("doc_id", "key", "first", "n", (F.col("owner") < F.col("doc_id")).alias("gone")), "judged")
     whole = judged.where("gone").select("doc_id", "key", F.col("first").alias("a"), (F.col("first") + F.col("n") + (WINDOW - 1)).alias("z"))
     deeper = cut(judged.where("not gone").groupBy("doc_id", "key").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n")), "deeper")
     size = deeper.agg(F.sum(24 + 8 * F.size("first"))).first()[0] or 0
     with_text = docs.join(F.broadcast(deeper) if size <= BROADCAST_BYTES else deeper.hint("shuffle_merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "first", "n")
     windows = cut(with_text.mapInArrow(_window_batches, "doc_id long, key long, at int, h1 long, h2 long"), "windows")
     node = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("h1", "h2", "d0")
-    partly = windows.join(node.hint("shuffle_merge"), ["h1", "h2"]).where("d0 < doc_id").select("doc_id", "key", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("z"))
+    partly = skewed_lookup(windows, node, ["h1", "h2"]).where("d0 < doc_id").select("doc_id", "key", F.col("at").alias("a"), (F.col("at") + WINDOW).alias("z"))
     return whole.union(partly).groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
 
 
