@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, plain, table
 
-TOP, PER_LANGUAGE, SHARP = 300, 900, 30.0
+TOP, PER_LANGUAGE, BUCKETS, SHARP = 300, 900, 16, 30.0
 _LETTER: list = []
 
 
@@ -88,8 +88,11 @@ def _counted(batches):
 
 def learn(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", top: int = TOP, per_language: int = PER_LANGUAGE) -> Profiles:
     d = plain(docs, doc_id=doc_id, text=text, lang=lang)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id")) != 1)).select("doc_id", "lang").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_language).select("doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id")) != 1)).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(BUCKETS)).alias("_b"))
+    for by in (["lang", "_b"], ["lang"]):  # first the best of each bucket, so that the last window sees BUCKETS x per_language rows a language at most
+        some = some.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= per_language)
+    some = some.select("doc_id").distinct()
     picked = d.join(F.broadcast(some), "doc_id", "left_semi").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = picked.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_k") <= top)
