@@ -13,9 +13,14 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = ["m00_ranked_candidates", "d05_rect_score", "d19_union_dedupe", "j04_best_context_line", "j09_line_buckets", "j20_pair_ordering", "j25_row_bias", "j26_neighbours", "o01_dense_rows", "x02_name_parts", "x12_expand_dedupe", "m05_edge_error", "m09_dedupe", "e01_iou", "e05_precision_recall", "e24_rank_summary", "e29_stability_jaccard", "e43_perturbation", "p12_combo_search", "t01_text_runs", "d02_drawn_rects"]
 
 
+def cell(v):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
+        return "None"
+    return repr(float(v)) if pd.api.types.is_number(v) and not pd.api.types.is_bool(v) else str(v)
+
+
 def rows(df):
-    df = df[sorted(df.columns)]
-    return sorted(tuple("None" if v is None or v != v else repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df.itertuples(index=False, name=None))
+    return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
