@@ -39,16 +39,19 @@ def template(text: Column) -> Column:
     raw = F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")
     before = F.slice(F.concat(F.array(F.lit(".")), raw), F.lit(1), F.size(raw))
 
-    def word(x, prev):
-        c = F.regexp_replace(x, EDGES, "")
-        low = F.lower(c)
+    # two steps, since a lambda works out an expression as often as it stands in it
+    cores = F.zip_with(raw, before, lambda x, prev: F.struct(F.regexp_replace(x, EDGES, "").alias("c"), prev.alias("p")))
+
+    def word(s):
+        c, low = s["c"], F.lower(s["c"])
+        digit, capital = (c >= "0") & (c < ":"), (c >= "A") & (c < "[")  # by its first character, before any pattern is tried
         kind = (
-            F.when(F.rlike(c, F.lit(NUMBER)), F.lit(MARK + "n")).when(F.rlike(c, F.lit(QUANTITY)), F.lit(MARK + "q"))
-            .when(low.isin(UNITS), F.lit(MARK + "u")).when(F.rlike(c, F.lit(NAME)) & F.rlike(prev, F.lit(GOES_ON)), F.lit(MARK + "p")).otherwise(low)
+            F.when(digit & F.rlike(c, F.lit(NUMBER)), F.lit(MARK + "n")).when(digit & F.rlike(c, F.lit(QUANTITY)), F.lit(MARK + "q")).when(low.isin(UNITS), F.lit(MARK + "u"))
+            .when(capital & F.rlike(c, F.lit(NAME)) & F.rlike(s["p"], F.lit(GOES_ON)), F.lit(MARK + "p")).otherwise(low)
         )
         return F.struct(kind.alias("t"), low.alias("v"))
 
-    return F.filter(F.zip_with(raw, before, word), lambda s: s["v"] != "")
+    return F.filter(F.transform(cores, word), lambda s: s["v"] != "")
 
 
 def windows(rows: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
