@@ -345,6 +345,19 @@ def test_sketch_estimates_containment():
     assert np.array_equal(sketches.merge(sa, sb), np.union1d(sa, sb)) and (sa < 2**61).all()
 
 
+def test_sketches_of_short_texts():
+    r = random.Random(11)
+    for n in [1, 2, 3, 4, 5, 6, 10, 20, 40, 60] * 20:
+        a, b = (" ".join(f"{r.choice(WORDS)}{r.random()}" for _ in range(n)) for _ in range(2))
+        sa, sb = sketches.sketch(a), sketches.sketch(b)
+        assert len(sa) == len(sb) == max(1, n - 4) and sketches.likeness(sa, sb) == 0.0 and sketches.likeness(sa, sa) == 1.0
+        if n >= 10:  # half of the words replaced: the windows within the first half stay; all are found in a long text
+            e = sketches.sketch(" ".join(a.split()[: n // 2] + b.split()[n // 2 :]))
+            assert sketches.likeness(sa, e) == max(0, n // 2 - 4) / (n - 4)
+            assert sketches.likeness(sa, sketches.sketch(" ".join(map(str, range(5000))) + " " + a)) == 1.0
+    assert sketches.likeness(sketches.sketch("This."), sketches.sketch("Anouble thwh.")) == 0.0 and len(sketches.sketch(" \n")) == 0
+
+
 # 10
 def slow_remove(rows):
     first = {}
