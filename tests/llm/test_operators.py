@@ -104,6 +104,17 @@ def test_slots_must_be_consistent(spark):
     assert {x["doc_id"] for x in decontamination.contaminated(d, bench).collect()} == {1}
 
 
+def test_windows_of_placeholders_and_short_items_are_found(spark):
+    items = ["Compute 3 + 4 * 5 - 6", "2 4 6 8 10 12 14", "we met Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi", "add 3 cups, 250 g, 12 oz and 40 ml", "Name the capital", "He paid 5 dollars", "Paris", "to be seen 9"]
+    bench = spark.createDataFrame([*enumerate(items), (90, ""), (91, "+ - *")], "item_id long, text string")
+    d = spark.createDataFrame([*((i, f"Well, so it goes on {x} and that was all of it") for i, x in enumerate(items)),
+        (20, "Compute 7 + 8 * 9 - 2"), (21, "1 3 5 7 9 11 13"), (22, "we met Ann, Ben, Carl, Dora, Emil, Fred, Gina, Hans"), (23, "well, to be seen 7 times"), (24, "name a capital"), (25, "WE MET ALICE BOB CAROL DAVE ERIN FRANK GRACE HEIDI")], "doc_id long, text string")
+    r = {(x["doc_id"], x["item_id"]): x for x in decontamination.contaminated(d, bench).collect()}
+    assert set(r) == {*((i, i) for i in range(len(items))), (23, 7), (25, 2)}
+    assert [k for k, x in r.items() if x["reparameterised"]] == [(23, 7)] and all(x["coverage"] >= 0.8 for x in r.values())
+    assert {x["doc_id"] for x in decontamination.clean(d, bench).collect()} == {20, 21, 22, 24}
+
+
 # 3
 def test_min_cost_flow():
     r = random.Random(1)

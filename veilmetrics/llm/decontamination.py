@@ -7,10 +7,14 @@ value of the document only. An item leaks into a document if windows with consis
 the item's words, whatever numbers, names and units were put in its place.
 
 The windows of the benchmark are broadcast as bare hashes if there are BROADCAST_ROWS at most, and joined by a shuffle
-beyond that; document windows are dropped in the stage that makes them. Windows of placeholders mostly (fewer than
-MIN_WORDS plain words) are not used.
+beyond that; document windows are dropped in the stage that makes them.
 
-Cases: null and empty texts have no windows; an item of fewer than five words has none and is never found; null ids match
+Item windows with placeholders are looked up by their own words too, since a template of placeholders mostly (fewer than
+MIN_WORDS plain words) says nothing and is not used. An item of fewer than five words is one window of its whole length,
+looked up by its words, and by its template if that has placeholders and MIN_WORDS plain words. Documents are searched
+for just those lengths that the benchmark asks for.
+
+Cases: null and empty texts have no windows; an item without words is never found; null ids match
 like other rows and are returned as null; repeated rows give one result row for each distinct (doc_id, text) and item;
 empty tables give an empty result; other columns are ignored.
 """
@@ -54,39 +58,60 @@ def template(text: Column) -> Column:
     return F.filter(F.transform(cores, word), lambda s: s["v"] != "")
 
 
-def windows(rows: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
+def _slot(s: Column) -> Column:
+    return F.startswith(s["t"], F.lit(MARK))
+
+
+def windows(rows: DataFrame, keep: list[str], ways=((WINDOW, False),), items: bool = False) -> DataFrame:
     """Of rows with a column `words` (a template): the columns keep, `pos` (from 0), `hash` and `slotted`, for each window.
 
     slotted: the window's words if a placeholder is among them, else null; the text's array itself is not carried along.
+    ways: pairs of a length and whether windows are hashed by their own words; those have slotted in items only. Items
+    also get the columns `size` and `exact`, the way, and have windows below WINDOW words only if that is their whole length.
     """
-    slot = lambda s: F.startswith(s["t"], F.lit(MARK))
-    d = rows.withColumns({"_h": F.transform("words", lambda s: F.xxhash64(s["t"])), "_any": F.exists("words", slot)})
-    at = F.when(F.size("words") >= window, F.sequence(F.lit(0), F.size("words") - window)).otherwise(F.array().cast("array<int>"))
+    d = rows.withColumns({"_h": F.transform("words", lambda s: F.xxhash64(s["t"])), "_any": F.exists("words", _slot)})
+    if any(exact for _, exact in ways):
+        d = d.withColumn("_v", F.transform("words", lambda s: F.xxhash64(s["v"])))
+    none = F.lit(None).cast("array<struct<t:string,v:string>>")
+
+    def made(size, exact):
+        has = F.size("words") == size if items and size < WINDOW else F.size("words") >= size
+        at = F.when(has, F.sequence(F.lit(0), F.size("words") - size)).otherwise(F.array().cast("array<int>"))
+
+        def one(i):
+            own, hashes = F.slice("words", i + 1, size), F.slice("_v" if exact else "_h", i + 1, size)
+            way = [] if (size, exact) == (WINDOW, False) else [F.lit(size), F.lit(exact)]  # hashes of different ways don't meet
+            slotted = F.when(F.col("_any") & F.exists(own, _slot), own) if items or not exact else none
+            return F.struct(i.alias("pos"), F.xxhash64(hashes, *way).alias("hash"), slotted.alias("slotted"), *([F.lit(size).alias("size"), F.lit(exact).alias("exact")] if items else []))
 
-    def one(i):
-        own = F.slice("words", i + 1, window)
-        return F.struct(F.xxhash64(F.slice("_h", i + 1, window)).alias("hash"), F.when(F.col("_any") & F.exists(own, slot), own).alias("slotted"))
+        return F.transform(at, one)
 
-    return d.select(*keep, F.posexplode(F.transform(at, one)).alias("pos", "_w")).select(*keep, "pos", "_w.hash", "_w.slotted")
+    every = [made(*way) for way in ways]
+    return d.select(*keep, F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("_w")).select(*keep, "_w.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, _key (a hash of the text), item_id, n_windows, coverage, n_slots, reparameterised of each leak."""
     items = plain(benchmark, item_id=item_id, text=item_text).distinct().select("item_id", template(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
-    plenty = F.col("slotted").isNull() | (F.size(F.filter("slotted", lambda s: ~F.startswith(s["t"], F.lit(MARK)))) >= MIN_WORDS)
-    seen = cut(windows(items, ["item_id", "n_words"]).where(plenty), "items")
+    slotted = F.col("slotted").isNotNull()
+    plenty = F.size(F.filter("slotted", lambda s: ~_slot(s))) >= MIN_WORDS
+    short = F.col("size") < WINDOW
+    used = F.when(F.col("exact"), slotted | short).otherwise(F.when(slotted, plenty).otherwise(~short))
+    every = [(n, exact) for n in range(1, WINDOW + 1) for exact in (False, True)]
+    seen = cut(windows(items, ["item_id", "n_words"], every, items=True).where(used), "items")
+    ways = {(r["size"], r["exact"]): r["count"] for r in seen.groupBy("size", "exact").count().collect()}  # ten rows at most
     d = plain(docs, doc_id=doc_id, text=text).select("doc_id", F.xxhash64("text").alias("_key"), template(F.col("text")).alias("words"))
     known = seen.select("hash").distinct()
-    known = F.broadcast(known) if seen.count() <= BROADCAST_ROWS else known.hint("shuffle_hash")
-    met = windows(d, ["doc_id", "_key"]).join(known, "hash", "left_semi").select("doc_id", "_key", "hash", F.col("pos").alias("dpos"), F.col("slotted").alias("dw"))
+    known = F.broadcast(known) if sum(ways.values()) <= BROADCAST_ROWS else known.hint("shuffle_hash")
+    met = windows(d, ["doc_id", "_key"], sorted(ways) or ((WINDOW, False),)).join(known, "hash", "left_semi").select("doc_id", "_key", "hash", F.col("pos").alias("dpos"), F.col("slotted").alias("dw"))
     met = cut(met, "met")
-    pairs = met.join(seen.select("item_id", "n_words", "hash", F.col("pos").alias("ipos"), F.col("slotted").alias("iw")), "hash")
+    pairs = met.join(seen.select("item_id", "n_words", "hash", F.col("pos").alias("ipos"), F.col("slotted").alias("iw"), "exact"), "hash").withColumn("dw", F.when(F.col("exact"), F.col("iw")).otherwise(F.col("dw")))
     zipped = F.coalesce(F.arrays_zip("iw", "dw"), F.array().cast("array<struct<iw:struct<t:string,v:string>,dw:struct<t:string,v:string>>>"))
-    slots = F.transform(F.filter(zipped, lambda z: F.startswith(z["iw"]["t"], F.lit(MARK))), lambda z: F.struct(z["iw"]["v"].alias("i"), z["dw"]["v"].alias("d")))
+    slots = F.transform(F.filter(zipped, lambda z: _slot(z["iw"])), lambda z: F.struct(z["iw"]["v"].alias("i"), z["dw"]["v"].alias("d")))
     by_diagonal = pairs.groupBy("doc_id", "_key", "item_id", "n_words", (F.col("dpos") - F.col("ipos")).alias("_d")).agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
     fits = by_diagonal.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))))
     by_item = fits.groupBy("doc_id", "_key", "item_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.flatten(F.collect_list("slots")).alias("slots"))
-    words = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
+    words = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.least(F.lit(WINDOW), F.col("n_words")) - 1))))
     out = by_item.select("doc_id", "_key", "item_id", F.size("at").cast("long").alias("n_windows"), F.round(F.size(words) / F.col("n_words"), 6).alias("coverage"),
         F.size(F.array_distinct("slots")).cast("long").alias("n_slots"), F.exists("slots", lambda s: s["i"] != s["d"]).alias("reparameterised"))
     return out.where(F.col("coverage") >= min_coverage)
