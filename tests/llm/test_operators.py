@@ -115,6 +115,23 @@ def test_windows_of_placeholders_and_short_items_are_found(spark):
     assert {x["doc_id"] for x in decontamination.clean(d, bench).collect()} == {20, 21, 22, 24}
 
 
+def test_only_windows_with_conflicting_slots_are_dropped(spark):
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+
+    def text(*values):
+        w = list(plain)
+        for at, v in zip((10, 25, 40), values):
+            w[at] = v
+        return " ".join(w)
+
+    bench = spark.createDataFrame([(1, text("5", "5", "5")), (2, text("days", "days", "zest"))], "item_id long, text string")
+    d = spark.createDataFrame([(1, text("5", "5", "6")), (2, text("7", "7", "6")), (3, text("day", "days", "zest")), (4, text("7", "8", "9"))], "doc_id long, text string")
+    r = {(x["doc_id"], x["item_id"]): x for x in decontamination.contaminated(d, bench).collect()}
+    assert {k: round(x["coverage"] * 60) for k, x in r.items() if k[1] == 1 and k[0] < 3} == {(1, 1): 59, (2, 1): 59}
+    assert not r[1, 1]["reparameterised"] and r[2, 1]["reparameterised"] and r[1, 1]["n_windows"] == 51
+    assert round(r[3, 2]["coverage"] * 60) == 59 and round(r[4, 1]["coverage"] * 60) == 57
+
+
 # 3
 def test_min_cost_flow():
     r = random.Random(1)

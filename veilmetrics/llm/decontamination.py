@@ -3,7 +3,8 @@
 Texts become templates: numbers, quantities with a unit, units and names turn into typed placeholders, other words into
 lower case. Windows of five template words are hashed and joined. Matches of a document with an item on one diagonal
 (document position less item position) must fill the item's slots consistently: one value of the item may stand for one
-value of the document only. An item leaks into a document if windows with consistent slots cover at least MIN_COVERAGE of
+value of the document only, the one that most of its places on the diagonal have. Windows with another value, and all
+changed ones of a tie, don't count; unchanged values always do. An item leaks into a document if windows with consistent slots cover at least MIN_COVERAGE of
 the item's words, whatever numbers, names and units were put in its place.
 
 The windows of the benchmark are broadcast as bare hashes if there are BROADCAST_ROWS at most, and joined by a shuffle
@@ -107,9 +108,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="t
     met = cut(met, "met")
     pairs = met.join(seen.select("item_id", "n_words", "hash", F.col("pos").alias("ipos"), F.col("slotted").alias("iw"), "exact"), "hash").withColumn("dw", F.when(F.col("exact"), F.col("iw")).otherwise(F.col("dw")))
     zipped = F.coalesce(F.arrays_zip("iw", "dw"), F.array().cast("array<struct<iw:struct<t:string,v:string>,dw:struct<t:string,v:string>>>"))
-    slots = F.transform(F.filter(zipped, lambda z: _slot(z["iw"])), lambda z: F.struct(z["iw"]["v"].alias("i"), z["dw"]["v"].alias("d")))
-    by_diagonal = pairs.groupBy("doc_id", "_key", "item_id", "n_words", (F.col("dpos") - F.col("ipos")).alias("_d")).agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
-    fits = by_diagonal.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))))
+    slots = F.filter(F.transform(zipped, lambda z, k: F.struct((F.col("ipos") + k).alias("p"), z["iw"]["v"].alias("i"), z["dw"]["v"].alias("d"), _slot(z["iw"]).alias("s"))), lambda z: z["s"])
+    by_diagonal = pairs.groupBy("doc_id", "_key", "item_id", "n_words", (F.col("dpos") - F.col("ipos")).alias("_d")).agg(F.collect_set(F.struct(F.col("ipos").alias("at"), slots.alias("slots"))).alias("met"))
+    # how many places of the item have each pair of values, and the pairs that may stand
+    places = F.array_distinct(F.flatten(F.col("met.slots")))
+    pair = lambda s: F.struct(s["i"].alias("i"), s["d"].alias("d"))
+    counted = F.transform(F.array_distinct(F.transform("places", pair)), lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"), F.size(F.filter("places", lambda s: (s["i"] == x["i"]) & (s["d"] == x["d"]))).alias("n")))
+    stands = F.filter("counted", lambda x: (x["i"] == x["d"]) | ~F.exists("counted", lambda y: (y["i"] == x["i"]) & (y["d"] != x["d"]) & (y["n"] >= x["n"])))
+    judged = by_diagonal.withColumn("places", places).withColumn("counted", counted).withColumn("stands", F.transform(stands, pair))
+    fits = judged.withColumn("met", F.filter("met", lambda w: F.forall(w["slots"], lambda s: F.array_contains("stands", pair(s)))))
+    fits = fits.where(F.size("met") > 0).select("doc_id", "_key", "item_id", "n_words", F.col("met.at").alias("at"), F.transform(F.flatten(F.col("met.slots")), pair).alias("slots"))
     by_item = fits.groupBy("doc_id", "_key", "item_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.flatten(F.collect_list("slots")).alias("slots"))
     words = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.least(F.lit(WINDOW), F.col("n_words")) - 1))))
     out = by_item.select("doc_id", "_key", "item_id", F.size("at").cast("long").alias("n_windows"), F.round(F.size(words) / F.col("n_words"), 6).alias("coverage"),
