@@ -1,12 +1,16 @@
 """Corpus operators against brute force, on awkward rows: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import glob
 import hashlib
+import os
 import random
 import re
+import shutil
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,30 +192,66 @@ def test_encoder_gives_the_tokenizers_ids():
     e = token_store.encoder(token_store.tokenizer_path())
     r = random.Random(2)
     texts = ["", ", a", "a , b", "x_, y", "a  b", "\ta b", "a\n b", "a \nb", " lead", "trail ", "<|endoftext|> a", "日本, 語. x", "'s, 're. a's"] + ["".join(r.choice("ab1é ,._\n\t'\"$漢́") for _ in range(r.randint(0, 14))) for _ in range(3000)]
-    for t, ids in zip(texts, e(texts)):
-        assert ids.tolist() == e.of.encode(t, add_special_tokens=False).ids, repr(t)
+    texts += ["a\nb\nc", "end.\nNext", "\nA b", "a\n\nb", "x\n", "a\r\nb", "\n", "a\u0085b c", "nul\0 byte", "\n b", None]
+    for _ in range(2):  # the second time from the cache
+        ids, ends = e(pa.array(texts))
+        for t, a, z in zip(texts, [0, *ends.tolist()], ends.tolist()):
+            assert ids[a:z].tolist() == [*e.of.encode(t or "", add_special_tokens=False).ids, token_store.END_ID], repr(t)
+    assert not len(e(pa.array([], pa.string()))[0])
 
 
 def test_chunks_and_crc():
     ids = np.random.default_rng(1).integers(0, 50_000, 40_000).astype("<u4")
-    ends = token_store.boundaries(ids)
+    (ends,) = token_store.boundaries(ids)
     assert ends[-1] == len(ids) and all(b - a <= token_store.MOST for a, b in zip([0, *ends], ends))
-    shifted = token_store.boundaries(np.concatenate([ids[:1000], ids]))
+    (shifted,) = token_store.boundaries(np.concatenate([ids[:1000], ids]))
+    cuts = [0, 5, 5, 300, 30_000, 40_000]
+    parts = token_store.boundaries(ids, np.array(cuts[1:]))
+    assert parts == [[a + e for e in token_store.boundaries(ids[a:z])[0]] for a, z in zip(cuts, cuts[1:])]
     assert len({len(ids) - e for e in ends} & {len(ids) + 1000 - e for e in shifted}) > len(ends) // 2
     a, b = b"some bytes", b"and others" * 50
     share = token_store.crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]
     assert int(share) ^ zlib.crc32(b) == zlib.crc32(a + b)
 
 
-def test_damage_is_found(spark):
+def stored(spark, n=40):
     path = common.new_dir(spark, "store")
-    token_store.write_store(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), path)
+    token_store.write_store(spark.createDataFrame([(i, f"a b c {i}") for i in range(n)], "doc_id long, text string").repartition(4), path)
+    return path
+
+
+def test_damage_is_found(spark):
+    path = stored(spark)
+    assert token_store.read_back(spark, path).count() == 40
     token_store.open_recipes(spark, path).withColumn("n_tokens", F.col("n_tokens") + 1).write.parquet(path + "/new")
     spark.read.parquet(path + "/new").write.mode("overwrite").parquet(path + "/recipes")
     with pytest.raises(ValueError, match="manifest"):
         token_store.read_back(spark, path)
 
 
+def test_lost_files_are_found(spark):
+    path = stored(spark)
+    files = sorted(glob.glob(path + "/recipes/part-*.parquet"), key=os.path.getsize)
+    os.remove(files[-1])
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_back(spark, path)
+    path = stored(spark)
+    manifest = spark.read.parquet(path + "/manifest").collect()
+    spark.createDataFrame(manifest[1:], token_store.MANIFEST).write.mode("overwrite").parquet(path + "/manifest")
+    with pytest.raises(ValueError, match="root"):
+        token_store.read_back(spark, path)
+    path = stored(spark)
+    top = spark.read.parquet(path + "/root").withColumn("root", F.lit(b"0" * 16)).collect()
+    spark.createDataFrame(top, token_store.ROOT).write.mode("overwrite").parquet(path + "/root")
+    with pytest.raises(ValueError, match="root"):
+        token_store.read_back(spark, path)
+    path = stored(spark)
+    bad = token_store.open_chunks(spark, path)
+    assert bad.count() == 40
+    shutil.rmtree(path + "/encoded/kind=1")
+    assert {(r["n_tokens"], r["ids_crc32"]) for r in token_store.read_back(spark, path).collect()} == {(None, None)}
+
+
 # 5
 def slow_fingerprint(t):
     w = split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))

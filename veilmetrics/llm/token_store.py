@@ -5,10 +5,11 @@ equal passages give equal chunks wherever they stand. A chunk is stored once und
 the list of its chunks. Recipes are written in ascending document order with a Merkle root for each file part and one
 over the parts, against which a read verifies what it reconstructs.
 
-    path/encoded/kind=1/ key binary (the digest), ns [bytes an id, ids], payload binary (little-endian ids)
+    path/encoded/kind=1/ key binary (the digest), width int (bytes an id), n long, payload binary (little-endian ids)
     path/encoded/kind=0/ recipes as they were encoded, without order
-    path/recipes/  part int, place long, doc_id long, n_tokens long, start long, digests array<binary>, ns array<int>
+    path/recipes/  part int, place long, doc_id long, n_tokens long, start long, digests array<binary>, ends array<int>
     path/manifest/ part int, n_docs long, n_tokens long, root binary
+    path/root/     n_parts int, n_docs long, n_tokens long, root binary: the Merkle root over the parts, one row
 
 Cases: null text is the empty text; null doc_ids come first; repeated doc_ids are kept, one recipe each; other columns
 are ignored; an empty table gives empty files and an empty result.
@@ -19,11 +20,12 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -33,7 +35,9 @@ from .common import cut, new_dir, partitions, ready, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 WINDOW, MASK, LEAST, MOST = 32, 1023, 128, 8192
-CACHE_WORDS, GIVEN = 600_000, 300_000
+CACHE_WORDS, GIVEN, BATCH_BYTES = 600_000, 300_000, 4_000_000
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -48,54 +52,116 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """The ids that Tokenizer.encode gives.
+    """The ids that Tokenizer.encode gives, with END_ID after each text.
 
-    A single space between two non-spaces always begins a new pre-token, so a text is cut there, and each distinct piece is
-    encoded once while it stays in the cache; a piece that is one word, with a comma or full stop or without, goes to the
-    tokenizer's model at once. Texts with a piece of which this isn't sure, and those that may hold special tokens, are
-    encoded as they are.
+    A single space or line end between two non-spaces always begins a new pre-token, so texts are cut before it, and each
+    distinct piece is encoded once while it stays in the cache: its ids lie in one buffer, from which those of whole batches
+    are gathered.
+    A piece that is one word, with a comma or full stop or without, goes to the tokenizer's model at once. Texts with a
+    piece of which this isn't sure, and those that may hold special tokens, are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes | None] = {"": b""}
+        self.width = 2 if self.of.get_vocab_size() <= 65536 else 4
         self.letters = byte_letters()
-
-    def _word(self, w: str) -> bytes:
-        return array("I", [t.id for t in self.of.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self.stops = {c: self._word(c) for c in ",."}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {"": 0}  # piece -> slot, -1 for one that says nothing by itself
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.n, self.used = np.zeros(1 << 20, "<u4"), 0, 0
+        self._add(np.array([0, 1]), np.array([END_ID], "<u4"))
+
+    def _add(self, sizes: np.ndarray, flat: np.ndarray) -> range:
+        """Puts the ids of new slots into the buffer."""
+        slots = range(self.n, self.n + len(sizes))
+        while slots.stop > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.size[slots.start : slots.stop] = sizes
+        self.first[slots.start : slots.stop] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.n, self.used = slots.stop, self.used + len(flat)
+        return slots
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the slots, end to end, and where each ends."""
+        size = self.size[slots]
+        upto = np.cumsum(size)
+        return self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.first[slots] - upto + size, size)], upto
+
+    def _word(self, w: str) -> list[int]:
+        return [t.id for t in self.of.model.tokenize("\u0120" + w[1:] if w[0] == " " and w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
 
     def learn(self, pieces: list[str]) -> None:
-        seen, stops, rest = self.seen, {c: self._word(c) for c in ",."}, []
-        for w in pieces:
-            if w[1:].isalpha() and w[0] == " ":
-                seen[w] = self._word(w)
-            elif w[-1] in stops and w[0] == " " and w[1:-1].isalpha():
-                seen[w] = (seen.get(w[:-1]) or self._word(w[:-1])) + stops[w[-1]]
-            elif w[0] == " " and (w == " " or w[1].isspace()):
-                seen[w] = None  # white space next to a cut
-            else:
-                rest.append(w)
-        for w, e in zip(rest, self.of.encode_batch_fast(rest, add_special_tokens=False)):
-            seen[w] = array("I", e.ids).tobytes()
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = {"": b""}
-        seen = self.seen
-        cut = [None if "\0" in t or "<|" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
-        self.learn([w for w in {w for ws in cut if ws for w in ws} if w not in seen])
-        out = []
-        for t, ws in zip(texts, cut):
-            try:
-                out.append(self.whole(t) if ws is None else np.frombuffer(b"".join(map(seen.__getitem__, ws)), "<u4"))
-            except TypeError:  # a None among them
-                out.append(self.whole(t))
-        return out
+        """Gives new pieces their slots; a word with a stop gets the ids of the word and those of the stop."""
+        slot, stops, words, ended, rest = self.slot, self.stops, {}, [], []
+        for w in dict.fromkeys(pieces):
+            lead = w[:1]
+            if lead == " ":
+                if w[1:].isalpha():
+                    words[w] = None
+                    continue
+                if w[-1] in stops and w[1:-1].isalpha():
+                    ended.append(w)
+                    if w[:-1] not in slot:
+                        words[w[:-1]] = None
+                    continue
+                if w == " " or w[1].isspace():
+                    slot[w] = -1  # white space next to a cut
+                    continue
+            rest.append(w)
+        flat: list[int] = []
+        sizes: list[int] = []
+        for w in words:  # ids go into one list: a list for each word would keep the garbage collector busy
+            ids = self._word(w)
+            flat += ids
+            sizes.append(len(ids))
+        slot.update(zip(words, self._add(np.array(sizes, np.int64), np.array(flat, "<u4"))))
+        for stop, ids in stops.items():
+            mine = [w for w in ended if w[-1] == stop]
+            of, upto = self._gather(np.fromiter((slot[w[:-1]] for w in mine), np.int64, len(mine)))
+            slot.update(zip(mine, self._add(np.diff(upto, prepend=0) + len(ids), np.insert(of, np.repeat(upto, len(ids)), ids * len(mine)))))
+        got = [e.ids for e in self.of.encode_batch_fast(rest, add_special_tokens=False)]
+        slot.update(zip(rest, self._add(np.fromiter(map(len, got), np.int64, len(got)), np.fromiter(chain.from_iterable(got), "<u4"))))
+
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        slots = np.fromiter(map(self.slot.get, pieces, repeat(-2)), np.int64, len(pieces))
+        new = np.flatnonzero(slots == -2)
+        if len(new):
+            unknown = [pieces[i] for i in new.tolist()]
+            self.learn(unknown)
+            slots[new] = np.fromiter(map(self.slot.__getitem__, unknown), np.int64, len(unknown))
+        return slots
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, END_ID after each, and where each text's ids end."""
+        if self.n > CACHE_WORDS:
+            self._clear()
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, r"(\S)\n(\S)", "\\1\x00\n\\2"), " ", "\x00 "), "\x00")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        begin = ends - np.diff(ends, prepend=0)
+        coded = lists.flatten().dictionary_encode()
+        pieces = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        odd = np.add.reduceat(pieces < 0, begin) > 0
+        odd |= pc.match_substring_regex(texts, r"<\||\x00").to_numpy(zero_copy_only=False)
+        n, used = self.n, self.used
+        for i in np.flatnonzero(odd).tolist():
+            pieces[begin[i] : ends[i]] = 0
+            own = np.array(self.of.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+            pieces[begin[i]] = self._add(np.array([len(own)]), own)[0]
+        pieces = np.insert(pieces, ends, 1)
+        ids, upto = self._gather(pieces)
+        self.n, self.used = n, used  # odd texts don't stay
+        return ids, upto[ends + np.arange(len(ends))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -112,57 +178,91 @@ def encoder(path: str) -> Encoder:
 _GEAR = np.random.default_rng(7).integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the sum of the gear values of the last WINDOW ids ends in zero bits; LEAST to MOST ids a chunk."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_GEAR[ids & 0xFFFF] * (ids.astype(np.uint64) + np.uint64(1)))])
-        roll = total[WINDOW:] - total[:-WINDOW]
-        roll = (roll ^ (roll >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    hits = np.flatnonzero((roll >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
-    ends, at = [], 0
-    for h in hits.tolist():
-        while h - at > MOST:
+def boundaries(ids: np.ndarray, of: np.ndarray | None = None) -> list[list[int]]:
+    """Ends of the chunks of each text, where `of` has the texts' ends in ids (by default one text).
+
+    A chunk ends where the sum of the gear values of the last WINDOW ids ends in zero bits, and has LEAST to MOST ids.
+    """
+    of = np.array([len(ids)]) if of is None else of
+    hits = np.empty(0, np.int64)
+    if len(ids) > LEAST:
+        with np.errstate(over="ignore"):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(_GEAR[ids & 0xFFFF] * (ids.astype(np.uint64) + np.uint64(1)))])
+            roll = total[WINDOW:] - total[:-WINDOW]
+            roll = (roll ^ (roll >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hits = np.flatnonzero((roll >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
+    out, begin = [], 0
+    cuts = np.searchsorted(hits, of, side="right").tolist()
+    i, hits = 0, hits.tolist()
+    for z, j in zip(of.tolist(), cuts):
+        ends, at = [], begin
+        for h in hits[i:j]:
+            while h - at > MOST:
+                at += MOST
+                ends.append(at)
+            if h - at >= LEAST and h - begin >= WINDOW:
+                at = h
+                ends.append(at)
+        while z - at > MOST:
             at += MOST
             ends.append(at)
-        if h - at >= LEAST:
-            at = h
-            ends.append(at)
-    while n - at > MOST:
-        at += MOST
-        ends.append(at)
-    return ends if at == n else [*ends, n]
+        if at < z:
+            ends.append(z)
+        out.append(ends)
+        begin, i = z, j
+    return out
+
+
+def _digest(width: int, data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, person=b"ids%d" % width).digest()
+
+
+_CODED = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("digests", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("width", pa.int32()), ("n", pa.int64()), ("payload", pa.binary())])
+CODED = "kind int, key binary, doc_id long, row long, digests array<binary>, ends array<int>, width int, n long, payload binary"
+
+
+def _gathered(batches, most: int = BATCH_BYTES):
+    """The batches, joined to some `most` bytes each, so that a word that recurs in one is looked up once."""
+    held, n = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            held.append(part)
+            n += part.column("text").nbytes
+            if n >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held and (t := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield t[0]
 
 
 def _encode_batches(batches, path: str):
     """Recipe rows (kind 0) and chunk rows (kind 1); a chunk that this task has given before is not given again while it is remembered."""
     encode, given = encoder(path), set()
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            b = big.slice(at, 256)
-            ids_of = encode([t or "" for t in b.column("text").to_pylist()])
-            rows = {k: [] for k in ("kind", "key", "doc_id", "row", "digests", "ns", "payload")}
-            if len(given) > GIVEN:
-                given.clear()
-            for doc_id, row, ids in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), ids_of):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                width = 2 if ids.max() < 65536 else 4
-                digests, ns, a = [], [], 0
-                for z in boundaries(ids):
-                    data = ids[a:z].astype(f"<u{width}").tobytes()
-                    digest = hashlib.blake2b(bytes([width]) + data, digest_size=16).digest()
-                    digests.append(digest)
-                    ns.append(z - a)
-                    if digest not in given:
-                        given.add(digest)
-                        for k, v in (("kind", 1), ("key", digest), ("doc_id", None), ("row", None), ("digests", None), ("ns", [width, z - a]), ("payload", data)):
-                            rows[k].append(v)
-                    a = z
-                for k, v in (("kind", 0), ("key", b"r" + row.to_bytes(8, "big")), ("doc_id", doc_id), ("row", row), ("digests", digests), ("ns", ns), ("payload", None)):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("digests", pa.list_(pa.binary())), ("ns", pa.list_(pa.int32())), ("payload", pa.binary())]))
+    width = encode.width
+    for b in _gathered(batches):
+        if len(given) > GIVEN:
+            given.clear()
+        ids, of = encode(b.column("text"))
+        data = memoryview(ids.astype(f"<u{width}").tobytes())
+        chunks, recipes, begin = [], [], 0
+        for doc_id, row, ends, z in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), boundaries(ids, of), of.tolist()):
+            digests, a = [], begin
+            for e in ends:
+                part = data[a * width : e * width]
+                digest = _digest(width, part)
+                digests.append(digest)
+                if digest not in given:
+                    given.add(digest)
+                    chunks.append((digest, e - a, bytes(part)))
+                a = e
+            recipes.append((b"r" + row.to_bytes(8, "big"), doc_id, row, digests, [e - begin for e in ends], z - begin))
+            begin = z
+        for rows, cols in ((chunks, {"key": 0, "n": 1, "payload": 2}), (recipes, {"key": 0, "doc_id": 1, "row": 2, "digests": 3, "ends": 4, "n": 5})):
+            made = list(zip(*rows)) if rows else [()] * 6
+            kind, m = int(rows is chunks), len(rows)
+            whole = {"kind": pa.array(np.full(m, kind, np.int32)), "width": pa.array(np.full(m, width, np.int32))}
+            yield pa.RecordBatch.from_arrays([whole[f.name] if f.name in whole else pa.array(made[cols[f.name]], f.type) if f.name in cols else pa.nulls(m, f.type) for f in _CODED], schema=_CODED)
 
 
 def _unique_batches(batches):
@@ -215,6 +315,7 @@ def _manifest_batches(batches):
 
 
 MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+RECIPES = "part int, place long, doc_id long, n_tokens long, start long, digests array<binary>, ends array<int>"
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
@@ -222,18 +323,22 @@ def _roots(recipes: DataFrame) -> DataFrame:
     return recipes.select("part", "place", "doc_id", "n_tokens", "digests").repartition(n, "part").sortWithinPartitions("part", "place").drop("place").mapInArrow(_manifest_batches, MANIFEST)
 
 
+def _root_over(parts: list) -> bytes:
+    """The Merkle root over the parts, whose rows are few: one for each shuffle partition at most."""
+    return merkle([f"{r['part']}:{r['n_docs']}:{r['n_tokens']}:".encode() + bytes(r["root"]) for r in sorted(parts, key=lambda r: r["part"])])
+
+
 def write_store(docs: DataFrame, path: str, doc_id="doc_id", text="text", order_by: str | None = None, tokenizer: str | None = None) -> None:
     """Encodes docs and writes the store. order_by: a long column, distinct in each row, that gives the stream order; by default that is the doc_id."""
     spark = ready(docs.sparkSession)
     n = partitions(spark)
     at = tokenizer or tokenizer_path()
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.monotonically_increasing_id() if order_by is None else F.col(order_by).cast("long")).alias("row"))
-    coded = d.mapInArrow(lambda it: _encode_batches(it, at), "kind int, key binary, doc_id long, row long, digests array<binary>, ns array<int>, payload binary")
-    one = coded.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_unique_batches, coded.schema)
+    coded = d.mapInArrow(lambda it: _encode_batches(it, at), CODED)
+    one = coded.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_unique_batches, CODED)
     raw = f"{path}/encoded"
     one.write.partitionBy("kind").option("compression", "zstd").parquet(raw)
-    back = spark.read.schema(coded.schema).parquet(raw)
-    recipes = back.where("kind = 0").select("doc_id", "row", "digests", "ns", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
+    recipes = spark.read.schema(CODED).parquet(raw).where("kind = 0").select("doc_id", "row", "digests", "ends", F.col("n").alias("n_tokens"))
     order = [F.col("row")] if order_by else [F.col("doc_id").asc_nulls_first(), F.col("row")]
     ranged = cut(recipes.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "recipes")
     sums = {r["part"]: (r["n"], r["t"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}  # a row for each part
@@ -245,18 +350,35 @@ def write_store(docs: DataFrame, path: str, doc_id="doc_id", text="text", order_
     (ranged.join(F.broadcast(spark.createDataFrame(firsts, "part int, _place long, _start long")), "part")
         .withColumn("place", F.col("_place") + F.row_number().over(w) - 1)
         .withColumn("start", F.col("_start") + F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("part", "place", "doc_id", "n_tokens", "start", "digests", "ns")
+        .select("part", "place", "doc_id", "n_tokens", "start", "digests", "ends")
         .write.option("compression", "zstd").parquet(f"{path}/recipes"))
     _roots(open_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()
+    spark.createDataFrame([(len(parts), place, start, _root_over(parts))], ROOT).coalesce(1).write.parquet(f"{path}/root")
+
+
+ROOT = "n_parts int, n_docs long, n_tokens long, root binary"
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Holds recipes against the manifest in both directions, and the manifest against the root over its parts."""
+    told = {r["part"]: r for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()}
+    top = spark.read.schema(ROOT).parquet(f"{path}/root").collect()
+    if len(top) != 1 or top[0]["n_parts"] != len(told) or bytes(top[0]["root"]) != _root_over(list(told.values())):
+        raise ValueError(f"the manifest of {path} doesn't match its root")
+    found = {r["part"]: r for r in _roots(open_recipes(spark, path)).collect()}
+    wrong = sorted(p for p in told.keys() | found.keys() if told.get(p) != found.get(p))
+    if wrong:
+        raise ValueError(f"{len(wrong)} parts of {path} don't match the manifest: {wrong[:10]}")
 
 
 def open_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, place long, doc_id long, n_tokens long, start long, digests array<binary>, ns array<int>").parquet(f"{path}/recipes")
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes")
 
 
 def open_chunks(spark: SparkSession, path: str) -> DataFrame:
-    back = spark.read.schema("key binary, ns array<int>, payload binary, kind int").parquet(f"{path}/encoded").where("kind = 1")
-    return back.select(F.col("key").alias("digest"), F.col("ns")[0].alias("width"), F.col("ns")[1].alias("n"), "payload")
+    back = spark.read.schema("key binary, width int, n long, payload binary, kind int").parquet(f"{path}/encoded").where("kind = 1")
+    return back.select(F.col("key").alias("digest"), "width", "n", "payload")
 
 
 def _shift_tables(bits: int = 40) -> np.ndarray:
@@ -299,7 +421,7 @@ def _payload_crc(batches):
     for b in batches:
         crcs = []
         for digest, width, n, data in zip(*(b.column(c).to_pylist() for c in ("digest", "width", "n", "payload"))):
-            if hashlib.blake2b(bytes([width]) + data, digest_size=16).digest() != digest or len(data) != n * width:
+            if _digest(width, data) != digest or len(data) != n * width:
                 raise ValueError(f"chunk {digest.hex()} is damaged")
             crcs.append(zlib.crc32(data if width == 4 else np.frombuffer(data, "<u2").astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
@@ -323,21 +445,20 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """place, doc_id, start, n_tokens and ids_crc32 of each document, from verified chunks; the manifest is held against the recipes.
+    """place, doc_id, start, n_tokens and ids_crc32 of each document, from verified chunks; recipes, manifest and root are held against each other.
 
-    No payload is moved: crc32 is linear, so a chunk adds to its document's crc according to what follows it.
+    No payload is moved: crc32 is linear, so a chunk adds to its document's crc according to what follows it. A document
+    with a chunk that is not there has null n_tokens and crc.
     """
-    recipes = open_recipes(spark, path)
-    wrong = _roots(recipes).join(spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), ["part", "n_docs", "n_tokens", "root"], "left_anti").count()
-    if wrong:
-        raise ValueError(f"{wrong} parts of {path} don't match the manifest")
-    crcs = open_chunks(spark, path).mapInArrow(_payload_crc, "digest binary, n int, crc long").hint("shuffle_merge")
-    each = recipes.select("place", "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "ns")).alias("seq", "c"), "ns")
-    each = each.select("place", "doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.ns").alias("take"),
-        F.aggregate(F.slice("ns", F.col("seq") + 1, F.size("ns")), F.lit(0).cast("long"), lambda a, x: a + x).alias("from_here"))
-    met = each.join(crcs, "digest", "left").withColumn("share", _shifted(F.coalesce("crc", F.lit(0)), (F.col("from_here") - F.col("take")) * 4))
-    return met.groupBy("place", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(share)").alias("ids_crc32"), F.sum(F.when(F.col("n") == F.col("take"), F.col("take"))).cast("long").alias("n_read")).select(
-        "place", "doc_id", "start", F.when(F.col("n_read") == F.col("n_tokens"), F.col("n_tokens")).alias("n_tokens"), "ids_crc32")
+    verify(spark, path)
+    crcs = open_chunks(spark, path).mapInArrow(_payload_crc, "digest binary, n long, crc long").hint("shuffle_merge")
+    before = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+    pieces = F.transform("digests", lambda x, i: F.struct(x.alias("digest"), before(i).cast("long").alias("a"), F.get("ends", i).cast("long").alias("z")))
+    each = open_recipes(spark, path).select("place", "doc_id", "start", "n_tokens", F.explode(pieces).alias("c")).select("place", "doc_id", "start", "n_tokens", "c.*")
+    met = each.join(crcs, "digest", "left").withColumn("share", _shifted(F.coalesce("crc", F.lit(0)), (F.col("n_tokens") - F.col("z")) * 4))
+    whole = F.sum(F.when(F.col("n") == F.col("z") - F.col("a"), F.col("n"))) == F.col("n_tokens")
+    return met.groupBy("place", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(share)").alias("crc"), whole.alias("whole")).select(
+        "place", "doc_id", "start", F.when(F.col("whole"), F.col("n_tokens")).alias("n_tokens"), F.when(F.col("whole"), F.col("crc")).alias("ids_crc32"))
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
