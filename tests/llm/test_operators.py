@@ -191,8 +191,8 @@ def test_token_store(spark, docs, empty):
 def test_encoder_gives_the_tokenizers_ids():
     e = token_store.encoder(token_store.tokenizer_path())
     r = random.Random(2)
-    texts = ["", ", a", "a , b", "x_, y", "a  b", "\ta b", "a\n b", "a \nb", " lead", "trail ", "<|endoftext|> a", "日本, 語. x", "'s, 're. a's"] + ["".join(r.choice("ab1é ,._\n\t'\"$漢́") for _ in range(r.randint(0, 14))) for _ in range(3000)]
-    texts += ["a\nb\nc", "end.\nNext", "\nA b", "a\n\nb", "x\n", "a\r\nb", "\n", "a\u0085b c", "nul\0 byte", "\n b", None]
+    texts = ["", ", a", "a , b", "x_, y", "a  b", "\ta b", "a\n b", "a \nb", " lead", "trail ", "<|endoftext|> a", "日本, 語. x", "'s, 're. a's"] + ["".join(r.choice("ab1é ,._\n\t'\"$漢́\u00a0\u3000sl") for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    texts += ["a\nb\nc", "end.\nNext", "\nA b", "a\n\nb", "x\n", "a\r\nb", "\n", "a\u0085b c", "nul\0 byte", "\n b", "x\u00a0 y", "x\u00a0\ny", "x\n\u00a0y", "don't I'll", "a1b2", "q--r", None]
     for _ in range(2):  # the second time from the cache
         ids, ends = e(pa.array(texts))
         for t, a, z in zip(texts, [0, *ends.tolist()], ends.tolist()):

@@ -23,12 +23,10 @@ import zlib
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import cut, new_dir, partitions, ready, table
 
@@ -36,6 +34,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 WINDOW, MASK, LEAST, MOST = 32, 1023, 128, 8192
 CACHE_WORDS, GIVEN, BATCH_BYTES = 600_000, 300_000, 4_000_000
+LETTER_END = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/0-9:-@\[-`{-~])"  # such letters and marks are so in every version of Unicode
+LINE_END = r"([!-~\x{c0}-\x{24f}])\n([!-~\x{c0}-\x{24f}])"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -54,11 +54,11 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """The ids that Tokenizer.encode gives, with END_ID after each text.
 
-    A single space or line end between two non-spaces always begins a new pre-token, so texts are cut before it, and each
-    distinct piece is encoded once while it stays in the cache: its ids lie in one buffer, from which those of whole batches
-    are gathered.
-    A piece that is one word, with a comma or full stop or without, goes to the tokenizer's model at once. Texts with a
-    piece of which this isn't sure, and those that may hold special tokens, are encoded as they are.
+    Pre-tokens always begin at a single space between two non-spaces, at a line end between two non-spaces and after it,
+    and where letters meet a digit or mark, so texts are cut there, and each distinct piece is encoded once while it stays
+    in the cache: its ids lie in one buffer, from which those of whole batches are gathered. A piece that is one word goes
+    to the tokenizer's model at once. Texts with a piece of which this isn't sure, and those that may hold special tokens,
+    are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -67,7 +67,6 @@ class Encoder:
         self.of = Tokenizer.from_file(path)
         self.width = 2 if self.of.get_vocab_size() <= 65536 else 4
         self.letters = byte_letters()
-        self.stops = {c: self._word(c) for c in ",."}
         self._clear()
 
     def _clear(self) -> None:
@@ -96,39 +95,28 @@ class Encoder:
         return self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.first[slots] - upto + size, size)], upto
 
     def _word(self, w: str) -> list[int]:
-        return [t.id for t in self.of.model.tokenize("\u0120" + w[1:] if w[0] == " " and w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
+        return [t.id for t in self.of.model.tokenize((w if w[0] != " " else "\u0120" + w[1:]) if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
 
     def learn(self, pieces: list[str]) -> None:
-        """Gives new pieces their slots; a word with a stop gets the ids of the word and those of the stop."""
-        slot, stops, words, ended, rest = self.slot, self.stops, {}, [], []
-        for w in dict.fromkeys(pieces):
-            lead = w[:1]
-            if lead == " ":
-                if w[1:].isalpha():
-                    words[w] = None
-                    continue
-                if w[-1] in stops and w[1:-1].isalpha():
-                    ended.append(w)
-                    if w[:-1] not in slot:
-                        words[w[:-1]] = None
-                    continue
-                if w == " " or w[1].isspace():
-                    slot[w] = -1  # white space next to a cut
-                    continue
-            rest.append(w)
+        """Gives new pieces their slots."""
+        slot, words, rest = self.slot, [], []
+        for w in pieces:
+            if w.isalpha() or (w[:1] == " " and w[1:].isalpha()):
+                words.append(w)
+            elif w == " " or (w[0] == " " and w[1].isspace()):
+                slot[w] = -1  # white space next to a cut
+            else:
+                rest.append(w)
         flat: list[int] = []
         sizes: list[int] = []
         for w in words:  # ids go into one list: a list for each word would keep the garbage collector busy
             ids = self._word(w)
             flat += ids
             sizes.append(len(ids))
-        slot.update(zip(words, self._add(np.array(sizes, np.int64), np.array(flat, "<u4"))))
-        for stop, ids in stops.items():
-            mine = [w for w in ended if w[-1] == stop]
-            of, upto = self._gather(np.fromiter((slot[w[:-1]] for w in mine), np.int64, len(mine)))
-            slot.update(zip(mine, self._add(np.diff(upto, prepend=0) + len(ids), np.insert(of, np.repeat(upto, len(ids)), ids * len(mine)))))
-        got = [e.ids for e in self.of.encode_batch_fast(rest, add_special_tokens=False)]
-        slot.update(zip(rest, self._add(np.fromiter(map(len, got), np.int64, len(got)), np.fromiter(chain.from_iterable(got), "<u4"))))
+        for e in self.of.encode_batch_fast(rest, add_special_tokens=False):
+            flat += e.ids
+            sizes.append(len(e))
+        slot.update(zip(words + rest, self._add(np.array(sizes, np.int64), np.array(flat, "<u4"))))
 
     def _slots(self, pieces: list[str]) -> np.ndarray:
         slots = np.fromiter(map(self.slot.get, pieces, repeat(-2)), np.int64, len(pieces))
@@ -146,7 +134,9 @@ class Encoder:
         if not len(texts):
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(texts, r"(\S)\n(\S)", "\\1\x00\n\\2"), " ", "\x00 "), "\x00")
+        cut = pc.replace_substring_regex(texts, LETTER_END, "\\1\x00\\2")
+        cut = pc.replace_substring_regex(cut, LINE_END, "\\1\x00\n\x00\\2")
+        lists = pc.split_pattern(pc.replace_substring(cut, " ", "\x00 "), "\x00")
         ends = np.cumsum(pc.list_value_length(lists).to_numpy())
         begin = ends - np.diff(ends, prepend=0)
         coded = lists.flatten().dictionary_encode()
@@ -265,16 +255,6 @@ def _encode_batches(batches, path: str):
             yield pa.RecordBatch.from_arrays([whole[f.name] if f.name in whole else pa.array(made[cols[f.name]], f.type) if f.name in cols else pa.nulls(m, f.type) for f in _CODED], schema=_CODED)
 
 
-def _unique_batches(batches):
-    """Of rows sorted by key, the first of each key."""
-    last = None
-    for b in batches:
-        keys = b.column("key").to_pylist()
-        keep = [k != p for k, p in zip(keys, [last, *keys])]
-        last = keys[-1] if keys else last
-        yield b.filter(pa.array(keep, pa.bool_()))
-
-
 def merkle(leaves: list[bytes]) -> bytes:
     level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves] or [hashlib.blake2b(b"", digest_size=16).digest()]
     while len(level) > 1:
@@ -335,7 +315,8 @@ def write_store(docs: DataFrame, path: str, doc_id="doc_id", text="text", order_
     at = tokenizer or tokenizer_path()
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.monotonically_increasing_id() if order_by is None else F.col(order_by).cast("long")).alias("row"))
     coded = d.mapInArrow(lambda it: _encode_batches(it, at), CODED)
-    one = coded.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_unique_batches, CODED)
+    once = F.row_number().over(Window.partitionBy("key").orderBy("kind"))
+    one = coded.repartition(n, "key").withColumn("_nth", once).where("_nth = 1").drop("_nth")
     raw = f"{path}/encoded"
     one.write.partitionBy("kind").option("compression", "zstd").parquet(raw)
     recipes = spark.read.schema(CODED).parquet(raw).where("kind = 0").select("doc_id", "row", "digests", "ends", F.col("n").alias("n_tokens"))
@@ -427,9 +408,12 @@ def _payload_crc(batches):
         yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
 
-@F.pandas_udf(LongType())
-def _shifted(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:
-    return pd.Series(crc_shift(crc.to_numpy(), n_bytes.to_numpy()).astype(np.int64))
+def _shares(batches):
+    """Of each piece of a document: what its chunk adds to the crc32 of the document's ids."""
+    for b in batches:
+        crc, after = (b.column(c).to_numpy(zero_copy_only=False) for c in ("crc", "after"))
+        b = b.drop_columns(["crc", "after"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crc_shift(crc, after * 4).astype(np.int64))], names=[*b.schema.names, "share"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -437,11 +421,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     each = open_recipes(spark, path).select("place", "doc_id", F.posexplode("digests").alias("seq", "digest"))
     parts = each.join(open_chunks(spark, path), "digest").select("place", "doc_id", "seq", "width", "payload")
 
-    @F.pandas_udf("array<int>")
-    def ids(width: pd.Series, payload: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(p, f"<u{w}").astype(np.int32) for w, p in zip(width, payload)])
+    def ids(batches):
+        for b in batches:
+            of = [np.frombuffer(p, f"<u{w}").astype(np.int32) for w, p in zip(b.column("width").to_pylist(), b.column("payload").to_pylist())]
+            b = b.drop_columns(["width", "payload"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
-    return parts.withColumn("ids", ids("width", "payload")).groupBy("place", "doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return parts.mapInArrow(ids, "place long, doc_id long, seq int, ids array<int>").groupBy("place", "doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -455,9 +441,10 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     before = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
     pieces = F.transform("digests", lambda x, i: F.struct(x.alias("digest"), before(i).cast("long").alias("a"), F.get("ends", i).cast("long").alias("z")))
     each = open_recipes(spark, path).select("place", "doc_id", "start", "n_tokens", F.explode(pieces).alias("c")).select("place", "doc_id", "start", "n_tokens", "c.*")
-    met = each.join(crcs, "digest", "left").withColumn("share", _shifted(F.coalesce("crc", F.lit(0)), (F.col("n_tokens") - F.col("z")) * 4))
-    whole = F.sum(F.when(F.col("n") == F.col("z") - F.col("a"), F.col("n"))) == F.col("n_tokens")
-    return met.groupBy("place", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(share)").alias("crc"), whole.alias("whole")).select(
+    met = each.join(crcs, "digest", "left").select("place", "doc_id", "start", "n_tokens", (F.col("z") - F.col("a")).alias("take"), "n", F.coalesce("crc", F.lit(0)).alias("crc"), (F.col("n_tokens") - F.col("z")).alias("after"))
+    shares = met.mapInArrow(_shares, "place long, doc_id long, start long, n_tokens long, take long, n long, share long")
+    whole = F.sum(F.when(F.col("n") == F.col("take"), F.col("n"))) == F.col("n_tokens")
+    return shares.groupBy("place", "doc_id", "start", "n_tokens").agg(F.expr("bit_xor(share)").alias("crc"), whole.alias("whole")).select(
         "place", "doc_id", "start", F.when(F.col("whole"), F.col("n_tokens")).alias("n_tokens"), F.when(F.col("whole"), F.col("crc")).alias("ids_crc32"))
 
 
