@@ -451,6 +451,32 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_suffix_array_and_deep_nodes():
+    r = random.Random(9)
+    for n in (1, 2, 40, 400):
+        texts = [[r.choice("ab") for _ in range(r.randint(1, max(1, n // 3)))] for _ in range(4)] + [["a"] * n, ["a"] * n]
+        x = np.array([ord(c) - 96 for t in texts for c in t])
+        ends = np.cumsum([len(t) for t in texts])
+        end = np.repeat(ends, [len(t) for t in texts])
+        suffix = lambda i: tuple(x[i : min(end[i], i + 128)].tolist())
+        order, common = substrings.suffix_array(x, end)
+        assert sorted(order.tolist()) == list(range(len(x)))
+        sorted_ = [suffix(i) for i in order]
+        assert sorted_ == sorted(sorted_)
+        for k in range(1, len(order)):
+            a, b = sorted_[k - 1], sorted_[k]
+            shared = next((m for m, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+            assert min(common[k], 127) == min(shared, 127)
+        at, node = substrings.deep_nodes(order, common, 5)
+        by = {}
+        for i in range(len(x)):
+            by.setdefault(suffix(i)[:5], set()).add(i)
+        got_ = {}
+        for i, k in zip(at.tolist(), node.tolist()):
+            got_.setdefault(k, set()).add(i)
+        assert sorted(map(sorted, got_.values())) == sorted(sorted(v) for k, v in by.items() if len(k) == 5 and len(v) > 1)
+
+
 def test_substrings_of_small_alphabets(spark):
     r = random.Random(8)
     base = [r.choice("abc") for _ in range(400)]
@@ -463,3 +489,19 @@ def test_substrings_of_small_alphabets(spark):
         rows.append((i, " ".join([*w, *["a"] * r.choice([0, 60])])))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(substrings.remove_repeats(d), "doc_id", "n_words", "n_removed", "kept_sha256") == want(slow_remove(rows))
+
+
+@pytest.mark.parametrize("limits", [(400, 10**9), (0, 0)])
+def test_substrings_of_large_groups(spark, monkeypatch, limits):
+    """Prefixes with more runs than a group holds, and both joins of the runs with their texts."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", limits[0])
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", limits[1])
+    r = random.Random(10)
+    head = [f"h{i}" for i in range(45)]
+    rows = []
+    for i in range(60):
+        tail = [f"t{r.randint(0, 3)}" for _ in range(r.choice([3, 10, 60]))]
+        rows.append((i, " ".join([*(f"x{i}_{k}" for k in range(r.choice([0, 20]))), *head, *tail, *head])))
+    rows += [rows[5], rows[5], (7, rows[9][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substrings.remove_repeats(d), "doc_id", "n_words", "n_removed", "kept_sha256") == want(slow_remove(rows))
