@@ -34,7 +34,7 @@ from .common import cut, partitions, plain, skewed_lookup, table
 from .shingles import mix, powers, window_hashes, word_hashes, words_of
 
 WINDOW, PREFIX, LONGER = 50, 12, 24
-GROUP_BYTES, BROADCAST_BYTES = 8_000_000, 24_000_000
+GROUP_BYTES, TREE_BYTES, BROADCAST_BYTES = 4_000_000, 1_000_000, 24_000_000
 _ROOT = 0x9E3779B97F4A7C15
 
 
@@ -92,7 +92,7 @@ def suffix_array(x: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(x)
     at, rank, levels, step = np.arange(n), x, [], 1
     while step <= 64:
-        levels.append((step, rank))
+        levels.append((step, rank.astype(np.int32)))
         then = np.where(at + step < end, rank[np.minimum(at + step, n - 1)], 0)
         rank = np.unique(rank * (int(then.max(initial=0)) + 1) + then, return_inverse=True)[1].reshape(-1) + 1
         step *= 2
@@ -133,7 +133,7 @@ _SPANS = ("doc_id", "key", "a", "z")
 
 
 def _subtree_batches(batches):
-    """Rows come by prefix; whole groups are put together up to GROUP_BYTES and make one tree. Gives the maximal repeats (doc_id, key, a, z)."""
+    """Rows come by prefix; whole groups are put together up to TREE_BYTES and make one tree. Gives the maximal repeats (doc_id, key, a, z)."""
 
     def spans(parts):
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -149,7 +149,7 @@ def _subtree_batches(batches):
         if not b.num_rows:
             continue
         prefix = b.column("prefix").to_numpy()
-        if size >= GROUP_BYTES:
+        if size >= TREE_BYTES:
             k = int(np.argmax(prefix != held[-1].column("prefix")[-1].as_py())) if prefix[0] == held[-1].column("prefix")[-1].as_py() else 0
             if k or prefix[0] != held[-1].column("prefix")[-1].as_py():
                 yield spans([*held, b.slice(0, k)] if k else held)
