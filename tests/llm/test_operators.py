@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 import re
@@ -12,6 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -295,6 +297,18 @@ def test_links_of_dense_fingerprints(spark, monkeypatch):
     assert [got_.get(s, s) for s in signed] == [least[x] for x in label]
 
 
+def test_more_groups_give_the_same_links(spark):
+    assert [simhash.groups_for(n) for n in (0, 10**6, 10**9, 10**12)] == [6, 6, 9, 18]
+    r = random.Random(12)
+    fps = {r.getrandbits(64) for _ in range(60)}
+    fps |= {f ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for f in fps for _ in range(3)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want_ = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    d = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for groups in (4, 6, 9):
+        assert {tuple(x) for x in simhash.links(d, groups=groups).collect()} == want_
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (200, 100)], "u long, v long")
     assert {r["node"]: r["label"] for r in components.components(e).collect()} == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 200: 100}
@@ -309,7 +323,33 @@ def test_rules_compile_to_the_fitted_score(spark):
     d = spark.createDataFrame(x.tolist(), "a double, b double, c double")
     p = np.array([v[0] for v in d.select(rules.column()).collect()])
     assert ((p >= 0.5) == (y == 1)).mean() > 0.95 and len(rules.rules) < 80
-    assert quality.fit(x, np.ones(800), ["a", "b", "c"]).rules == []
+    assert quality.fit(x, np.ones(800), ["a", "b", "c"]).rules == [] and quality.fit(np.ones((800, 3)), y, ["a", "b", "c"]).rules == []
+    assert np.allclose(p, rules.predict(x, ["a", "b", "c"]))
+    chosen = quality.choose(x, y, ["a", "b", "c"], np.arange(800) % quality.INNER)
+    assert ((chosen.predict(x, ["a", "b", "c"]) >= 0.5) == (y == 1)).mean() > 0.95
+
+
+def slow_score(text, rules):
+    """The score of one text, its statistics in plain Python."""
+    t = text or ""
+    n, w, lines, words = float(max(len(t), 1)), float(max(len(re.findall(r"[^ \t\n\x0b\f\r]+", t)), 1)), t.split("\n"), re.split(r"[ \t\n\x0b\f\r]+", t)
+    s = {"log_chars": math.log10(n), "log_words": math.log10(w), "word_len": n / w, "line_len": math.log10(n / len(lines)), "line_repeat": 1 - len(set(lines)) / len(lines), "word_repeat": 1 - len(set(words)) / len(words)}
+    s |= {k: len(regex.findall(p.replace(r"\s", r" \t\n\x0b\f\r") if "[^" in p else p.replace(r"\s", r"[ \t\n\x0b\f\r]").replace(r"\S", r"[^ \t\n\x0b\f\r]"), t)) / (w if k in ("short", "long") else n) for k, p in quality._COUNTS.items()}
+    total = rules.bias + sum(weight for conds, weight in rules.rules if all(s[k] > x if above else s[k] <= x for k, above, x in conds))
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_by_brute_force(spark):
+    """Scores of awkward texts, worked out one by one from the fitted rules, and the rows that a filter keeps."""
+    names = list(quality.statistics(F.col("text")))
+    r = np.random.default_rng(3)
+    paths = [((k, bool(r.integers(2)), float(x)),) for k in names for x in (0.0, 0.05, 0.3, 0.7, 1.5)]
+    rules = quality.Rules(-0.3, [(p, float(r.normal())) for p in paths])
+    d = spark.createDataFrame(ROWS, SCHEMA)
+    out = quality.score(d, rules).collect()
+    slow = [slow_score(x[1], rules) for x in ROWS]
+    assert want((x["doc_id"], round(x["score"], 9)) for x in out) == want((x[0], round(s, 9)) for x, s in zip(ROWS, slow))
+    assert want(tuple(x) for x in quality.keep_good(d, rules).collect()) == want(x for x, s in zip(ROWS, slow) if s >= 0.5)
 
 
 def test_quality(spark, docs, empty):
@@ -376,6 +416,22 @@ def test_pfair_deviation():
         assert all(rel <= t < due for t, (_, _, rel, due, _) in enumerate(plan))
 
 
+def test_mixing_by_brute_force(spark, monkeypatch):
+    """Each source in its own order, its blocks at the places of the schedule; a null source is none of the others."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    rows = [(i, ["a", "b", "", None][(i * i) % 4 if i % 3 else 0]) for i in range(300)] + [(3, "a"), (None, "b")]
+    out = sorted(mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string")).collect(), key=lambda r: r["_mix"]["position"])
+    assert want((r["doc_id"], r["source"]) for r in out) == want(rows) and all(r["_mix"]["source"] == r["source"] for r in out)
+    n = {s: sum(x[1] == s for x in rows) for s in {x[1] for x in rows}}
+    names = {s: "" if s is None else "s" + s for s in n}
+    weights = mixing.default_weights({names[s]: k for s, k in n.items()})
+    plan = mixing.pfair({names[s]: -(-k // mixing.LEAST_BLOCK) for s, k in n.items()}, weights)
+    told = [(s, k, release, due, phase) for s, k, release, due, phase in plan for _ in range(min(mixing.LEAST_BLOCK, {names[x]: c for x, c in n.items()}[s] - k * mixing.LEAST_BLOCK))]
+    assert [(names[r["source"]], r["_mix"]["block"], r["_mix"]["release"], r["_mix"]["deadline"], r["_mix"]["phase"]) for r in out] == told
+    with pytest.raises(ValueError, match="weight"):
+        mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights={"a": 1.0})
+
+
 def test_mixing(docs, empty):
     out = mixing.schedule(docs).collect()
     assert sorted(r["_mix"]["position"] for r in out) == list(range(len(ROWS)))
@@ -410,7 +466,18 @@ def test_sketch_estimates_containment():
     b = a + " " + " ".join(str(r.random()) for _ in range(8000))
     sa, sb = sketches.sketch(a), sketches.sketch(b)
     assert sketches.containment(sa, sb) > 0.97 and abs(sketches.containment(sb, sa) - 1 / 3) < 0.1
-    assert np.array_equal(sketches.merge(sa, sb), np.union1d(sa, sb)) and (sa < 2**61).all()
+    assert np.array_equal(sketches.merge(sa, sb), np.union1d(sa, sb))
+    for scale in (4, 8):  # below a fixed threshold; parts merge to the whole; containment is an estimate
+        ta, tb = sketches.sketch(a, scale), sketches.sketch(b, scale)
+        assert np.array_equal(ta, sa[sa < np.uint64(2**64 // scale)]) and abs(len(ta) * scale / len(sa) - 1) < 0.2
+        assert sketches.containment(ta, tb) > 0.97 and abs(sketches.containment(tb, ta) - 1 / 3) < 0.1
+
+
+def test_buckets_of_descending_cuts(spark):
+    for n in (0, 1, 2, 5, 16, 37):
+        cuts = sorted({random.Random(n).randint(-50, 50) for _ in range(n)}, reverse=True)
+        d = spark.range(-60, 60)
+        assert all(r[1] == sum(c > r[0] for c in cuts) for r in d.select("id", sketches._above(cuts, F.col("id"))).collect())
 
 
 def test_sketches_of_short_texts():

@@ -5,10 +5,14 @@ by slot ceil((k + 1) / w); in each slot the released block with the earliest dea
 sources last, after t slots each has sent w * t blocks, give or take less than one. When a source is used up, a new phase
 begins, in which the others share its weight: every document is sent once, none is dropped or repeated.
 
-The driver sees a count for each source and hash bucket, and schedules BLOCKS blocks and one a source at most; documents
+The driver sees a count for each source and for each bucket of its hashes, and schedules BLOCKS blocks and one a source at most; documents
 find their block by a distributed rank. Within a source the order is by bucket, then by the hash of the doc_id.
 
-Default weights: each source's share to the power ALPHA, normalised. Cases: null source is a source of its own; repeated
+A source has a bucket for each BUCKET_ROWS of its rows, so that the rank of a row is found among some thousands however
+large the source is.
+
+Default weights: each source's share to the power ALPHA, normalised; given ones must name every source (a null source as
+None) and be positive. Cases: null source is a source of its own; repeated
 rows keep places of their own; an empty table gives an empty result; other columns ride along.
 """
 
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, table
 
-BUCKETS, BLOCKS, LEAST_BLOCK, ALPHA = 256, 32_768, 16, 0.5
+BUCKET_ROWS, BLOCKS, LEAST_BLOCK, ALPHA = 20_000, 32_768, 16, 0.5
 
 
 def pfair(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[str, int, int, int, int]]:
@@ -67,10 +71,17 @@ def default_weights(counts: dict[str, int], alpha: float = ALPHA) -> dict[str, F
     return {s: Fraction(max(1, round(c**alpha / total * 10**6)), 10**6) for s, c in counts.items()}
 
 
-def schedule(docs: DataFrame, doc_id="doc_id", source="source", weights: dict[str, float] | None = None) -> DataFrame:
+def schedule(docs: DataFrame, doc_id="doc_id", source="source", weights: dict[str | None, float] | None = None) -> DataFrame:
     """The rows of docs with `_mix`: source, block, release, deadline, phase and position, gapless from 0."""
     spark = docs.sparkSession
-    key = F.struct(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))  # null: the empty name
+    rows_of = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).count().withColumnRenamed("count", "n").collect()}  # a row for each source
+    if weights is not None and (none := sorted(s[1:] if s else "null" for s in rows_of if not weights.get(s[1:] if s else None, 0) > 0)):
+        raise ValueError(f"no positive weight for {none}")
+    buckets = F.lit(1)
+    for s, n in rows_of.items():
+        buckets = F.when(name == s, F.lit(-(-n // BUCKET_ROWS))).otherwise(buckets) if n > BUCKET_ROWS else buckets
+    key = F.struct(name.alias("source"), F.pmod(F.xxhash64(doc_id), buckets).cast("int").alias("bucket"))
     counts = sorted(docs.select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n")).select("k.*", "n").collect(), key=lambda r: (r["source"], r["bucket"]))
     size: dict[str, int] = {}
     offsets = []
@@ -78,7 +89,7 @@ def schedule(docs: DataFrame, doc_id="doc_id", source="source", weights: dict[st
         offsets.append((r["source"], r["bucket"], size.get(r["source"], 0)))
         size[r["source"]] = size.get(r["source"], 0) + r["n"]
     block = max(LEAST_BLOCK, -(-sum(size.values()) // BLOCKS))
-    given = default_weights(size) if weights is None else {s: Fraction(weights[s]).limit_denominator(10**6) for s in size}
+    given = default_weights(size) if weights is None else {s: Fraction(weights[s[1:] if s else None]).limit_denominator(10**6) for s in size}
     rows, at = [], 0
     for s, k, release, deadline, phase in pfair({s: -(-n // block) for s, n in size.items()}, given):
         rows.append((s, k, at, release, deadline, phase))
@@ -90,7 +101,7 @@ def schedule(docs: DataFrame, doc_id="doc_id", source="source", weights: dict[st
     d = d.withColumn("_rank", F.row_number().over(w) - 1).join(F.broadcast(starts), ["_ms", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_offset"))
     d = d.withColumn("_mb", F.floor(F.col("_rank") / block)).join(F.broadcast(plan), ["_ms", "_mb"])
     position = (F.col("_first") + F.col("_rank") - F.col("_mb") * block).alias("position")
-    return d.select("_r.*", F.struct(F.col("_ms").alias("source"), F.col("_mb").alias("block"), "release", "deadline", "phase", position).alias("_mix"))
+    return d.select("_r.*", F.struct(F.when(F.col("_ms") != "", F.substr(F.col("_ms"), F.lit(2))).alias("source"), F.col("_mb").alias("block"), "release", "deadline", "phase", position).alias("_mix"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

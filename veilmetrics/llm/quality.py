@@ -1,6 +1,7 @@
 """Operator 6, a quality classifier as a sparse rule ensemble.
 
-Whole-text statistics are Spark columns. On a bounded sample of labelled rows (SAMPLE, taken by the hash of the doc_id)
+Whole-text statistics are Spark columns. On a bounded sample of labelled rows (SAMPLE, taken by the hash of the doc_id;
+a repeated row counts once)
 shallow boosted trees are grown; every path from a root to a node is a conjunctive rule; lasso logistic regression gives
 the rules weights, most of them zero; the rules left are compiled into one Spark column expression, so scoring is a
 narrow JVM plan over all documents.
@@ -13,16 +14,18 @@ the smoothed share of label 1; repeated rows are scored each; other columns are
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, plain, table
+from .common import crc_mod, cut, plain, table
 
 SAMPLE = 12_000
 ROUNDS, DEPTH, BINS, LEAF = 24, 3, 24, 8
+LEAVES, INNER, CHOICE = (4, 8, 16), 3, 2_000
 LASSO = 2e-3
 
 #: Statistics of a text t with n characters, w words and the lines ls.
@@ -73,6 +76,12 @@ class Rules:
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
+    def predict(self, x: np.ndarray, names: list[str]) -> np.ndarray:
+        total = np.full(len(x), self.bias)
+        for conds, weight in self.rules:
+            total += weight * _holds(x, names, conds)
+        return 1 / (1 + np.exp(-total))
+
 
 def _holds(x: np.ndarray, names: list[str], conds) -> np.ndarray:
     ok = np.ones(len(x), bool)
@@ -82,7 +91,7 @@ def _holds(x: np.ndarray, names: list[str], conds) -> np.ndarray:
     return ok
 
 
-def _grow(x, names, grad, hess, rows, depth, conds, rules, step):
+def _grow(x, names, grad, hess, rows, depth, conds, rules, step, leaf):
     """Splits where the gradient gain is largest; adds a rule for each node. Returns nothing: step collects leaf values."""
     g, h = grad[rows].sum(), hess[rows].sum()
     best = None
@@ -92,7 +101,7 @@ def _grow(x, names, grad, hess, rows, depth, conds, rules, step):
             for t in np.unique(np.quantile(col, np.linspace(0, 1, BINS + 2)[1:-1], method="lower")):
                 left = col <= t
                 k = int(left.sum())
-                if k < LEAF or len(rows) - k < LEAF:
+                if k < leaf or len(rows) - k < leaf:
                     continue
                 gl, hl = grad[rows][left].sum(), hess[rows][left].sum()
                 gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
@@ -106,27 +115,29 @@ def _grow(x, names, grad, hess, rows, depth, conds, rules, step):
     for above, part in ((False, rows[left]), (True, rows[~left])):
         path = (*conds, (name, above, t))
         rules.append(path)
-        _grow(x, names, grad, hess, part, depth - 1, path, rules, step)
+        _grow(x, names, grad, hess, part, depth - 1, path, rules, step, leaf)
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], lasso: float = LASSO, seed: int = 1) -> Rules:
+def fit(x: np.ndarray, y: np.ndarray, names: list[str], lasso: float = LASSO, seed: int = 1, leaf: int = LEAF) -> Rules:
     n = len(y)
     prior = (y.sum() + 1) / (n + 2)
     base = math.log(prior / (1 - prior))
-    if n < 2 * LEAF or y.min() == y.max():
+    if n < 2 * leaf or y.min() == y.max():
         return Rules(base)
     rng, paths, raw = np.random.default_rng(seed), [], np.full(n, base)
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-raw))
-        rows = np.sort(rng.permutation(n)[: max(2 * LEAF, n // 2)])
+        rows = np.sort(rng.permutation(n)[: max(2 * leaf, n // 2)])
         step, found = np.zeros(n), []
-        _grow(x, names, y - p, p * (1 - p), rows, DEPTH, (), found, step)
+        _grow(x, names, y - p, p * (1 - p), rows, DEPTH, (), found, step, leaf)
         for path in found:  # the leaves hold for rows that were left out too
             if not any(other[: len(path)] == path and len(other) > len(path) for other in found):
                 inside = _holds(x, names, path)
                 raw[inside] += 0.5 * step[rows[inside[rows]]].mean() if inside[rows].any() else 0.0
         paths += found
     paths = list(dict.fromkeys(paths))
+    if not paths:  # no split gains anything
+        return Rules(base)
     a = np.stack([_holds(x, names, p) for p in paths], 1).astype(float)
     a, at = np.unique(a, axis=1, return_index=True)
     paths = [paths[i] for i in at]
@@ -146,15 +157,33 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], lasso: float = LASSO, se
     return Rules(float(b - mean @ w), kept)
 
 
+def choose(x: np.ndarray, y: np.ndarray, names: list[str], folds: np.ndarray) -> Rules:
+    """The fit with the smallest leaf of LEAVES that has the least log loss over INNER folds of the first CHOICE learning rows; ties go to the larger leaf."""
+    some, of, part = x[:CHOICE], y[:CHOICE], folds[:CHOICE]
+
+    def loss(leaf: int) -> float:
+        total = 0.0
+        for k in range(INNER):
+            inside = part != k
+            p = np.clip(fit(some[inside], of[inside], names, leaf=leaf).predict(some[~inside], names), 1e-6, 1 - 1e-6)
+            total -= float((of[~inside] * np.log(p) + (1 - of[~inside]) * np.log(1 - p)).sum())
+        return total
+
+    if len(of) < 2 * INNER or of.min() == of.max() or any((part != k).sum() == 0 for k in range(INNER)):
+        return fit(x, y, names)
+    return fit(x, y, names, leaf=min(sorted(LEAVES, reverse=True), key=lambda leaf: round(loss(leaf), 9)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="quality", sample: int = SAMPLE) -> Rules:
-    """Fits the rules to `sample` labelled rows at most, none of the held-out fold."""
+    """Fits the rules to `sample` labelled rows at most, none of the held-out fold; the smallest leaf is chosen by folds inside these rows."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & (crc_mod(F.col("doc_id")) != 1))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    d = plain(docs, doc_id=doc_id, text=text).join(F.broadcast(some), "doc_id")
+    some = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+    d = plain(docs, doc_id=doc_id, text=text).join(F.broadcast(some), "doc_id").distinct()  # a repeated row is learnt from once
     stats = statistics(F.col("text").cast("string"))
     names = list(stats)
-    got = d.select("doc_id", "y", *[v.alias(k) for k, v in stats.items()]).limit(2 * sample).toPandas().sort_values(["doc_id", *names])
-    return fit(got[names].to_numpy(float), got["y"].to_numpy(float), names)
+    got = d.select("doc_id", "y", *[v.alias(k) for k, v in stats.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", "y", *names).limit(sample).toPandas()
+    folds = np.array([zlib.crc32(str(i).encode()) // 3 % INNER for i in got["doc_id"]], np.int64)
+    return choose(got[names].to_numpy(float), got["y"].to_numpy(float), names, folds)
 
 
 def score(docs: DataFrame, rules: Rules, doc_id="doc_id", text="text") -> DataFrame:
@@ -167,11 +196,12 @@ def score(docs: DataFrame, rules: Rules, doc_id="doc_id", text="text") -> DataFr
 def keep_good(docs: DataFrame, rules: Rules, text="text") -> DataFrame:
     """The rows with a score of 0.5 or more, as they are.
 
-    The statistics come out of a generator of one row: a filter isn't pushed below it, so each is worked out once and not once a rule.
+    The score is projected as for `score` and written with the rows; a filter on it in the same plan would be pushed into
+    the projections, and work out each statistic as often as it stands in the rules.
     """
-    stats = F.struct(*[v.alias(k) for k, v in statistics(F.col(text).cast("string")).items()])
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(whole.alias("_row"), F.inline(F.array(stats))).where(rules.column() >= 0.5).select("_row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    scored = docs.select(whole, *[v.alias(k) for k, v in statistics(F.col(f"`{text}`").cast("string")).items()]).select("_row", rules.column().alias("_score"))
+    return cut(scored, "scored").where("_score >= 0.5").select("_row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,19 +26,23 @@ KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the same spans as AKIA[A-Z0-9]+ of 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
-LOOSE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-MIN_BITS = 3.5
+LOOSE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+SOLID = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]+")
+MIN_BITS, SOLID_BITS = 3.5, 3.0
 MAX_OWNERS = 1
 
 SCHEMA = "doc_id long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,start:int,end:int,digest:string>>"
 
 
 def looks_random(s: str) -> bool:
-    """Upper, lower and digits, and at least MIN_BITS bits of entropy a character."""
-    if not (any(c.isdigit() for c in s) and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s)):
+    """Twenty characters or more of upper, lower and digits with MIN_BITS bits of entropy a character, or letters and at
+    least three digits without any mark, of either case alone too, with SOLID_BITS; the ownership counts decide."""
+    n, digits = len(s), sum(c.isdigit() for c in s)
+    mixed = n >= 20 and digits and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s)
+    solid = 3 <= digits <= n - 3 and SOLID.fullmatch(s)
+    if not (mixed or solid):
         return False
-    n = len(s)
-    return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) >= MIN_BITS
+    return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) >= (SOLID_BITS if solid else MIN_BITS)
 
 
 def scan(text: str) -> list[tuple[int, int, int, str]]:

@@ -7,7 +7,7 @@ dealt out along the flow, largest first. Rows learn their shard from the block t
 files of the shards are written from one shuffle.
 
 Law: `bytes` (sizes near equal). Cases: null text has size 1 and crc32 of no bytes; a null doc_id is hashed like any
-other value; repeated rows each get a slot of their own; an empty table gives an empty result; other columns ride along.
+other value; repeated rows each get a slot of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,9 +94,10 @@ def deal_blocks(blocks: list[tuple[int, int, int]], n_shards: int) -> dict[tuple
 
 
 def reshard(docs: DataFrame, doc_id="doc_id", text="text", old_shard=None, n_shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """Adds `size, old_shard, shard, slot` to the rows. old_shard: a column expression giving 0..n_shards-1, by default a hash of the source.
+    """doc_id, text, size, text_crc32, old_shard, block, shard, first_slot (of the block in its shard) and part of every row.
 
-    The slot order within a shard is by block, then doc_id, then text_crc32.
+    old_shard: a column expression giving 0..n_shards-1, by default a hash of the source. The slot order within a shard,
+    which write_shards makes, is by block, then doc_id, then text_crc32.
     """
     spark = docs.sparkSession
     old = (F.pmod(F.xxhash64("source"), F.lit(n_shards)) if old_shard is None else old_shard).cast("int")

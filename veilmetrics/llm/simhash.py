@@ -3,9 +3,9 @@
 A 64-bit fingerprint is cut into 32 segments of two bits, and maps to the vector of their bit counts. Changing one bit
 changes one count by one, so the Manhattan distance of two vectors is a lower bound of the Hamming distance. Counts are
 held in thermometer code (0, 1, 2 as 00, 01, 11), so that the Manhattan distance is the popcount of an exclusive or.
-The range join for distance 3 runs on grids: the 32 coordinates fall into six groups, of which three at least agree
-wholly if the distance is 3 or less; each of the 20 choices of three groups is a grid whose cells are equal counts in
-these groups. Pairs within a cell pass the bound, then the exact Hamming distance.
+The range join for distance 3 runs on grids: the 32 coordinates fall into g groups, of which g - 3 at least agree
+wholly if the distance is 3 or less; each choice of g - 3 groups is a grid whose cells are equal counts in these groups.
+There are six groups (20 grids) up to some millions of fingerprints, and more, hence smaller cells, beyond that. Pairs within a cell pass the bound, then the exact Hamming distance.
 
 Equal fingerprints are one node. Cells of more than LARGE fingerprints are compared in blocks of about BLOCK
 fingerprints, each pair of blocks a task's unit, and give a star for each linked group, not its pairs.
@@ -16,6 +16,7 @@ component_id is the least non-null doc_id of the component; an empty table gives
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -55,6 +56,12 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     return d.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
+def groups_for(n: int, distance: int = DISTANCE) -> int:
+    """The least number of groups, GROUPS at least, whose cells hold a fingerprint or so: a segment's count has 1.5 bits."""
+    fits = [g for g in range(GROUPS, 19) if 48 * (g - distance) / g >= math.log2(max(n, 1)) + 1]
+    return fits[0] if fits else 18
+
+
 def grid_masks(groups: int = GROUPS, distance: int = DISTANCE) -> list[int]:
     """A bit mask over the thermometer code for each choice of the groups that must agree, as signed longs."""
     of = [sum(3 << (2 * c) for c in range(32) if c % groups == g) for g in range(groups)]
@@ -96,9 +103,9 @@ def _star(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
     return pd.DataFrame({"u": fp[label[other]], "v": fp[other]})
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
     """Of distinct fingerprints (fp long): edges u, v that join just the fingerprints that links of at most this distance join."""
-    masks = F.array(*[F.lit(m) for m in grid_masks(GROUPS, distance)])
+    masks = F.array(*[F.lit(m) for m in grid_masks(groups, distance)])
     t = fps.select("fp", thermometer(F.col("fp")).alias("t"))
     cells = t.select("fp", "t", F.posexplode(masks).alias("grid", "mask")).select("fp", "t", F.xxhash64("grid", F.col("t").bitwiseAND(F.col("mask"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -116,8 +123,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, key, fp, label (a fingerprint of the component) and component_id of every row."""
     fps = cut(fingerprints(docs, doc_id, text), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    joined = components(links(nodes.select("fp"), distance))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
+    joined = components(links(nodes.select("fp"), distance, groups_for(nodes.count(), distance)))
     label = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("label", "fp").alias("label"))
     least = label.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of_fp = label.join(least.hint("shuffle_merge"), "label").select("fp", "label", "component_id")
