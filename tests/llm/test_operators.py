@@ -418,7 +418,7 @@ def test_pfair_deviation():
 
 def test_mixing_by_brute_force(spark, monkeypatch):
     """Each source in its own order, its blocks at the places of the schedule; a null source is none of the others."""
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(mixing, "LEAST_BUCKET", 7)
     rows = [(i, ["a", "b", "", None][(i * i) % 4 if i % 3 else 0]) for i in range(300)] + [(3, "a"), (None, "b")]
     out = sorted(mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string")).collect(), key=lambda r: r["_mix"]["position"])
     assert want((r["doc_id"], r["source"]) for r in out) == want(rows) and all(r["_mix"]["source"] == r["source"] for r in out)

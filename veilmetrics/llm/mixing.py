@@ -8,8 +8,8 @@ begins, in which the others share its weight: every document is sent once, none
 The driver sees a count for each source and for each bucket of its hashes, and schedules BLOCKS blocks and one a source at most; documents
 find their block by a distributed rank. Within a source the order is by bucket, then by the hash of the doc_id.
 
-A source has a bucket for each BUCKET_ROWS of its rows, so that the rank of a row is found among some thousands however
-large the source is.
+A source has a bucket for each LEAST_BUCKET of its rows, or each BUCKETS-th part of all rows if that is more, so that the
+rank of a row is found among few rows however large the source is, and the driver sees BUCKETS counts and one a source at most.
 
 Default weights: each source's share to the power ALPHA, normalised; given ones must name every source (a null source as
 None) and be positive. Cases: null source is a source of its own; repeated
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, table
 
-BUCKET_ROWS, BLOCKS, LEAST_BLOCK, ALPHA = 20_000, 32_768, 16, 0.5
+LEAST_BUCKET, BUCKETS, BLOCKS, LEAST_BLOCK, ALPHA = 1_000, 500_000, 32_768, 16, 0.5
 
 
 def pfair(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[str, int, int, int, int]]:
@@ -78,9 +78,9 @@ def schedule(docs: DataFrame, doc_id="doc_id", source="source", weights: dict[st
     rows_of = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).count().withColumnRenamed("count", "n").collect()}  # a row for each source
     if weights is not None and (none := sorted(s[1:] if s else "null" for s in rows_of if not weights.get(s[1:] if s else None, 0) > 0)):
         raise ValueError(f"no positive weight for {none}")
-    buckets = F.lit(1)
+    most, buckets = max(LEAST_BUCKET, -(-sum(rows_of.values()) // BUCKETS)), F.lit(1)
     for s, n in rows_of.items():
-        buckets = F.when(name == s, F.lit(-(-n // BUCKET_ROWS))).otherwise(buckets) if n > BUCKET_ROWS else buckets
+        buckets = F.when(name == s, F.lit(-(-n // most))).otherwise(buckets) if n > most else buckets
     key = F.struct(name.alias("source"), F.pmod(F.xxhash64(doc_id), buckets).cast("int").alias("bucket"))
     counts = sorted(docs.select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n")).select("k.*", "n").collect(), key=lambda r: (r["source"], r["bucket"]))
     size: dict[str, int] = {}
