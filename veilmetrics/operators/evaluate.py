@@ -18,6 +18,14 @@ def iou_pairs(truth: DataFrame, found: DataFrame, min_iou: float = MIN_IOU) -> D
     return a.join(b, ["doc_id", "line"]).withColumn("iou", F.round(iou("a", "b"), 6)).where(F.col("iou") >= min_iou)
 
 
+def gap_boxes(runs: DataFrame, keys: list[str], reach: int = 5, least: float = 6.0, most: float = 160.0) -> DataFrame:
+    """Synthetic boxes: the gaps between a run and each of the `reach` runs after it on its line, `least` to `most` points wide."""
+    w = Window.partitionBy(*keys).orderBy("x0", "token_idx")
+    after = F.array(*[F.lead(F.struct("token_idx", "x0"), i).over(w) for i in range(1, reach + 1)])
+    each = runs.select(*keys, "token_idx", "x1", after.alias("_a")).select(keys[0], F.col("token_idx").alias("left_idx"), "x1", F.explode("_a").alias("b"))
+    return each.select(keys[0], "left_idx", F.col("b.token_idx").alias("right_idx"), F.round(F.col("b.x0") - F.col("x1"), 4).alias("gap")).where(F.col("gap").between(least, most))
+
+
 def greedy_match(pairs: pd.DataFrame) -> pd.DataFrame:
     """For applyInPandas: best IoU first, each box used once."""
     used_t, used_f, keep = set(), set(), []

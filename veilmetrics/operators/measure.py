@@ -26,7 +26,7 @@ def edges(tok: DataFrame, space: int = 278) -> DataFrame:
     t = t.where("is_box").withColumns({"left_edge": F.col("_l") + gap, "right_edge": F.col("_r") - gap})
     mode = F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), "two_sided").when(F.col("_l").isNotNull(), "left_only").when(F.col("_r").isNotNull(), "right_only").otherwise("unresolved")
     width = F.col("x1") - F.col("x0") + 1.0
-    return t.select("doc_id", "page_index", "line", "token_idx", F.col("token").alias("target"), "font_size", (F.col("x0") - 0.5).alias("box_x0"), (F.col("x1") + 0.5).alias("box_x1"), "prev_box_x1", "next_box_x0", mode.alias("mode"), "left_edge", "right_edge",
+    return t.select("doc_id", "page_index", "line", "token_idx", F.col("token").alias("target"), "units", "font_size", (F.col("x0") - 0.5).alias("box_x0"), (F.col("x1") + 0.5).alias("box_x1"), "prev_box_x1", "next_box_x0", mode.alias("mode"), "left_edge", "right_edge",
         F.when(F.col("right_edge") > F.col("left_edge"), F.col("right_edge") - F.col("left_edge")).otherwise(width).alias("target_width"))
 
 
@@ -64,7 +64,7 @@ def ranked_candidates(rows: DataFrame, words: DataFrame, max_error: float = 0.5,
     best = words.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top)
     groups = best.groupBy("units").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), "text", "norm"))).alias("ws"), F.count("*").alias("cnt"))
     fixed = F.when(F.col("mode") == "two_sided", F.col("right_edge") - F.col("left_edge")).when(F.col("mode") == "left_only", F.col("box_x1") - F.col("left_edge")).when(F.col("mode") == "right_only", F.col("right_edge") - F.col("box_x0"))
-    r = rows.where("mode <> 'unresolved'").withColumn("_t", fixed * 1000 / F.col("font_size")).withColumn("_b", F.lit(max_error * 1000 + 0.01) / F.col("font_size"))
+    r = rows.where("mode <> 'unresolved'").drop("units").withColumn("_t", fixed * 1000 / F.col("font_size")).withColumn("_b", F.lit(max_error * 1000 + 0.01) / F.col("font_size"))
     r = r.where(F.col("_t") + F.col("_b") >= 0).withColumn("units", F.explode(F.sequence(F.greatest(F.ceil(F.col("_t") - F.col("_b")), F.lit(0)).cast("long"), F.floor(F.col("_t") + F.col("_b")).cast("long"))))
     width = F.col("units") * F.col("font_size") / F.lit(1000.0)
     met = r.join(F.broadcast(groups), "units").withColumn("error_pt", F.round(error_pt(width), 4)).where(F.col("error_pt") <= max_error)

@@ -5,6 +5,9 @@ Alias tables are inputs; none are shipped.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +42,8 @@ def lookup_key(s: Column) -> Column:
 
 def title_case(s: Column) -> Column:
     """Upper case after a space, hyphen or apostrophe and at the start, lower case elsewhere."""
-    chars = F.split(s, "")
-    return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(True).alias("up")), lambda a, c: F.struct(F.concat(a["out"], F.when(a["up"], F.upper(c)).otherwise(F.lower(c))).alias("out"), c.isin(" ", "-", "'").alias("up")), lambda a: a["out"])
+    parted = F.regexp_replace(s, "([-'])", "$1\x01 ")  # a space that begins a word for initcap, and goes again
+    return F.when(s.contains("-") | s.contains("'"), F.replace(F.initcap(parted), F.lit("\x01 "), F.lit(""))).otherwise(F.initcap(s))
 
 
 def tokens(s: Column) -> Column:
@@ -84,10 +87,11 @@ def templates(entry: Column, given: Column, surname: Column) -> Column:
 
 
 def case_variants(text: Column) -> Column:
-    """array<struct<case, text>>: raw, upper, lower, title, those that differ."""
+    """array<struct<case, text>>: raw, upper, lower, title, each text once, under its first case."""
     kinds = [("raw", text), ("upper", F.upper(text)), ("lower", F.lower(text)), ("title", title_case(text))]
-    made = F.array(*[F.struct(F.lit(k).alias("case"), v.alias("text")) for k, v in kinds])
-    return F.filter(made, lambda x: (x["case"] == "raw") | ((x["text"] != text) & F.lit(True)))
+    once = lambda i: [kinds[i][1] != kinds[k][1] for k in range(i)]
+    made = [F.struct(F.lit(k).alias("case"), v.alias("text")) for k, v in kinds]
+    return F.array_compact(F.array(made[0], *[F.when(reduce(and_, once(i)), made[i]) for i in range(1, 4)]))
 
 
 def family(text: Column) -> Column:
@@ -103,12 +107,11 @@ def expand(entries: DataFrame, entry: str = "entry", idx: str = "entry_idx", run
     """entry_idx, variant_idx, text, template, template_family, case: variants of each entry, the first of equal texts over all entries."""
     e = entries.select(F.col(idx).alias("entry_idx"), normalise_entry(F.col(entry)).alias("entry"))
     p = e.withColumn("p", split_name(F.col("entry"))).withColumn("t", templates(F.col("entry"), F.col("p.given"), F.col("p.surname")))
-    each = p.select("entry_idx", "entry", F.posexplode("t").alias("ti", "t")).select("entry_idx", "entry", "ti", F.col("t.id").alias("template"), F.col("t.family").alias("template_family"), F.posexplode(case_variants(F.col("t.text"))).alias("ci", "c"))
-    each = each.select("entry_idx", "entry", "template", "template_family", F.col("c.case").alias("case"), F.col("c.text").alias("text"), (F.col("ti") * 4 + F.col("ci")).alias("variant_idx"))
+    made = F.flatten(F.transform("t", lambda t: F.transform(case_variants(t["text"]), lambda c: F.struct(t["id"].alias("template"), t["family"].alias("template_family"), c["case"].alias("case"), c["text"].alias("text")))))
     if runtime_policy:
-        each = each.where((F.col("template_family") != "comma") & ~((F.col("template_family") == "single") & (F.size(tokens(F.col("entry"))) > 1)))
-    w = Window.partitionBy("entry_idx").orderBy("variant_idx")
-    each = each.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+        many = F.size(tokens(F.col("entry"))) > 1
+        made = F.filter(made, lambda v: (v["template_family"] != "comma") & ~((v["template_family"] == "single") & many))
+    each = p.select("entry_idx", F.posexplode(F.slice(made, 1, limit)).alias("variant_idx", "v")).select("entry_idx", "variant_idx", "v.*")
     first = Window.partitionBy("text").orderBy("entry_idx", "variant_idx")
     return each.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("entry_idx", "variant_idx", "text", "template", "template_family", "case")
 

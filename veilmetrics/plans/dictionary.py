@@ -108,7 +108,7 @@ TITLE = """array_to_string(list_transform(range(1, length(%s) + 1), lambda i: ca
 title = lambda x: TITLE % (x, x, x, x)
 
 
-@query("x08_case_variants", f"with v as (select entry_idx, entry, unnest([{{'c': 'raw', 't': entry}}, {{'c': 'upper', 't': upper(entry)}}, {{'c': 'lower', 't': lower(entry)}}, {{'c': 'title', 't': {title('entry')}}}]) as v from {NORM}) select entry_idx, v.c as \"case\", v.t as text from v where v.c = 'raw' or v.t <> entry")
+@query("x08_case_variants", f"with v as (select entry_idx, entry, unnest([{{'i': 0, 'c': 'raw', 't': entry}}, {{'i': 1, 'c': 'upper', 't': upper(entry)}}, {{'i': 2, 'c': 'lower', 't': lower(entry)}}, {{'i': 3, 'c': 'title', 't': {title('entry')}}}]) as v from {NORM}) select entry_idx, arg_min(v.c, v.i) as \"case\", v.t as text from v group by entry_idx, v.t")
 def x08(spark, d):
     return normal(spark, d).select("entry_idx", F.explode(names.case_variants(F.col("entry"))).alias("v")).select("entry_idx", "v.case", "v.text")
 
@@ -130,7 +130,8 @@ def x10(spark, d):
 VARIANTS = (
     TEMPLATES
     + f""", v0 as (select entry_idx, entry, t.i as ti, t.id as template, t.family as template_family, t.text as base, unnest([{{'i': 0, 'c': 'raw', 't': t.text}}, {{'i': 1, 'c': 'upper', 't': upper(t.text)}}, {{'i': 2, 'c': 'lower', 't': lower(t.text)}}, {{'i': 3, 'c': 'title', 't': {title('t.text')}}}]) as v from tp),
-v1 as (select *, row_number() over (partition by entry_idx order by ti, v.i) as n0 from v0 where (v.c = 'raw' or v.t <> base) and template_family <> 'comma' and not (template_family = 'single' and len(string_split(entry, ' ')) > 1)),
+v00 as (select *, row_number() over (partition by entry_idx, ti, v.t order by v.i) as same from v0),
+v1 as (select *, row_number() over (partition by entry_idx order by ti, v.i) as n0 from v00 where same = 1 and template_family <> 'comma' and not (template_family = 'single' and len(string_split(entry, ' ')) > 1)),
 v2 as (select *, row_number() over (partition by v.t order by entry_idx, ti, v.i) as k from v1 where n0 <= 24), var as (select entry_idx, v.t as text, template, template_family, v.c as "case" from v2 where k = 1)
 """
 )

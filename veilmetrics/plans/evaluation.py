@@ -130,11 +130,11 @@ def e14(spark, d):
     return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.lit(0.60) * F.avg(1 - F.col("l_tax")) + F.lit(0.40) * F.avg(1 - F.col("l_discount")), 6).alias("combined"))
 
 
-@query("e15_gap_boxes", L + """, k as (select *, row_number() over (partition by doc_id, line order by x0, token_idx) as n from run) select a.doc_id, a.token_idx as left_idx, b.token_idx as right_idx, round(b.x0 - a.x1, 4) as gap from k a join k b on a.doc_id = b.doc_id and a.line = b.line and b.n between a.n + 1 and a.n + 5 where round(b.x0 - a.x1, 4) between 6 and 160""")
+@query("e15_gap_boxes", L + """, k as (select doc_id, token_idx, x1, [lead(struct_pack(i := token_idx, x := x0), 1) over w, lead(struct_pack(i := token_idx, x := x0), 2) over w, lead(struct_pack(i := token_idx, x := x0), 3) over w, lead(struct_pack(i := token_idx, x := x0), 4) over w, lead(struct_pack(i := token_idx, x := x0), 5) over w] as after_
+ from run window w as (partition by doc_id, line order by x0, token_idx)), g as (select doc_id, token_idx as left_idx, x1, unnest(after_) as b from k)
+select doc_id, left_idx, b.i as right_idx, round(b.x - x1, 4) as gap from g where round(b.x - x1, 4) between 6 and 160""")
 def e15(spark, d):
-    k = layout.runs(layout.load(spark, d)).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("x0", "token_idx"))).select("doc_id", "line", "token_idx", "x0", "x1", "n")
-    a = k.select("doc_id", "line", F.col("token_idx").alias("left_idx"), F.col("x1").alias("lx1"), F.explode(F.sequence(F.col("n") + 1, F.col("n") + 5)).alias("n"))
-    return a.join(k, ["doc_id", "line", "n"]).withColumn("gap", F.round(F.col("x0") - F.col("lx1"), 4)).where("gap between 6 and 160").select("doc_id", "left_idx", F.col("token_idx").alias("right_idx"), "gap")
+    return ev.gap_boxes(layout.runs(layout.load(spark, d)), ["doc_id", "line"])
 
 
 @query("e16_seeded_sample", "select o_orderkey from orders order by md5('12345:' || o_orderkey), o_orderkey limit 24")

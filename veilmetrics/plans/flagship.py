@@ -13,7 +13,7 @@ EDGES_SQL = """,
 lay_e as (select *, last_value(case when not is_box then x1 end ignore nulls) over b as l_, first_value(case when not is_box then x0 end ignore nulls) over a as r_,
     last_value(case when is_box then x1 + 0.5::double end ignore nulls) over b as prev_box_x1, first_value(case when is_box then x0 - 0.5::double end ignore nulls) over a as next_box_x0 from tok
     window b as (partition by doc_id, line order by token_idx rows between unbounded preceding and 1 preceding), a as (partition by doc_id, line order by token_idx rows between 1 following and unbounded following)),
-edge0 as (select doc_id, page_index, line, token_idx, token as target, font_size, x0 - 0.5::double as box_x0, x1 + 0.5::double as box_x1, prev_box_x1, next_box_x0,
+edge0 as (select doc_id, page_index, line, token_idx, token as target, units, font_size, x0 - 0.5::double as box_x0, x1 + 0.5::double as box_x1, prev_box_x1, next_box_x0,
     case when l_ is not null and r_ is not null then 'two_sided' when l_ is not null then 'left_only' when r_ is not null then 'right_only' else 'unresolved' end as mode,
     l_ + font_size * 278::double / 1000::double as left_edge, r_ - font_size * 278::double / 1000::double as right_edge from lay_e where is_box),
 edge as (select *, case when right_edge > left_edge then right_edge - left_edge else box_x1 - box_x0 end as target_width from edge0)

@@ -54,7 +54,7 @@ def m04(spark, d):
     return by_units.crossJoin(F.broadcast(f)).groupBy("font_size").agg(F.sum("n").alias("texts"), F.round(F.sum(F.col("n") * F.col("units") * F.col("font_size") / F.lit(1000.0)), 3).alias("total_pt"))
 
 
-SELF = EDGES_SQL + """, sc as (select e.*, t.units * e.font_size / 1000::double as w from edge e join tok t using (doc_id, token_idx)),
+SELF = EDGES_SQL + """, sc as (select *, units * font_size / 1000::double as w from edge),
 se as (select *, round(case mode when 'two_sided' then abs(left_edge + w - right_edge) when 'left_only' then abs(left_edge + w - box_x1) when 'right_only' then abs(right_edge - w - box_x0) end, 4) as err,
   case mode when 'two_sided' then left_edge when 'left_only' then left_edge when 'right_only' then right_edge - w end as pl, case mode when 'two_sided' then left_edge + w when 'left_only' then left_edge + w when 'right_only' then right_edge end as pr from sc)
 """
@@ -62,10 +62,8 @@ se as (select *, round(case mode when 'two_sided' then abs(left_edge + w - right
 
 def own(spark, d):
     """Every box measured against the word that it hides."""
-    t = layout.load(spark, d)
     w = F.col("units") * F.col("font_size") / F.lit(1000.0)
-    e = measure.edges(t).join(t.where("is_box").select("doc_id", "token_idx", "units"), ["doc_id", "token_idx"])
-    return e.withColumns({"err": F.round(measure.error_pt(w), 4), "pl": measure.predicted_left(w), "pr": measure.predicted_right(w), "bad": measure.overlaps_neighbour(w, F.lit(1.0))})
+    return measure.edges(layout.load(spark, d)).withColumns({"err": F.round(measure.error_pt(w), 4), "pl": measure.predicted_left(w), "pr": measure.predicted_right(w), "bad": measure.overlaps_neighbour(w, F.lit(1.0))})
 
 
 @query("m05_edge_error", L + SELF + "select doc_id, token_idx, mode, err, round(pl, 4) as pl, round(pr, 4) as pr from se")

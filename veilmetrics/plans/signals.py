@@ -103,10 +103,9 @@ def e37(spark, d):
     return r.join(b, "label").groupBy("label").agg(F.countDistinct("fam").alias("families"), F.count_if(F.col("cand") == F.col("top")).alias("same_source"))
 
 
-@query("e44_overlap_without_scale", L + EDGES_SQL + "select e.doc_id, e.token_idx, round(left_edge + units * e.font_size / 1000::double - next_box_x0, 4) as overlap_pt, left_edge + units * e.font_size / 1000::double - next_box_x0 > 1 as still_rejected from edge e join tok t using (doc_id, token_idx) where next_box_x0 is not null and left_edge is not null")
+@query("e44_overlap_without_scale", L + EDGES_SQL + "select doc_id, token_idx, round(left_edge + units * font_size / 1000::double - next_box_x0, 4) as overlap_pt, left_edge + units * font_size / 1000::double - next_box_x0 > 1 as still_rejected from edge where next_box_x0 is not null and left_edge is not null")
 def e44(spark, d):
-    tok = layout.load(spark, d)
-    j = measure.edges(tok).join(tok.where("is_box").select("doc_id", "token_idx", "units"), ["doc_id", "token_idx"]).where("next_box_x0 is not null and left_edge is not null")
+    j = measure.edges(layout.load(spark, d)).where("next_box_x0 is not null and left_edge is not null")
     over = F.col("left_edge") + F.col("units") * F.col("font_size") / F.lit(1000.0) - F.col("next_box_x0")
     return j.select("doc_id", "token_idx", F.round(over, 4).alias("overlap_pt"), (over > 1).alias("still_rejected"))
 

@@ -353,7 +353,7 @@ def v12(spark, d):
     return measure.edges(t).select("doc_id", "token_idx").join(layout.detected(layout.boxes(t)).select("doc_id", "token_idx"), ["doc_id", "token_idx"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("m12_boxes_left_join", L + EDGES_SQL + "select b.doc_id, b.token_idx, coalesce(e.mode, 'unresolved') as mode, round(coalesce(e.target_width, b.x1 - b.x0), 4) as target_width from box b left join (select * from edge where mode <> 'unresolved') e using (doc_id, token_idx)")
+@query("m12_boxes_left_join", L + EDGES_SQL + ", er as materialized (select doc_id, token_idx, mode, target_width from edge where mode <> 'unresolved') select b.doc_id, b.token_idx, coalesce(e.mode, 'unresolved') as mode, round(coalesce(e.target_width, b.x1 - b.x0), 4) as target_width from box b left join er e on b.doc_id = e.doc_id and b.token_idx = e.token_idx")
 def m12(spark, d):
     t = _tok(spark, d)
     e = measure.edges(t).where("mode <> 'unresolved'").select("doc_id", "token_idx", "mode", "target_width")
