@@ -65,11 +65,62 @@ def test_family(spark, text, family):
 def test_names(spark):
     assert value(spark, names.title_case(F.lit("jean-luc o'neil"))) == "Jean-Luc O'Neil"
     assert value(spark, names.normalise_entry(F.lit(" a|b   c "))) == "a b c"
-    assert tuple(value(spark, names.split_name(F.lit("Dr. Ida van Holt Jr")))) == ("Ida", "van Holt", "Dr.", "Jr")
+    rows = {"Dr. Ida van Holt Jr": ("Ida", "van Holt", "Dr.", "Jr"), "Holt, Prof. Ida Ann Sr": ("Ida Ann", "Holt", "Prof.", "Sr"), "Ida": ("Ida", "Ida", "", ""), "van der Holt": ("van", "van der Holt", "", ""), "Dr": ("Dr", "Dr", "Dr", ""), "": ("", "", "", "")}
+    d = names.split_name(spark.createDataFrame([(k,) for k in rows], "entry string"))
+    assert {r["entry"]: (r["given"], r["surname"], r["prefix"], r["suffix"]) for r in d.collect()} == rows
+    assert (len(names.SPECIAL) + len(names.SIMPLE) + 1, len(names.PREFIXES), len(names.SUFFIXES), len(names.PARTICLES)) == (22, 24, 24, 28)
     assert value(spark, names.fold_latin(F.lit("Éñü"))) == "Enu"
     assert len(names.ACCENTED) == len(names.PLAIN)
 
 
+def slow_roles(given, surname, aliases):
+    """Role variants in plain Python, of tokens already split."""
+    fold = lambda x: x.translate(str.maketrans(names.ACCENTED, names.PLAIN))
+    key = lambda x: "".join(c for c in fold(x) if c.isascii() and c.isalnum()).lower()
+    norm = lambda x: " ".join(x.split())
+
+    def shapes(x):
+        f = fold(x)
+        return [(f, "", "latin_fold")] * (f != x) + [(norm(y), "", "token_shape") for y in (x.replace("-", " "), x.replace(" ", "-"), x.replace("-", ""), x.replace(" ", ""), f.replace("-", " "), f.replace(" ", "-"))]
+
+    def first_of_each(rows):
+        seen, out = set(), []
+        for r in rows:
+            if r[0] and r[0] not in seen:
+                seen.add(r[0])
+                out.append(r)
+        return out
+
+    def of(role, i, x):
+        return aliases.get((role, key(x)), []) if role == "surname" or i == 0 else []
+
+    def token(role, i, x):
+        return first_of_each([(x, "", ""), *shapes(x), *(y for a in of(role, i, x) for y in [(a, key(x), ""), *shapes(a)])])[:8]
+
+    def side(role, ts):
+        states = [[]]
+        for i, x in enumerate(ts):
+            states = [[*s, v] for s in states for v in token(role, i, x)][:24]
+        join = lambda s, k: ",".join(sorted({v[k] for v in s if v[k]}))
+        return first_of_each([(" ".join(v[0] for v in s), join(s, 1), join(s, 2)) for s in states])[:24]
+
+    both = lambda a, b: ",".join(sorted({a, b} - {""}))
+    on = any(fold(x) != x or "-" in x or of(r, i, x) for r, ts in (("given", given), ("surname", surname)) for i, x in enumerate(ts))
+    if not on:
+        return []
+    return [(k, t, both(g[1], z[1]), both(g[2], z[2])) for g in side("given", given) for z in side("surname", surname) for k, t in (("role_alias_pair", f"{g[0]} {z[0]}"), ("role_alias_comma_pair", f"{z[0]}, {g[0]}"))][:64]
+
+
+def test_role_templates(spark):
+    aliases = {("given", "ida"): ["Idy", "I-da", "Ide"], ("surname", "holt"): ["Holte"], ("surname", "ane"): ["Ane X"]}
+    rows = {"Ida Holt": (["Ida"], ["Holt"]), "Mia Rook": (["Mia"], ["Rook"]), "Anne-Marie Ida von Èane": (["Anne-Marie", "Ida"], ["von", "Èane"]), "Bo Ane Ane-Li": (["Bo", "Ane"], ["Ane-Li"]), "Èo Holt": (["Èo"], ["Holt"])}
+    table = spark.createDataFrame([(r, k, a, i) for (r, k), v in aliases.items() for i, a in enumerate(v)], "role string, key string, alias string, place int")
+    d = spark.createDataFrame([(k,) for k in rows], "entry string")
+    got = {r["entry"]: [tuple(x) for x in r["roles"]] for r in names.role_templates(d, table).collect()}
+    assert got == {k: slow_roles(*v, aliases) for k, v in rows.items()} and got["Mia Rook"] == [] and max(map(len, got.values())) <= 64
+    assert {r["entry"] for r in names.role_templates(d).where("size(roles) > 0").collect()} == {"Anne-Marie Ida von Èane", "Bo Ane Ane-Li", "Èo Holt"}
+
+
 def test_runtime_policy(spark):
     d = spark.createDataFrame([(0, "Ida Holt")], "entry_idx int, entry string")
     texts = lambda p: {r["text"] for r in names.expand(d, runtime_policy=p).collect()}

@@ -1,5 +1,7 @@
 """Queries on dictionary expansion, over the part and customer names of the driver's tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import names
@@ -43,43 +45,67 @@ def s05(spark, d):
     return layout.load(spark, d).where("token <> ''").select(names.normalise_entry(F.col("token")).alias("entry")).distinct()
 
 
-SPLIT = f"""with k as (select entry_idx, entry, list_filter(string_split(regexp_replace(entry, ',', ' ', 'g'), ' '), lambda t: t <> '') as t from {NORM}),
-c as (select *, list_filter(t, lambda x: not list_contains({names.PREFIXES + names.SUFFIXES}, replace(lower(x), '.', ''))) as core from k),
-a as (select *, list_min(list_filter(range(2, len(core) + 1), lambda i: list_contains({names.PARTICLES}, lower(core[i])))) as pa, len(core) as n from c),
-s as (select *, case when n <= 1 then n when pa is not null then pa - 1 else n - 1 end as cut from a),
-parts as (select entry_idx, entry, array_to_string(core[1:cut], ' ') as given, array_to_string(core[cut + 1:n], ' ') as surname, array_to_string(list_filter(t, lambda x: list_contains({names.PREFIXES}, replace(lower(x), '.', ''))), ' ') as prefix, array_to_string(list_filter(t, lambda x: list_contains({names.SUFFIXES}, replace(lower(x), '.', ''))), ' ') as suffix from s)
+EDGE = names.EDGE.replace("'", "''")
+
+
+def sql_lead(arr, words):
+    """How many elements at the start of a list are among the words."""
+    at = f"list_position(list_transform({arr}, lambda x: not list_contains({words}, lower(regexp_replace(x, '{EDGE}', '', 'g')))), true)"
+    return f"case when coalesce({at}, 0) = 0 then len({arr}) else {at} - 1 end"
+
+
+def sql_words(x):
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+
+
+SPLIT = f"""with k as (select entry_idx, entry, {sql_words('entry')} as t, case when contains(entry, ',') then {sql_words("trim(split_part(entry, ',', 1))")} else [] end as l, case when contains(entry, ',') then {sql_words("trim(substr(entry, strpos(entry, ',') + 1))")} else [] end as r from {NORM}),
+b as (select *, len(l) > 0 and len(r) > 0 as comma, case when len(l) > 0 and len(r) > 0 then r else t end as base from k),
+b1 as (select *, {sql_lead('base', names.PREFIXES)} as pe from b), b2 as (select *, base[pe + 1:] as rest from b1), b3 as (select *, list_reverse(rest) as tser from b2),
+b4 as (select *, {sql_lead('tser', names.SUFFIXES)} as sf from b3), b5 as (select *, case when len(rest) - sf = 0 then base else rest[1:len(rest) - sf] end as c from b4), b6 as (select *, list_reverse(c)[2:] as cr, len(c) as n from b5),
+b7 as (select *, {sql_lead('cr', names.PARTICLES)} + 1 as ss from b6),
+np as (select entry_idx, entry, t, base[1:pe] as prefix_t, rest[len(rest) - sf + 1:] as suffix_t, case when comma or n <= 1 then c when ss >= n then c[1:1] else c[1:n - ss] end as given_t,
+  case when comma then l when n <= 1 or ss >= n then c else c[n - ss + 1:] end as surname_t, comma, c from b7),
+parts as (select entry_idx, entry, t, given_t, surname_t, {', '.join(f"array_to_string({k}_t, ' ') as {k}" for k in ('given', 'surname', 'prefix', 'suffix'))}, {sql_words("array_to_string(case when comma then given_t || surname_t else c end, ' ')")} as core_t,
+  contains(entry, ',') or len(list_filter(t, lambda x: list_contains({names.PREFIXES + names.SUFFIXES}, lower(regexp_replace(x, '{EDGE}', '', 'g'))))) > 0
+  or len(list_filter(t[1:len(t) - 1], lambda x: list_contains({names.PARTICLES}, lower(regexp_replace(x, '{EDGE}', '', 'g'))))) > 0 as special from np)
 """
 
 
 @query("x02_name_parts", SPLIT + "select entry_idx, given, surname, prefix, suffix from parts")
 def x02(spark, d):
-    return normal(spark, d).select("entry_idx", names.split_name(F.col("entry")).alias("p")).select("entry_idx", "p.*")
+    return names.split_name(normal(spark, d)).drop("entry")
 
 
-@query("x03_special_structure", f"select entry_idx, len(list_filter(string_split(entry, ' '), lambda t: contains(t, '-') or contains(t, '''') or list_contains({names.PARTICLES}, lower(t)))) > 0 as special, contains(entry, ',') or regexp_matches(entry, '[0-9]') as preserve from {NORM}")
+@query("x03_special_structure", SPLIT + "select entry_idx, special, len(t) <= 1 or (not special and len(t) <= 2) as preserve from parts")
 def x03(spark, d):
     return normal(spark, d).select("entry_idx", names.has_special_structure(F.col("entry")).alias("special"), names.preserve_shape(F.col("entry")).alias("preserve"))
 
 
 FOLD = f"translate(%s, '{names.ACCENTED}', '{names.PLAIN}')"
-T = "given <> '' and surname <> ''"
+
+
+def sql_template(i, name, pattern, holds):
+    bits = [x for x in re.split(r"(\{\w+\})", pattern) if x]
+    ok = [holds, *(f"{x[1:-1]} <> ''" for x in bits if x[0] == "{"), *(["not contains(entry, ',')"] if name.startswith("last_comma_first") else []), *(["core_first <> core_last"] if name.endswith("from_core") else [])]
+    text = " || ".join(x[1:-1] if x[0] == "{" else f"'{x}'" for x in bits)
+    return f"case when {' and '.join(ok)} then {{'i': {i}, 'id': '{name}', 'text': {text}}} end"
+
+
+MADE = [sql_template(i, *x, holds) for i, (x, holds) in enumerate([*((x, "special and len(t) > 0") for x in names.SPECIAL), *((x, "not special and len(t) >= 2") for x in names.SIMPLE)], 1)]
 TEMPLATES = (
     SPLIT
-    + f""", tp as (select entry_idx, entry, unnest(list_filter([
- {{'i': 0, 'id': 'raw', 'family': 'canonical', 'text': entry}}, case when {T} then {{'i': 1, 'id': 'given_surname', 'family': 'canonical', 'text': given || ' ' || surname}} end, case when {T} then {{'i': 2, 'id': 'surname_given', 'family': 'reordered', 'text': surname || ' ' || given}} end,
- case when {T} then {{'i': 3, 'id': 'surname_comma_given', 'family': 'comma', 'text': surname || ', ' || given}} end, case when {T} then {{'i': 4, 'id': 'surname_comma_initial', 'family': 'comma', 'text': surname || ', ' || given[1] || '.'}} end,
- case when {T} then {{'i': 5, 'id': 'initial_surname', 'family': 'initial', 'text': given[1] || '. ' || surname}} end, case when {T} then {{'i': 6, 'id': 'initial_nodot_surname', 'family': 'initial', 'text': given[1] || ' ' || surname}} end, case when {T} then {{'i': 7, 'id': 'surname_initial', 'family': 'initial', 'text': surname || ' ' || given[1] || '.'}} end,
- case when {T} then {{'i': 8, 'id': 'given_only', 'family': 'single', 'text': given}} end, case when {T} then {{'i': 9, 'id': 'surname_only', 'family': 'single', 'text': surname}} end, case when {T} then {{'i': 10, 'id': 'initials', 'family': 'initial', 'text': given[1] || surname[1]}} end, case when {T} then {{'i': 11, 'id': 'initials_dotted', 'family': 'initial', 'text': given[1] || '.' || surname[1] || '.'}} end,
- case when {FOLD % 'entry'} <> entry then {{'i': 12, 'id': 'folded', 'family': 'folded', 'text': {FOLD % 'entry'}}} end, case when contains(entry, '-') then {{'i': 13, 'id': 'hyphen_space', 'family': 'orthographic', 'text': replace(entry, '-', ' ')}} end, case when contains(entry, '''') then {{'i': 14, 'id': 'no_apostrophe', 'family': 'orthographic', 'text': replace(entry, '''', '')}} end
- ], lambda x: x is not null)) as t from parts)
+    + f""", pp as (select *, array_to_string(core_t, ' ') as core, coalesce(core_t[1], '') as core_first, coalesce(core_t[-1], '') as core_last, coalesce(t[1], '') as first, coalesce(t[-1], '') as last, coalesce(given_t[1], '') as given_first,
+  coalesce(surname_t[-1], '') as surname_last, array_to_string(list_transform(given_t[2:], lambda x: x[1] || '.'), ' ') as middle from parts),
+tp0 as (select entry_idx, entry, special, len(t) as n_words, unnest([{{'i': 0, 'id': 'canonical', 'text': entry}}, {', '.join(MADE)}]) as t from pp),
+tp1 as (select * from tp0 where t is not null and t.text <> '' and (n_words <= 1 or (not special and n_words <= 2) or t.text <> entry) and not (contains(entry, ',') and contains(t.text, ','))),
+tp as (select entry_idx, entry, n_words, t from (select *, row_number() over (partition by entry_idx, t.text order by t.i) as k_ from tp1) where k_ = 1)
 """
 )
 
 
-@query("x04_templates", TEMPLATES + "select entry_idx, t.id as template, t.family as family, t.text as text from tp")
+@query("x04_templates", TEMPLATES + "select entry_idx, t.id as template, t.text as text from tp")
 def x04(spark, d):
-    p = normal(spark, d).withColumn("p", names.split_name(F.col("entry")))
-    return p.select("entry_idx", F.explode(names.templates(F.col("entry"), F.col("p.given"), F.col("p.surname"))).alias("t")).select("entry_idx", F.col("t.id").alias("template"), "t.family", "t.text")
+    return names.templates(normal(spark, d)).select("entry_idx", F.explode_outer("templates").alias("t")).where("t is not null").select("entry_idx", F.col("t.id").alias("template"), "t.text")
 
 
 ALIAS = "(select lower(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')) as key, min(p_brand) as alias from part group by 1 union all select lower(split_part(p_name, ' ', 1)), min('al-' || p_brand) from part group by 1)"
@@ -89,8 +115,14 @@ ALIAS = "(select lower(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')) as key,
 def x05(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
     al = part.groupBy(F.lower(F.regexp_replace("p_type", "[^A-Za-z0-9]", "")).alias("key")).agg(F.min("p_brand").alias("alias")).unionByName(part.groupBy(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("key")).agg(F.min(F.concat(F.lit("al-"), "p_brand")).alias("alias")))
-    n = normal(spark, d).select("entry_idx", names.split_name(F.col("entry")).alias("p")).select("entry_idx", "p.given", "p.surname")
-    return names.role_aliases(n, al)
+    return names.role_aliases(names.split_name(normal(spark, d)).select("entry_idx", "given", "surname"), al)
+
+
+@query("x05_role_templates")
+def x05b(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    al = part.groupBy(F.lit("given").alias("role"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("key")).agg(F.min(F.concat(F.lit("al-"), "p_brand")).alias("alias")).withColumn("place", F.lit(0))
+    return names.role_templates(normal(spark, d), al).select("entry_idx", F.explode_outer("roles").alias("r")).where("r is not null").select("entry_idx", "r.*")
 
 
 @query("x06_latin_fold", layout.SQL + f"select token, {FOLD % 'token'} as folded, count(*) as n from tok where {FOLD % 'token'} <> token group by 1, 2")
@@ -108,7 +140,7 @@ TITLE = """array_to_string(list_transform(range(1, length(%s) + 1), lambda i: ca
 title = lambda x: TITLE % (x, x, x, x)
 
 
-@query("x08_case_variants", f"with v as (select entry_idx, entry, unnest([{{'i': 0, 'c': 'raw', 't': entry}}, {{'i': 1, 'c': 'upper', 't': upper(entry)}}, {{'i': 2, 'c': 'lower', 't': lower(entry)}}, {{'i': 3, 'c': 'title', 't': {title('entry')}}}]) as v from {NORM}) select entry_idx, arg_min(v.c, v.i) as \"case\", v.t as text from v group by entry_idx, v.t")
+@query("x08_case_variants", f"with v as (select entry_idx, entry, unnest([{{'i': 0, 'c': 'raw', 't': entry}}, {{'i': 1, 'c': 'uppercase', 't': upper(entry)}}, {{'i': 2, 'c': 'lowercase', 't': lower(entry)}}, {{'i': 3, 'c': 'titlecase', 't': {title('entry')}}}]) as v from {NORM}) select entry_idx, arg_min(v.c, v.i) as \"case\", v.t as text from v group by entry_idx, v.t")
 def x08(spark, d):
     return normal(spark, d).select("entry_idx", F.explode(names.case_variants(F.col("entry"))).alias("v")).select("entry_idx", "v.case", "v.text")
 
@@ -118,8 +150,10 @@ def x09(spark, d):
     return normal(spark, d).select("entry_idx", names.title_case(F.col("entry")).alias("title"))
 
 
-FAMILY = """case when trim({x}) = '' then 'empty' when contains({x}, ',') then 'comma' when length(regexp_replace(trim({x}), '[A-Za-z0-9 ]', '', 'g')) > length(regexp_replace(trim({x}), '[^A-Za-z]', '', 'g')) then 'punctuation_heavy'
- when len(list_filter(string_split(trim({x}), ' '), lambda w: regexp_matches(w, '^[A-Za-z][.]?$'))) > 0 then 'initial' when len(list_filter(string_split(trim({x}), ' '), lambda w: w <> '')) = 1 then 'single_token' else 'plain_multi_token' end"""
+LETTERS = "length(regexp_replace(%s, '[^A-Za-z]', '', 'g'))"
+FAMILY = f"""case when trim({{x}}) = '' then 'empty' when contains({{x}}, ',') then 'comma' when length(regexp_replace(trim({{x}}), '[A-Za-z0-9\\s]', '', 'g')) > {LETTERS % 'trim({x})'} then 'punctuation_heavy'
+ when len({sql_words('trim({x})')}) = 1 then case when {LETTERS % 'trim({x})'} <= 2 or ends_with(trim({{x}}), '.') then 'initial' else 'single_token' end
+ when len(list_filter(string_split(trim({{x}}), ' '), lambda w: w <> '' and ({LETTERS % 'w'} <= 1 or ends_with(w, '.')))) > 0 then 'initial' else 'plain_multi_token' end"""
 
 
 @query("x10_family", TEMPLATES + f", f as (select {FAMILY.format(x='t.text')} as family from tp) select family, count(*) as n from f group by 1")
@@ -129,25 +163,23 @@ def x10(spark, d):
 
 VARIANTS = (
     TEMPLATES
-    + f""", v0 as (select entry_idx, entry, t.i as ti, t.id as template, t.family as template_family, t.text as base, unnest([{{'i': 0, 'c': 'raw', 't': t.text}}, {{'i': 1, 'c': 'upper', 't': upper(t.text)}}, {{'i': 2, 'c': 'lower', 't': lower(t.text)}}, {{'i': 3, 'c': 'title', 't': {title('t.text')}}}]) as v from tp),
-v00 as (select *, row_number() over (partition by entry_idx, ti, v.t order by v.i) as same from v0),
-v1 as (select *, row_number() over (partition by entry_idx order by ti, v.i) as n0 from v00 where same = 1 and template_family <> 'comma' and not (template_family = 'single' and len(string_split(entry, ' ')) > 1)),
-v2 as (select *, row_number() over (partition by v.t order by entry_idx, ti, v.i) as k from v1 where n0 <= 24), var as (select entry_idx, v.t as text, template, template_family, v.c as "case" from v2 where k = 1)
+    + f""", v0 as (select entry_idx, entry, n_words, t.i as ti, t.id as template, unnest([{{'i': 0, 'c': 'raw', 't': t.text}}, {{'i': 1, 'c': 'uppercase', 't': upper(t.text)}}, {{'i': 2, 'c': 'lowercase', 't': lower(t.text)}}, {{'i': 3, 'c': 'titlecase', 't': {title('t.text')}}}]) as v from tp),
+v1 as (select *, {FAMILY.format(x='v.t')} as family from (select *, row_number() over (partition by entry_idx, v.t order by ti, v.i) as same from v0) where same = 1),
+v2 as (select *, family = 'comma' or (family = 'single_token' and n_words >= 2) as skip from v1), v3 as (select *, row_number() over (partition by entry_idx order by ti, v.i) as n0 from v2 where not skip),
+v4 as (select *, row_number() over (partition by v.t order by entry_idx, ti, v.i) as k_ from v3 where n0 <= 24), var as (select entry_idx, v.t as text, template, family, v.c as "case" from v4 where k_ = 1)
 """
 )
 
 
 @query("x12_expand_dedupe", VARIANTS + "select * from var")
 def x12(spark, d):
-    return names.expand(entries(spark, d)).drop("variant_idx")
+    return names.expand(entries(spark, d), roles=False).drop("variant_idx", "alias", "shape")
 
 
-@query("x11_policy_counts", TEMPLATES + "select t.family as family, count(*) as generated, count(*) filter (where t.family = 'comma' or (t.family = 'single' and len(string_split(entry, ' ')) > 1)) as skipped from tp group by 1")
+@query("x11_policy_counts", VARIANTS + "select family, count(*) as generated, count(*) filter (where skip) as skipped from v2 group by 1")
 def x11(spark, d):
-    p = normal(spark, d).withColumn("p", names.split_name(F.col("entry")))
-    t = p.select("entry", F.explode(names.templates(F.col("entry"), F.col("p.given"), F.col("p.surname"))).alias("t"))
-    skip = (F.col("t.family") == "comma") | ((F.col("t.family") == "single") & (F.size(names.tokens(F.col("entry"))) > 1))
-    return t.groupBy(F.col("t.family").alias("family")).agg(F.count("*").alias("generated"), F.count_if(skip).alias("skipped"))
+    v = names.variants(normal(spark, d), roles=False).select("entry", F.explode_outer("variants").alias("v")).where("v is not null").withColumn("family", names.family(F.col("v.text")))
+    return v.groupBy("family").agg(F.count("*").alias("generated"), F.count_if(names.skipped(F.col("entry"), F.col("family"))).alias("skipped"))
 
 
 @query("x13_merge_sources", "select p_type as kind, array_to_string(list_sort(list_distinct(list(p_brand))), ',') as sources from part group by 1")

@@ -4,8 +4,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import analysis as an
 from ..operators import evaluate as ev
+from ..operators import measure, names
 from ..sources import layout
+from .dictionary import VARIANTS, normal
+from .flagship import EDGES_SQL
 
 L = layout.SQL
 QUERIES, ORACLE_SQL = {}, {}
@@ -80,8 +84,7 @@ def e06(spark, d):
 
 @query("e07_nearest_rank", "with s as (select l_returnflag as k, list_sort(list(l_extendedprice)) as a from lineitem group by 1) select k, a[round((len(a) - 1) * 0.5)::int + 1] as p50, a[round((len(a) - 1) * 0.9)::int + 1] as p90 from s")
 def e07(spark, d):
-    s = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(F.array_sort(F.collect_list("l_extendedprice")).alias("a"))
-    return s.select("k", g.nearest_rank("a", 0.5).alias("p50"), g.nearest_rank("a", 0.9).alias("p90"))
+    return an.nearest_ranks(t(spark, d, "lineitem").withColumnRenamed("l_returnflag", "k"), ["k"], "l_extendedprice", {"p50": 0.5, "p90": 0.9})
 
 
 @query("e08_pooled_summary", L + """, j as (select doc_id % 5 as ds, count(*) as truth, count(d.token_idx) as tp from box b left join det d using (doc_id, token_idx) group by 1) select coalesce(ds::varchar, 'all') as dataset, sum(truth)::bigint as truth, sum(tp)::bigint as tp, round(sum(tp) / sum(truth), 6) as recall from j group by rollup (ds)""")
@@ -99,9 +102,7 @@ def e09(spark, d):
 
 @query("e10_hash_consistency", "with h as (select o_custkey, sha256(o_orderstatus || ':' || o_orderpriority) as h from orders) select o_custkey, count(*) as runs, count(distinct h) as kinds, round(max(c) / count(*), 6) as match_ratio from (select *, count(*) over (partition by o_custkey, h) as c from h) group by 1")
 def e10(spark, d):
-    h = t(spark, d, "orders").select("o_custkey", F.sha2(F.concat_ws(":", "o_orderstatus", "o_orderpriority"), 256).alias("h"))
-    c = h.withColumn("c", F.count("*").over(Window.partitionBy("o_custkey", "h")))
-    return c.groupBy("o_custkey").agg(F.count("*").alias("runs"), F.countDistinct("h").alias("kinds"), F.round(F.max("c") / F.count("*"), 6).alias("match_ratio"))
+    return an.hash_consistency(t(spark, d, "orders"), ["o_custkey"], an.signature("o_orderstatus", "o_orderpriority"))
 
 
 @query("e11_anchor_side", L + """, n as (select doc_id, token_idx, lag(token) over w as truth, lag(token) over (partition by doc_id order by token_idx) as found, lag(x1) over w as tx, lag(x1) over (partition by doc_id order by token_idx) as fx, is_box from tok window w as (partition by doc_id, line order by token_idx))
@@ -115,19 +116,18 @@ def e11(spark, d):
 
 @query("e12_row_mapping", "with r as (select conv_id, turn, nullif(regexp_extract('x_row' || (turn * 2), '_row([0-9]+)', 1), '')::int as parsed from conversations), f as (select conv_id, parsed, min(turn) as turn from r group by 1, 2) select c.conv_id, c.turn, coalesce(f.turn, c.turn) as decision from conversations c left join f on f.conv_id = c.conv_id and f.parsed = c.turn")
 def e12(spark, d):
-    c = t(spark, d, "conversations").select("conv_id", "turn")
-    f = c.withColumn("parsed", F.regexp_extract(F.concat(F.lit("x_row"), (F.col("turn") * 2).cast("string")), "_row([0-9]+)", 1).cast("int")).groupBy("conv_id", F.col("parsed").alias("p")).agg(F.min("turn").alias("first"))
-    return c.join(f.withColumnRenamed("conv_id", "cid"), (F.col("conv_id") == F.col("cid")) & (F.col("turn") == F.col("p")), "left").select("conv_id", "turn", F.coalesce("first", "turn").alias("decision"))
+    return an.row_mapping(t(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", F.concat(F.lit("x_row"), (F.col("turn") * 2).cast("string")))
 
 
 @query("e13_anchor_score", "select l_orderkey, l_linenumber, round(0.10 * (l_quantity / 50) + 0.10 * (1 - l_discount) + 0.45 * (1 - l_tax) + 0.35 * (l_discount * 10), 6) as score from lineitem")
 def e13(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.lit(0.10) * (F.col("l_quantity") / 50) + F.lit(0.10) * (1 - F.col("l_discount")) + F.lit(0.45) * (1 - F.col("l_tax")) + F.lit(0.35) * (F.col("l_discount") * 10), 6).alias("score"))
+    score = an.anchor_score(F.col("l_quantity") / 50, 1 - F.col("l_discount"), 1 - F.col("l_tax"), F.col("l_discount") * 10)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"))
 
 
 @query("e14_weighted_rollup", "select l_returnflag, round(0.60 * avg(1 - l_tax) + 0.40 * avg(1 - l_discount), 6) as combined from lineitem group by 1")
 def e14(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.lit(0.60) * F.avg(1 - F.col("l_tax")) + F.lit(0.40) * F.avg(1 - F.col("l_discount")), 6).alias("combined"))
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(an.weighted_rollup(1 - F.col("l_tax"), 1 - F.col("l_discount")).alias("combined"))
 
 
 @query("e15_gap_boxes", L + """, k as (select doc_id, token_idx, x1, [lead(struct_pack(i := token_idx, x := x0), 1) over w, lead(struct_pack(i := token_idx, x := x0), 2) over w, lead(struct_pack(i := token_idx, x := x0), 3) over w, lead(struct_pack(i := token_idx, x := x0), 4) over w, lead(struct_pack(i := token_idx, x := x0), 5) over w] as after_
@@ -186,7 +186,7 @@ def e22(spark, d):
 
 @query("e23_best_rank", f"with {RANKS} select label, min(rank) as best from rk group by 1")
 def e23(spark, d):
-    return ranks(spark, d).groupBy("label").agg(F.min("rank").alias("best"))
+    return an.best_rank(ranks(spark, d), ["label"])
 
 
 @query("e24_rank_summary", f"with {RANKS} select ds, count(*) as n, round(avg(case when rank <= 1 then 1.0::double else 0 end), 6) as recall_1, round(avg(case when rank <= 5 then 1.0::double else 0 end), 6) as recall_5, round(avg(case when rank <= 20 then 1.0::double else 0 end), 6) as recall_20, round(avg(coalesce(1 / rank, 0)), 6) as mrr, round(avg(rank), 6) as mean_rank, case when count(*) = count(rank) then max(rank) end as best_feasible_k from rk group by 1")
@@ -208,14 +208,12 @@ def e26(spark, d):
 
 @query("e27_quality_counts", f"with {RANKS} select ds, count(*) filter (where rank is null) as missed, count(*) filter (where rank = 1) as first_, count(*) filter (where rank > 20) as late from rk group by 1")
 def e27(spark, d):
-    r = F.col("rank")
-    return ranks(spark, d).groupBy("ds").agg(F.count_if(r.isNull()).alias("missed"), F.count_if(r == 1).alias("first_"), F.count_if(r > 20).alias("late"))
+    return an.quality_counts(ranks(spark, d), ["ds"])
 
 
 @query("e28_timing_pivot", "select user_id % 10 as run_, round(avg(value) filter (where event_type = 'click'), 6) as click, round(avg(value) filter (where event_type = 'view'), 6) as view_, round(avg(value) filter (where event_type = 'purchase'), 6) as purchase from events group by 1")
 def e28(spark, d):
-    p = t(spark, d, "events").groupBy((F.col("user_id") % 10).alias("run_")).pivot("event_type", ["click", "view", "purchase"]).agg(F.round(F.avg("value"), 6))
-    return p.withColumnRenamed("view", "view_")
+    return an.timing_pivot(t(spark, d, "events").withColumn("run_", F.col("user_id") % 10), ["run_"], "event_type", "value", ["click", "view", "purchase"]).withColumnRenamed("view", "view_")
 
 
 TOP5 = f"with {RANKS}, k as (select *, row_number() over (partition by label % 500, run_ order by err, cand) as n from rk), a as (select label % 500 as row_, run_, list(cand order by n) as top from k where n <= 5 group by 1, 2)"
@@ -242,37 +240,29 @@ def e30(spark, d):
 @query("e31_determinism_gate", f"with {RANKS}, a as (select label, min(cand) as c from rk where run_ % 2 = 0 group by 1), b as (select label, min(cand) as c from rk where run_ % 2 = 1 group by 1) select case when a.label is null then 'missing_left' when b.label is null then 'missing_right' when a.c <> b.c then 'changed' else 'same' end as class, count(*) as n from a full join b on a.label = b.label group by 1")
 def e31(spark, d):
     r = ranks(spark, d)
-    a, b = (r.where(F.col("run_") % 2 == k).groupBy("label").agg(F.min("cand").alias(c)) for k, c in ((0, "a"), (1, "b")))
-    kind = F.when(F.col("a").isNull(), "missing_left").when(F.col("b").isNull(), "missing_right").when(F.col("a") != F.col("b"), "changed").otherwise("same")
-    return a.join(b, "label", "full_outer").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    a, b = (r.where(F.col("run_") % 2 == k).groupBy("label").agg(F.min("cand").alias("c")) for k in (0, 1))
+    return an.determinism_gate(a, b, ["label"], "c")
 
 
 @query("e32_seed_gate", f"with {RANKS}, s as (select run_, avg(case when rank <= 20 then 1.0::double else 0 end) as r20, avg(coalesce(1 / rank, 0)) as mrr from rk group by 1), b as (select max(r20) filter (where run_ = 1) as r0, max(mrr) filter (where run_ = 1) as m0 from s) select run_, r20 >= r0 - 0.03 and mrr >= m0 - 0.002 as pass, mrr > m0 * 1.01 as improved from s, b")
 def e32(spark, d):
-    s = ranks(spark, d).groupBy("run_").agg(F.avg(F.when(F.col("rank") <= 20, 1.0).otherwise(0.0)).alias("r20"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
-    b = s.where("run_ = 1").select(F.col("r20").alias("r0"), F.col("mrr").alias("m0"))
-    return s.crossJoin(F.broadcast(b)).select("run_", ((F.col("r20") >= F.col("r0") - 0.03) & (F.col("mrr") >= F.col("m0") - 0.002)).alias("pass"), (F.col("mrr") > F.col("m0") * 1.01).alias("improved"))
+    return an.seed_gate(ranks(spark, d), "run_", 1)
 
 
 @query("e33_completeness_gate", f"with {RANKS} select ds, count(distinct run_) as runs, count(distinct label) as labels, count(distinct run_) >= 7 and count(*) = count(err) as complete from rk group by 1")
 def e33(spark, d):
-    return ranks(spark, d).groupBy("ds").agg(F.countDistinct("run_").alias("runs"), F.countDistinct("label").alias("labels"), ((F.countDistinct("run_") >= 7) & (F.count("*") == F.count("err"))).alias("complete"))
+    return an.completeness_gate(ranks(spark, d), ["ds"], "run_", "label", "err", 7)
 
 
 @query("e34_row_selectors", L + ", k as (select *, row_number() over (partition by doc_id order by token_idx desc) as from_end from box) select doc_id, token_idx, page_index = 0 and y0 >= 300 and y1 <= 700 as in_range, from_end::int as from_end from k where (page_index = 0 and y0 >= 300 and y1 <= 700) or from_end <= 2")
 def e34(spark, d):
     b, _ = boxes(spark, d)
-    in_range = F.expr("page_index = 0 and y0 >= 300 and y1 <= 700")
-    k = b.withColumn("from_end", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("token_idx"))))
-    return k.where(in_range | (F.col("from_end") <= 2)).select("doc_id", "token_idx", in_range.alias("in_range"), "from_end")
+    return an.row_selectors(b, ["doc_id"], "token_idx", F.expr("page_index = 0 and y0 >= 300 and y1 <= 700"), 2).select("doc_id", "token_idx", "in_range", "from_end")
 
 
 @query("e35_pool_quality", f"with {RANKS}, b as (select label, min(err) as e0, arg_min(fam, (err, cand)) as f0 from rk where run_ = 1 group by 1) select label, count(*) filter (where err < e0) as better, count(*) filter (where err < e0 and fam = f0) as same_family_better from rk join b using (label) group by 1")
 def e35(spark, d):
-    r = ranks(spark, d)
-    b = r.where("run_ = 1").groupBy("label").agg(F.min("err").alias("e0"), F.min_by("fam", F.struct("err", "cand")).alias("f0"))
-    better = F.col("err") < F.col("e0")
-    return r.join(b, "label").groupBy("label").agg(F.count_if(better).alias("better"), F.count_if(better & (F.col("fam") == F.col("f0"))).alias("same_family_better"))
+    return an.pool_quality(ranks(spark, d), ["label"], F.col("run_") == 1, "err", "fam", ["cand"])
 
 
 @query("e36_family_composition", f"with {RANKS} select ds, fam, count(*) as n from rk group by 1, 2")
@@ -282,29 +272,23 @@ def e36(spark, d):
 
 @query("e38_template_provenance", f"with {RANKS}, k as (select *, row_number() over (partition by label order by err, cand) as n from rk) select fam, count(*) as candidates, count(*) filter (where n = 1) as top1, count(*) filter (where run_ = 1) as targets, count(*) filter (where run_ = 1 and n > 1) as displaced from k group by 1")
 def e38(spark, d):
-    k = ranks(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("err", "cand")))
-    c = F.count_if
-    return k.groupBy("fam").agg(F.count("*").alias("candidates"), c(F.col("n") == 1).alias("top1"), c(F.col("run_") == 1).alias("targets"), c((F.col("run_") == 1) & (F.col("n") > 1)).alias("displaced"))
+    return an.template_provenance(ranks(spark, d), ["label"], "fam", F.col("run_") == 1, "err", ["cand"])
 
 
 @query("e39_component_attribution", "select l_orderkey, l_linenumber, case when abs(l_tax) >= abs(l_discount) and abs(l_tax) >= l_quantity / 500 then 'word' when abs(l_discount) >= l_quantity / 500 then 'char' else 'glyph' end as component from lineitem")
 def e39(spark, d):
-    parts = F.array(F.struct((F.col("l_quantity") / 500).alias("v"), F.lit(0).alias("i"), F.lit("glyph").alias("k")), F.struct(F.abs("l_discount").alias("v"), F.lit(1).alias("i"), F.lit("char").alias("k")), F.struct(F.abs("l_tax").alias("v"), F.lit(2).alias("i"), F.lit("word").alias("k")))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_max(parts)["k"].alias("component"))
+    part = an.dominant_component({"glyph": F.col("l_quantity") / 500, "char": F.abs("l_discount"), "word": F.abs("l_tax")})
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", part.alias("component"))
 
 
 @query("e40_best_possible_rank", f"with {RANKS}, k as (select *, row_number() over (partition by label order by err, cand) as all_, case when fam = 'O' then row_number() over (partition by label, fam order by err, cand) end as fam_rank from rk) select label, min(all_) filter (where run_ = 1) as rank_all, min(fam_rank) filter (where run_ = 1) as rank_fam from k group by 1")
 def e40(spark, d):
-    w = Window.partitionBy("label").orderBy("err", "cand")
-    k = ranks(spark, d).withColumns({"a": F.row_number().over(w), "f": F.when(F.col("fam") == "O", F.row_number().over(Window.partitionBy("label", "fam").orderBy("err", "cand")))})
-    return k.groupBy("label").agg(F.min(F.when(F.col("run_") == 1, F.col("a"))).cast("long").alias("rank_all"), F.min(F.when(F.col("run_") == 1, F.col("f"))).cast("long").alias("rank_fam"))
+    return an.best_possible_rank(ranks(spark, d), ["label"], F.col("run_") == 1, F.col("fam") == "O", "err", ["cand"])
 
 
 @query("e41_pairwise_reason", f"with {RANKS}, k as (select *, row_number() over (partition by label order by err, cand) as n from rk), p as (select a.label, a.err as ea, b.err as eb, a.fam as fa, b.fam as fb from k a join k b on a.label = b.label and a.n = 1 and b.n = 2) select label, case when abs(ea - eb) < 1 then 'tie' when fa <> fb then 'family' when ea * 2 < eb then 'error_large' else 'error' end as reason from p")
 def e41(spark, d):
-    k = ranks(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("err", "cand"))).where("n <= 2")
-    p = k.groupBy("label").agg(*[F.max(F.when(F.col("n") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("err", "fam")]).where("err2 is not null")
-    return p.select("label", F.when(F.abs(F.col("err1") - F.col("err2")) < 1, "tie").when(F.col("fam1") != F.col("fam2"), "family").when(F.col("err1") * 2 < F.col("err2"), "error_large").otherwise("error").alias("reason"))
+    return an.pairwise_reason(ranks(spark, d), ["label"], "err", "fam", ["cand"], 1.0)
 
 
 @query("e42_tie_density", f"with {RANKS}, b as (select label, err / 10000 as e, min(err / 10000) over (partition by label) as b from rk) select label, count(*) filter (where abs(e - b) <= 0.05) as within_005, count(*) filter (where abs(e - b) <= 0.1) as within_010, count(*) filter (where abs(e - b) <= 0.25) as within_025, count(*) filter (where abs(e - b) <= 0.5) as within_050, count(*) filter (where abs(e - b) <= 1) as within_100 from b group by 1")
@@ -314,16 +298,12 @@ def e42(spark, d):
 
 @query("e43_perturbation", f"with {RANKS}, p as (select label, cand, run_, d, row_number() over (partition by label, d order by abs(err / 10000 - 3 - d), cand, run_) as n from rk, (values (-1.0::double), (-0.5), (-0.25), (0.0), (0.25), (0.5), (1.0)) v(d)) select a.label, count(*) filter (where a.cand = z.cand)::bigint as stable, count(*) as n from p a join p z on a.label = z.label and z.d = 0 and z.n = 1 where a.n = 1 group by 1")
 def e43(spark, d):
-    deltas = F.array(*[F.lit(x) for x in (-1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0)])
-    p = ranks(spark, d).withColumn("d", F.explode(deltas))
-    best = p.groupBy("label", "d").agg(F.min_by("cand", F.struct(F.abs(F.col("err") / 10000 - 3 - F.col("d")).alias("e"), "cand", "run_")).alias("c"))
-    z = best.withColumn("c0", F.max(F.when(F.col("d") == 0, F.col("c"))).over(Window.partitionBy("label")))
-    return z.groupBy("label").agg(F.count_if(F.col("c") == F.col("c0")).alias("stable"), F.count("*").alias("n"))
+    return an.perturbation(ranks(spark, d), ["label"], F.col("err") / 10000, F.lit(3.0), "cand", ["cand", "run_"])
 
 
 @query("e45_pool_ceiling", f"with {RANKS} select label, min(rank) filter (where fam = 'O') as base, min(rank) filter (where fam = 'F') as full_ from rk group by 1")
 def e45(spark, d):
-    return ranks(spark, d).groupBy("label").pivot("fam", ["O", "F"]).agg(F.min("rank")).withColumnsRenamed({"O": "base", "F": "full_"})
+    return an.pool_ceiling(ranks(spark, d), ["label"], "fam", {"O": "base", "F": "full_"})
 
 
 @query("e46_cluster_assignment")
@@ -334,14 +314,13 @@ def e46(spark, d):
 
 @query("e47_gap_percentile", "select l_orderkey, l_linenumber, round(cume_dist() over (partition by l_returnflag order by l_extendedprice), 6) as pct from lineitem")
 def e47(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.cume_dist().over(Window.partitionBy("l_returnflag").orderBy("l_extendedprice")), 6).alias("pct"))
+    return an.percentile_rank(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice").select("l_orderkey", "l_linenumber", "pct")
 
 
 @query("e48_box_trust", L + "select case when abs(w - units * font_size / 1000.0::double) <= greatest(5, 0.1 * w) then 'trusted' else 'untrusted' end as trust, count(*) as n from (select *, x1 - x0 + token_idx % 9 as w from tok where is_box) group by 1")
 def e48(spark, d):
     b = layout.load(spark, d).where("is_box").withColumn("w", F.col("x1") - F.col("x0") + F.col("token_idx") % 9)
-    ok = F.abs(F.col("w") - F.col("units") * F.col("font_size") / F.lit(1000.0)) <= F.greatest(F.lit(5.0), F.lit(0.1) * F.col("w"))
-    return b.groupBy(F.when(ok, "trusted").otherwise("untrusted").alias("trust")).agg(F.count("*").alias("n"))
+    return b.groupBy(an.box_trust(F.col("w"), F.col("units") * F.col("font_size") / F.lit(1000.0)).alias("trust")).agg(F.count("*").alias("n"))
 
 
 @query("e49_family_entropy", "with n as (select c_nationkey, c_mktsegment as k, count(*) as c from customer group by 1, 2), p as (select *, c / sum(c) over (partition by c_nationkey) as p from n) select c_nationkey, round(sum(-p * log2(p)), 6) as entropy, arg_min(k, (-c, k)) as dominant, round(max(p), 6) as share from p group by 1")
@@ -351,63 +330,89 @@ def e49(spark, d):
 
 @query("e50_ablation_best", f"with {RANKS}, s as (select run_, avg(coalesce(1 / rank, 0)) as mrr, avg(rank) as mr from rk group by 1) select arg_max(run_, (mrr, run_)) as best_mrr, arg_min(run_, (mr, run_)) as best_mean_rank from s")
 def e50(spark, d):
-    s = ranks(spark, d).groupBy("run_").agg(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.avg("rank").alias("mr"))
-    return s.agg(F.max_by("run_", F.struct("mrr", "run_")).alias("best_mrr"), F.min_by("run_", F.struct("mr", "run_")).alias("best_mean_rank"))
+    return an.ablation_best(ranks(spark, d), "run_")
 
 
 @query("e51_stability_summary", f"with {RANKS} select ds, count(*) as n, count(distinct sha256(cand::varchar || fam)) as kinds from rk group by 1")
 def e51(spark, d):
-    return ranks(spark, d).groupBy("ds").agg(F.count("*").alias("n"), F.countDistinct(F.sha2(F.concat(F.col("cand").cast("string"), "fam"), 256)).alias("kinds"))
+    return an.distinct_signatures(ranks(spark, d), ["ds"], F.sha2(F.concat(F.col("cand").cast("string"), "fam"), 256), "n")
 
 
 @query("e52_dictionary_filters", "select p_name as name, len(string_split(p_name, ' ')) > 1 as multi_token, contains(p_name, ',') as comma from part where len(string_split(p_name, ' ')) >= 2 group by 1, 2, 3")
 def e52(spark, d):
-    two = F.size(F.split("p_name", " "))
-    return t(spark, d, "part").where(two >= 2).select(F.col("p_name").alias("name"), (two > 1).alias("multi_token"), F.contains("p_name", F.lit(",")).alias("comma")).distinct()
+    return an.multi_token(t(spark, d, "part"), "p_name")
 
 
 @query("e53_hard_negatives", f"with {RANKS} select cand, min(err) as least from rk group by 1 having min(err) <= 20000 order by least, cand limit 200")
 def e53(spark, d):
-    return ranks(spark, d).groupBy("cand").agg(F.min("err").alias("least")).where("least <= 20000").orderBy("least", "cand").limit(200)
+    return an.hard_negatives(ranks(spark, d), "cand", "err", 20000)
+
+
+VISUAL = EDGES_SQL + """, vis0 as (select *, font_size * 278::double / 1000 as space_pt, box_x1 - box_x0 as box_w, case when mode = 'two_sided' and prev_box_x1 is null and next_box_x0 is null then right_edge - left_edge end as grouped_w,
+  case when mode = 'two_sided' then right_edge - left_edge + 2 * (font_size * 278::double / 1000) end as nearest_w, case when mode <> 'unresolved' then box_x1 - box_x0 - 1 end as dark_w from edge),
+vis as (select *, coalesce(grouped_w, nearest_w, dark_w, box_w) as ref_w, case when grouped_w is not null then 'grouped_visual_span' when nearest_w is not null then 'nearest_visual_span' when dark_w is not null then 'redaction_dark_component' else 'redaction_box' end as kind,
+  case when grouped_w is not null or nearest_w is not null then 'complete' else 'redaction_only' end as class, target_width + token_idx % 23 - 3 as current_w from vis0)
+"""
+ALIGNED = "abs({c} - {r}) <= greatest(5.0, abs({r}) * 0.1::double)"
+
+
+def visual(spark, d):
+    """Boxes with the widths that a visual measurement would give, the reference among them, and a current span that is off for some."""
+    e = measure.edges(layout.load(spark, d))
+    two, gap, box = F.col("mode") == "two_sided", F.col("font_size") * F.lit(278.0) / 1000, F.col("box_x1") - F.col("box_x0")
+    inner = F.col("right_edge") - F.col("left_edge")
+    v = e.withColumns({"space_pt": gap, "box_w": box, "grouped_w": F.when(two & F.col("prev_box_x1").isNull() & F.col("next_box_x0").isNull(), inner), "nearest_w": F.when(two, inner + 2 * gap), "dark_w": F.when(F.col("mode") != "unresolved", box - 1)})
+    v = v.withColumn("ref", an.visual_reference(F.col("grouped_w"), F.col("nearest_w"), F.col("dark_w"), F.col("box_w")))
+    return v.withColumns({"kind": F.col("ref.kind"), "class": F.col("ref.class"), "ref_w": F.col("ref.width"), "current_w": F.col("target_width") + F.col("token_idx") % 23 - 3})
 
 
-@query("e54_visual_reference", "select event_id, coalesce(case when event_id % 3 = 0 then value end, case when event_id % 2 = 0 then value + 1 end, user_id::double) as ref from events")
+@query("e54_visual_reference", L + VISUAL + "select doc_id, token_idx, kind, class, round(ref_w, 4) as width from vis")
 def e54(spark, d):
-    return t(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("value")), F.when(F.col("event_id") % 2 == 0, F.col("value") + 1), F.col("user_id").cast("double")).alias("ref"))
+    return visual(spark, d).select("doc_id", "token_idx", "kind", "class", F.round("ref_w", 4).alias("width"))
 
 
-@query("e55_alignment", "select case when abs(l_quantity - 25) <= 5 then 'aligned' when l_quantity > 25 then 'inflated' else 'compressed' end as class, count(*) as n from lineitem group by 1")
+@query("e55_alignment", L + VISUAL + f"select case when {ALIGNED.format(c='current_w', r='ref_w')} then 'aligned' when current_w - ref_w >= greatest(10.0, abs(ref_w) * 0.15::double) then 'inflated' else 'compressed' end as class, count(*) as n from vis group by 1")
 def e55(spark, d):
-    k = F.when(F.abs(F.col("l_quantity") - 25) <= 5, "aligned").when(F.col("l_quantity") > 25, "inflated").otherwise("compressed")
-    return t(spark, d, "lineitem").groupBy(k.alias("class")).agg(F.count("*").alias("n"))
+    return visual(spark, d).groupBy(an.alignment(F.col("current_w"), F.col("ref_w")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("e56_counterfactuals", "with e as (select l_returnflag, unnest(['tax', 'discount', 'both']) as experiment, unnest([l_quantity * (1 + l_tax), l_quantity * (1 - l_discount), l_quantity * (1 + l_tax) * (1 - l_discount)]) as w, l_quantity as q from lineitem) select l_returnflag, experiment, round(avg(abs(w - q)), 6) as error, count(*) filter (where abs(w - q) < 0.5) as improved from e group by 1, 2")
+# Each experiment's width, in SQL that both engines read.
+WIDTHS = {
+    "current_vs_visual_delta": "current_w", "box_vs_visual_delta": "box_w", "boundary_gap_breakdown": "current_w", "boundary_gap_zeroed": "current_w - 2 * space_pt", "boundary_run_only": "current_w - token_idx % 23",
+    "join_growth_delta": "token_idx % 23 + ref_w", "nearest_text_pair": "nearest_w", "minimum_gap_valid_pair": "least(nearest_w, target_width)", "per_side_gap_mismatch": "right_edge - left_edge", "visual_aligned_rescore": "ref_w",
+    "one_sided_counterfactual": "case mode when 'left_only' then box_x1 - left_edge when 'right_only' then right_edge - box_x0 end", "tie_zone_after_visual_alignment": "ref_w"}
+LONG = VISUAL + ", lg as (select doc_id, token_idx, current_w, ref_w, unnest([" + ", ".join(f"{{'e': '{k}', 'w': ({w})::double}}" for k, w in WIDTHS.items()) + "]) as x from vis), ex as (select doc_id, token_idx, x.e as experiment, x.w as width, round(abs(x.w - ref_w), 4) as delta, round(abs(current_w - ref_w) - abs(x.w - ref_w), 4) as improvement from lg)"
+
+
+@query("e56_counterfactuals", L + LONG + " select experiment, count(width) as n, round(avg(delta), 4) as error, count(*) filter (where improvement > 0.5) as improved from ex group by 1")
 def e56(spark, d):
-    q = F.col("l_quantity")
-    ex = F.expr("stack(3, 'tax', l_quantity * (1 + l_tax), 'discount', l_quantity * (1 - l_discount), 'both', l_quantity * (1 + l_tax) * (1 - l_discount)) as (experiment, w)")
-    e = t(spark, d, "lineitem").select("l_returnflag", "l_quantity", ex)
-    return e.groupBy("l_returnflag", "experiment").agg(F.round(F.avg(F.abs(F.col("w") - q)), 6).alias("error"), F.count_if(F.abs(F.col("w") - q) < 0.5).alias("improved"))
+    x = an.experiments(visual(spark, d), ["doc_id", "token_idx"], {k: F.expr(w) for k, w in WIDTHS.items()}, F.col("current_w"), F.col("ref_w"))
+    return x.groupBy("experiment").agg(F.count("width").alias("n"), F.round(F.avg("delta"), 4).alias("error"), F.count_if(F.col("improvement") > 0.5).alias("improved"))
+
 
+GAIN = "abs(current_w - ref_w) - abs({w} - ref_w)"
+BY = lambda k, least, share: f"coalesce({GAIN.format(w='(' + WIDTHS[k] + ')')} >= greatest({least}, abs(current_w - ref_w) * {share}::double), false)"
 
-@query("e57_primary_reason", "select l_orderkey, l_linenumber, case when l_discount = 0 then 'no_anchor' when l_tax > 0.06 then 'width' when l_quantity > 40 then 'pool' when l_quantity < 5 then 'tie' else 'other' end as reason from lineitem")
+
+@query("e57_primary_reason", L + VISUAL + f"""select doc_id, token_idx, case when {ALIGNED.format(c='current_w', r='ref_w')} then 'span_aligned' when {BY('nearest_text_pair', 8.0, 0.5)} or {BY('minimum_gap_valid_pair', 8.0, 0.5)} then 'span_inflated_by_far_anchor_pair'
+  when {BY('boundary_run_only', 8.0, 0.5)} then 'span_inflated_by_join_growth' when {BY('boundary_gap_zeroed', 5.0, 0.3)} then 'span_inflated_by_boundary_gap' when not {ALIGNED.format(c='box_w', r='ref_w')} then 'redaction_box_unreliable'
+  when mode in ('left_only', 'right_only') and class <> 'complete' then 'one_sided_reference_missing' when token_idx % 5 = 0 then 'ranking_tie_after_visual_alignment' else 'unexplained_span_mismatch' end as reason from vis""")
 def e57(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") == 0, "no_anchor").when(F.col("l_tax") > 0.06, "width").when(F.col("l_quantity") > 40, "pool").when(F.col("l_quantity") < 5, "tie").otherwise("other").alias("reason"))
+    c, r = F.col("current_w"), F.col("ref_w")
+    gains = {k: an.improvement(F.expr(WIDTHS[k]), c, r) for k in ("nearest_text_pair", "minimum_gap_valid_pair", "boundary_run_only", "boundary_gap_zeroed")}
+    reason = an.primary_reason(c, r, F.col("box_w"), F.col("mode"), F.col("class") == "complete", gains, F.col("token_idx") % 5 == 0)
+    return visual(spark, d).select("doc_id", "token_idx", reason.alias("reason"))
 
 
 @query("e59_rank_changes", f"with {RANKS}, a as (select label, min(rank) as x from rk where fam = 'O' group by 1), b as (select label, min(rank) as y from rk where fam = 'F' group by 1) select case when x is null or y is null then 'one_sided' when y < x then 'improved' when y > x then 'worsened' else 'unchanged' end as change, count(*) as n from a full join b on a.label = b.label group by 1")
 def e59(spark, d):
     r = ranks(spark, d)
-    a, b = (r.where(F.col("fam") == k).groupBy("label").agg(F.min("rank").alias(c)) for k, c in (("O", "x"), ("F", "y")))
-    kind = F.when(F.col("x").isNull() | F.col("y").isNull(), "one_sided").when(F.col("y") < F.col("x"), "improved").when(F.col("y") > F.col("x"), "worsened").otherwise("unchanged")
-    return a.join(b, "label", "full_outer").groupBy(kind.alias("change")).agg(F.count("*").alias("n"))
+    return an.rank_changes(r.where("fam = 'O'"), r.where("fam = 'F'"), ["label"])
 
 
 @query("e60_diagnostic_facts", "select user_id, max(value) filter (where event_type = 'click') as click, max(value) filter (where event_type = 'view') as view_ from events group by 1")
 def e60(spark, d):
-    m = t(spark, d, "events").groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_id", F.struct("event_type", "value")))).alias("m"))
-    pick = lambda k: F.array_max(F.transform(F.filter(F.map_values("m"), lambda v: v["event_type"] == k), lambda v: v["value"]))
-    return m.select("user_id", pick("click").alias("click"), pick("view").alias("view_"))
+    return an.facts(t(spark, d, "events"), ["user_id"], "event_id", "event_type", "value", {"click": "click", "view_": "view"})
 
 
 @query("e62_merge_accumulators", f"with {RANKS}, s as (select ds, fam, count(rank) as n, avg(rank) as mae from rk group by 1, 2) select ds, sum(n)::bigint as n, round(sum(mae * n) / sum(n), 6) as mae from s group by 1")
@@ -419,20 +424,18 @@ def e62(spark, d):
 @query("e63_baseline_compare", "with s as (select n_nationkey as stage, n_regionkey::double as score from nation), b as (select s_nationkey as stage, count(*)::double as base from supplier where s_nationkey < 12 group by 1) select stage, round(score - coalesce(base, 0), 6) as delta from s left join b using (stage)")
 def e63(spark, d):
     b = t(spark, d, "supplier").where("s_nationkey < 12").groupBy(F.col("s_nationkey").alias("stage")).agg(F.count("*").cast("double").alias("base"))
-    return t(spark, d, "nation").select(F.col("n_nationkey").alias("stage"), F.col("n_regionkey").cast("double").alias("score")).join(b, "stage", "left").select("stage", F.round(F.col("score") - F.coalesce("base", F.lit(0.0)), 6).alias("delta"))
+    return an.baseline_compare(t(spark, d, "nation").select(F.col("n_nationkey").alias("stage"), F.col("n_regionkey").cast("double").alias("score")), b, "stage", "score", "base")
 
 
 @query("e66_noisy_dictionary", "with tg as (select distinct p_name as w from part where p_partkey % 10 = 0), en as (select w from (select distinct p_name as w from part) anti join tg using (w) order by md5('3:' || w), w limit 1200) select w, 'target' as kind from tg union all select w, 'entry' from en")
 def e66(spark, d):
-    p = t(spark, d, "part")
-    tg = p.where("p_partkey % 10 = 0").select(F.col("p_name").alias("w")).distinct()
-    en = ev.seeded_sample(p.select(F.col("p_name").alias("w")).distinct().join(tg, "w", "left_anti"), "w", 3, 1200)
-    return tg.withColumn("kind", F.lit("target")).unionByName(en.withColumn("kind", F.lit("entry")))
+    p = t(spark, d, "part").withColumnRenamed("p_name", "w")
+    return an.noisy_dictionary(p.where("p_partkey % 10 = 0"), p, "w", lambda df, key, n: ev.seeded_sample(df, key, 3, n))
 
 
 @query("p01_mode_counters", f"with {RANKS} select cand, count(*) as n from rk group by 1 having count(*) > 1 order by n desc, cand limit 10")
 def p01(spark, d):
-    return ranks(spark, d).groupBy("cand").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "cand").limit(10)
+    return an.most_common(ranks(spark, d), "cand", 10, 2)
 
 
 @query("p03_seed_clusters")
@@ -443,38 +446,48 @@ def p03(spark, d):
 
 @query("p04_token_containment", "select p_partkey, len(list_filter(string_split(p_type, ' '), lambda w: not contains(p_name, lower(w)))) = 0 as contained from part")
 def p04(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.forall(F.split("p_type", " "), lambda w: F.contains("p_name", F.lower(w))).alias("contained"))
+    return t(spark, d, "part").select("p_partkey", an.tokens_contained(F.transform(F.split("p_type", " "), F.lower), F.col("p_name")).alias("contained"))
 
 
 @query("p05_metric_diff", "with a as (select c_nationkey as k, round(avg(c_acctbal), 4) as v from customer group by 1), b as (select s_nationkey as k, round(avg(s_acctbal), 4) as v from supplier group by 1) select coalesce(a.k, b.k) as k, a.v as left_v, b.v as right_v, coalesce(abs(a.v - b.v) > 1e-6, true) as differs from a full join b on a.k = b.k")
 def p05(spark, d):
     a = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 4).alias("left_v"))
     b = t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 4).alias("right_v"))
-    return a.join(b, "k", "full_outer").withColumn("differs", F.coalesce(F.abs(F.col("left_v") - F.col("right_v")) > 1e-6, F.lit(True)))
+    return an.metric_diff(a, b, "k", "left_v", "right_v")
 
 
 @query("p06_code_inspector", "select event_id, event_type, value from events where event_type = 'error' or value > 95")
 def p06(spark, d):
-    return t(spark, d, "events").where("event_type = 'error' or value > 95").select("event_id", "event_type", "value")
+    return an.by_codes(t(spark, d, "events"), "event_type", ["error"], F.col("value") > 95).select("event_id", "event_type", "value")
 
 
 @query("p08_sort_dedupe_modes", "select 'exact' as mode, count(distinct p_name) as n from part union all select 'alnum_upper', count(distinct upper(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g'))) from part union all select 'normalized', count(distinct upper(trim(regexp_replace(p_name, '\\s+', ' ', 'g')))) from part union all select 'none', count(*) from part")
 def p08(spark, d):
-    n = F.col("p_name")
-    kinds = {"exact": n, "alnum_upper": F.upper(F.regexp_replace(n, "[^A-Za-z0-9]", "")), "normalized": F.upper(F.trim(F.regexp_replace(n, r"\s+", " "))), "none": F.col("p_partkey").cast("string")}
-    agg = t(spark, d, "part").agg(*[F.countDistinct(v).alias(k) for k, v in kinds.items()])
-    return agg.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.col(k) for k in kinds]))).alias("mode", "n"))
+    return an.dedupe_modes(t(spark, d, "part"), "p_name", "p_partkey")
 
 
 @query("p10_length_constraint", "select p_partkey from part where length(p_name) between 9 and 11 or length(p_name) between 14 and 16")
 def p10(spark, d):
-    return t(spark, d, "part").where(F.exists(F.array(F.lit(10), F.lit(15)), lambda n: F.abs(F.length("p_name") - n) <= 1)).select("p_partkey")
+    return an.length_constrained(t(spark, d, "part"), "p_name", [10, 15]).select("p_partkey")
+
+
+HOLDS = {"comma_family": "family = 'comma'", "single_token_family": "family = 'single_token'", "initial_family": "family = 'initial'", "punctuation_heavy_family": "family = 'punctuation_heavy'", **{k: f"template = '{k}'" for k in ("last_comma_first", "first_only", "last_only", "role_alias_pair", "role_alias_comma_pair")},
+    "case_transformed": "v.c <> 'raw'", "orthographic_token_shape": "false", "alias_derived": "false", "noncanonical": "template <> 'canonical'", "gen_single_from_multi_raw": "family = 'single_token' and n_words >= 2", "raw_single_entry": "n_words = 1"}
+PLANS = ["{'policy': 'none', 'way': 'penalty', 'on_': false, 'extra': 0.0::double}"] + [f"{{'policy': '{way}:{k}{(':' + str(p)) if way == 'penalty' else ''}', 'way': '{way}', 'on_': {c}, 'extra': {p}::double}}" for k, c in HOLDS.items() for way, ps in (("drop", [0.0]), ("keep", [0.0]), ("penalty", (0.25, 0.5, 1.0, 2.75))) for p in ps]
 
 
-@query("p11_policy_matrix", "select pen as penalty, l_linestatus, round(avg(l_quantity + pen * l_tax), 6) as mean_error from lineitem, (values (0.0::double), (1.0), (2.75), (5.0)) v(pen) group by 1, 2")
+@query("p11_policy_matrix", VARIANTS + f""", cand as (select *, abs(length(v.t) - length(entry) * 0.8::double) as err, v.c = 'uppercase' and ti = (select min(ti) from v1 w where w.entry_idx = v1.entry_idx) as tgt from v1),
+  pl as (select entry_idx, v.t as text, err, tgt, unnest([{', '.join(PLANS)}]) as p from cand), kept as (select *, err + case when p.on_ then p.extra else 0 end as e2 from pl where case p.way when 'drop' then not p.on_ when 'keep' then p.on_ else true end),
+  rk as (select *, row_number() over (partition by entry_idx, p.policy order by e2, text) as n from kept), best as (select entry_idx, p.policy as policy, min(n) as n from rk where tgt group by 1, 2)
+select policy, count(*) as found, round(avg(n), 6) as mean_rank, round(avg(1 / n), 6) as mrr from best group by 1""")
 def p11(spark, d):
-    p = F.explode(F.array(*[F.lit(x) for x in (0.0, 1.0, 2.75, 5.0)])).alias("penalty")
-    return t(spark, d, "lineitem").select("l_linestatus", "l_quantity", "l_tax", p).groupBy("penalty", "l_linestatus").agg(F.round(F.avg(F.col("l_quantity") + F.col("penalty") * F.col("l_tax")), 6).alias("mean_error"))
+    c = names.variants(normal(spark, d), roles=False).select("entry_idx", "entry", F.explode_outer("variants").alias("v")).where("v is not null").select("entry_idx", "entry", "v.*")
+    c = c.withColumns({"family": names.family(F.col("text")), "raw_words": F.size(names.tokens(F.col("entry"))), "err": F.abs(F.length("text") - F.length("entry") * F.lit(0.8))})
+    tgt = (F.col("case") == "uppercase") & (F.col("template") == F.col("_first"))
+    t0 = names.templates(normal(spark, d)).select(F.col("entry_idx").alias("_i"), F.col("templates")[0]["id"].alias("_first"))
+    c = c.join(t0, F.col("entry_idx") == F.col("_i"))
+    holds = an.conditions(*map(F.col, ("family", "template", "case", "shape", "alias", "raw_words")))
+    return an.policy_matrix(c, ["entry_idx"], holds, tgt, "err", ["text"])
 
 
 FLAGS = ["l_discount > 0.03", "l_tax > 0.03", "l_quantity > 10", "l_quantity < 40", "l_linenumber > 1", "l_linestatus = 'O'", "l_returnflag = 'N'"]
@@ -482,59 +495,48 @@ FLAGS = ["l_discount > 0.03", "l_tax > 0.03", "l_quantity > 10", "l_quantity < 4
 
 @query("p12_combo_search", "with f as (select " + " + ".join(f"(({c})::int << {i})" for i, c in enumerate(FLAGS)) + " as bits, l_quantity as q from lineitem), h as (select bits, count(*) as n, sum(q) as s from f group by 1) select c::int as combo, coalesce(sum(n) filter (where bits & c = c), 0)::bigint as n, round(sum(s) filter (where bits & c = c) / sum(n) filter (where bits & c = c), 6) as mean_q from h, range(1, 128) r(c) group by 1")
 def p12(spark, d):
-    bits = sum((F.when(F.expr(c), 1 << i).otherwise(0) for i, c in enumerate(FLAGS)), F.lit(0))
-    h = t(spark, d, "lineitem").groupBy(bits.alias("bits")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("s"))
-    c = h.withColumn("combo", F.explode(F.sequence(F.lit(1), F.lit(127))))
-    on = F.col("bits").bitwiseAND(F.col("combo")) == F.col("combo")
-    return c.groupBy("combo").agg(F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias("n"), F.round(F.sum(F.when(on, F.col("s"))) / F.sum(F.when(on, F.col("n"))), 6).alias("mean_q"))
+    return an.combo_search(t(spark, d, "lineitem"), [F.expr(c) for c in FLAGS], "l_quantity")
 
 
 @query("p13_median_split", "with e as (select c_nationkey, c_acctbal, median(c_acctbal) over (partition by c_nationkey) as m from customer) select c_nationkey, round(avg(c_acctbal) filter (where c_acctbal <= m), 4) as low, round(avg(c_acctbal) filter (where c_acctbal > m), 4) as high from e group by 1")
 def p13(spark, d):
-    c = t(spark, d, "customer")
-    m = c.groupBy("c_nationkey").agg(F.median("c_acctbal").alias("m"))
-    j = c.join(F.broadcast(m), "c_nationkey")
-    return j.groupBy("c_nationkey").agg(F.round(F.avg(F.when(F.col("c_acctbal") <= F.col("m"), F.col("c_acctbal"))), 4).alias("low"), F.round(F.avg(F.when(F.col("c_acctbal") > F.col("m"), F.col("c_acctbal"))), 4).alias("high"))
+    return an.median_split(t(spark, d, "customer"), "c_nationkey", "c_acctbal", "c_acctbal")
 
 
 @query("p15_series_summary", "select event_type, round(min(value), 6) as least, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(max(value), 6) as most from events group by 1")
 def p15(spark, d):
-    v = F.col("value")
-    return t(spark, d, "events").groupBy("event_type").agg(F.round(F.min(v), 6).alias("least"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(v, F.lit(0.9)), 6).alias("p90"), F.round(F.max(v), 6).alias("most"))
+    return an.series_summary(t(spark, d, "events"), ["event_type"], "value")
 
 
 @query("p16_signature_stability", "select o_custkey, count(distinct sha256(o_orderstatus)) as signatures from orders group by 1")
 def p16(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct(F.sha2("o_orderstatus", 256)).alias("signatures"))
+    return an.distinct_signatures(t(spark, d, "orders"), ["o_custkey"], F.sha2("o_orderstatus", 256), name="signatures")
 
 
 @query("p17_grouping_sets", "select l_returnflag as file, l_linestatus as code, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_linestatus))")
 def p17(spark, d):
-    t(spark, d, "lineitem").createOrReplaceTempView("p17_lineitem")
-    return spark.sql("select l_returnflag as file, l_linestatus as code, count(*) as n from p17_lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_linestatus))")
+    return an.file_and_corpus_counts(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
 @query("p20_rank_delta", f"with {RANKS}, a as (select ds, label, min(rank) as x from rk where run_ <= 3 group by 1, 2), b as (select ds, label, min(rank) as y from rk where run_ > 3 group by 1, 2) select ds, label, y - x as delta from a join b using (ds, label)")
 def p20(spark, d):
     r = ranks(spark, d)
-    a, b = (r.where(c).groupBy("ds", "label").agg(F.min("rank").alias(k)) for c, k in (("run_ <= 3", "x"), ("run_ > 3", "y")))
-    return a.join(b, ["ds", "label"]).select("ds", "label", (F.col("y") - F.col("x")).alias("delta"))
+    return an.rank_delta(r.where("run_ <= 3"), r.where("run_ > 3"), ["ds", "label"])
 
 
 @query("p21_policy_variants", f"with {RANKS} select fam, round(avg(rank), 6) as mean, min(rank) as least, sum(rank - 20)::bigint as sum_delta from rk group by 1")
 def p21(spark, d):
-    return ranks(spark, d).groupBy("fam").agg(F.round(F.avg("rank"), 6).alias("mean"), F.min("rank").alias("least"), F.sum(F.col("rank") - 20).alias("sum_delta"))
+    return an.policy_variants(ranks(spark, d), ["fam"])
 
 
 @query("p22_trusted_split", "select round(avg(l_quantity) filter (where l_tax <= 0.04), 6) as trusted, round(avg(l_quantity) filter (where l_tax > 0.04), 6) as untrusted from lineitem")
 def p22(spark, d):
-    m = lambda c: F.round(F.avg(F.when(F.expr(c), F.col("l_quantity"))), 6)
-    return t(spark, d, "lineitem").agg(m("l_tax <= 0.04").alias("trusted"), m("l_tax > 0.04").alias("untrusted"))
+    return an.trusted_split(t(spark, d, "lineitem"), F.col("l_tax") <= 0.04, "l_quantity")
 
 
 @query("p24_combined_summary", f"with {RANKS} select ds, bool_and(rank is not null) as all_found, count(*) filter (where rank > 20 or rank is null) as remaining from rk group by 1")
 def p24(spark, d):
-    return ranks(spark, d).groupBy("ds").agg(F.every(F.col("rank").isNotNull()).alias("all_found"), F.count_if((F.col("rank") > 20) | F.col("rank").isNull()).alias("remaining"))
+    return an.combined_summary(ranks(spark, d), ["ds"])
 
 
 @query("p25_blocked_one_sided", L + "select doc_id, count(*) filter (where nx is not null and nx - x1 <= 20) as adjacent, count(*) filter (where nx is null) as last_, count(*) as n from (select *, lead(x0) over (partition by doc_id, line order by x0, token_idx) as nx from box) group by 1")
@@ -546,5 +548,4 @@ def p25(spark, d):
 
 @query("p26_batch_counters", "select count(*) filter (where strlen(html) > 0) as ok, count(*) filter (where html is null or strlen(html) = 0) as failed, sum(strlen(html))::bigint as bytes, min(strlen(html)) as least, max(strlen(html)) as most from pages")
 def p26(spark, d):
-    n = F.octet_length("html")
-    return t(spark, d, "pages").agg(F.count_if(n > 0).alias("ok"), F.count_if(n.isNull() | (n == 0)).alias("failed"), F.sum(n).alias("bytes"), F.min(n).cast("long").alias("least"), F.max(n).cast("long").alias("most"))
+    return an.batch_counters(t(spark, d, "pages"), F.octet_length("html"))

@@ -42,7 +42,7 @@ def m02(spark, d):
 
 @query("m03_row_variant_product", L + EDGES_SQL + VARIANTS.replace("with k as", ", k as", 1) + "select mode, count(*) as pairs from (select * from edge where mode <> 'unresolved') e, (select distinct template from var) v group by 1")
 def m03(spark, d):
-    v = names.expand(entries(spark, d)).select("template").distinct()
+    v = names.expand(entries(spark, d), roles=False).select("template").distinct()
     return measure.edges(layout.load(spark, d)).where("mode <> 'unresolved'").crossJoin(F.broadcast(v)).groupBy("mode").agg(F.count("*").alias("pairs"))
 
 

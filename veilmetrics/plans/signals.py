@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import analysis as an
 from ..operators import context, measure
 from ..sources import layout
 from .evaluation import RANKS, ranks
@@ -98,9 +99,7 @@ def o08(spark, d):
 
 @query("e37_source_provenance", f"with {RANKS}, b as (select label, arg_min(cand, (err, cand)) as top from rk group by 1) select rk.label, count(distinct fam) as families, count(*) filter (where cand = top) as same_source from rk join b using (label) group by 1")
 def e37(spark, d):
-    r = ranks(spark, d)
-    b = r.groupBy("label").agg(F.min_by("cand", F.struct("err", "cand")).alias("top"))
-    return r.join(b, "label").groupBy("label").agg(F.countDistinct("fam").alias("families"), F.count_if(F.col("cand") == F.col("top")).alias("same_source"))
+    return an.source_provenance(ranks(spark, d), ["label"], "cand", "fam", "err", ["cand"])
 
 
 @query("e44_overlap_without_scale", L + EDGES_SQL + "select doc_id, token_idx, round(left_edge + units * font_size / 1000::double - next_box_x0, 4) as overlap_pt, left_edge + units * font_size / 1000::double - next_box_x0 > 1 as still_rejected from edge where next_box_x0 is not null and left_edge is not null")
@@ -112,57 +111,49 @@ def e44(spark, d):
 
 @query("e58_rescore", f"with {RANKS} select label, arg_min(cand, (abs(err - 30000), cand)) as top, row_number() over (order by label) > 0 as kept from rk group by 1")
 def e58(spark, d):
-    return ranks(spark, d).groupBy("label").agg(F.min_by("cand", F.struct(F.abs(F.col("err") - 30000).alias("e"), "cand")).alias("top")).withColumn("kept", F.lit(True))
+    return an.rescored_top(ranks(spark, d), ["label"], "err", F.lit(30000), "cand", ["cand"]).withColumn("kept", F.lit(True))
 
 
 @query("e61_dossier_rules", "select o_orderkey, list_filter(['no_total', 'bad_status', 'no_priority'], lambda r: (r = 'no_total' and o_totalprice < 5000) or (r = 'bad_status' and o_orderstatus = 'P') or (r = 'no_priority' and o_orderpriority like '5%'))::varchar as problems from orders")
 def e61(spark, d):
     rules = {"no_total": F.col("o_totalprice") < 5000, "bad_status": F.col("o_orderstatus") == "P", "no_priority": F.col("o_orderpriority").startswith("5")}
-    bad = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
-    return t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("["), F.array_join(bad, ", "), F.lit("]")).alias("problems"))
+    return t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("["), F.array_join(an.problems(rules), ", "), F.lit("]")).alias("problems"))
 
 
 @query("e64_review_manifest", "select o_custkey, string_agg(o_orderstatus || '=' || k, ',' order by o_orderstatus) as paths from (select o_custkey, o_orderstatus, min(o_orderkey) as k from orders group by 1, 2) group by 1")
 def e64(spark, d):
-    m = t(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("k"))
-    m = m.groupBy("o_custkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("o_orderstatus", "k")))).alias("m"))
-    return m.select("o_custkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("paths"))
+    return an.review_manifest(t(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderkey")
 
 
 @query("e65_candidate_lookup", "select c_custkey, min(s_suppkey) as s_suppkey from customer join supplier on upper(trim(regexp_replace(c_name, '^Customer', 'Supplier'))) = upper(trim(s_name)) group by 1")
 def e65(spark, d):
-    c = t(spark, d, "customer").select("c_custkey", F.upper(F.trim(F.regexp_replace("c_name", "^Customer", "Supplier"))).alias("k"))
-    s = t(spark, d, "supplier").select("s_suppkey", F.upper(F.trim("s_name")).alias("k"))
-    return c.join(s, "k").groupBy("c_custkey").agg(F.min("s_suppkey").alias("s_suppkey"))
+    return an.lookup_by_text(t(spark, d, "customer").withColumn("_text", F.regexp_replace("c_name", "^Customer", "Supplier")), t(spark, d, "supplier"), "_text", "c_custkey", "s_name", "s_suppkey")
 
 
 @query("p02_best_hit", f"with {RANKS} select label, arg_min(run_, (rank, run_)) as best_row, min(rank) as rank from rk where rank is not null group by 1")
 def p02(spark, d):
-    return ranks(spark, d).where("rank is not null").groupBy("label").agg(F.min_by("run_", F.struct("rank", "run_")).alias("best_row"), F.min("rank").alias("rank"))
+    return an.best_hit(ranks(spark, d), ["label"], "run_")
 
 
 @query("p07_rescoring_toggles", "select mode, l_linestatus, round(avg(case mode when 'plain' then l_quantity when 'tax' then l_quantity * (1 + l_tax) else l_quantity * (1 - l_discount) end), 6) as mean_width from lineitem, (values ('plain'), ('tax'), ('discount')) v(mode) group by 1, 2")
 def p07(spark, d):
-    e = t(spark, d, "lineitem").select("l_linestatus", F.expr("stack(3, 'plain', l_quantity, 'tax', l_quantity * (1 + l_tax), 'discount', l_quantity * (1 - l_discount)) as (mode, w)"))
-    return e.groupBy("mode", "l_linestatus").agg(F.round(F.avg("w"), 6).alias("mean_width"))
+    q = F.col("l_quantity")
+    return an.rescoring_modes(t(spark, d, "lineitem"), ["l_linestatus"], {"plain": q, "tax": q * (1 + F.col("l_tax")), "discount": q * (1 - F.col("l_discount"))})
 
 
 @query("p09_dictionary_filters", "select count(*) filter (where not contains(p_name, ',')) as no_comma, count(*) filter (where len(string_split(p_name, ' ')) > 1) as no_single, count(*) filter (where not regexp_matches(p_name, '(^| )[A-Za-z][.]?( |$)')) as no_initial, count(*) filter (where not regexp_matches(lower(p_name), '^(mr|mrs|dr) ')) as no_honorific from part")
 def p09(spark, d):
-    n = F.col("p_name")
-    return t(spark, d, "part").agg(F.count_if(~n.contains(",")).alias("no_comma"), F.count_if(F.size(F.split(n, " ")) > 1).alias("no_single"), F.count_if(~F.rlike(n, F.lit("(^| )[A-Za-z][.]?( |$)"))).alias("no_initial"), F.count_if(~F.rlike(F.lower(n), F.lit("^(mr|mrs|dr) "))).alias("no_honorific"))
+    return an.dictionary_filters(t(spark, d, "part"), "p_name")
 
 
 @query("p14_policy_evaluation", f"with {RANKS} select fam, pen, round(avg(1 / (coalesce(rank, 100) + pen)), 6) as score from rk, (values (0), (1), (5)) v(pen) group by 1, 2")
 def p14(spark, d):
-    r = ranks(spark, d).withColumn("pen", F.explode(F.array(F.lit(0), F.lit(1), F.lit(5))))
-    return r.groupBy("fam", "pen").agg(F.round(F.avg(1 / (F.coalesce("rank", F.lit(100)) + F.col("pen"))), 6).alias("score"))
+    return an.policy_scores(ranks(spark, d), ["fam"], "rank", [0, 1, 5])
 
 
 @query("p18_displacement_audit", f"with {RANKS}, k as (select *, row_number() over (partition by label order by err, cand) as n from rk) select cand, count(*) as n from k where n = 1 group by 1 order by n desc, cand limit 20")
 def p18(spark, d):
-    top = ranks(spark, d).groupBy("label").agg(F.min_by("cand", F.struct("err", "cand")).alias("cand"))
-    return top.groupBy("cand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cand").limit(20)
+    return an.most_common(an.best_of(ranks(spark, d), ["label"], "cand", "err", ["cand"], "cand_"), "cand_", 20).withColumnRenamed("cand_", "cand")
 
 
 @query("p19_rounded_bbox_join", L + "select b.doc_id, count(*) as n, count(*) filter (where b.font_size <> 10) as nondefault from box b join box c on b.doc_id = c.doc_id and b.page_index = c.page_index and round(b.x0, 2) = round(c.x0, 2) and round(b.y0, 2) = round(c.y0, 2) and round(b.x1, 2) = round(c.x1, 2) group by 1")
@@ -175,8 +166,8 @@ def p19(spark, d):
 
 @query("p23_target_profile", "select l_orderkey, l_linenumber, case when abs(l_tax - l_discount) <= 1e-9 then 'tie' when l_tax > l_discount then 'worse' else 'better' end as reason, case when l_tax >= l_discount and l_tax >= l_quantity / 500 then 'tax' when l_discount >= l_quantity / 500 then 'discount' else 'quantity' end as component from lineitem")
 def p23(spark, d):
-    x, y, q = F.col("l_tax"), F.col("l_discount"), F.col("l_quantity") / 500
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.abs(x - y) <= 1e-9, "tie").when(x > y, "worse").otherwise("better").alias("reason"), F.when((x >= y) & (x >= q), "tax").when(y >= q, "discount").otherwise("quantity").alias("component"))
+    reason, part = an.target_profile(F.col("l_tax"), F.col("l_discount"), {"tax": F.col("l_tax"), "discount": F.col("l_discount"), "quantity": F.col("l_quantity") / 500})
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"), part.alias("component"))
 
 
 @query("p27_report_rows", L + EDGES_SQL + "select 'p' || page_index || ':' || line as place, doc_id, token_idx, coalesce(mode, 'unresolved') as mode, round(target_width, 2) as target_width from edge")
