@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilmetrics.functions import geometry as g
 from veilmetrics.functions import widths
 from veilmetrics.operators import context, detection, evaluate, measure, names, raster
-from veilmetrics.sources import pdf, reports
+from veilmetrics.sources import fonts, pdf, reports
 
 
 def value(spark, column):
@@ -210,3 +210,30 @@ def test_rank_summary(spark):
     d = spark.createDataFrame([("a", 1), ("a", 4), ("a", None)], "ds string, rank int")
     r = evaluate.rank_summary(d, ["ds"]).first()
     assert (r["recall_1"], r["recall_5"], r["mrr"], r["best_feasible_k"]) == (pytest.approx(1 / 3, abs=1e-6), pytest.approx(2 / 3, abs=1e-6), pytest.approx(1.25 / 3, abs=1e-6), None)
+
+
+def test_fonts():
+    assert [fonts.glyph_char(x) for x in ("A", "eacute", "Ccedilla", "ntilde", "Ntilde", "quoteleft", "nope", "aring")] == ["A", "é", "Ç", "ń", "Ñ", "’", None, "å"]
+    assert fonts.parse(b"<< /A [1 -2.5 (x\\)\\101) <4142>] /B 3 0 R /C#20D /n >>") == {"A": [1, -2.5, b"x)A", b"AB"], "B": 3, "C D": "n"}
+    assert fonts._cmap(b"1 beginbfrange <01> <03> <0041> <05> <06> [<0061> <0062>] endbfrange 1 beginbfchar <09> <00e9> endbfchar") == {1: "A", 2: "B", 3: "C", 5: "a", 6: "b", 9: "é"}
+    data = fonts.make_pdf(["où 漢 est", "ça va"], "a, b", 7)
+    (i, f, content, res), = fonts._pages(data)
+    runs = fonts.shown(f, content, res)
+    assert [(r[0], r[5]) for r in runs] == [("a, b", "F1"), ("où 漢 est", "F2"), ("ça va", "F2")] and runs[0][3] - runs[0][1] == 4 * 500 * 12 / 1000
+    assert fonts.drawn(f, content, res) == [("drawn_path_rect", 79.0, 50.0, 179.0, 70.0), ("drawn_rect", 300.0, 107.0, 360.0, 119.0)]
+    truth = fonts.page_fonts(f, res)
+    assert {k: (t["unicode_source"], t["width_source"], t["name"]) for k, t in truth.items()} == {"F1": ("encoding_dictionary", "explicit", "Sans-Bold"), "F2": ("to_unicode", "standard_14", "Courier"), "F3": ("named_encoding", "standard_14", "Helvetica")}
+    w = fonts.File(b"%PDF 1 0 obj << /Subtype /Type0 /DescendantFonts [2 0 R] /Encoding /Identity-H >> endobj 2 0 obj << /W [3 [500 600] 7 9 250] >> endobj")
+    assert fonts.font_truth(w, w.get(fonts.Ref(1)))["widths"] == {3: 500, 4: 600, 7: 250, 8: 250, 9: 250}
+
+
+@pytest.mark.parametrize(("points", "closed", "want"), [([(0, 0), (4, 0), (4, 2), (0, 2)], True, (0, 0, 4, 2)), ([(0, 0), (4, 0), (4, 2), (1, 1)], True, (0, 0, 4, 2)), ([(0, 0), (4, 1), (3, 2), (0, 2)], True, None), ([(0, 0), (4, 0), (4, 2), (0, 2)], False, None), ([(0, 0), (4, 0), (4, 2)], True, None)])
+def test_path_rects(points, closed, want):
+    assert fonts.path_rect(points, closed) == want
+
+
+def test_spacing_of_shown_text():
+    content = b"BT /F1 10 Tf 50 Tz 1 Tc 2 Tw 5 5 Td [100 (a b) -200 (c)] TJ (d) Tj 0 -3 TD T* (e) Tj ET"
+    f = fonts.File(b"%PDF")
+    (a, d, e) = fonts.shown(f, content, None)
+    assert a[0] == "a bc" and round(a[3] - a[1], 6) == 4 * 3 + 3 * 1 + 2 + 1 and (e[1], e[4]) == (5.0, -1.0)

@@ -1,10 +1,12 @@
 """Queries over binary sources: PDF bytes made from documents, and drawn page rasters."""
 
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import streaming
 from ..operators import context, raster
-from ..sources import layout, pdf
+from ..sources import fonts, layout, pdf
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -74,3 +76,61 @@ def v08(spark, d):
 @query("z01_windowed_timings", "select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2")
 def z01(spark, d):
     return streaming.windowed_timings(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def font_files(spark, d):
+    """A page for each document: its first three words by glyph names, its first thirty by ToUnicode, a path and a form placed by doc_id."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, text in zip(b["doc_id"], b["text"]):
+                w = (text or "").split()[:30]
+                first = "".join(c for c in " ".join(w[:3]) if c.isascii() and (c.isalpha() or c in " .,"))
+                rows.append((f"doc{i}.pdf", fonts.make_pdf([" ".join(w[k : k + 10]) for k in range(0, len(w), 10)], first, int(i))))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return docs.mapInPandas(run, "path string, content binary")
+
+
+W30 = "w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')[1:30] as w from documents)"
+
+
+@query("t11_font_truth", f"with {W30}, l as (select doc_id, unnest([w[1:10], w[11:20], w[21:30]]) as l, unnest([0, 1, 2]) as k from w) select 'doc' || doc_id || '.pdf' as path, k::int as line, array_to_string(l, ' ') as text from l where len(l) > 0")
+def t11(spark, d):
+    r = fonts.read_shown(font_files(spark, d)).where("font_key = 'F2'")
+    return r.select("path", F.floor((720 - F.col("y1")) / 14).cast("int").alias("line"), "text")
+
+
+@query("t13_glyph_names", f"with {W30} select 'doc' || doc_id || '.pdf' as path, regexp_replace(array_to_string(w[1:3], ' '), '[^A-Za-z .,]', '', 'g') as text from w where regexp_replace(array_to_string(w[1:3], ' '), '[^A-Za-z .,]', '', 'g') <> ''")
+def t13(spark, d):
+    return fonts.read_shown(font_files(spark, d)).where("font_key = 'F1'").select("path", "text")
+
+
+@query("t03_font_occurrences", f"with {W30}, f as (select doc_id, length(regexp_replace(array_to_string(w[1:3], ' '), '[^A-Za-z .,]', '', 'g')) > 0 as has, len(w) as n from w) select 'Sans' as family, 'Bold' as variant, count(*) as n, 36.0::double as width from f where has union all select 'Courier', null, sum(ceil(n / 10))::bigint, 30.0::double from f")
+def t03(spark, d):
+    o = fonts.occurrences(fonts.read_shown(font_files(spark, d)))
+    return o.groupBy("family", "variant").agg(F.count("*").alias("n"), F.round(F.max(F.col("x1") - F.col("x0")), 4).alias("width"))
+
+
+@query("t18_font_inventory", "select k as font_key, wc as width_class, uc as unicode_class, us as unicode_source, count(*) as n from documents, (values ('F1', 'pdf_width_table', 'encoding_differences', 'encoding_dictionary'), ('F2', 'standard_14_font', 'to_unicode', case when 1 = 1 then 'to_unicode' end), ('F3', 'standard_14_font', 'named_encoding', 'named_encoding')) v(k, wc, uc, us) where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' and regexp_matches(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:3], ' '), '[A-Za-z .,]') group by all")
+def t18(spark, d):
+    t = fonts.inventory(fonts.read_truth(font_files(spark, d)))
+    ok = t.withColumn("_ok", F.min(F.when(F.col("font_key") == "F1", F.size("widths") > 0).otherwise(F.lit(True))).over(Window.partitionBy("path")))
+    return ok.where("_ok").groupBy("font_key", "width_class", "unicode_class", "unicode_source").agg(F.count("*").alias("n"))
+
+
+@query("t01_font_run_width", f"with {W30} select 'doc' || doc_id || '.pdf' as path, round(length(regexp_replace(array_to_string(w[1:3], ' '), '[^A-Za-z .,]', '', 'g')) * 500 * 12 / 1000::double, 4) as width from w where regexp_replace(array_to_string(w[1:3], ' '), '[^A-Za-z .,]', '', 'g') <> ''")
+def t01b(spark, d):
+    return fonts.read_shown(font_files(spark, d)).where("font_key = 'F1'").select("path", F.round(F.col("x1") - F.col("x0"), 4).alias("width"))
+
+
+@query("d03_path_rects", "select 'doc' || doc_id || '.pdf' as path, (72 + doc_id % 100)::double as x0, 50.0::double as y0, (172 + doc_id % 100)::double as x1, 70.0::double as y1 from documents")
+def d03(spark, d):
+    return fonts.read_drawn(font_files(spark, d)).where("kind = 'drawn_path_rect'").select("path", "x0", "y0", "x1", "y1")
+
+
+@query("d04_form_rects", "select 'doc' || doc_id || '.pdf' as path, 300.0::double as x0, (100 + doc_id % 50)::double as y0, 360.0::double as x1, (112 + doc_id % 50)::double as y1 from documents")
+def d04(spark, d):
+    return fonts.read_drawn(font_files(spark, d)).where("kind = 'drawn_rect'").select("path", "x0", "y0", "x1", "y1")

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import names
-from ..sources import layout
+from ..sources import fonts, layout
 
 QUERIES, ORACLE_SQL = {}, {}
 P = "(select p_partkey as entry_idx, case p_partkey % 6 when 0 then upper(p_name) when 1 then replace(p_name, ' ', '|') when 2 then 'Dr. ' || p_name || ' Jr' when 3 then replace(p_name, ' ', ' van ') when 4 then replace(p_name, ' ', ', ') else p_name || ' é-x''y' end as entry from part)"
@@ -200,26 +200,23 @@ def x15(spark, d):
 @query("t14_subset_prefix", "select p_partkey, regexp_replace(f, '^[A-Z]{6}\\+([^+]+)$', '\\1') as base from (select p_partkey, case when p_partkey % 2 = 0 then 'ABCDEF+' || p_brand else p_brand end as f from part)")
 def t14(spark, d):
     f = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("ABCDEF+"), "p_brand")).otherwise(F.col("p_brand"))
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.regexp_replace(f, r"^[A-Z]{6}\+([^+]+)$", "$1").alias("base"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", fonts.subset_base(f).alias("base"))
 
 
 @query("t15_family_variant", "select p_partkey, case when len(string_split(f, '-')) = 2 then split_part(f, '-', 1) else f end as family, case when len(string_split(f, '-')) = 2 then split_part(f, '-', 2) end as variant from (select p_partkey, replace(p_type, ' ', '-') as f from part)")
 def t15(spark, d):
-    f = F.replace("p_type", F.lit(" "), F.lit("-"))
-    two = F.size(F.split(f, "-")) == 2
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(two, F.split_part(f, F.lit("-"), F.lit(1))).otherwise(f).alias("family"), F.when(two, F.split_part(f, F.lit("-"), F.lit(2))).alias("variant"))
+    family, variant = fonts.family_variant(F.replace("p_type", F.lit(" "), F.lit("-")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", family.alias("family"), variant.alias("variant"))
 
 
 @query("t16_input_kind", "select kind, count(*) as n from (select case when lower(regexp_extract(url, '[.]([A-Za-z0-9]+)$', 1)) = 'pdf' then 'pdf' when lower(regexp_extract(url, '[.]([A-Za-z0-9]+)$', 1)) in ('html', 'htm') then 'html' when lower(regexp_extract(url, '[.]([A-Za-z0-9]+)$', 1)) in ('png', 'jpg', 'jpeg') then 'image' else 'unknown' end as kind from pages) group by kind")
 def t16(spark, d):
-    ext = F.lower(F.regexp_extract("url", "[.]([A-Za-z0-9]+)$", 1))
-    kind = F.when(ext == "pdf", "pdf").when(ext.isin("html", "htm"), "html").when(ext.isin("png", "jpg", "jpeg"), "image").otherwise("unknown")
-    return spark.read.parquet(f"{d}/pages.parquet").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{d}/pages.parquet").groupBy(fonts.input_kind(F.col("url")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("t17_quote_folding", "select doc_id, length(translate(text, '‰‹«›»', '<<<>>')) - length(replace(translate(text, '‰‹«›»', '<<<>>'), '<', '')) as opened from documents")
 def t17(spark, d):
-    t = F.translate("text", "‰‹«›»", "<<<>>")
+    t = fonts.fold_quotes(F.col("text"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.length(t) - F.length(F.replace(t, F.lit("<"), F.lit("")))).cast("long").alias("opened"))
 
 

@@ -102,6 +102,16 @@ def operations(content: bytes):
         (stack if array is None else array).append(value)
 
 
+def newline_delta(lead: float, size: float) -> float:
+    """How far a new line goes down: by the leading, if that is more than a hundredth, else by 1.2 sizes."""
+    return -lead if abs(lead) > 0.01 else -1.2 * size
+
+
+def rgb(n: list[float]) -> tuple[float, ...]:
+    """Red, green and blue of a gray, RGB or CMYK colour."""
+    return (n[0],) * 3 if len(n) == 1 else tuple(n[:3]) if len(n) == 3 else tuple(1 - min(1.0, v + n[3]) for v in n[:3]) if len(n) >= 4 else (1.0,) * 3
+
+
 def text_runs(content: bytes, width=lambda s, size: 0.6 * size * len(s)) -> list[tuple]:
     """(text, x0, y0, x1, y1, font key, size) in order; only the translation of the text matrix is followed, and each shown string moves x by its width."""
     out: list[tuple] = []
@@ -130,7 +140,7 @@ def text_runs(content: bytes, width=lambda s, size: 0.6 * size * len(s)) -> list
             if op == "TD":
                 lead = -float(a[1])
         elif op in ("T*", "'", '"'):
-            ly += -lead if abs(lead) > 0.01 else -1.2 * size
+            ly += newline_delta(lead, size)
             x, y = lx, ly
             if op != "T*" and a:
                 show(str(a[-1]))
@@ -154,7 +164,7 @@ def drawn_rects(content: bytes) -> list[tuple]:
         elif op == "Q" and saved:
             fill = saved.pop()
         elif op in ("g", "rg", "k", "sc", "scn") and n:
-            fill = (n[0],) * 3 if len(n) == 1 else tuple(n[:3]) if len(n) == 3 else tuple(1 - min(1.0, v + n[3]) for v in n[:3])
+            fill = rgb(n)
         elif op == "re" and len(n) == 4 and max(fill) <= 0.01:
             x, y, w, h = n
             out.append((min(x, x + w), min(y, y + h), max(x, x + w), max(y, y + h)))
@@ -173,7 +183,7 @@ def _each(batches, columns, rows):
 
 
 def _reader(schema: str, rows):
-    columns = [c.strip().split()[0] for c in schema.split(",")]
+    columns = [c.strip().split()[0] for c in re.split(r",(?![^<]*>)", schema)]
 
     def read(files: DataFrame) -> DataFrame:
         return files.select("path", "content").mapInPandas(lambda it: _each(it, columns, rows), schema)
