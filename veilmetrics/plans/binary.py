@@ -5,8 +5,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import streaming
+from ..operators import analysis as an
 from ..operators import context, raster
-from ..sources import fonts, layout, pdf
+from ..sources import fonts, layout, pdf, render
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -134,3 +135,136 @@ def d03(spark, d):
 @query("d04_form_rects", "select 'doc' || doc_id || '.pdf' as path, 300.0::double as x0, (100 + doc_id % 50)::double as y0, 360.0::double as x1, (112 + doc_id % 50)::double as y1 from documents")
 def d04(spark, d):
     return fonts.read_drawn(font_files(spark, d)).where("kind = 'drawn_rect'").select("path", "x0", "y0", "x1", "y1")
+
+
+def on_pages(files, dpi, schema, found):
+    """found(page raster) of each page of each file, rendered at this resolution."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = [(path, page, *r) for path, data in zip(b["path"], b["content"]) for page, a, w, h in render.rasters(bytes(data), dpi) for r in found(a, w, h)]
+            yield pd.DataFrame(rows, columns=["path", "page_index", *columns])
+
+    return files.select("path", "content").mapInPandas(run, f"path string, page_index int, {schema}")
+
+
+RECTS_AT = "r as (select doc_id, 72 + doc_id % 100 as x0, 50 as y0, 172 + doc_id % 100 as x1, 70 as y1 from documents union all select doc_id, 300, 100 + doc_id % 50, 360, 112 + doc_id % 50 from documents)"
+GRID = "px0 int, py0 int, px1 int, py1 int, tone double, share double, score double"
+
+
+def covering(regions, dpi):
+    """Which of a page's two black rectangles a region covers: their centres, in pixels."""
+    i = F.regexp_extract("path", "doc([0-9]+)", 1).cast("long")
+    centre = F.explode(F.array(F.struct((122 + i % 100).alias("x"), F.lit(60).alias("y")), F.struct(F.lit(330).alias("x"), (106 + i % 50).alias("y"))))
+    c = regions.withColumn("c", centre)
+    px, py = F.col("c.x") * dpi / 72, (792 - F.col("c.y")) * dpi / 72
+    return c.where((px >= F.col("px0")) & (px <= F.col("px1")) & (py >= F.col("py0")) & (py <= F.col("py1")))
+
+
+@query("d09_dark_grid", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, x0 < 300 and y0 = 50 as is_path, true as found from r")
+def d09(spark, d):
+    r = on_pages(font_files(spark, d), 96, GRID, lambda a, w, h: raster.grid_regions(raster.gray(a)))
+    return covering(r, 96).select("path", (F.col("c.y") == 60).alias("is_path"), F.lit(True).alias("found")).distinct()
+
+
+@query("d16_two_resolutions", "select 'doc' || doc_id || '.pdf' as path, 'highpass' as source, true as both_found from documents")
+def d16(spark, d):
+    """A pass at 18 dots an inch selects pages, one at 96 looks at these alone; where it finds nothing, the first one's regions stay."""
+    files, find = font_files(spark, d), lambda a, w, h: raster.grid_regions(raster.gray(a))
+    low = on_pages(files, 18, GRID, find)
+    high = on_pages(files.join(low.select("path").distinct(), "path", "left_semi"), 96, GRID, find)
+    hits = covering(high, 96).groupBy("path").agg((F.countDistinct("c") == 2).alias("both_found"))
+    picked = low.select("path").distinct().join(hits, "path", "left")
+    return picked.select("path", F.when(F.col("both_found").isNull(), "prepass").otherwise("highpass").alias("source"), F.coalesce("both_found", F.lit(False)).alias("both_found"))
+
+
+@query("v06_dark_pixels", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, y0 = 50 as is_path, ((x1 - x0) * (y1 - y0))::bigint as dark from r")
+def v06(spark, d):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, data in zip(b["path"], b["content"]):
+                i = int(path[3:-4])
+                for _, a, _, h in render.rasters(bytes(data), 72):
+                    g = raster.gray(a)
+                    rows += [(path, True, raster.dark_pixels(g, 72 + i % 100, int(h) - 70, 172 + i % 100, int(h) - 50, 40)), (path, False, raster.dark_pixels(g, 300, int(h) - 112 - i % 50, 360, int(h) - 100 - i % 50, 40))]
+            yield pd.DataFrame(rows, columns=["path", "is_path", "dark"])
+
+    return font_files(spark, d).mapInPandas(run, "path string, is_path boolean, dark long")
+
+
+@query("v04_components", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, x0::int as px0, (792 - y1)::int as py0, x1::int as px1, (792 - y0)::int as py1, ((x1 - x0) * (y1 - y0))::bigint as pixels from r")
+def v04(spark, d):
+    found = lambda a, w, h: raster.dark_components(raster.gray(a), 40, 8, (0, 0, int(w), 60))
+    return on_pages(font_files(spark, d), 72, "px0 int, py0 int, px1 int, py1 int, pixels long", found).drop("page_index")
+
+
+@query("s12_page_png", "select 'doc' || doc_id || '.png' as name, 306::int as width, 396::int as height from documents")
+def s12(spark, d):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, data in zip(b["path"], b["content"]):
+                made = list(render.rasters(bytes(data), 36))
+                rows += [(render.page_name(path[:-4], i, len(made)), *render.png_size(render.png(a))) for i, a, _, _ in made]
+            yield pd.DataFrame(rows, columns=["name", "width", "height"])
+
+    return font_files(spark, d).mapInPandas(run, "name string, width int, height int")
+
+
+@query("v13_crop_png", "select 'doc' || doc_id || '.pdf' as path, 110::int as width, 30::int as height from documents")
+def v13(spark, d):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, data in zip(b["path"], b["content"]):
+                i = int(path[3:-4]) % 100
+                for _, a, _, h in render.rasters(bytes(data), 72):
+                    box = (72 + i, int(h) - 70, 172 + i, int(h) - 50)
+                    rows.append((path, *render.png_size(render.png(render.crop(a, box[0] - 5, box[1] - 5, box[2] + 5, box[3] + 5, [(*box, (255, 0, 0))])))))
+            yield pd.DataFrame(rows, columns=["path", "width", "height"])
+
+    return font_files(spark, d).mapInPandas(run, "path string, width int, height int")
+
+
+@query("s11_annotated_pdf", f"with {W30} select 'doc' || doc_id || '.pdf' as path, 'seen (' || doc_id || ')' as overlay, ceil(len(w) / 10)::bigint as own_lines from w")
+def s11(spark, d):
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(p, render.annotate(bytes(c), [(0, 72, 300, 172, 320, f"seen ({p[3:-4]})", 9)])) for p, c in zip(b["path"], b["content"])], columns=["path", "content"])
+
+    s = fonts.read_shown(font_files(spark, d).mapInPandas(run, "path string, content binary"))
+    return s.groupBy("path").agg(F.max(F.when(F.col("font_key") == "VeilOverlay", F.col("text"))).alias("overlay"), F.count_if(F.col("font_key") == "F2").alias("own_lines"))
+
+
+@query("s13_zip_bundles", "select (doc_id % 7)::varchar as key, case when doc_id % 14 < 7 then 'Doc' else 'doc' end || doc_id // 14 || case when doc_id % 14 < 7 then '.txt' else ' (2).txt' end as name, octet_length(encode(coalesce(text, '')))::bigint as size from documents")
+def s13(spark, d):
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 14 < 7, "Doc").otherwise("doc"), F.floor(i / 14).cast("string"), F.lit(".txt"))
+    files = spark.read.parquet(f"{d}/documents.parquet").select((i % 7).alias("k"), name.alias("n"), F.coalesce("text", F.lit("")).cast("binary").alias("c"))
+    files = files.where(F.col("n").isNotNull())
+
+    def opened(batches):
+        import io
+        import zipfile
+
+        for b in batches:
+            rows = []
+            for key, data in zip(b["key"], b["zip"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    rows += [(key, e.filename, len(z.read(e))) for e in z.infolist()]  # read checks the crc32
+            yield pd.DataFrame(rows, columns=["key", "name", "size"])
+
+    return render.bundles(files, "k", "n", "c").mapInPandas(opened, "key string, name string, size long")
+
+
+@query("p28_complexity", "with l as (select url, unnest(string_split(coalesce(html, ''), chr(10))) as line from pages) select url as path, count(*) as lines, count(*) filter (where not regexp_matches(trim(line), '^(//|#|--|$)')) as code from l group by 1 order by code desc, path limit 12")
+def p28(spark, d):
+    return an.complexity(spark.read.parquet(f"{d}/pages.parquet"), "url", "html")
+
+
+@query("f03_hide_details", "select p_brand as family, count(*) as n from part group by 1")
+def f03(spark, d):
+    f = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("family")).agg(F.count("*").alias("n"), F.collect_set("p_type").alias("occurrences"))
+    return an.without_details(f, "occurrences", show=False)
