@@ -5,10 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from veilmetrics import __main__ as main
+from veilmetrics import service
 from veilmetrics.functions import geometry as g
 from veilmetrics.functions import widths
 from veilmetrics.operators import context, detection, evaluate, measure, names, raster
-from veilmetrics.sources import fonts, pdf, reports
+from veilmetrics.sources import fonts, pdf, render, reports
 
 
 def value(spark, column):
@@ -237,3 +239,72 @@ def test_spacing_of_shown_text():
     f = fonts.File(b"%PDF")
     (a, d, e) = fonts.shown(f, content, None)
     assert a[0] == "a bc" and round(a[3] - a[1], 6) == 4 * 3 + 3 * 1 + 2 + 1 and (e[1], e[4]) == (5.0, -1.0)
+
+
+def slow_regions(mask):
+    seen, out = np.zeros(mask.shape, bool), []
+    for y, x in zip(*np.nonzero(mask)):
+        if not seen[y, x]:
+            todo, part = [(y, x)], set()
+            seen[y, x] = True
+            while todo:
+                a, b = todo.pop()
+                part.add((a, b))
+                for c, d in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
+                    if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not seen[c, d]:
+                        seen[c, d] = True
+                        todo.append((c, d))
+            out.append(part)
+    return out
+
+
+def test_dark_grid():
+    r = np.random.default_rng(4)
+    g = np.full((90, 130), 250, np.uint8)
+    g[10:30, 20:80] = 5
+    g[60:62, 5:9] = 0
+    g[r.integers(0, 90, 40), r.integers(0, 130, 40)] = 0
+    rows, cols = raster.bins(90), raster.bins(130)
+    mean = np.array([[g[a:b, c:d].mean() for c, d in zip(cols, cols[1:])] for a, b in zip(rows, rows[1:])])
+    limit = max(min(0.65 * g.mean(), 120), int(g.min()) + 5, 32)
+    want = []
+    for part in slow_regions(mean <= limit):
+        ys, xs = [p[0] for p in part], [p[1] for p in part]
+        box = (int(cols[min(xs)]), int(rows[min(ys)]), int(cols[max(xs) + 1]), int(rows[max(ys) + 1]))
+        area = sum((rows[y + 1] - rows[y]) * (cols[x + 1] - cols[x]) for y, x in part)
+        if 0.0005 <= area / g.size <= 0.9 and min(box[2] - box[0], box[3] - box[1]) >= 4:
+            want.append(box)
+    got = raster.grid_regions(g)
+    assert sorted(x[:4] for x in got) == sorted(want) and len(got) >= 1 and raster.grid_regions(np.zeros((0, 5), np.uint8)) == []
+    assert raster.dark_pixels(g, 20, 10, 80, 30, 40) == 1200 and raster.dark_pixels(g, -5, -5, 0, 0) == 0
+    assert sorted(c[4] for c in raster.dark_components(g, 40, 100)) == [len(p) for p in slow_regions(g < 40) if len(p) >= 100]
+    assert all(c[4] < 1200 for c in raster.dark_components(g, 40, 1, (20, 10, 80, 30)))
+
+
+def test_png_zip_and_names():
+    a = np.random.default_rng(1).integers(0, 255, (7, 11, 4)).astype(np.uint8)
+    data = render.png(a)
+    assert render.png_size(data) == (11, 7)
+    with pytest.raises(ValueError, match="damaged"):
+        render.png_size(data[:-20] + b"x" + data[-19:])
+    assert render.unique_names(["a.txt", "A.txt", "b", "a.txt", "B"]) == ["a.txt", "A (2).txt", "b", "a (3).txt", "B (2)"]
+    assert render.page_name("x", 0, 1) == "x.png" and render.page_name("x", 4, 120) == "x-005.png"
+    assert render.bundle([("a", b"1"), ("b", b"")]) == render.bundle([("a", b"1"), ("b", b"")])
+    assert render.crop(a, -3, 2, 5, 99, [(0, 2, 5, 7, (1, 2, 3))]).shape == (5, 5, 4)
+
+
+def test_service(spark, tmp_path):
+    data = render.annotate(fonts.make_pdf(["one two"], "abc", 3), [(0, 80, 55, 120, 65, "under it", 8)])
+    report = service.run_bytes(spark, "x.pdf", data)
+    assert report["status"] == "ok" and sorted(r["kind"] for r in report["redactions"]) == ["annotation", "annotation", "drawn_path_rect", "drawn_rect"]
+    assert [r["underlying_text"] for r in report["redactions"] if r["kind"] == "drawn_path_rect"] == [["under it"]]
+    assert service.run_bytes(spark, "x.pdf", data, mode="drawn")["count"] == 2 and {f["font_key"] for f in report["fonts"]} == {"F1", "F2", "F3", "VeilOverlay"}
+    assert service.run_bytes(spark, "bad", b"nothing")["status"] == "error"
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "a.PDF").write_bytes(data)
+    (tmp_path / "in" / "b.pdf").write_bytes(b"nothing")
+    out = service.run_batch(spark, main.arguments([str(tmp_path / "in"), str(tmp_path / "out"), "--diagnostics"]))
+    assert sorted(r["status"] for r in out.collect()) == ["error", "ok"]
+    assert {r["stage"] for r in spark.read.json(str(tmp_path / "out/timings")).collect()} == {"manifest", "boxes", "fonts"}
+    (tmp_path / "d.txt").write_text("b|c  d\n\na\nb c d\n")
+    assert [r["entry"] for r in service.load_dictionary(spark, str(tmp_path / "d.txt")).orderBy("entry_idx").collect()] == ["a", "b c d"]

@@ -118,13 +118,12 @@ def joined_runs(run: DataFrame) -> DataFrame:
     return isl.groupBy("doc_id", "line", "island").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]), " ").alias("text"))
 
 
-def anchor_pairs(box: DataFrame, run: DataFrame, each_side: int = 3) -> DataFrame:
-    """Left and right anchors of each box, the each_side nearest of either side, paired."""
+def anchor_pairs(box: DataFrame, run: DataFrame) -> DataFrame:
+    """Left and right anchors of each box on its line, all paired."""
     b = box.select("doc_id", "line", "token_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))
     j = b.join(run.select("doc_id", "line", F.col("token_idx").alias("rt"), "x0", "x1"), ["doc_id", "line"])
-    w = Window.partitionBy("doc_id", "token_idx").orderBy(quantise("gap"), "rt")
-    left = j.where("x1 <= bx0").withColumn("gap", F.col("bx0") - F.col("x1")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= each_side).select("doc_id", "token_idx", F.col("rt").alias("left_rt"), F.col("gap").alias("lg"))
-    right = j.where("x0 >= bx1").withColumn("gap", F.col("x0") - F.col("bx1")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= each_side).select("doc_id", "token_idx", F.col("rt").alias("right_rt"), F.col("gap").alias("rg"))
+    left = j.where("x1 <= bx0").select("doc_id", "token_idx", F.col("rt").alias("left_rt"), (F.col("bx0") - F.col("x1")).alias("lg"))
+    right = j.where("x0 >= bx1").select("doc_id", "token_idx", F.col("rt").alias("right_rt"), (F.col("x0") - F.col("bx1")).alias("rg"))
     return left.join(right, ["doc_id", "token_idx"]).withColumns({"gap_sum": quantise(F.col("lg") + F.col("rg")), "gap_max": quantise(F.greatest("lg", "rg"))})
 
 
@@ -165,11 +164,41 @@ def nearest_left_span(box: DataFrame, run: DataFrame) -> DataFrame:
 
 def grouped_span(spans: pd.DataFrame, gap: float = 6.0, ratio: float = 0.5) -> pd.DataFrame:
     """For applyInPandas: spans of one row and side by distance, chained while they are near to and level with what has grown."""
-    s = spans.sort_values(["gap", "x0"]).reset_index(drop=True)
-    x0, y0, x1, y1, n = *s.loc[0, ["x0", "y0", "x1", "y1"]], 1
-    for r in s.iloc[1:].itertuples():
-        level = min(y1, r.y1) - max(y0, r.y0)
-        if max(r.x0 - x1, x0 - r.x1) > gap or level < ratio * min(y1 - y0, r.y1 - r.y0):
+    rows = sorted(zip(*(spans[c].tolist() for c in ("gap", "x0", "y0", "x1", "y1"))))
+    (_, x0, y0, x1, y1), n = rows[0], 1
+    for _, rx0, ry0, rx1, ry1 in rows[1:]:
+        level = min(y1, ry1) - max(y0, ry0)
+        if max(rx0 - x1, x0 - rx1) > gap or level < ratio * min(y1 - y0, ry1 - ry0):
             break
-        x0, y0, x1, y1, n = min(x0, r.x0), min(y0, r.y0), max(x1, r.x1), max(y1, r.y1), n + 1
-    return pd.DataFrame({"doc_id": [s.doc_id[0]], "token_idx": [s.token_idx[0]], "n": [n], "x0": [x0], "y0": [y0], "x1": [x1], "y1": [y1]})
+        x0, y0, x1, y1, n = min(x0, rx0), min(y0, ry0), max(x1, rx1), max(y1, ry1), n + 1
+    return pd.DataFrame({"doc_id": spans["doc_id"].iloc[:1].tolist(), "token_idx": spans["token_idx"].iloc[:1].tolist(), "n": [n], "x0": [x0], "y0": [y0], "x1": [x1], "y1": [y1]})
+
+
+# The line bucket, the tolerance in height, the widest gap and the window at a box's edge, in points.
+BUCKET_PT, LINE_PT, MAX_GAP_PT, EDGE_PT = 2.0, 8.0, 260.0, 24.0
+
+
+def line_anchor(candidates: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """The anchor that an overlay's prefix or suffix is drawn from: the farthest run near the box's edge on its line.
+
+    candidates: keys, text, role (left, right or center), x0, y0, x1, y1 of a run, and bx0, bx1 and target_y of its box.
+    """
+    c = F.col
+    middle = (c("y0") + c("y1")) / 2
+    off = F.abs(middle - c("target_y"))
+    level = (F.abs(F.round(middle / BUCKET_PT) - F.round(c("target_y") / BUCKET_PT)) <= 1) | (off <= LINE_PT)
+    prefix = side == "prefix"
+    gap = c("bx0") - c("x1") if prefix else c("x0") - c("bx1")
+    reach = c("x0") <= c("bx1") + MAX_GAP_PT * 0.2 if prefix else c("x1") + MAX_GAP_PT * 0.2 >= c("bx0")
+    d = candidates.where((F.trim("text") != "") & level & (c("role") != ("right" if prefix else "left")) & (gap <= F.least(F.lit(MAX_GAP_PT), F.lit(EDGE_PT))) & reach)
+    order = F.struct((c("x0") if prefix else -c("x0")).alias("x"), off.alias("off"), "text")
+    return d.groupBy(*keys).agg(F.min_by(F.struct("text", "x0", "x1"), order).alias("_a")).select(*keys, "_a.*")
+
+
+def overlay_width(text: Column, size: Column, scale: Column, table: Column, first: Column) -> Column:
+    """A text's width by a width table (units from a first code on); characters beyond it count nothing, and .6 of the size a character if none is in it."""
+    units = F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.when(F.ascii(x) >= first, F.get(table, F.ascii(x) - first)))
+    known = F.filter(units, lambda x: x.isNotNull())
+    width = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) * size / 1000)
+    rest = F.greatest(F.abs(size), F.lit(1.0)) * 0.6 * F.greatest(F.char_length(text), F.lit(1))
+    return F.when(width > 0, width).otherwise(rest) * F.greatest(scale / 100, F.lit(0.01))

@@ -37,8 +37,21 @@ def greedy_match(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(keep, columns=["doc_id", "t", "f", "iou"])
 
 
+def each_part(step, keys: list[str]):
+    """For applyInPandas over documents: the step on each of their parts. Parts are small and many; a group for each would cost more than the step."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([step(p) for _, p in pdf.groupby(keys, sort=False)], ignore_index=True)
+
+    return run
+
+
 def match(pairs: DataFrame) -> DataFrame:
-    return pairs.select("doc_id", "line", "t", "f", "iou").groupBy("doc_id", "line").applyInPandas(greedy_match, "doc_id long, t long, f long, iou double")
+    return pairs.select("doc_id", "line", "t", "f", "iou").groupBy("doc_id").applyInPandas(each_part(greedy_match, ["line"]), "doc_id long, t long, f long, iou double")
+
+
+def spaced(boxes: DataFrame) -> DataFrame:
+    return boxes.select("doc_id", "line", "token_idx", "target", "x0", "x1").groupBy("doc_id").applyInPandas(each_part(spaced_sample, ["line"]), "doc_id long, line long, token_idx long, target string")
 
 
 def prf(tp: Column, n_truth: Column, n_found: Column) -> dict[str, Column]:
@@ -104,7 +117,7 @@ def spaced_sample(pdf: pd.DataFrame) -> pd.DataFrame:
         if r.target not in texts and all(r.x0 >= x1 or r.x1 <= x0 for x0, x1 in taken):
             texts.add(r.target)
             taken.append((r.x0, r.x1))
-    keep = pdf[pdf["target"].isin(texts)].drop_duplicates("target")
+    keep = pdf[pdf["target"].isin(texts)].sort_values("token_idx").drop_duplicates("target")
     return keep[["doc_id", "line", "token_idx", "target"]]
 
 

@@ -42,6 +42,16 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     return names[roots][labels], len(kept)
 
 
+def parts(labels: np.ndarray, n: int):
+    """Rows and columns of the pixels of each label, all found in one pass."""
+    ys, xs = np.nonzero(labels)
+    of = labels[ys, xs]
+    order = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[order], np.arange(1, n + 2))
+    for a, z in zip(edge[:-1], edge[1:]):
+        yield ys[order[a:z]], xs[order[a:z]]
+
+
 def column_runs(mask: np.ndarray, share: float = 0.5, bridge: int = 1) -> list[tuple[int, int]]:
     """Runs of columns that are dark for at least this share; gaps of `bridge` columns at most are filled."""
     on = mask.mean(0) >= share
@@ -68,8 +78,7 @@ def regions(rgba: np.ndarray, min_area: int = 8) -> list[tuple]:
     g = gray(rgba)
     labels, n = components(g < max(min(0.65 * g.mean(), 120), int(g.min()) + 5, 32))
     out = []
-    for k in range(1, n + 1):
-        ys, xs = np.nonzero(labels == k)
+    for ys, xs in parts(labels, n):
         if len(ys) < min_area:
             continue
         x0, y0, x1, y1 = xs.min(), ys.min(), xs.max() + 1, ys.max() + 1
@@ -99,8 +108,7 @@ def grid_regions(g: np.ndarray) -> list[tuple]:
     mean = np.add.reduceat(np.add.reduceat(g.astype(np.int64), rows[:-1], 0), cols[:-1], 1) / area
     labels, n = components(mean <= max(min(0.65 * g.mean(), 120.0), float(g.min()) + 5, 32.0))
     out = []
-    for k in range(1, n + 1):
-        ys, xs = np.nonzero(labels == k)
+    for ys, xs in parts(labels, n):
         pixels = int(area[ys, xs].sum())
         x0, x1, y0, y1 = int(cols[xs.min()]), int(cols[xs.max() + 1]), int(rows[ys.min()]), int(rows[ys.max() + 1])
         share, short, long = pixels / g.size, min(x1 - x0, y1 - y0), max(x1 - x0, y1 - y0)
@@ -126,8 +134,7 @@ def dark_components(g: np.ndarray, limit: int = DARK, least: int = 8, excluded:
         mask[y0:y1, x0:x1] = False
     labels, n = components(mask)
     out = []
-    for k in range(1, n + 1):
-        ys, xs = np.nonzero(labels == k)
+    for ys, xs in parts(labels, n):
         if len(ys) >= least:
             out.append((int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1, len(ys)))
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..operators import analysis as an
-from ..operators import context, raster
+from ..operators import context, detection, evaluate, raster
 from ..sources import fonts, layout, pdf, render
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -53,25 +53,15 @@ def d02(spark, d):
     return pdf.read_rects(files(spark, d)).select("path", "x0", "y0", "x1", "y1")
 
 
-@query("d13_dark_regions")
-def d13(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id").mapInPandas(raster.detect, raster.REGIONS)
-
-
-@query("v05_dominant_component")
-def v05(spark, d):
-    r = d13(spark, d)
-    best = r.groupBy("page_id").agg(F.max_by(F.struct("x0", "y0", "x1", "y1", "area", "fill", "verdict"), F.struct("area", -F.col("x0"), -F.col("y0"))).alias("b"))
-    return best.select("page_id", "b.*")
-
-
-@query("v08_grouped_span")
+@query("v08_grouped_span", layout.SQL + """, s as (select b.doc_id, b.token_idx, r.x0, r.y0, r.x1, r.y1, b.x0 - r.x1 as gap from box b join run r on b.doc_id = r.doc_id and b.line = r.line where r.x1 <= b.x0),
+ c as (select *, coalesce(lag(x0) over w - x1 <= 6, true) as near from s window w as (partition by doc_id, token_idx order by gap, x0)), k as (select *, bool_and(near) over (partition by doc_id, token_idx order by gap, x0) as chained from c)
+select doc_id, token_idx, count(*) as n, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from k where chained group by 1, 2""")
 def v08(spark, d):
     t = layout.load(spark, d)
     b = layout.boxes(t).select("doc_id", "line", "token_idx", F.col("x0").alias("bx0"))
     r = layout.runs(t).select("doc_id", "line", "x0", "y0", "x1", "y1")
     s = b.join(r, ["doc_id", "line"]).where("x1 <= bx0").withColumn("gap", F.col("bx0") - F.col("x1"))
-    return s.groupBy("doc_id", "token_idx").applyInPandas(lambda pdf_: context.grouped_span(pdf_), "doc_id long, token_idx long, n long, x0 double, y0 double, x1 double, y1 double")
+    return s.groupBy("doc_id").applyInPandas(evaluate.each_part(context.grouped_span, ["token_idx"]), "doc_id long, token_idx long, n long, x0 double, y0 double, x1 double, y1 double")
 
 
 @query("z01_windowed_timings", "select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2")
@@ -268,3 +258,23 @@ def p28(spark, d):
 def f03(spark, d):
     f = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("family")).agg(F.count("*").alias("n"), F.collect_set("p_type").alias("occurrences"))
     return an.without_details(f, "occurrences", show=False)
+
+
+PROFILED = "region int, px0 int, py0 int, px1 int, py1 int, pixels int, fill double, dark double, spread double, verdict string"
+
+
+@query("d13_dark_regions", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, x0::int as px0, (792 - y1)::int as py0, x1::int as px1, (792 - y0)::int as py1, ((x1 - x0) * (y1 - y0))::int as pixels, 1.0::double as fill, 1.0::double as dark, 0.0::double as spread, 'selected_black_component' as verdict from r")
+def d13(spark, d):
+    r = on_pages(font_files(spark, d), 72, PROFILED, lambda a, w, h: raster.regions(a))
+    return r.where("verdict = 'selected_black_component'").drop("page_index", "region")
+
+
+@query("v05_dominant_component", "select 'doc' || doc_id || '.pdf' as path, (72 + doc_id % 100)::int as px0, 722::int as py0, (172 + doc_id % 100)::int as px1, 742::int as py1, 2000::int as pixels, 1.0::double as fill from documents")
+def v05(spark, d):
+    return d13(spark, d).groupBy("path").agg(F.max_by(F.struct("px0", "py0", "px1", "py1", "pixels", "fill"), F.struct("pixels", -F.col("px0"), -F.col("py0"))).alias("b")).select("path", "b.*")
+
+
+@query("d01_annotation_scan", "select 'doc' || doc_id || '.pdf' as path, k as seq, (72 + k * 10)::double as x0, 200.0::double as y0, (90 + k * 10)::double as x1, 212.0::double as y1 from documents, (values (0), (1)) v(k) where k = 0 or doc_id % 3 = 0")
+def d01(spark, d):
+    a = fonts.read_annotations(font_files(spark, d))
+    return detection.annotation_hits(a, ["subtype", "rt", "it", "ft", "nm", "contents"]).select("path", F.col("seq").cast("int").alias("seq"), "x0", "y0", "x1", "y1")

@@ -12,6 +12,7 @@ from .dictionary import VARIANTS, normal
 from .flagship import EDGES_SQL
 
 L = layout.SQL
+LR = L.replace("with lay_w", "with recursive lay_w", 1)
 QUERIES, ORACLE_SQL = {}, {}
 
 
@@ -58,7 +59,11 @@ def e03(spark, d):
     return ev.iou_pairs(*boxes(spark, d)).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.max("iou").alias("best"))
 
 
-@query("e04_greedy_match")
+@query("e04_greedy_match", LR + PAIRS + """, s as (select doc_id, line, t, f, iou, row_number() over (partition by doc_id, line order by iou desc, t, f) as i from pr),
+ g as (select doc_id, line, i, t, f, iou, [t] as ut, [f] as uf, true as keep from s where i = 1 union all
+  select s.doc_id, s.line, s.i, s.t, s.f, s.iou, case when list_contains(ut, s.t) or list_contains(uf, s.f) then ut else list_append(ut, s.t) end, case when list_contains(ut, s.t) or list_contains(uf, s.f) then uf else list_append(uf, s.f) end,
+   not (list_contains(ut, s.t) or list_contains(uf, s.f)) from g join s on s.doc_id = g.doc_id and s.line = g.line and s.i = g.i + 1)
+select doc_id, t, f, iou from g where keep""")
 def e04(spark, d):
     return ev.match(ev.iou_pairs(*boxes(spark, d)))
 
@@ -160,10 +165,10 @@ def e19(spark, d):
     return k.where(F.rlike("token", F.lit(layout.TARGET)) & F.expr("same = 1 and pv is not null and nx is not null and x1 - x0 >= 6")).select("doc_id", "token_idx", "token")
 
 
-@query("e20_spaced_sample")
+@query("e20_spaced_sample", L + "select doc_id, line, min(token_idx) as token_idx, target from box group by doc_id, line, target")
 def e20(spark, d):
     b, _ = boxes(spark, d)
-    return b.select("doc_id", "line", "token_idx", "target", "x0", "x1").groupBy("doc_id", "line").applyInPandas(ev.spaced_sample, "doc_id long, line long, token_idx long, target string")
+    return ev.spaced(b)
 
 
 @query("e21_bounded_dictionary", "select name from (select distinct name from (select c_name as name from customer union all select s_name from supplier)) order by md5('7:' || name), name limit 200")
@@ -306,7 +311,11 @@ def e45(spark, d):
     return an.pool_ceiling(ranks(spark, d), ["label"], "fam", {"O": "base", "F": "full_"})
 
 
-@query("e46_cluster_assignment")
+@query("e46_cluster_assignment", f"""with recursive {RANKS}, k as (select label as row_id, label // 8 as cluster, row_number() over (partition by label order by err, cand) as rank, fam as text from rk),
+ r as (select cluster, row_id, list(text order by rank) as texts, row_number() over (partition by cluster order by row_id) as i from k group by cluster, row_id),
+ g as (select cluster, row_id, i, texts[1] as independent, texts[1] as unique_text, [texts[1]] as used from r where i = 1 union all
+  select r.cluster, r.row_id, r.i, r.texts[1], list_filter(r.texts, lambda x: not list_contains(g.used, x))[1], list_concat(g.used, list_filter(r.texts, lambda x: not list_contains(g.used, x))[1:1]) from g join r on r.cluster = g.cluster and r.i = g.i + 1)
+select cluster, row_id, independent, unique_text from g""")
 def e46(spark, d):
     k = ranks(spark, d).select(F.col("label").alias("row_id"), (F.col("label") / 8).cast("long").alias("cluster"), F.row_number().over(Window.partitionBy("label").orderBy("err", "cand")).alias("rank"), F.col("fam").alias("text"))
     return k.groupBy("cluster").applyInPandas(ev.greedy_assignment, "cluster long, row_id long, independent string, unique_text string")
@@ -438,7 +447,7 @@ def p01(spark, d):
     return an.most_common(ranks(spark, d), "cand", 10, 2)
 
 
-@query("p03_seed_clusters")
+@query("p03_seed_clusters", L + "select doc_id, page_index, token_idx, dense_rank() over (partition by doc_id, page_index order by y1) - 1 as cluster from box")
 def p03(spark, d):
     b, _ = boxes(spark, d)
     return b.select("doc_id", "page_index", "token_idx", "x0", "y0", "y1").groupBy("doc_id", "page_index").applyInPandas(lambda pdf: ev.cluster_by_seed(pdf), "doc_id long, page_index long, token_idx long, cluster long")

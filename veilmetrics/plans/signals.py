@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.widths import HELVETICA
 from ..operators import analysis as an
 from ..operators import context, measure
 from ..sources import layout
@@ -181,6 +182,24 @@ def m15(spark, d):
     return measure.edges(layout.load(spark, d)).select("doc_id", "token_idx", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in codes.items()]))).alias("code"))
 
 
+@query("o04_line_anchor", L + """, c as (select b.doc_id, b.token_idx, r.token, r.x0, r.x1, b.x0 as bx0, b.x1 as bx1, abs((r.y0 + r.y1) / 2 - (b.y0 + b.y1) / 2) as off from box b join run r on b.doc_id = r.doc_id and b.page_index = r.page_index and r.line between b.line - 1 and b.line + 1
+  where trim(r.token) <> '' and (abs(round((r.y0 + r.y1) / 2 / 2) - round((b.y0 + b.y1) / 2 / 2)) <= 1 or abs((r.y0 + r.y1) / 2 - (b.y0 + b.y1) / 2) <= 8) and r.x0 <= b.x0),
+ f as (select * from c where bx0 - x1 <= 24 and x0 <= bx1 + 52), k as (select *, row_number() over (partition by doc_id, token_idx order by x0, off, token) as n from f) select doc_id, token_idx, token as text, round(x0, 4) as x0 from k where n = 1""")
+def o04(spark, d):
+    tok = layout.load(spark, d)
+    b = layout.boxes(tok).select("doc_id", "page_index", "token_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), ((F.col("y0") + F.col("y1")) / 2).alias("target_y"), F.explode(F.sequence(F.col("line") - 1, F.col("line") + 1)).alias("line"))
+    r = layout.runs(tok).select("doc_id", "page_index", "line", F.col("token").alias("text"), "x0", "y0", "x1", "y1")
+    c = b.join(r, ["doc_id", "page_index", "line"]).withColumn("role", F.when(F.col("x0") <= F.col("bx0"), "left").otherwise("right"))
+    return context.line_anchor(c, ["doc_id", "token_idx"], "prefix").select("doc_id", "token_idx", "text", F.round("x0", 4).alias("x0"))
+
+
+@query("o06_overlay_width", L + f", u as (select distinct token from tok where token <> '' and regexp_matches(token, '^[ -~]+$')) select token, round(case when len(list_filter(string_split(token, ''), lambda c: c <> '' and ascii(c) between 32 and 99)) > 0 then list_sum(list_transform(list_filter(string_split(token, ''), lambda c: c <> '' and ascii(c) between 32 and 99), lambda c: ({HELVETICA})[ascii(c) - 31])) * 11 / 1000::double else 11 * 0.6::double * length(token) end * 0.9::double, 4) as width from u")
+def o06(spark, d):
+    u = layout.words(spark.read.parquet(f"{d}/documents.parquet")).where("token <> ''").where(F.rlike("token", F.lit("^[ -~]+$"))).select("token").distinct()
+    table = F.array(*[F.lit(float(x)) for x in HELVETICA[:68]])
+    return u.select("token", F.round(context.overlay_width(F.col("token"), F.lit(11.0), F.lit(90.0), table, F.lit(32)), 4).alias("width"))
+
+
 @query("v03_rect_pixels", L + "select doc_id, token_idx, greatest(0, floor(x0 * 200 / 72))::int as px0, least(1700, ceil(x1 * 200 / 72))::int as px1 from box")
 def v03(spark, d):
     b = layout.boxes(layout.load(spark, d))

@@ -51,12 +51,6 @@ def d07(spark, d):
     return e.select(detection.is_black(*detection.cmyk_to_rgb(c, m, y, k)).alias("black")).groupBy("black").agg(F.count("*").alias("n"))
 
 
-@query("d01_annotation_scan", """select conv_id, turn, role from conversations where regexp_matches(lower(coalesce(role, '') || ' ' || coalesce(text, '')), 'redact|blackout|the')""")
-def d01(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    return detection.annotation_hits(c, ["role", "text"], "redact|blackout|the").select("conv_id", "turn", "role")
-
-
 @query("d15_pixel_round_trip", L + """, p as (select doc_id, token_idx, floor(greatest(0, x0) * 96 / 72)::int as px0, ceil(least(612, x1) * 96 / 72)::int as px1, floor((792 - least(792, y1)) * 96 / 72)::int as py0, ceil((792 - greatest(0, y0)) * 96 / 72)::int as py1 from box)
 select doc_id, token_idx, px0, py0, px1, py1, round(px0 * 72 / 96.0::double, 4) as rx0, round(792 - py1 * 72 / 96.0::double, 4) as ry0, round(px1 * 72 / 96.0::double, 4) as rx1, round(792 - py0 * 72 / 96.0::double, 4) as ry1 from p""")
 def d15(spark, d):
@@ -234,7 +228,7 @@ def j17(spark, d):
 
 J18 = REL + """, rgt as (select b.doc_id, b.token_idx, r.token_idx as rt, r.x0 - b.x1 as gap from det b join run r on b.doc_id = r.doc_id and b.line = r.line where r.x0 >= b.x1),
  l2 as (select doc_id, token_idx, rt, gap, row_number() over (partition by doc_id, token_idx order by round(gap * 10000), rt) as k from rel where relation = 0), r2 as (select *, row_number() over (partition by doc_id, token_idx order by round(gap * 10000), rt) as k from rgt),
- pr as (select l.doc_id, l.token_idx, l.rt as left_rt, r.rt as right_rt, round((l.gap + r.gap) * 10000)::bigint as gap_sum, round(greatest(l.gap, r.gap) * 10000)::bigint as gap_max from (select * from l2 where k <= 3) l join (select * from r2 where k <= 3) r using (doc_id, token_idx))
+ pr as (select l.doc_id, l.token_idx, l.rt as left_rt, r.rt as right_rt, round((l.gap + r.gap) * 10000)::bigint as gap_sum, round(greatest(l.gap, r.gap) * 10000)::bigint as gap_max from l2 l join r2 r using (doc_id, token_idx))
 """
 
 

@@ -336,6 +336,19 @@ def drawn(f: File, content: bytes, resources: Any, seen: frozenset = frozenset()
     return out
 
 
+def annotations(f: File, page: dict) -> list[tuple]:
+    """(subtype, rt, it, ft, nm, contents, x0, y0, x1, y1) of a page's annotations that have a rectangle."""
+    text = lambda v: v.decode("utf-16") if isinstance(v, bytes) and v[:2] in (b"\xfe\xff", b"\xff\xfe") else v.decode("latin-1") if isinstance(v, bytes) else None if v is None else str(v)
+    out = []
+    for a in f.get(page.get("Annots")) or []:
+        a = f.get(a)
+        r = f.get(a.get("Rect")) if isinstance(a, dict) else None
+        if isinstance(r, list) and len(r) == 4:
+            x0, y0, x1, y1 = map(float, r)
+            out.append((*(text(f.get(a.get(k))) for k in ("Subtype", "RT", "IT", "FT", "NM", "Contents")), min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)))
+    return out
+
+
 def _pages(data: bytes):
     f = File(data)
     for i, p in enumerate(f.pages()):
@@ -346,6 +359,15 @@ SHOWN = "path string, page_index int, seq int, text string, x0 double, y0 double
 DRAWN = "path string, page_index int, seq int, kind string, x0 double, y0 double, x1 double, y1 double, error string"
 TRUTH = "path string, page_index int, font_key string, subtype string, base_font string, name string, unicode_source string, width_source string, codes map<int,string>, widths map<int,double>, embedded boolean, has_widths boolean, to_unicode boolean, differences boolean, named boolean, error string"
 
+NOTES = "path string, page_index int, seq int, subtype string, rt string, it string, ft string, nm string, contents string, x0 double, y0 double, x1 double, y1 double, error string"
+
+
+def _notes(data: bytes) -> list[tuple]:
+    f = File(data)
+    return [(i, k, *r) for i, p in enumerate(f.pages()) for k, r in enumerate(annotations(f, p))]
+
+
+read_annotations = pdf._reader(NOTES, _notes)
 read_shown = pdf._reader(SHOWN, lambda d: [(i, k, *r) for i, f, c, res in _pages(d) for k, r in enumerate(shown(f, c, res))])
 read_drawn = pdf._reader(DRAWN, lambda d: [(i, k, *r) for i, f, c, res in _pages(d) for k, r in enumerate(drawn(f, c, res))])
 read_truth = pdf._reader(TRUTH, lambda d: [(i, k, t["subtype"], t["base_font"], t["name"], t["unicode_source"], t["width_source"], t["chars"], {c: float(w) for c, w in t["widths"].items()}, t["embedded"], t["has_widths"], t["to_unicode"], t["differences"], t["named"])
@@ -405,7 +427,7 @@ def make_pdf(lines: list[str], first: str, at: int) -> bytes:
     cmap = "begincmap 1 begincodespacerange <00> <ff> endcodespacerange\n" + "".join(f"1 beginbfchar <{i:02x}> <{c.encode('utf-16-be').hex()}> endbfchar\n" for c, i in code.items()) + "endcmap"
     form = f"0 0 0 rg 300 {100 + at % 50} 60 12 re f"
     objs = [
-        "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] /Resources 4 0 R >>", "<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>",
+        "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] /Resources 4 0 R >>", f"<< /Type /Page /Parent 2 0 R /Contents 5 0 R /Annots [<< /Subtype /Redact /Rect [72 200 90 212] >> << /Subtype /Square /Contents ({'Black' if at % 3 == 0 else 'white'}out) /Rect [100 212 82 200] >> << /Subtype /Text /Contents (a note) /Rect [1 2 3 4] >>] >>",
         "<< /Font << /F1 6 0 R /F2 7 0 R /F3 << /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >> >> /XObject << /X1 9 0 R >> >>", (body, ""),
         f"<< /Type /Font /Subtype /Type1 /BaseFont /ABCDEF+Sans-Bold /FirstChar 130 /Widths [{' '.join('500' for _ in names)}] /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [130 {' '.join('/' + n for n in names)}] >> >>",
         "<< /Type /Font /Subtype /Type1 /BaseFont /Courier /ToUnicode 8 0 R >>", (cmap, ""), (form, " /Type /XObject /Subtype /Form /BBox [0 0 612 792]")]
