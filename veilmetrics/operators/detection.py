@@ -91,3 +91,29 @@ def dense_boxes(box: DataFrame, gap: float = 96.0) -> DataFrame:
     left = near("_l.y0", "_l.y1", F.col("_l.y1") - F.col("_l.y0"), F.col("x0") - F.col("_l.x1"))
     right = near("_r.y0", "_r.y1", F.col("_r.y1") - F.col("_r.y0"), F.col("_r.x0") - F.col("x1"))
     return b.where((F.col("_l").isNotNull() & F.coalesce(left, F.lit(False))) | (F.col("_r").isNotNull() & F.coalesce(right, F.lit(False)))).select("doc_id", "token_idx")
+
+
+def fill_bright_gaps(columns: DataFrame, keys: list[str], order: str, dark: str) -> DataFrame:
+    """Adds `filled`: dark, or a single bright column between two dark ones."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    beside = F.coalesce(F.lag(dark).over(w), F.lit(False)) & F.coalesce(F.lead(dark).over(w), F.lit(False))
+    return columns.withColumn("filled", F.col(dark) | beside)
+
+
+def dark_runs(columns: DataFrame, keys: list[str], order: str, dark: str) -> DataFrame:
+    """Runs of dark columns: the first (a) and the one after the last (z)."""
+    all_, own = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys, dark).orderBy(order)
+    r = columns.withColumn("isl", F.row_number().over(all_) - F.row_number().over(own)).where(F.col(dark))
+    return r.groupBy(*keys, "isl").agg(F.min(order).alias("a"), (F.max(order) + 1).alias("z"))
+
+
+def run_profile(runs: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """How many runs a region has, the longest, and the share of its width that they cover."""
+    length = F.col("z") - F.col("a")
+    return runs.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.max(length).alias("longest"), F.round(F.sum(length) / F.lit(float(width)), 6).alias("coverage"))
+
+
+def split_factor(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs with the factor of their score: a region of several runs is split, which is the surer the fewer they are."""
+    n = runs.withColumn("_k", F.count("*").over(Window.partitionBy(*keys)))
+    return n.withColumn("factor", F.round(F.when(F.col("_k") > 1, F.lit(0.85) + F.lit(0.15) / F.col("_k")).otherwise(F.lit(1.0)), 6)).drop("_k")

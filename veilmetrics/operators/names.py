@@ -184,6 +184,12 @@ def orthographic(token: Column) -> Column:
     return F.filter(made, lambda x: x.isNotNull() & (x["text"] != ""))
 
 
+def shapes(entry: Column) -> Column:
+    """The entry, with spaces for hyphens, with hyphens for spaces, and without hyphens, each once."""
+    r = lambda a, b: F.replace(entry, F.lit(a), F.lit(b))
+    return F.array_distinct(F.array(entry, r("-", " "), r(" ", "-"), r("-", "")))
+
+
 def _token_variants(token: Column, aliases: Column) -> Column:
     """The token, its shapes, its aliases and their shapes: each text once, MAX_TOKEN at most."""
     none = F.lit(None).cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..operators import analysis as an
 from ..operators import context, detection, evaluate, raster
+from ..operators import typography as ty
 from ..sources import fonts, layout, pdf, render
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -45,7 +46,7 @@ def t01(spark, d):
 @query("t02_text_hit_width", "select round(0.6 * 12 * length(w), 4)::double as width, count(*) as n from (select unnest(regexp_split_to_array(trim(text), '\\s+')) as w from documents) group by 1")
 def t02(spark, d):
     w = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(F.split(F.trim("text"), r"\s+")).alias("w"))
-    return w.groupBy(F.round(F.lit(0.6) * 12 * F.length("w"), 4).alias("width")).agg(F.count("*").alias("n"))
+    return w.groupBy(F.round(ty.simple_width(F.length("w"), F.lit(12)), 4).alias("width")).agg(F.count("*").alias("n"))
 
 
 @query("d02_drawn_rects", "select 'doc' || doc_id || '.pdf' as path, 72.0::double as x0, 694.0::double as y0, 162.0::double as x1, 706.0::double as y1 from documents")

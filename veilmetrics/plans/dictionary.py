@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import names
+from ..operators import typography as ty
 from ..sources import fonts, layout
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -132,8 +133,7 @@ def x06(spark, d):
 
 @query("x07_orthographic", f"select entry_idx, list_distinct([entry, replace(entry, '-', ' '), replace(entry, ' ', '-'), replace(entry, '-', '')]).len() as n_shapes from {NORM}")
 def x07(spark, d):
-    e, r = F.col("entry"), lambda a, b: F.replace(F.col("entry"), F.lit(a), F.lit(b))
-    return normal(spark, d).select("entry_idx", F.size(F.array_distinct(F.array(e, r("-", " "), r(" ", "-"), r("-", "")))).cast("long").alias("n_shapes"))
+    return normal(spark, d).select("entry_idx", F.size(names.shapes(F.col("entry"))).cast("long").alias("n_shapes"))
 
 
 TITLE = """array_to_string(list_transform(range(1, length(%s) + 1), lambda i: case when i = 1 or (%s)[i - 1] in (' ', '-', '''') then upper((%s)[i]) else lower((%s)[i]) end), '')"""
@@ -222,20 +222,19 @@ def t17(spark, d):
 
 @query("f01_font_counts", "select p_brand as family, p_type as variant, count(*) as n from part group by 1, 2")
 def f01(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("family"), F.col("p_type").alias("variant")).agg(F.count("*").alias("n"))
+    return ty.font_counts(spark.read.parquet(f"{d}/part.parquet"), "p_brand", "p_type")
 
 
 @query("f02_distinct_fonts", "select distinct p_brand as family, p_type as variant from part")
 def f02(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("family"), F.col("p_type").alias("variant")).distinct()
+    return ty.distinct_fonts(spark.read.parquet(f"{d}/part.parquet"), "p_brand", "p_type")
 
 
 @query("f04_inventory_rollup", "select coalesce(l_returnflag, 'all') as file, coalesce(l_linestatus, 'all') as source, count(*) as n, count(*) filter (where l_quantity > 25) as with_widths from lineitem group by rollup (l_returnflag, l_linestatus)")
 def f04(spark, d):
-    r = spark.read.parquet(f"{d}/lineitem.parquet").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 25).alias("with_widths"))
-    return r.select(F.coalesce("l_returnflag", F.lit("all")).alias("file"), F.coalesce("l_linestatus", F.lit("all")).alias("source"), "n", "with_widths")
+    return ty.inventory_rollup(spark.read.parquet(f"{d}/lineitem.parquet"), "l_returnflag", "l_linestatus", {"with_widths": F.col("l_quantity") > 25})
 
 
 @query("f05_all_have_source", "select count(*) filter (where ok) as complete, count(*) as files from (select l_orderkey, bool_and(l_tax > 0) as ok from lineitem group by 1)")
 def f05(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.bool_and(F.col("l_tax") > 0).alias("ok")).agg(F.count_if("ok").alias("complete"), F.count("*").alias("files"))
+    return ty.complete_files(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", F.col("l_tax") > 0)

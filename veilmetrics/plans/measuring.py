@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import widths
 from ..operators import measure, names
+from ..operators import typography as ty
 from ..sources import layout
 from .dictionary import VARIANTS, entries
 from .flagship import DICT_SQL, EDGES_SQL
@@ -140,8 +141,7 @@ def m14(spark, d):
 
 @query("t05_newline_delta", "select event_id, round(case when abs(value - 50) > 0.01 then -(value - 50) else -1.2 * (10 + user_id % 3) end, 4) as delta from events")
 def t05(spark, d):
-    v = F.col("value") - 50
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(F.when(F.abs(v) > 0.01, -v).otherwise(F.lit(-1.2) * (10 + F.col("user_id") % 3)), 4).alias("delta"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(ty.newline_delta(F.col("value") - 50, 10 + F.col("user_id") % 3), 4).alias("delta"))
 
 
 CHARS = f"list_filter(string_split(token, ''), lambda c: c <> '')"
@@ -150,16 +150,14 @@ CHARS = f"list_filter(string_split(token, ''), lambda c: c <> '')"
 @query("t06_run_width", L + "select doc_id, token_idx, round(greatest(0.001, units * font_size / 1000::double + (length(token) - 1) * 0.3::double * font_size / 1000 + case when length(token) > 3 then -0.5::double else 0 end), 4) as width from tok where token <> ''")
 def t06(spark, d):
     n = F.length("token")
-    w = F.col("units") * F.col("font_size") / F.lit(1000.0) + (n - 1) * F.lit(0.3) * F.col("font_size") / 1000 + F.when(n > 3, -0.5).otherwise(0.0)
-    return layout.load(spark, d).where("token <> ''").select("doc_id", "token_idx", F.round(F.greatest(F.lit(0.001), w), 4).alias("width"))
+    w = ty.run_width(F.col("units") * F.col("font_size") / F.lit(1000.0), n, F.lit(0.3) * F.col("font_size") / 1000, F.lit(0.0), F.lit(0), F.when(n > 3, -0.5).otherwise(0.0))
+    return layout.load(spark, d).where("token <> ''").select("doc_id", "token_idx", F.round(w, 4).alias("width"))
 
 
 @query("t07_normalise_advances", f"with a as (select vec_id, list_transform(embedding, lambda x: round(x::double, 6)) as a from embeddings), s as (select *, len(list_filter(a, lambda x: x < 0)) as neg, list_sum(a) as s from a) select vec_id, neg > 0 as uniform, round(case when neg > 0 then 100.0::double / len(a) else a[1] * 100 / s end, 4) as first_ from s")
 def t07(spark, d):
     a = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("a"))
-    neg = F.exists("a", lambda x: x < 0)
-    total = F.aggregate("a", F.lit(0.0), lambda s, x: s + x)
-    return a.select("vec_id", neg.alias("uniform"), F.round(F.when(neg, F.lit(100.0) / F.size("a")).otherwise(F.get("a", F.lit(0)) * 100 / total), 4).alias("first_"))
+    return a.select("vec_id", F.exists("a", lambda x: x < 0).alias("uniform"), F.round(F.get(ty.normalised_advances(F.col("a"), F.lit(100.0)), F.lit(0)), 4).alias("first_"))
 
 
 @query("t09_core_font_width", L + f", s as (select token, count(*) as n from tok where token <> '' group by 1) select token, n, case when {MISSING.format(x='token')} = 0 then round({UNITS.format(x='token')} * 12 / 1000::double, 4) else round(greatest(1, 0.6::double * 12 * length(token)), 4) end as width from s")
@@ -176,4 +174,4 @@ def t10(spark, d):
 
 @query("t12_width_priority", "select l_orderkey, l_linenumber, coalesce(case when l_discount > 0.05 then 'explicit' end, case when l_tax > 0.03 then 'standard14' end, 'none') as source from lineitem")
 def t12(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.coalesce(F.when(F.col("l_discount") > 0.05, "explicit"), F.when(F.col("l_tax") > 0.03, "standard14"), F.lit("none")).alias("source"))
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", ty.width_source(F.col("l_discount") > 0.05, F.col("l_tax") > 0.03).alias("source"))

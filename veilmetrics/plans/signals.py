@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.widths import HELVETICA
 from ..operators import analysis as an
-from ..operators import context, measure
+from ..operators import context, detection, measure
+from ..operators import typography as ty
 from ..sources import layout
 from .evaluation import RANKS, ranks
 from .flagship import EDGES_SQL
@@ -33,9 +34,8 @@ def t(spark, d, name):
 @query("j15_boundary_geometry", "select conv_id, turn, length(text) - length(ltrim(text)) as leading, length(text) - length(rtrim(text)) as trailing, round((length(text) - length(ltrim(text))) * 278 * 10 / 1000.0::double, 4) as inner_left from (select conv_id, turn, repeat(' ', turn::int % 3) || text || repeat(' ', conv_id::int % 2) as text from conversations)")
 def j15(spark, d):
     text = F.concat(F.repeat(F.lit(" "), (F.col("turn") % 3).cast("int")), "text", F.repeat(F.lit(" "), (F.col("conv_id") % 2).cast("int")))
-    c = t(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
-    lead, trail = F.length("text") - F.length(F.ltrim("text")), F.length("text") - F.length(F.rtrim("text"))
-    return c.select("conv_id", "turn", lead.cast("long").alias("leading"), trail.cast("long").alias("trailing"), F.round(lead * 278 * 10 / F.lit(1000.0), 4).alias("inner_left"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", ty.boundary(text, F.lit(10)).alias("b"))
+    return c.select("conv_id", "turn", "b.leading", "b.trailing", F.col("b.lead_pt").alias("inner_left"))
 
 
 @query("j19_nonlocal_pairs", L + J18 + "select doc_id, token_idx, left_rt, right_rt from pr where gap_max <= 180000 and gap_sum <= 240000")
@@ -61,16 +61,14 @@ PROFILE = """, c as (select doc_id, line, token_idx, units >= 1200 as dark from
 
 
 def dark_runs(spark, d):
-    w = Window.partitionBy("doc_id", "line").orderBy("token_idx")
     c = layout.load(spark, d).select("doc_id", "line", "token_idx", (F.col("units") >= 1200).alias("dark"))
-    f = c.withColumn("filled", F.col("dark") | (F.coalesce(F.lag("dark").over(w), F.lit(False)) & F.coalesce(F.lead("dark").over(w), F.lit(False))))
-    r = f.withColumn("isl", F.row_number().over(w) - F.row_number().over(Window.partitionBy("doc_id", "line", "filled").orderBy("token_idx")))
-    return f, r.where("filled").groupBy("doc_id", "line", "isl").agg(F.min("token_idx").alias("a"), (F.max("token_idx") + 1).alias("z"))
+    f = detection.fill_bright_gaps(c, ["doc_id", "line"], "token_idx", "dark")
+    return f, detection.dark_runs(f, ["doc_id", "line"], "token_idx", "filled")
 
 
 @query("d10_dark_run_profile", L + PROFILE + "select doc_id, line, count(*) as n_runs, max(z - a) as longest, round(sum(z - a) / 12.0::double, 6) as coverage from runs_ group by 1, 2")
 def d10(spark, d):
-    return dark_runs(spark, d)[1].groupBy("doc_id", "line").agg(F.count("*").alias("n_runs"), F.max(F.col("z") - F.col("a")).alias("longest"), F.round(F.sum(F.col("z") - F.col("a")) / F.lit(12.0), 6).alias("coverage"))
+    return detection.run_profile(dark_runs(spark, d)[1], ["doc_id", "line"], 12)
 
 
 @query("d11_gap_fill", L + PROFILE + "select doc_id, count(*) filter (where filled and not dark) as bridged, count(*) filter (where dark) as dark_ from f group by 1")
@@ -80,8 +78,7 @@ def d11(spark, d):
 
 @query("d12_region_split", L + PROFILE + ", n as (select *, count(*) over (partition by doc_id, line) as k from runs_) select doc_id, line, a, z, round(case when k > 1 then 0.85::double + 0.15 / k else 1 end, 6) as factor from n")
 def d12(spark, d):
-    n = dark_runs(spark, d)[1].withColumn("k", F.count("*").over(Window.partitionBy("doc_id", "line")))
-    return n.select("doc_id", "line", "a", "z", F.round(F.when(F.col("k") > 1, F.lit(0.85) + F.lit(0.15) / F.col("k")).otherwise(F.lit(1.0)), 6).alias("factor"))
+    return detection.split_factor(dark_runs(spark, d)[1], ["doc_id", "line"]).select("doc_id", "line", "a", "z", "factor")
 
 
 @query("o05_joinable_context", L + "select doc_id, line, token_idx from tok where lower(token) in ('and', 'et', 'und', 'y') and token_idx % 12 between 1 and 10")
@@ -176,10 +173,17 @@ def p27(spark, d):
     return measure.edges(layout.load(spark, d)).select(F.concat(F.lit("p"), F.col("page_index").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("place"), "doc_id", "token_idx", F.coalesce("mode", F.lit("unresolved")).alias("mode"), F.round("target_width", 2).alias("target_width"))
 
 
-@query("m15_reason_codes", L + EDGES_SQL + "select doc_id, token_idx, unnest(list_filter(['no_left', 'no_right', 'box_beside', 'wide_gap'], lambda c: (c = 'no_left' and left_edge is null) or (c = 'no_right' and right_edge is null) or (c = 'box_beside' and (prev_box_x1 is not null or next_box_x0 is not null)) or (c = 'wide_gap' and target_width > 60))) as code from edge")
+CODES = {"no_left": "left_edge is null", "no_right": "right_edge is null", "box_beside": "prev_box_x1 is not null or next_box_x0 is not null", "wide_gap": "target_width > 60",
+    "selected_two_sided": "mode = 'two_sided'", "selected_left_only": "mode = 'left_only'", "selected_right_only": "mode = 'right_only'", "rejected_unresolved": "mode = 'unresolved'", "edges_inverted": "right_edge <= left_edge",
+    "width_from_box": "left_edge is null or right_edge is null or right_edge <= left_edge", "width_from_edges": "right_edge > left_edge", "left_gap_negative": "box_x0 - left_edge < 0", "right_gap_negative": "right_edge - box_x1 < 0",
+    "left_gap_wide": "box_x0 - left_edge > 18", "right_gap_wide": "right_edge - box_x1 > 18", "seed_left": "box_x0 - left_edge <= right_edge - box_x1", "seed_right": "box_x0 - left_edge > right_edge - box_x1",
+    "previous_box_adjacent": "box_x0 - prev_box_x1 <= 18", "next_box_adjacent": "next_box_x0 - box_x1 <= 18", "span_wider_than_box": "target_width > box_x1 - box_x0 + 1.0::double", "span_narrower_than_box": "target_width < box_x1 - box_x0 - 1.0::double",
+    "box_narrow": "box_x1 - box_x0 < 20", "box_wide": "box_x1 - box_x0 >= 100", "blocked_left": "left_edge is null and prev_box_x1 is not null", "blocked_right": "right_edge is null and next_box_x0 is not null"}
+
+
+@query("m15_reason_codes", L + EDGES_SQL + ", cd as (select doc_id, token_idx, unnest([" + ", ".join(f"case when {w} then '{k}' end" for k, w in CODES.items()) + "]) as code from edge) select * from cd where code is not null")
 def m15(spark, d):
-    codes = {"no_left": F.col("left_edge").isNull(), "no_right": F.col("right_edge").isNull(), "box_beside": F.col("prev_box_x1").isNotNull() | F.col("next_box_x0").isNotNull(), "wide_gap": F.col("target_width") > 60}
-    return measure.edges(layout.load(spark, d)).select("doc_id", "token_idx", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in codes.items()]))).alias("code"))
+    return measure.edges(layout.load(spark, d)).select("doc_id", "token_idx", F.explode(ty.reason_codes(ty.anchor_codes())).alias("code"))
 
 
 @query("o04_line_anchor", L + """, c as (select b.doc_id, b.token_idx, r.token, r.x0, r.x1, b.x0 as bx0, b.x1 as bx1, abs((r.y0 + r.y1) / 2 - (b.y0 + b.y1) / 2) as off from box b join run r on b.doc_id = r.doc_id and b.page_index = r.page_index and r.line between b.line - 1 and b.line + 1
