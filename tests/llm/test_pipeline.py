@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 
 def test_registry():
-    assert [k.split("_")[0] for k in sorted(registry.queries(), key=lambda k: int(k[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in sorted(registry.queries(), key=lambda k: int(k[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 

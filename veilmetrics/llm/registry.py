@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontamination, language, mixing, quality, secrets, sharding, simhash, sketches, substrings, token_store
+from . import decontamination, language, minhash, mixing, quality, secrets, sharding, simhash, sketches, spelling, substrings, token_store, vector_codes
 
-MODULES = [secrets, decontamination, sharding, token_store, simhash, quality, language, mixing, sketches, substrings]
+MODULES = [secrets, decontamination, sharding, token_store, simhash, quality, language, mixing, sketches, substrings, spelling, vector_codes, minhash]
 
 
 def queries() -> dict:
