@@ -432,6 +432,26 @@ def test_mixing_by_brute_force(spark, monkeypatch):
         mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights={"a": 1.0})
 
 
+def test_pfair_of_many_sources():
+    r = random.Random(4)
+    blocks = {f"s{i}": r.randint(1, 12) for i in range(20_000)}
+    plan = mixing.pfair(blocks, {s: Fraction(r.randint(1, 10**6), r.randint(1, 10**6)) for s in blocks})
+    assert len(plan) == sum(blocks.values()) and len(set(plan)) == len(plan) and plan[-1][4] == len(blocks) - 1
+
+
+def test_mixing_of_many_sources_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BUCKET", 2)
+    df = spark.range(15_000).selectExpr("id as doc_id", "concat('x', id % 5000) as source", "id as _part", "id as _mix", "id as _ms", "id as n")
+    out = mixing.schedule(df, name="at").select("at.position", "doc_id", "source", "at.source").collect()
+    assert sorted(r[0] for r in out) == list(range(15_000)) and all(r[2] == r[3] for r in out)
+    back = mixing.mixed(df)
+    assert back.columns == df.columns and back.where("_part = doc_id and _mix = doc_id and _ms = doc_id").count() == 15_000
+    with pytest.raises(ValueError):
+        mixing.schedule(df)
+    hot = spark.range(900).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "'a' as source")
+    assert sorted(r["_mix"]["position"] for r in mixing.schedule(hot).collect()) == list(range(900))
+
+
 def test_mixing(docs, empty):
     out = mixing.schedule(docs).collect()
     assert sorted(r["_mix"]["position"] for r in out) == list(range(len(ROWS)))
