@@ -1,6 +1,6 @@
 """The text around a box: band joins, anchors, phrases, lines, neighbours.
 
-All joins are equal in document and page or line, with the band as a residual predicate; none becomes a cross product.
+Joins by coordinates are grid joins (`bands`), others are equal in document and line; none becomes a cross product.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlap, overlap_len, quantise
+from . import bands
 
 BAND_PT, LINE_WINDOW_PT, LARGE_OVERLAP_PT, NO_GAP = 2.0, 18.0, 20.0, 100_000
 
@@ -19,14 +20,13 @@ def line_bucket(y0, y1) -> Column:
 
 
 def band_join(box: DataFrame, run: DataFrame) -> DataFrame:
-    """Words that overlap the box's band of BAND_PT, or whose centres lie LINE_WINDOW_PT apart at most.
-
-    Lines are 14 points apart, so the band reaches two lines up and down: the join is equal in line, not only in page.
-    """
-    b = box.select("doc_id", "page_index", "token_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1"), F.explode(F.sequence(F.col("line") - 2, F.col("line") + 2)).alias("line"))
-    r = run.select("doc_id", "page_index", "line", F.col("token_idx").alias("rt"), "token", "x0", "x1", "y0", "y1")
-    near = (overlap("y0", "y1", F.col("by0") - BAND_PT, F.col("by1") + BAND_PT) > 0) | (F.abs((F.col("y0") + F.col("y1")) / 2 - (F.col("by0") + F.col("by1")) / 2) <= LINE_WINDOW_PT)
-    return b.join(r, ["doc_id", "page_index", "line"]).where(near).withColumn("bucket", line_bucket("y0", "y1"))
+    """Words of the box's page that overlap its band of BAND_PT, or whose centres lie LINE_WINDOW_PT apart at most."""
+    b = box.select("doc_id", "page_index", "token_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
+    r = run.select("doc_id", "page_index", F.col("token_idx").alias("rt"), "token", "x0", "x1", "y0", "y1")
+    middle = (F.col("by0") + F.col("by1")) / 2
+    near = (overlap("y0", "y1", F.col("by0") - BAND_PT, F.col("by1") + BAND_PT) > 0) | (F.abs((F.col("y0") + F.col("y1")) / 2 - middle) <= LINE_WINDOW_PT)
+    reach = bands.rows(F.least(F.col("by0") - BAND_PT, middle - LINE_WINDOW_PT), F.greatest(F.col("by1") + BAND_PT, middle + LINE_WINDOW_PT), "y0", "y1")
+    return bands.grid_join(b, r, ["doc_id", "page_index"], [reach], near).withColumn("bucket", line_bucket("y0", "y1"))
 
 
 def line_anchors(joined: DataFrame) -> DataFrame:
@@ -47,8 +47,9 @@ def best_line(lines: DataFrame) -> DataFrame:
         "y_rank": F.round(F.abs(F.col("lcy") - F.col("bcy")) * 100).cast("long"),
         "before_gap": F.coalesce(F.round(F.greatest(F.lit(0.0), F.col("bx0") - F.col("bef.x1")) * 100), F.lit(float(NO_GAP))).cast("long"),
         "after_gap": F.coalesce(F.round(F.greatest(F.lit(0.0), F.col("aft.x0") - F.col("bx1")) * 100), F.lit(float(NO_GAP))).cast("long")})
-    w = Window.partitionBy("doc_id", "token_idx").orderBy("context_rank", "y_rank", "before_gap", "after_gap", "bucket")
-    return ranked.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    order = F.struct("context_rank", "y_rank", "before_gap", "after_gap", "bucket")
+    best = ranked.groupBy("doc_id", "token_idx").agg(F.min_by(F.struct(*[c for c in ranked.columns if c not in ("doc_id", "token_idx")]), order).alias("_best"))
+    return best.select("doc_id", "token_idx", "_best.*")
 
 
 def phrase_before(box: DataFrame, run: DataFrame, max_words: int = 2) -> DataFrame:
@@ -73,12 +74,13 @@ def context_spans(joined: DataFrame, limit: int = 48) -> DataFrame:
 
 
 def attach_text(box: DataFrame, tok: DataFrame) -> DataFrame:
-    """Text under each box; boxes without any stay."""
-    b = box.select("doc_id", "page_index", "line", "token_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))
-    t = tok.select("doc_id", "page_index", "line", F.col("token_idx").alias("rt"), "token", "x0", "x1")
-    on = [b[c] == t[c] for c in ("doc_id", "page_index", "line")]
-    j = b.join(t, on[0] & on[1] & on[2] & (t["x0"] < b["bx1"]) & (t["x1"] > b["bx0"]), "left")
-    return j.groupBy(b["doc_id"], b["token_idx"]).agg(F.count("rt").alias("hits"), F.min("token").alias("first_text"))
+    """Text under each box, by rectangles of one page that overlap; boxes without any stay."""
+    b = box.select("doc_id", "page_index", "token_idx", *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
+    t = tok.select("doc_id", "page_index", F.col("token_idx").alias("rt"), "token", "x0", "y0", "x1", "y1")
+    under = (overlap("x0", "x1", "bx0", "bx1") > 0) & (overlap("y0", "y1", "by0", "by1") > 0)
+    axes = [bands.rows("by0", "by1", "y0", "y1"), bands.columns("bx0", "bx1", "x0", "x1")]
+    hits = bands.grid_join(b, t, ["doc_id", "page_index"], axes, under).groupBy("doc_id", "token_idx").agg(F.count("*").alias("hits"), F.min("token").alias("first_text"))
+    return box.select("doc_id", "token_idx").join(hits, ["doc_id", "token_idx"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
 def greedy_lines(run: DataFrame, baseline: float = 3.0, gap: float = 250.0) -> DataFrame:
@@ -90,10 +92,13 @@ def greedy_lines(run: DataFrame, baseline: float = 3.0, gap: float = 250.0) -> D
 
 
 def ranked_lines(box: DataFrame, run: DataFrame) -> DataFrame:
-    ln = run.groupBy("doc_id", "page_index", "line").agg(F.max("y1").alias("baseline"), F.min("y0").alias("ly0"), F.max("y1").alias("ly1"))
-    b = box.select("doc_id", "page_index", "token_idx", "y0", "y1", F.explode(F.sequence(F.col("line") - 2, F.col("line") + 2)).alias("line"))
-    j = b.join(ln, ["doc_id", "page_index", "line"]).withColumns({"ov": overlap_len("y0", "y1", "ly0", "ly1"), "delta": F.abs(F.col("baseline") - F.col("y1"))}).where("ov > 0 or delta <= 3")
-    w = Window.partitionBy("doc_id", "token_idx").orderBy(quantise("ov").desc(), quantise("delta"), "line")
+    """Lines (as greedy_lines builds them) that a box overlaps or whose baseline is 3 points from its own at most, by overlap and distance."""
+    ln = greedy_lines(run).groupBy("doc_id", "page_index", "bucket").agg(F.max("y1").alias("baseline"), F.min("y0").alias("ly0"), F.max("y1").alias("ly1"))
+    b = box.select("doc_id", "page_index", "token_idx", "y0", "y1")
+    near = (overlap("y0", "y1", "ly0", "ly1") > 0) | (F.abs(F.col("baseline") - F.col("y1")) <= 3)
+    j = bands.grid_join(b, ln, ["doc_id", "page_index"], [bands.rows("y0", F.col("y1") + 3, F.col("ly0"), F.col("ly1") + 3)], near)
+    j = j.withColumns({"ov": overlap_len("y0", "y1", "ly0", "ly1"), "delta": F.abs(F.col("baseline") - F.col("y1"))})
+    w = Window.partitionBy("doc_id", "token_idx").orderBy(quantise("ov").desc(), quantise("delta"), "bucket")
     return j.withColumn("rank", F.row_number().over(w))
 
 
@@ -149,9 +154,12 @@ def neighbours(box: DataFrame) -> DataFrame:
 
 
 def nearest_run(box: DataFrame, run: DataFrame) -> DataFrame:
-    b = box.select("doc_id", "line", "token_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))
-    j = b.join(run.select("doc_id", "line", F.col("token_idx").alias("rt"), "x0", "x1"), ["doc_id", "line"])
-    key = F.struct((-quantise(overlap_len("x0", "x1", "bx0", "bx1"))).alias("o"), quantise(F.abs(F.col("x0") + F.col("x1") - F.col("bx0") - F.col("bx1")) / 2).alias("d"), F.col("rt").alias("r"))
+    """The run of the box's page that overlaps its height most, the one whose left edge is nearest first."""
+    b = box.select("doc_id", "page_index", "token_idx", *[F.col(c).alias("b" + c) for c in ("x0", "y0", "y1")])
+    r = run.select("doc_id", "page_index", F.col("token_idx").alias("rt"), "x0", "y0", "y1")
+    high = overlap("y0", "y1", "by0", "by1")
+    j = bands.grid_join(b, r, ["doc_id", "page_index"], [bands.rows("by0", "by1", "y0", "y1")], high > 0)
+    key = F.struct((-quantise(high)).alias("o"), quantise(F.abs(F.col("x0") - F.col("bx0"))).alias("d"), F.col("rt").alias("r"))
     return j.groupBy("doc_id", "token_idx").agg(F.min_by("rt", key).alias("rt"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlap
+from . import bands
 
 PAGE_W, PAGE_H = 612.0, 792.0
 MODES = {"annotations": ("annotations",), "drawn": ("drawn",), "all": ("annotations", "drawn")}
@@ -84,13 +85,14 @@ def invalid_reason(x0, y0, x1, y1, page_w: float = PAGE_W, page_h: float = PAGE_
 
 
 def dense_boxes(box: DataFrame, gap: float = 96.0) -> DataFrame:
-    """Boxes with another one close by on their line."""
-    w = Window.partitionBy("doc_id", "line").orderBy("x0", "token_idx")
-    near = lambda y0, y1, h, d: (overlap(y0, y1, "y0", "y1") >= F.lit(0.4) * F.least(h, F.col("y1") - F.col("y0"))) & (F.greatest(d, F.lit(0.0)) <= gap)
-    b = box.withColumns({"_l": F.lag(F.struct("x0", "y0", "x1", "y1")).over(w), "_r": F.lead(F.struct("x0", "y0", "x1", "y1")).over(w)})
-    left = near("_l.y0", "_l.y1", F.col("_l.y1") - F.col("_l.y0"), F.col("x0") - F.col("_l.x1"))
-    right = near("_r.y0", "_r.y1", F.col("_r.y1") - F.col("_r.y0"), F.col("_r.x0") - F.col("x1"))
-    return b.where((F.col("_l").isNotNull() & F.coalesce(left, F.lit(False))) | (F.col("_r").isNotNull() & F.coalesce(right, F.lit(False)))).select("doc_id", "token_idx")
+    """Boxes with another one of their page beside them: .4 of the lower height in common, `gap` points apart at most."""
+    edges = ("x0", "y0", "x1", "y1")
+    a = box.select("doc_id", "page_index", "token_idx", *[F.col(c).alias("a" + c) for c in edges])
+    b = box.select("doc_id", "page_index", F.col("token_idx").alias("other"), *[F.col(c).alias("b" + c) for c in edges])
+    level = overlap("ay0", "ay1", "by0", "by1") >= F.lit(0.4) * F.least(F.col("ay1") - F.col("ay0"), F.col("by1") - F.col("by0"))
+    apart = F.greatest(F.col("bx0") - F.col("ax1"), F.col("ax0") - F.col("bx1"), F.lit(0.0)) <= gap
+    axes = [bands.rows("ay0", "ay1", "by0", "by1"), bands.columns(F.col("ax0") - gap, F.col("ax1") + gap, "bx0", "bx1")]
+    return bands.grid_join(a, b, ["doc_id", "page_index"], axes, (F.col("token_idx") != F.col("other")) & level & apart).select("doc_id", "token_idx").distinct()
 
 
 def fill_bright_gaps(columns: DataFrame, keys: list[str], order: str, dark: str) -> DataFrame:

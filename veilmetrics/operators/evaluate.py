@@ -6,16 +6,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import iou, nearest_rank, safe_ratio
+from ..functions.geometry import iou, nearest_rank, overlap, safe_ratio
+from . import bands
 
 MIN_IOU, MISSING_RANK = 0.20, 10_000
 
 
 def iou_pairs(truth: DataFrame, found: DataFrame, min_iou: float = MIN_IOU) -> DataFrame:
-    """Pairs of one line's boxes (equal in doc_id and line) with an IoU of min_iou or more."""
-    a = truth.select("doc_id", "line", F.col("token_idx").alias("t"), *[F.col(c).alias("a" + c) for c in ("x0", "y0", "x1", "y1")])
-    b = found.select("doc_id", "line", F.col("token_idx").alias("f"), *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
-    return a.join(b, ["doc_id", "line"]).withColumn("iou", F.round(iou("a", "b"), 6)).where(F.col("iou") >= min_iou)
+    """Pairs of boxes of one page (equal in doc_id and page_index) with an IoU of min_iou or more, which must be above 0."""
+    edges = ("x0", "y0", "x1", "y1")
+    a = truth.select("doc_id", "page_index", F.col("token_idx").alias("t"), *[F.col(c).alias("a" + c) for c in edges])
+    b = found.select("doc_id", "page_index", F.col("token_idx").alias("f"), *[F.col(c).alias("b" + c) for c in edges])
+    axes = [bands.rows("ay0", "ay1", "by0", "by1"), bands.columns("ax0", "ax1", "bx0", "bx1")]
+    met = bands.grid_join(a, b, ["doc_id", "page_index"], axes, (overlap("ax0", "ax1", "bx0", "bx1") > 0) & (overlap("ay0", "ay1", "by0", "by1") > 0))
+    return met.withColumn("iou", F.round(iou("a", "b"), 6)).where(F.col("iou") >= min_iou)
 
 
 def gap_boxes(runs: DataFrame, keys: list[str], reach: int = 5, least: float = 6.0, most: float = 160.0) -> DataFrame:
@@ -47,7 +51,7 @@ def each_part(step, keys: list[str]):
 
 
 def match(pairs: DataFrame) -> DataFrame:
-    return pairs.select("doc_id", "line", "t", "f", "iou").groupBy("doc_id").applyInPandas(each_part(greedy_match, ["line"]), "doc_id long, t long, f long, iou double")
+    return pairs.select("doc_id", "page_index", "t", "f", "iou").groupBy("doc_id").applyInPandas(each_part(greedy_match, ["page_index"]), "doc_id long, t long, f long, iou double")
 
 
 def spaced(boxes: DataFrame) -> DataFrame:
@@ -111,14 +115,14 @@ def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 
 
 def spaced_sample(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For applyInPandas: distinct texts, none overlapping one already taken."""
-    taken, texts = [], set()
-    for r in pdf.sort_values(["token_idx"]).itertuples(index=False):
+    """For applyInPandas: in order of token_idx, rows of distinct texts, none overlapping one already taken."""
+    taken, texts, keep = [], set(), []
+    for i, r in enumerate((pdf := pdf.sort_values("token_idx")).itertuples(index=False)):
         if r.target not in texts and all(r.x0 >= x1 or r.x1 <= x0 for x0, x1 in taken):
             texts.add(r.target)
             taken.append((r.x0, r.x1))
-    keep = pdf[pdf["target"].isin(texts)].sort_values("token_idx").drop_duplicates("target")
-    return keep[["doc_id", "line", "token_idx", "target"]]
+            keep.append(i)
+    return pdf.iloc[keep][["doc_id", "line", "token_idx", "target"]]
 
 
 def greedy_assignment(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,7 +36,8 @@ def boxes(spark, d):
 
 
 PAIRS = """, pr0 as (select a.doc_id, a.line, a.token_idx as t, b.token_idx as f, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as inter,
- (a.x1 - a.x0) * (a.y1 - a.y0) as aa, (b.x1 - b.x0) * (b.y1 - b.y0) as ba, a.x0 + a.x1 as ac, b.x0 + b.x1 as bc from box a join det b on a.doc_id = b.doc_id and a.line = b.line),
+ (a.x1 - a.x0) * (a.y1 - a.y0) as aa, (b.x1 - b.x0) * (b.y1 - b.y0) as ba, a.x0 + a.x1 as ac, b.x0 + b.x1 as bc
+  from box a join det b on a.doc_id = b.doc_id and a.page_index = b.page_index and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1),
 pr as (select *, round(inter / (aa + ba - inter), 6) as iou from pr0 where round(inter / (aa + ba - inter), 6) >= 0.2)
 """
 
@@ -165,10 +166,14 @@ def e19(spark, d):
     return k.where(F.rlike("token", F.lit(layout.TARGET)) & F.expr("same = 1 and pv is not null and nx is not null and x1 - x0 >= 6")).select("doc_id", "token_idx", "token")
 
 
-@query("e20_spaced_sample", L + "select doc_id, line, min(token_idx) as token_idx, target from box group by doc_id, line, target")
+@query("e20_spaced_sample", LR + """, s as (select doc_id, line, token_idx, target, x0 - 40 as x0, x1 + 40 as x1, row_number() over (partition by doc_id, line order by token_idx) as i from box),
+ g as (select doc_id, line, token_idx, target, i, [struct_pack(a := x0, b := x1)] as taken, [target] as texts, true as keep from s where i = 1 union all
+  select s.doc_id, s.line, s.token_idx, s.target, s.i, case when ok then list_append(taken, struct_pack(a := s.x0, b := s.x1)) else taken end, case when ok then list_append(texts, s.target) else texts end, ok
+  from (select g.taken, g.texts, s, not list_contains(g.texts, s.target) and len([p for p in g.taken if s.x0 < p.b and s.x1 > p.a]) = 0 as ok from g join s on s.doc_id = g.doc_id and s.line = g.line and s.i = g.i + 1))
+select doc_id, line, token_idx, target from g where keep""")
 def e20(spark, d):
     b, _ = boxes(spark, d)
-    return ev.spaced(b)
+    return ev.spaced(b.withColumns({"x0": F.col("x0") - 40, "x1": F.col("x1") + 40}))  # wide enough to overlap
 
 
 @query("e21_bounded_dictionary", "select name from (select distinct name from (select c_name as name from customer union all select s_name from supplier)) order by md5('7:' || name), name limit 200")

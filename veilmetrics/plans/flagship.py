@@ -16,7 +16,7 @@ lay_e as (select *, last_value(case when not is_box then x1 end ignore nulls) ov
 edge0 as (select doc_id, page_index, line, token_idx, token as target, units, font_size, x0 - 0.5::double as box_x0, x1 + 0.5::double as box_x1, prev_box_x1, next_box_x0,
     case when l_ is not null and r_ is not null then 'two_sided' when l_ is not null then 'left_only' when r_ is not null then 'right_only' else 'unresolved' end as mode,
     l_ + font_size * 278::double / 1000::double as left_edge, r_ - font_size * 278::double / 1000::double as right_edge from lay_e where is_box),
-edge as (select *, case when right_edge > left_edge then right_edge - left_edge else box_x1 - box_x0 end as target_width from edge0)
+edge as materialized (select *, case when right_edge > left_edge then right_edge - left_edge else box_x1 - box_x0 end as target_width from edge0)
 """
 DICT_SQL = """,
 dict0 as (select upper(token) as norm, min(token) as text from tok where regexp_matches(token, '^[A-Za-z]{4,20}$') group by 1),

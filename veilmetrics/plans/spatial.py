@@ -108,7 +108,7 @@ def j02(spark, d):
 
 
 J01 = """, j as (select b.doc_id, b.token_idx, b.x0 as bx0, b.x1 as bx1, (b.y0 + b.y1) / 2 as bcy, r.token_idx as rt, r.token, r.x0, r.x1, (r.y0 + r.y1) / 2 as cy, round((r.y0 + r.y1) / 4)::bigint as bucket
-  from box b join run r on b.doc_id = r.doc_id and b.page_index = r.page_index and r.line between b.line - 2 and b.line + 2
+  from box b join run r on b.doc_id = r.doc_id and b.page_index = r.page_index
   and (least(r.y1, b.y1 + 2) - greatest(r.y0, b.y0 - 2) > 0 or abs((r.y0 + r.y1) / 2 - (b.y0 + b.y1) / 2) <= 18)),
 l as (select doc_id, token_idx, bucket, max(case when x0 < bx0 then struct_pack(x0 := x0, x1 := x1, t := rt) end) as bef, min(case when x1 > bx1 then struct_pack(x0 := x0, x1 := x1, t := rt) end) as aft,
   sum(greatest(0, least(x1, bx1) - greatest(x0, bx0))) as ov, avg(cy) as lcy, any_value(bx0) as bx0, any_value(bx1) as bx1, any_value(bcy) as bcy, count(*) as n from j group by 1, 2, 3),
@@ -162,7 +162,7 @@ def j07(spark, d):
     return k.groupBy("doc_id", "token_idx").agg(n("left"), n("right"), n("center"), F.max("n").cast("long").alias("n_all"))
 
 
-@query("j08_underlying_text", L + """select b.doc_id, b.token_idx, count(t.token_idx) as hits, min(t.token) as first_text from det b left join tok t on t.doc_id = b.doc_id and t.page_index = b.page_index and t.line = b.line and t.x0 < b.x1 and t.x1 > b.x0 group by 1, 2""")
+@query("j08_underlying_text", L + """select b.doc_id, b.token_idx, count(t.token_idx) as hits, min(t.token) as first_text from det b left join tok t on t.doc_id = b.doc_id and t.page_index = b.page_index and t.y0 < b.y1 and t.y1 > b.y0 and t.x0 < b.x1 and t.x1 > b.x0 group by 1, 2""")
 def j08(spark, d):
     t = _tok(spark, d)
     return context.attach_text(layout.detected(layout.boxes(t)), t)
@@ -186,18 +186,20 @@ def j11(spark, d):
     return detection.dedupe_keep_first(u, ["doc_id", "page_index"], 4, ["src", "token_idx"]).groupBy("doc_id", F.col("src").cast("int").alias("src")).agg(F.count("*").alias("kept"))
 
 
-LN = """, ln as (select doc_id, page_index, line, max(y1) as baseline, min(y0) as ly0, max(y1) as ly1 from run group by 1, 2, 3)
-, bl as (select b.doc_id, b.token_idx, b.line as own, ln.line, greatest(0, least(b.y1, ly1) - greatest(b.y0, ly0)) as ov, abs(baseline - b.y1) as delta from box b join ln on b.doc_id = ln.doc_id and b.page_index = ln.page_index and ln.line between b.line - 2 and b.line + 2 where least(b.y1, ly1) - greatest(b.y0, ly0) > 0 or abs(baseline - b.y1) <= 3)
+GREEDY = """, o as (select *, case when abs(y1 - lag(y1) over w) <= 3 and x0 - lag(x1) over w <= 250 then 0 else 1 end as fresh from run window w as (partition by doc_id, page_index order by y1, x0)),
+ greedy as materialized (select *, sum(fresh) over (partition by doc_id, page_index order by y1, x0 rows unbounded preceding)::bigint as bucket from o)"""
+LN = GREEDY + """, ln as (select doc_id, page_index, bucket, max(y1) as baseline, min(y0) as ly0, max(y1) as ly1 from greedy group by 1, 2, 3)
+, bl as (select b.doc_id, b.token_idx, ln.bucket, greatest(0, least(b.y1, ly1) - greatest(b.y0, ly0)) as ov, abs(baseline - b.y1) as delta from box b join ln on b.doc_id = ln.doc_id and b.page_index = ln.page_index where least(b.y1, ly1) - greatest(b.y0, ly0) > 0 or abs(baseline - b.y1) <= 3)
 """
 
 
-@query("j12_box_line_join", L + LN + "select doc_id, token_idx, line, rank::int as rank from (select *, row_number() over (partition by doc_id, token_idx order by round(ov * 10000) desc, round(delta * 10000), line) as rank from bl)")
+@query("j12_box_line_join", L + LN + "select doc_id, token_idx, bucket, rank::int as rank from (select *, row_number() over (partition by doc_id, token_idx order by round(ov * 10000) desc, round(delta * 10000), bucket) as rank from bl)")
 def j12(spark, d):
     t = _tok(spark, d)
-    return context.ranked_lines(layout.boxes(t), layout.runs(t)).select("doc_id", "token_idx", "line", "rank")
+    return context.ranked_lines(layout.boxes(t), layout.runs(t)).select("doc_id", "token_idx", "bucket", "rank")
 
 
-REL = """, rel as (select b.doc_id, b.token_idx, r.token_idx as rt, r.x1 - r.x0 as w, abs(r.x1 - b.x0) as gap, greatest(0, r.x1 - b.x0) as depth,
+REL = """, rel as materialized (select b.doc_id, b.token_idx, r.token_idx as rt, r.x1 - r.x0 as w, abs(r.x1 - b.x0) as gap, greatest(0, r.x1 - b.x0) as depth,
   case when r.x1 <= b.x0 then 0 when r.x0 < b.x0 then case when r.x1 - b.x0 <= 3 then 1 else 2 end when r.x0 < b.x1 then 2 else 3 end as relation from det b join run r on b.doc_id = r.doc_id and b.line = r.line)
 """
 
@@ -226,8 +228,8 @@ def j17(spark, d):
     return context.joined_runs(layout.runs(_tok(spark, d)))
 
 
-J18 = REL + """, rgt as (select b.doc_id, b.token_idx, r.token_idx as rt, r.x0 - b.x1 as gap from det b join run r on b.doc_id = r.doc_id and b.line = r.line where r.x0 >= b.x1),
- l2 as (select doc_id, token_idx, rt, gap, row_number() over (partition by doc_id, token_idx order by round(gap * 10000), rt) as k from rel where relation = 0), r2 as (select *, row_number() over (partition by doc_id, token_idx order by round(gap * 10000), rt) as k from rgt),
+J18 = REL + """, rgt as materialized (select b.doc_id, b.token_idx, r.token_idx as rt, r.x0 - b.x1 as gap from det b join run r on b.doc_id = r.doc_id and b.line = r.line where r.x0 >= b.x1),
+ l2 as materialized (select doc_id, token_idx, rt, gap, row_number() over (partition by doc_id, token_idx order by round(gap * 10000), rt) as k from rel where relation = 0), r2 as materialized (select *, row_number() over (partition by doc_id, token_idx order by round(gap * 10000), rt) as k from rgt),
  pr as (select l.doc_id, l.token_idx, l.rt as left_rt, r.rt as right_rt, round((l.gap + r.gap) * 10000)::bigint as gap_sum, round(greatest(l.gap, r.gap) * 10000)::bigint as gap_max from l2 l join r2 r using (doc_id, token_idx))
 """
 
@@ -287,10 +289,13 @@ def j28(spark, d):
     return layout.runs(_tok(spark, d)).groupBy("font_size").agg(F.count("*").alias("n")).withColumn("space_pt", F.round(F.lit(278) * F.col("font_size") / 1000, 4))
 
 
-@query("o01_dense_rows", L + """, a as (select doc_id, page_index, line, token_idx, x0, x1, y0, y1 from box) select distinct a.doc_id, a.token_idx from a join a b on a.doc_id = b.doc_id and a.line = b.line and a.token_idx <> b.token_idx
+UNEVEN = """, un as (select doc_id, page_index, token_idx, x0, x1, y0, y1 + token_idx % 5 * 3 as y1 from box)"""
+
+
+@query("o01_dense_rows", L + UNEVEN + """ select distinct a.doc_id, a.token_idx from un a join un b on a.doc_id = b.doc_id and a.page_index = b.page_index and a.token_idx <> b.token_idx
  where least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 0.4 * least(a.y1 - a.y0, b.y1 - b.y0) and greatest(b.x0 - a.x1, a.x0 - b.x1, 0) <= 96""")
 def o01(spark, d):
-    return detection.dense_boxes(_box(spark, d))
+    return detection.dense_boxes(_box(spark, d).withColumn("y1", F.col("y1") + F.col("token_idx") % 5 * 3))  # of uneven height, so that lines meet
 
 
 @query("o02_dense_height", L + "select doc_id, line, round(max(y1 - y0), 4) as height, count(*) as n from box group by 1, 2 having count(*) > 1")
@@ -298,7 +303,7 @@ def o02(spark, d):
     return _box(spark, d).groupBy("doc_id", "line").agg(F.round(F.max(F.col("y1") - F.col("y0")), 4).alias("height"), F.count("*").alias("n")).where("n > 1")
 
 
-@query("o03_run_pick", L + """, p as (select b.doc_id, b.token_idx, r.token_idx as rt, greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) as ov, abs((r.x0 + r.x1) - (b.x0 + b.x1)) / 2 as dist from det b join run r on b.doc_id = r.doc_id and b.line = r.line)
+@query("o03_run_pick", L + """, p as (select b.doc_id, b.token_idx, r.token_idx as rt, least(r.y1, b.y1) - greatest(r.y0, b.y0) as ov, abs(r.x0 - b.x0) as dist from det b join run r on b.doc_id = r.doc_id and b.page_index = r.page_index and r.y0 < b.y1 and b.y0 < r.y1)
 select doc_id, token_idx, rt from (select *, row_number() over (partition by doc_id, token_idx order by round(ov * 10000) desc, round(dist * 10000), rt) as k from p) where k = 1""")
 def o03(spark, d):
     t = _tok(spark, d)
