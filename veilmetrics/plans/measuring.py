@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import widths
-from ..operators import measure, names
+from ..operators import context, fitting, measure, names
 from ..operators import typography as ty
 from ..sources import layout
 from .dictionary import VARIANTS, entries
@@ -47,6 +47,45 @@ def m03(spark, d):
     return measure.edges(layout.load(spark, d)).where("mode <> 'unresolved'").crossJoin(F.broadcast(v)).groupBy("mode").agg(F.count("*").alias("pairs"))
 
 
+TOLERANCE_SQL = """, nx as (select doc_id, line, x0 - lag(x1) over (partition by doc_id, line order by token_idx) - font_size * 0.278::double as res from run),
+ ns as (select doc_id, line, list_sort(list(round(res, 4) + 0.0::double)) as a from nx where res is not null group by 1, 2), nm as (select doc_id, line, a, a[floor(len(a) * 0.5)::int + 1] as med from ns),
+ tol as materialized (select doc_id, line, least(8, greatest(3.5, list_sort([round(abs(x - med), 4) for x in a])[floor(len(a) * 0.75)::int + 1]))::double as tolerance from nm)"""
+FIT_SQL = (
+    L
+    + EDGES_SQL
+    + TOLERANCE_SQL
+    + VARIANTS.replace("with k as", ", k as", 1)
+    + rf""", fv as materialized (select text, template, upper(trim(regexp_replace(text, '\s+', ' ', 'g'))) as norm, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as alpha, {UNITS.format(x='text')}::bigint as units from var where {MISSING.format(x='text')} = 0),
+ fv2 as materialized (select *, len([x for x in string_split(norm, ' ') if x <> '']) as toks from fv where norm <> ''),
+ fr as materialized (select e.doc_id, e.token_idx, e.mode, e.font_size, e.left_edge, e.right_edge, e.box_x0, e.box_x1, e.prev_box_x1, e.next_box_x0, e.target_width, coalesce(tol.tolerance, 3.5) as tolerance from edge e left join tol using (doc_id, line) where e.mode <> 'unresolved'),
+ fe as (select fr.*, v.text, v.template, v.norm, v.alpha, v.toks, v.units * font_size / 1000::double as w, case when mode = 'right_only' then right_edge - w else left_edge end as pl, case when mode = 'right_only' then right_edge else left_edge + w end as pr,
+  round(case mode when 'two_sided' then abs(left_edge + w - right_edge) when 'left_only' then abs(left_edge + w - box_x1) else abs(right_edge - w - box_x0) end, 4) as error_pt from fr, fv2 v),
+ fa as (select *, case when template = 'canonical' then error_pt else round(error_pt + 2.75, 4) end as adjusted from fe where not coalesce(prev_box_x1 - pl > tolerance, false) and not coalesce(pr - next_box_x0 > tolerance, false)),
+ fd as (select doc_id, token_idx, norm, min(struct_pack(adjusted := adjusted, la := -alpha, lt := -toks, text := text, template := template, error_pt := error_pt, tolerance := tolerance)) as c from fa group by 1, 2, 3),
+ fit as materialized (select * from (select doc_id, token_idx, norm, c.*, row_number() over (partition by doc_id, token_idx order by c.adjusted, c.la, c.lt, norm) as rank from fd) where rank <= 20)
+"""
+)
+
+
+def fit_rows(spark, d):
+    """Boxes with edges and the tolerance of their line, and the measured variants of the dictionary."""
+    t = layout.load(spark, d)
+    rows = measure.edges(t).join(context.row_bias(layout.runs(t)).select("doc_id", "line", "tolerance"), ["doc_id", "line"], "left").withColumn("tolerance", F.coalesce("tolerance", F.lit(3.5)))
+    return t, rows, fitting.measured(names.expand(entries(spark, d), roles=False))
+
+
+@query("m09_fitted_variants", FIT_SQL + "select doc_id, token_idx, rank::int as rank, text, template, error_pt, adjusted, round(adjusted / greatest(tolerance, 1), 8) as normalised from fit")
+def m09_fit(spark, d):
+    _, rows, variants = fit_rows(spark, d)
+    return fitting.fitted(rows, variants).drop("norm")
+
+
+@query("m12_fitted_boxes", FIT_SQL + "select b.doc_id, b.token_idx, coalesce(r.mode, 'unresolved') as mode, round(coalesce(r.target_width, b.x1 - b.x0), 4) as target_width, f.rank::int as rank, f.text, f.adjusted from box b left join fr r on b.doc_id = r.doc_id and b.token_idx = r.token_idx left join fit f on b.doc_id = f.doc_id and b.token_idx = f.token_idx")
+def m12_fit(spark, d):
+    t, rows, variants = fit_rows(spark, d)
+    return fitting.with_placeholders(layout.boxes(t), rows.where("mode <> 'unresolved'"), fitting.fitted(rows, variants)).select("doc_id", "token_idx", "mode", "target_width", "rank", "text", "adjusted")
+
+
 @query("m04_support_cache", L + DICT_SQL + ", f as (select distinct font_size from tok) select font_size, count(*) as texts, round(sum(units * font_size / 1000::double), 3) as total_pt from dict, f group by 1")
 def m04(spark, d):
     t = layout.load(spark, d)
