@@ -1,8 +1,8 @@
 """The queries of the redaction-leakage operators and their SQL; plan modules add theirs here."""
 
-from . import binary, dictionary, evaluation, flagship, measuring, signals, spatial
+from . import anchoring, binary, dictionary, evaluation, flagship, measuring, signals, spatial
 
-MODULES: list = [flagship, spatial, dictionary, measuring, evaluation, signals, binary]
+MODULES: list = [flagship, spatial, dictionary, measuring, evaluation, signals, binary, anchoring]
 
 
 def queries() -> dict:
