@@ -484,13 +484,63 @@ def test_sketch_estimates_containment():
     r = random.Random(7)
     a = " ".join(str(r.random()) for _ in range(4000))
     b = a + " " + " ".join(str(r.random()) for _ in range(8000))
-    sa, sb = sketches.sketch(a), sketches.sketch(b)
-    assert sketches.containment(sa, sb) > 0.97 and abs(sketches.containment(sb, sa) - 1 / 3) < 0.1
-    assert np.array_equal(sketches.merge(sa, sb), np.union1d(sa, sb))
-    for scale in (4, 8):  # below a fixed threshold; parts merge to the whole; containment is an estimate
+    sa, sb = sketches.sketch(a, 1), sketches.sketch(b, 1)  # all hashes: exact
+    assert sketches.containment(sa, sb, 1) == 1.0 and abs(sketches.containment(sb, sa, 1) - 1 / 3) < 0.001
+    for scale in (2, sketches.SCALE, 8):  # below a fixed threshold; parts merge to the whole; containment is an estimate
         ta, tb = sketches.sketch(a, scale), sketches.sketch(b, scale)
         assert np.array_equal(ta, sa[sa < np.uint64(2**64 // scale)]) and abs(len(ta) * scale / len(sa) - 1) < 0.2
-        assert sketches.containment(ta, tb) > 0.97 and abs(sketches.containment(tb, ta) - 1 / 3) < 0.1
+        assert sketches.containment(ta, tb, scale) == 1.0 and abs(sketches.containment(tb, ta, scale) - 1 / 3) < 0.1
+
+
+def true_containment(a, b, k=5):
+    """The share of a's shingles that b has, by the words themselves; of the shorter in the longer is the likeness."""
+    sets = []
+    for t in (a, b):
+        w = split(t)
+        sets.append({tuple(w[i : i + min(k, len(w))]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    x, y = sorted(sets, key=len)
+    return len(x & y) / len(x) if x else float(not y)
+
+
+def test_likeness_against_the_words():
+    r = random.Random(12)
+    say = lambda n: " ".join(f"{r.choice(WORDS)}{r.randint(0, 10**6)}" for _ in range(n))
+    off = []
+    for n in [0, 1, 4, 30, 90, 132, 133, 200, 700, 3000] * 6:
+        a = say(n)
+        for b in (a, sketches.edited(a, say(n)), a[: len(a) // 3] + say(n), say(n), a + " " + say(3 * n)):
+            got, true = sketches.likeness(sketches.sketch(a), sketches.sketch(b)), true_containment(a, b)
+            small = max(len(split(a)), len(split(b))) - 4 < sketches.FLOOR
+            assert got == pytest.approx(true) if small else True
+            if not small and len(split(a)) > 150:
+                off.append(got - true)
+                assert abs(off[-1]) < 5 * 0.5 / math.sqrt(min(sketches.FLOOR, len(split(a)) / sketches.SCALE))
+    assert abs(np.mean(off)) < 0.01  # no bias
+
+
+def test_parts_merge_to_the_whole():
+    r = random.Random(13)
+    for n, m in ((3, 5), (100, 60), (100, 2000), (500, 900)):
+        h, g = (np.unique(np.array([r.getrandbits(64) for _ in range(k)], np.uint64)) for k in (n, m))
+        cut = lambda x: sketches._cut(x, sketches.SCALE, sketches.FLOOR)
+        assert np.array_equal(sketches.merge(cut(h), cut(g)), cut(np.union1d(h, g)))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_hot_ids_of_sketches(spark, parts):
+    r = random.Random(parts)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randint(0, 12))) for _ in range(90)]
+    rows = [(r.choice([5, 5, 5, None, None, 7, 9, 2**63 - 1, -(2**63)] + list(range(20))), t) for t in texts]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        h = {x["text"]: x["h"] for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        rows.sort(key=lambda x: (x[0] is None, -(x[0] or 0), h[x[1]]))
+        told = [(x[0], hashlib.sha256(sketches.edited(x[1], y[1]).encode()).hexdigest()) for x, y in zip(rows, rows[1:] + rows[:1])]
+        assert got(sketches.with_next(df), "doc_id", "edited_sha256") == want(told)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_buckets_of_descending_cuts(spark):
@@ -509,7 +559,9 @@ def test_sketches_of_short_texts():
         if n >= 10:  # half of the words replaced: the windows within the first half stay; all are found in a long text
             e = sketches.sketch(" ".join(a.split()[: n // 2] + b.split()[n // 2 :]))
             assert sketches.likeness(sa, e) == max(0, n // 2 - 4) / (n - 4)
-            assert sketches.likeness(sa, sketches.sketch(" ".join(map(str, range(5000))) + " " + a)) == 1.0
+            long = " ".join(map(str, range(5000))) + " " + a  # found by what it has below the threshold, or by all of it where all hashes are kept
+            below = (sa < np.uint64(2**64 // sketches.SCALE)).any()
+            assert sketches.likeness(sa, sketches.sketch(long)) == float(below) and sketches.likeness(sketches.sketch(a, 1), sketches.sketch(long, 1), 1) == 1.0
     assert sketches.likeness(sketches.sketch("This."), sketches.sketch("Anouble thwh.")) == 0.0 and len(sketches.sketch(" \n")) == 0
 
 

@@ -128,8 +128,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="t
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks, as they are."""
     bad = cut(contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("_key").alias("_text")).distinct(), "leaks")
-    d = docs.withColumns({"_mark_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_mark_text": F.xxhash64("text")})
-    return d.join(bad, (F.col("_mark_id") == F.col("_id")) & (F.col("_mark_text") == F.col("_text")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_mark_id"), F.xxhash64("text").alias("_mark_text"))
+    return d.join(bad, (F.col("_mark_id") == F.col("_id")) & (F.col("_mark_text") == F.col("_text")), "left_anti").select("_row.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,25 @@
 """Operator 9, document fingerprints as threshold-scaled sketches.
 
-A sketch holds every distinct hash of a five-word shingle (of the whole text, if it is shorter) below a fixed fraction of the hash range. The same threshold
-holds for all texts, so sketches of parts merge by union, and the share of one sketch's hashes that another holds tells
-how much of the first text the second contains, however unequal their lengths.
-
-The fraction is 1: any smaller one leaves some short texts without hashes, and a long text without those that a short one
-has to be found by. A larger scale can be given where all texts are long; likeness is an estimate then.
+A sketch holds every distinct hash of a five-word shingle (of the whole text, if it is shorter) below a fixed fraction,
+1 / SCALE, of the hash range; and of a text with few of them the FLOOR least hashes, so that texts of up to FLOOR shingles
+are held whole and every text with words has hashes. The same threshold holds for all texts: sketches of parts merge by
+union, cut by the same rule, to the sketch of the whole.
+
+Each sketch knows all hashes of its text up to some bound (the threshold, or its largest hash if that is more, or all). Two
+sketches are compared up to the lower of their bounds, and the share of one's hashes there that the other has estimates
+how much of the first text the second contains, however unequal their lengths. It is exact where both texts have fewer than
+FLOOR shingles; else its standard error is sqrt(c (1 - c) / m) at a containment c with m hashes up to the bound: m is FLOOR
+or more for texts of like length (.044 at worst), and a SCALE-th of the shorter text's shingles if only the other one is
+long. A short text none of whose hashes lies below a long one's bound has the likeness 0.
 
 A fingerprint is the sorted hashes, 16 hex digits each, joined without a separator. Likeness is the containment of the
-smaller sketch in the other; only texts without words have empty sketches: two of them are alike (1.0), one and another text are not (0.0).
+text with fewer hashes up to the bound in the other; only texts without words have empty sketches: two of them are alike
+(1.0), one and another text are not (0.0).
 
 Cases: null text is the empty text; documents are ordered by descending doc_id, nulls last, then by the hash of the
-text; the next of the last is the first, and of an only document is itself; rows are kept one for one; an empty table gives
-an empty result.
+text; the next of the last is the first, and of an only document is itself; rows are kept one for one; an id that very
+many rows share is spread by the hash of the text (rows equal in both stay in one task, which reads them as a stream); an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,29 +36,53 @@ from pyspark.sql import functions as F
 from .common import partitions, plain, table
 from .shingles import window_hashes, word_hashes, words_of
 
-SHINGLE, SCALE = 5, 1
+SHINGLE, SCALE, FLOOR = 5, 4, 128
+
 
+def _cut(h: np.ndarray, scale: int, floor: int) -> np.ndarray:
+    """Of sorted distinct hashes those below the threshold, or the floor least."""
+    return h if scale <= 1 else h[: max(int(np.searchsorted(h, np.uint64(2**64 // scale))), floor)]
 
-def sketch(text: str | None, scale: int = SCALE) -> np.ndarray:
+
+def sketch(text: str | None, scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
     """The retained hashes, sorted and distinct."""
     w = word_hashes(words_of(text))
     h = window_hashes(w, min(SHINGLE, len(w))) if len(w) else w
-    return np.unique(h if scale <= 1 else h[h < np.uint64(2**64 // scale)])
+    return _cut(np.unique(h), scale, floor)
+
+
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
+    """The sketch of two texts' shingles together, from their sketches."""
+    return _cut(np.union1d(a, b), scale, floor)
+
+
+def bound(s: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> int:
+    """The hash up to which a sketch has all hashes of its text."""
+    if scale <= 1 or len(s) < floor:
+        return 2**64 - 1
+    return max(2**64 // scale - 1, int(s[-1]))
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.union1d(a, b)
+def _common(a: np.ndarray, b: np.ndarray, scale: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    t = np.uint64(min(bound(a, scale, floor), bound(b, scale, floor)))
+    return a[: np.searchsorted(a, t, "right")], b[: np.searchsorted(b, t, "right")]
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of a's shingles that b has, estimated if the sketches are scaled."""
-    return float(np.isin(a, b, assume_unique=True).mean()) if len(a) else float(not len(b))
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> float:
+    """The share of a's shingles that b has, by the hashes that both sketches would hold."""
+    if not len(a):
+        return float(not len(b))
+    a, b = _common(a, b, scale, floor)
+    return float(np.isin(a, b, assume_unique=True).mean()) if len(a) else 0.0
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    return containment(a, b) if len(a) <= len(b) else containment(b, a)
+    x, y = _common(a, b, scale, floor)
+    if not len(x) or not len(y):
+        return 0.0
+    return containment(x, y, 1) if len(x) <= len(y) else containment(y, x, 1)
 
 
 def written(s: np.ndarray) -> str:
@@ -109,12 +140,20 @@ def with_next(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     d = plain(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    total = d.count()
+    # an id of more rows than a range should have is a range of its own, cut by the hash of the text; there are n such ids at most
+    often = {r["doc_id"]: -(-r["n"] * n // total) for r in d.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") * n > total).collect()} if n > 1 and total else {}
     cuts = d.select("doc_id").where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(x) for x in cuts}, reverse=True)
-    # bucket 0 has the largest ids; nulls go to the last
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(_above(cuts, F.col("doc_id")))
+    cuts = sorted({int(x) for x in cuts} | {x + i for x in often if x is not None for i in (0, 1) if x + i < 1 << 63}, reverse=True)
+    h = F.coalesce(F.xxhash64("text"), F.lit(0))
+    share = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 43)  # the hash's place in its order, in 2^21 steps
+    # bucket 0 has the largest ids; nulls come last
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_above(cuts, F.col("doc_id"))).cast("long")
+    for x, parts in often.items():  # parts of that id, and room for them among the buckets after it
+        own = F.col("doc_id").eqNullSafe(F.lit(x))
+        bucket = bucket + F.when(own, F.shiftright(share * parts, 21)).otherwise(F.when(F.coalesce(F.col("doc_id") < F.lit(x), F.lit(x is not None)), F.lit(parts - 1)).otherwise(0))
     d = d.withColumn("bucket", bucket.cast("int"))
-    order = F.struct(F.coalesce(-F.col("doc_id").cast("decimal(20,0)"), F.lit("10000000000000000000").cast("decimal(20,0)")).alias("o"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
+    order = F.struct(F.coalesce(-F.col("doc_id").cast("decimal(20,0)"), F.lit("10000000000000000000").cast("decimal(20,0)")).alias("o"), h.alias("h"))
     firsts = {r["bucket"]: r["o"] for r in d.groupBy("bucket").agg(F.min(order).alias("o")).collect()}  # a row for each bucket
     used = sorted(firsts)
     guests = [(firsts[b]["o"], firsts[b]["h"], used[i - 1]) for i, b in enumerate(used)]
