@@ -7,11 +7,12 @@ least of the COORDINATES - MATCHES + 1 rarest of either, so only these are joine
 similarity out are skipped, and the coordinates that agree are counted on the signatures of the pairs that are left. Pairs
 with MATCHES agreements or more are confirmed on their full sets. At a similarity of 0.8 fewer agree with a probability of 3e-7.
 
-Lists of more than LARGE classes don't give all their pairs. First each class of such a list meets a few pivots, the
-classes of least hash, which similar lists share; the links found join classes to components. In lists that still hold two
-components or more the signatures are compared in blocks of about BLOCK classes, each pair of blocks a task's unit, and
-only pairs of different components go on to be confirmed: of each class those with the most agreements first, then the
-next, four times as many a round, while the components grow together, until none is left. No pair is dropped.
+Lists of more than LARGE classes don't give all their pairs. First each class of such a list meets a few pivots, which
+similar lists share: the class whose tokens are the commonest, and those of least hash; the links found join classes to
+components, within which no pair is looked at any more. In a list that still holds two components or more the classes outside
+of its commonest one are compared with all of it, in blocks of about BLOCK classes, each pair of blocks a task's unit:
+by signatures first, then, for those that agree often enough with a class of another component, by their full sets in
+the task itself, which gives a forest of links and no pairs. No pair of different components is left out.
 
 Cases: null and empty texts and those without words have n_shingles 0 and a component of their own; rows are kept one for
 one, repeated and null doc_ids included; component_id is the least non-null doc_id of the component (null if it has none),
@@ -33,7 +34,7 @@ from .shingles import mix, shingle_hashes, words_of
 
 SHINGLE, PERCENT = 4, 80
 COORDINATES, MATCHES = 64, 34
-LARGE, PIVOTS, BLOCK, FIRST = 48, 4, 1024, 4
+LARGE, PIVOTS, BLOCK = 48, 4, 512
 BROADCAST_KEYS = 1_000_000
 _SLICE = 1 << 15
 
@@ -119,23 +120,28 @@ class Join:
         self.classes = cut(some.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     def postings(self) -> DataFrame:
-        """class, n, token and how many classes the token has, for the rarest tokens of each class."""
+        """class, n, weight, token and how many classes the token has, for the rarest tokens of each class.
+
+        weight: how many classes its tokens have in all. Of near copies the one that most others were made from has the most.
+        """
         tokens = self.classes.select("class", F.posexplode("signature").alias("at", "value")).select("class", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
         counts = tokens.groupBy("token").agg(F.count("*").alias("of_token")).where("of_token > 1")
-        shared = skewed_lookup(tokens, counts, ["token"], name="tokens").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("of_token", "token"))).alias("ts"))
+        shared = skewed_lookup(tokens, counts, ["token"], name="tokens").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("of_token", "token"))).alias("ts"), F.sum("of_token").alias("weight"))
         # tokens of one class alone are the rarest and join nothing: of the others size - matches + 1 are left to the prefix
-        rare = shared.where(F.size("ts") >= self.matches).select("class", F.explode(F.slice("ts", F.lit(1), F.size("ts") - self.matches + 1)).alias("t"))
-        return cut(rare.select("class", "t.*").join(self.classes.select("class", "n").hint("shuffle_merge"), "class"), "postings")
+        rare = shared.where(F.size("ts") >= self.matches).select("class", "weight", F.explode(F.slice("ts", F.lit(1), F.size("ts") - self.matches + 1)).alias("t"))
+        return cut(rare.select("class", "weight", "t.*").join(self.classes.select("class", "n").hint("shuffle_merge"), "class"), "postings")
 
     def small_pairs(self, postings: DataFrame) -> DataFrame:
-        p = postings.where(F.col("of_token") <= self.large).select("token", "class", "n")
+        """Pairs of different labels in lists of LARGE classes at most."""
+        p = postings.where(F.col("of_token") <= self.large).select("token", "class", "label", "n")
         a, b = p.alias("a"), p.alias("b")
-        on = (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & _similar(F.col("a.n"), F.col("b.n"), self.percent)
+        on = (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & _similar(F.col("a.n"), F.col("b.n"), self.percent)
         return a.join(b.hint("shuffle_merge"), on).select(F.col("a.class").alias("u"), F.col("b.class").alias("v"))
 
     def pivot_pairs(self, postings: DataFrame) -> DataFrame:
-        p = postings.where(F.col("of_token") > self.large).select("token", "class", "n")
-        pivots = p.groupBy("token").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(s)).alias("h"), "class", "n")) for s in range(PIVOTS)])).alias("pivots"))
+        p = postings.where(F.col("of_token") > self.large).select("token", "class", "n", "weight")
+        least = lambda h: F.min(F.struct(h.alias("h"), "class", "n"))
+        pivots = p.groupBy("token").agg(F.array(least(-F.col("weight")), *[least(F.xxhash64("class", F.lit(s))) for s in range(PIVOTS - 1)]).alias("pivots"))
         met = skewed_lookup(p, pivots, ["token"], name="pivots").select("class", "n", F.explode("pivots").alias("p")).where((F.col("class") != F.col("p.class")) & _similar(F.col("n"), F.col("p.n"), self.percent))
         return met.select(F.least("class", "p.class").alias("u"), F.greatest("class", "p.class").alias("v"))
 
@@ -151,68 +157,96 @@ class Join:
         agree = F.size(F.filter(F.zip_with("signature_u", "signature_v", lambda a, b: a == b), lambda x: x))
         return cut(d.where(agree >= self.matches).select("u", "v"), "candidates")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Of candidates u, v those whose full sets are similar enough."""
-        ends = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
-        wanted = cut(self.classes.join(ends.hint("shuffle_merge"), "class").select("class", "of.doc_id", "of.text_key"), "wanted")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """class and items (the full set) of the wanted classes."""
+        wanted = cut(self.classes.join(wanted.select("class").distinct().hint("shuffle_merge"), "class").select("class", "of.doc_id", "of.text_key"), "wanted")
         few = wanted.count() <= BROADCAST_KEYS
         d, w = self.docs.alias("d"), (F.broadcast(wanted) if few else wanted.hint("shuffle_merge")).alias("w")
         texts = d.join(w, (F.col("d.text_key") == F.col("w.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.class", "d.text")
-        sets = cut(texts.mapInArrow(_sets(self.k), "class long, items array<long>").groupBy("class").agg(F.first("items").alias("items")), "sets")
-        d = self._with(pairs, sets, "items")
+        return cut(texts.mapInArrow(_sets(self.k), "class long, items array<long>").groupBy("class").agg(F.first("items").alias("items")), "sets")
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Of candidates u, v those whose full sets are similar enough."""
+        d = self._with(pairs, self.sets(pairs.select(F.col("u").alias("class")).union(pairs.select("v"))), "items")
         both = F.size(F.array_intersect("items_u", "items_v"))
         return cut(d.withColumn("both", both).where(100 * F.col("both") >= self.percent * (F.size("items_u") + F.size("items_v") - F.col("both"))).select("u", "v"), "links")
 
-    def block_pairs(self, postings: DataFrame, label: DataFrame, lo: int, hi: int) -> DataFrame:
-        """u, v of different labels that agree often enough, in each block of a list of more than one label the lo-th to hi-th of a class.
+    def block_links(self, postings: DataFrame) -> DataFrame | None:
+        """Links u, v between labels in each list of more than LARGE classes and more than one label, a forest of each block.
 
-        A row of nulls says that there are more.
+        The classes of a list's commonest label don't meet each other: the others, the askers, meet all of the list, by
+        signature first; the blocks of those that agree often enough with one of another label then get their full sets.
         """
-        p = skewed_lookup(postings.where(F.col("of_token") > self.large).select("token", "class", "n"), label, ["class"], name="labels")
-        mixed = p.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).where("least <> most").select("token", "size")
-        p = skewed_lookup(p, mixed, ["token"], name="mixed")
-        blocks = F.ceil(F.col("size") / self.block).cast("long")
-        p = p.select("token", "class", "label", "n", blocks.alias("k"), F.pmod(F.xxhash64("class", F.lit(1)), blocks).alias("b"))
-        p = p.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
-        units = p.select(F.xxhash64("token", F.least("b", "j"), F.greatest("b", "j")).alias("unit"), "class", "label", "n")
-        units = units.join(self.classes.select("class", "signature").hint("shuffle_merge"), "class")
-        return units.groupBy("unit").applyInArrow(_compare(self.matches, self.percent, lo, hi), "u long, v long").distinct()
-
-    def links(self) -> DataFrame:
-        """u, v of classes: they join just the classes that similar pairs join."""
+        p = postings.where(F.col("of_token") > self.large).select("token", "class", "label", "n")
+        most = p.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("size")).where("size > top.size")
+        p = skewed_lookup(p, most.select("token", "size", (F.col("size") - F.col("top.size")).alias("askers"), F.col("top.label").alias("common")), ["token"], name="mixed")
+        blocks = lambda n: F.ceil(F.col(n) / self.block).cast("long")
+        p = p.select("token", "class", "label", "n", (F.col("label") != F.col("common")).alias("asks"), blocks("askers").alias("ka"), blocks("size").alias("ks"))
+        spread = lambda k: F.pmod(F.xxhash64("class", F.lit(1)), F.col(k))
+        every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+        asking = p.where("asks").select("token", "class", "label", "n", "asks", spread("ka").alias("a"), every("ks").alias("b"))
+        asked = p.select("token", "class", "label", "n", F.lit(False).alias("asks"), every("ka").alias("a"), spread("ks").alias("b"))
+        units = asking.union(asked).select(F.xxhash64("token", "a", "b").alias("unit"), "class", "label", "n", "asks")
+        signed = self.classes.select("class", "signature").hint("shuffle_merge")
+        shape = "unit long, class long, label long, n long, asks boolean"
+        met = cut(units.join(signed, "class").groupBy("unit").applyInArrow(_block(self.matches, self.percent, False), shape), "met")
+        if met.isEmpty():
+            return None
+        full = met.join(signed, "class").join(self.sets(met).hint("shuffle_merge"), "class")
+        return cut(full.groupBy("unit").applyInArrow(_block(self.matches, self.percent, True), "u long, v long").distinct(), "block-links")
+
+    def labels(self) -> DataFrame:
+        """class and label of every class: the least class that similar pairs join it to."""
+
+        def labelled(edges):
+            stars = components(edges)
+            return stars, cut(self.classes.select("class").join(stars.withColumnRenamed("node", "class").hint("shuffle_merge"), "class", "left").select("class", F.coalesce("label", "class").alias("label")), "labels")
+
         postings = self.postings()
-        found = self.confirm(self.enough(self.small_pairs(postings).union(self.pivot_pairs(postings))))
-        lo, hi = 0, FIRST
-        while True:
-            joined = components(found).withColumnRenamed("node", "class")
-            label = self.classes.select("class").join(joined.hint("shuffle_merge"), "class", "left").select("class", F.coalesce("label", "class").alias("label"))
-            pairs = cut(self.block_pairs(postings, label, lo, hi), "block-pairs")
-            if pairs.isEmpty():
-                return found
-            found = cut(found.union(self.confirm(pairs.where("u IS NOT NULL"))), "links")
-            lo, hi = hi, 4 * hi
-
-
-def _compare(matches: int, percent: int, lo: int, hi: int):
+        stars, label = labelled(self.confirm(self.enough(self.pivot_pairs(postings))))
+        postings = cut(skewed_lookup(postings, label, ["class"], name="labels"), "postings")
+        found = stars.select(F.col("label").alias("u"), F.col("node").alias("v")).where("u <> v").union(self.confirm(self.enough(self.small_pairs(postings))))
+        more = self.block_links(postings)
+        return labelled(found if more is None else found.union(more))[1]
+
+
+def _block(matches: int, percent: int, full: bool):
+    """Task function over a unit: the classes that agree often enough with one of another label or, with full sets, the links between labels."""
+
     def run(t: pa.Table) -> pa.Table:
-        ids, labels, n = (t.column(c).to_numpy() for c in ("class", "label", "n"))
-        ids, at = np.unique(ids, return_index=True)
-        labels, n = labels[at], n[at]
-        s = t.column("signature").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)[at]
-        us, vs, more = [], [], False
-        for i in range(len(ids) - 1):
-            agree = (s[i + 1 :] == s[i]).sum(1)
-            fits = (agree >= matches) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
-            j = np.flatnonzero(fits)
-            j = j[np.argsort(-agree[j], kind="stable")] + i + 1  # the same order in every round, whatever the labels
-            apart = labels[j] != labels[i]
-            more = more or bool(apart[hi:].any())
-            j = j[lo:hi][apart[lo:hi]]
-            us += [int(ids[i])] * len(j)
-            vs += ids[j].tolist()
-        if more:
-            us, vs = [*us, None], [*vs, None]
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        ids, labels, n, asks = (t.column(c).to_numpy() for c in ("class", "label", "n", "asks"))
+        s = t.column("signature").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        data = np.flatnonzero(~asks)
+        items = t.column("items").combine_chunks() if full else None
+        top = {int(x): int(x) for x in labels}
+
+        def root(x):
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        met, us, vs = np.zeros(len(ids), bool), [], []
+        for i in np.flatnonzero(asks):
+            agree = (s[data] == s[i]).sum(1)
+            fits = (agree >= matches) & (labels[data] != labels[i]) & (100 * np.minimum(n[i], n[data]) >= percent * np.maximum(n[i], n[data]))
+            j = data[fits]
+            if not len(j):
+                continue
+            met[i] = True
+            met[j] = True
+            if full:
+                own = items[i].values.to_numpy()
+                for k in j[np.argsort(-agree[fits], kind="stable")]:
+                    if root(int(labels[i])) == root(int(labels[k])):
+                        continue
+                    both = len(np.intersect1d(own, items[int(k)].values.to_numpy(), assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[k] - both):
+                        top[root(int(labels[i]))] = root(int(labels[k]))
+                        us.append(min(ids[i], ids[k]))
+                        vs.append(max(ids[i], ids[k]))
+        if full:
+            return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        return t.filter(pa.array(met)).select(["unit", "class", "label", "n", "asks"])
 
     return run
 
@@ -220,8 +254,7 @@ def _compare(matches: int, percent: int, lo: int, hi: int):
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", **how) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     j = Join(plain(docs, doc_id=doc_id, text=text), **how)
-    joined = components(j.links()).withColumnRenamed("node", "class")
-    of = j.classes.join(joined.hint("shuffle_merge"), "class", "left").select("set_key", "first_doc", F.coalesce("label", "class").alias("label"))
+    of = j.classes.join(j.labels().hint("shuffle_merge"), "class").select("set_key", "first_doc", "label")
     least = of.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of = of.join(least.hint("shuffle_merge"), "label").select("set_key", "component_id")
     some = skewed_lookup(j.rows.where("n > 0").select("doc_id", "n", "set_key"), of, ["set_key"], name="components").select("doc_id", "n", "component_id")
