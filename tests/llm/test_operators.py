@@ -152,19 +152,48 @@ def test_min_cost_flow():
 
 
 def test_resharding(spark, docs, empty):
-    p = sharding.reshard(docs)
-    path = common.new_dir(spark, "t")
-    sharding.write_shards(p, path)
-    rows = spark.read.parquet(path).collect()
-    assert len(rows) == len(ROWS)
+    path = common.new_dir(spark, "shards")
+    plan, placed = sharding.reshard(docs, path, old_shard=F.pmod("doc_id", F.lit(5)) + 14)  # 16 to 18 count as 0 to 2
+    rows = sharding.with_slots(placed).collect()
     for j in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == j) == list(range(sum(r["shard"] == j for r in rows)))
     assert want((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ROWS)
-    assert sharding.reshard(empty).count() == 0
+    assert {r["old_shard"] for r in rows} <= {14, 15, 0, 1, 2}
+    assert sharding.reshard(empty, common.new_dir(spark, "shards"))[1].count() == 0
+
+
+def test_only_files_with_moving_blocks_are_rewritten(spark):
+    r = random.Random(3)
+    rows = [(i, "x" * r.randint(0, 300), min(3, int(r.expovariate(0.9)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    path = common.new_dir(spark, "shards")
+    plan, placed = sharding.reshard(df, path, old_shard=F.col("at"), n_shards=4, blocks=256, files=8)
+    p, got = plan.collect(), sharding.with_slots(placed).collect()
+    supply = [sum(len(t) + 1 for _, t, a in rows if a == j) for j in range(4)]
+    sizes = [sum(x["size"] for x in got if x["shard"] == j) for j in range(4)]
+    largest, least = max(x["bytes"] for x in p), sum(max(0, s - sum(supply) // 4) for s in supply)
+    told = sharding.report(plan).first()
+    assert max(sizes) - min(sizes) <= 300 and told["bytes"] == sum(supply) == sum(sizes)
+    assert least - 4 <= told["moved_bytes"] <= least + 4 * largest  # the flow's optimum, but for a block a shard
+    moved = {(x["old_shard"], x["file"]) for x in p if x["moved"]}
+    assert moved == {(x["old_shard"], x["file"]) for x in p if x["rewritten"]} and told["rewritten_files"] == len(moved) < told["files"] == 32
+    back = spark.read.parquet(f"{path}/new")
+    assert {(x["old_shard"], x["file"]) for x in back.select("old_shard", "file").distinct().collect()} == moved
+    assert told["rewritten_bytes"] == back.agg(F.sum("size")).first()[0]
+    assert {x["old_shard"] for x in p if x["moved"]} == {j for j in range(4) if supply[j] > sum(supply) / 4}  # nothing leaves a shard that has room
+    new = {x["doc_id"]: x["shard"] for x in got}
+    home = {(x["old_shard"], x["block"]): x["shard"] for x in p}
+    assert all(new[x["doc_id"]] == home[x["old_shard"], x["block"]] for x in placed.select("doc_id", "old_shard", "block").collect())
+
+
+def test_dealt_blocks():
     sizes = [(s, k, b) for s in range(4) for k, b in enumerate(random.Random(s).choices(range(50, 400), k=60 * (s + 1)))]
     new = sharding.deal_blocks(sizes, 4)
     per = [sum(b for s, k, b in sizes if new[s, k] == j) for j in range(4)]
     assert max(per) - min(per) <= 400
+    supply = [sum(b for s, _, b in sizes if s == j) for j in range(4)]
+    moved, least = sum(b for s, k, b in sizes if new[s, k] != s), sum(max(0, s - sum(supply) // 4) for s in supply)
+    assert moved <= least + 4 * 400
 
 
 # 4
