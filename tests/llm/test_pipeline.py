@@ -48,3 +48,29 @@ def test_oracle_of_decontamination(spark):
     want = con.execute(decontamination.ORACLE_SQL["op2_decontamination"]).fetchall()
     got = decontamination.op2_decontamination(spark, SF).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "reparameterised").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [None, 0])
+def test_stages_on_awkward_rows(spark, tmp_path, n):
+    """Nulls, empty and long texts, ties, repeated rows and callers' columns of any name; and the empty table."""
+    from .test_operators import ROWS
+
+    extra = "_row long, _own_id long, _nth long, _mix long, _part long, _ms long, bucket long"
+    rows = [(*r[:5], *range(7)) for r in ROWS][:n]
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(n is None and 12 or 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ROWS[17][1]), (2, None), (3, "")][:n], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES:
+        before, docs = docs, cut(stage(spark, docs, str(tmp_path)), name)
+        if name == "token_store":
+            assert docs.count() == before.count() and docs.select("place").distinct().count() == docs.count()
+            continue
+        assert docs.columns == before.columns and docs.exceptAll(before).count() == 0, name
+        if name == "near_duplicates":
+            found = simhash.near_duplicates(before).select("label").distinct().count()
+            assert docs.count() == found
+        if name == "mixing":
+            assert docs.exceptAll(before).count() == before.exceptAll(docs).count() == 0
+        if name == "decontamination" and n is None and before.where("doc_id = 17").count():
+            assert docs.where("doc_id = 17").count() == 0
