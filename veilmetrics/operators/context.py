@@ -52,12 +52,20 @@ def best_line(lines: DataFrame) -> DataFrame:
     return best.select("doc_id", "token_idx", "_best.*")
 
 
-def phrase_before(box: DataFrame, run: DataFrame, max_words: int = 2) -> DataFrame:
-    """The unbroken words that end at the box, the nearest max_words of them."""
-    j = box.select("doc_id", "line", "token_idx").join(run.select("doc_id", "line", "token", F.col("token_idx").alias("rt")), ["doc_id", "line"]).where("rt < token_idx")
-    w = Window.partitionBy("doc_id", "token_idx").orderBy(F.desc("rt"))
-    k = j.withColumn("k", F.row_number().over(w)).where((F.col("token_idx") - F.col("rt") == F.col("k")) & (F.col("k") <= max_words))
-    return k.groupBy("doc_id", "token_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rt", "token"))), lambda x: x["token"]), " ").alias("phrase"))
+def phrases(joined: DataFrame, best: DataFrame, reach: float = 30.0) -> DataFrame:
+    """before and after of each box: the anchors of its best line, each with the next word outward if that is `reach` points away at most.
+
+    joined: band_join; best: best_line of its line_anchors. An anchor that is missing gives an empty phrase.
+    """
+    line = joined.groupBy("doc_id", "token_idx", "bucket").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "rt", "token"))).alias("ws"))
+    d = best.select("doc_id", "token_idx", "bucket", F.col("bef.t").alias("bt"), F.col("aft.t").alias("at")).join(line, ["doc_id", "token_idx", "bucket"])
+    place = lambda t: F.array_position(F.transform("ws", lambda x: x["rt"]), F.col(t)).cast("int") - 1
+    d = d.withColumns({"_b": F.when(F.col("bt").isNotNull(), place("bt")), "_a": F.when(F.col("at").isNotNull(), place("at"))})
+    word = lambda i: F.when(i >= 0, F.get("ws", i))
+    b0, b1, a0, a1 = word(F.col("_b")), word(F.col("_b") - 1), word(F.col("_a")), word(F.col("_a") + 1)
+    before = F.concat_ws(" ", F.when(b0["x0"] - b1["x1"] <= reach, b1["token"]), b0["token"])
+    after = F.concat_ws(" ", a0["token"], F.when(a1["x0"] - a0["x1"] <= reach, a1["token"]))
+    return d.select("doc_id", "token_idx", before.alias("before"), after.alias("after"))
 
 
 def line_cluster(run: DataFrame, reach: float = 18.0) -> DataFrame:
@@ -115,12 +123,29 @@ def ranked_runs(relations: DataFrame) -> DataFrame:
     return relations.where("relation < 2").withColumn("rank", F.row_number().over(w))
 
 
-def joined_runs(run: DataFrame) -> DataFrame:
-    """Words that follow each other without a box between, joined."""
-    w = Window.partitionBy("doc_id").orderBy("token_idx")
-    same = (F.col("token_idx") - F.lag("token_idx").over(w) == 1) & (F.col("line") == F.lag("line").over(w))
-    isl = run.withColumn("_f", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return isl.groupBy("doc_id", "line", "island").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", "token"))), lambda x: x["token"]), " ").alias("text"))
+def join_space(before: Column, after: Column, gap: Column) -> Column:
+    """A blank where two runs' texts meet as words, if they are apart by .25 points at least and have none there; else nothing."""
+    last, first = F.substring(before, -1, 1), F.substring(after, 1, 1)
+    word = lambda c, more: F.rlike(c, F.lit(r"^[\p{L}\p{N}" + more + "]$"))
+    return F.when(word(last, ",") & word(first, "(") & (gap >= 0.25), " ").otherwise("")
+
+
+def joined_runs(run: DataFrame, profile: tuple[str, ...] = ("font_size",), baseline: float = 3.0, least: float = -0.5, most: float = 18.0) -> DataFrame:
+    """Neighbours of a line joined to one text: doc_id, page_index, first (token_idx), n, text, x0 and x1.
+
+    Neighbours follow each other in a line as greedy_lines builds it, have the same width profile and the same baseline, and
+    are `least` to `most` points apart.
+    """
+    w = Window.partitionBy("doc_id", "page_index", "bucket").orderBy("x0", "x1", "token_idx")
+    gap = F.col("x0") - F.lag("x1").over(w)
+    same = (F.abs(F.col("y1") - F.lag("y1").over(w)) <= baseline) & gap.between(least, most)
+    for c in profile:
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+    r = greedy_lines(run).withColumn("_f", F.when(same, 0).otherwise(1)).withColumn("_sep", F.when(F.col("_f") == 0, join_space(F.lag("token").over(w), F.col("token"), gap)).otherwise(""))
+    r = r.withColumn("_island", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = F.array_sort(F.collect_list(F.struct("x0", "x1", "token_idx", F.concat("_sep", "token").alias("t"))))
+    d = r.groupBy("doc_id", "page_index", "bucket", "_island").agg(each.alias("_a"), F.max("x1").alias("x1"))
+    return d.select("doc_id", "page_index", F.get("_a", F.lit(0))["token_idx"].alias("first"), F.size("_a").cast("long").alias("n"), F.array_join(F.transform("_a", lambda x: x["t"]), "").alias("text"), F.get("_a", F.lit(0))["x0"].alias("x0"), "x1")
 
 
 def anchor_pairs(box: DataFrame, run: DataFrame) -> DataFrame:

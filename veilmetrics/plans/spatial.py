@@ -138,12 +138,13 @@ def j04(spark, d):
     return context.best_line(lines).select("doc_id", "token_idx", "bucket", "context_rank", "y_rank", "before_gap", "after_gap")
 
 
-@query("j05_phrase_growth", L + """, b as (select box.doc_id, box.token_idx, r.token, r.token_idx as rt from box join run r on box.doc_id = r.doc_id and box.line = r.line where r.token_idx < box.token_idx),
-g as (select *, token_idx - rt - row_number() over (partition by doc_id, token_idx order by rt desc) as isl from b)
-select doc_id, token_idx, string_agg(token, ' ' order by rt) as phrase from (select *, row_number() over (partition by doc_id, token_idx order by rt desc) as k from g where isl = 0) where k <= 2 group by 1, 2""")
+@query("j05_phrase_growth", L + J01 + """, nb as (select doc_id, token_idx, bucket, rt, token, x0, x1, lag(token) over w as pt, x0 - lag(x1) over w as pg, lead(token) over w as nt, lead(x0) over w - x1 as ng from j window w as (partition by doc_id, token_idx, bucket order by x0, x1, rt))
+select b.doc_id, b.token_idx, concat_ws(' ', case when l.pg <= 30 then l.pt end, l.token) as before, concat_ws(' ', r.token, case when r.ng <= 30 then r.nt end) as after from best b
+ left join nb l on l.doc_id = b.doc_id and l.token_idx = b.token_idx and l.bucket = b.bucket and l.rt = b.bef.t left join nb r on r.doc_id = b.doc_id and r.token_idx = b.token_idx and r.bucket = b.bucket and r.rt = b.aft.t where b.k = 1""")
 def j05(spark, d):
     t = _tok(spark, d)
-    return context.phrase_before(layout.boxes(t), layout.runs(t), max_words=2)
+    joined = context.band_join(layout.boxes(t), layout.runs(t))
+    return context.phrases(joined, context.best_line(context.line_anchors(joined)))
 
 
 @query("j06_line_cluster", L + """, ln as (select doc_id, page_index, line, count(*) as n, max(y1) as y from run group by 1, 2, 3), lag_ as (select *, lag(y) over w as py, lead(y) over w as ny from ln window w as (partition by doc_id, page_index order by line))
@@ -222,10 +223,11 @@ def j16(spark, d):
     return layout.runs(_tok(spark, d)).agg(m("[A-Za-z0-9]").alias("alnum"), F.count_if(~F.rlike("token", F.lit("[A-Za-z0-9]"))).alias("other"), m("^[.,;:!?]+$").alias("punctuation"))
 
 
-@query("j17_neighbour_growth", L + """, o as (select *, case when token_idx - lag(token_idx) over w = 1 and line = lag(line) over w then 0 else 1 end as fresh from run window w as (partition by doc_id order by token_idx)),
-i as (select *, sum(fresh) over (partition by doc_id order by token_idx rows unbounded preceding) as isl from o) select doc_id, line, isl::bigint as island, count(*) as n, string_agg(token, ' ' order by token_idx) as text from i group by 1, 2, 3""")
+@query("j17_neighbour_growth", L + GREEDY + r""", lg as (select *, x0 - lag(x1) over w as gap, lag(token) over w as pt, abs(y1 - lag(y1) over w) <= 3 and x0 - lag(x1) over w between -0.5 and 18 and font_size = lag(font_size) over w as same from greedy window w as (partition by doc_id, page_index, bucket order by x0, x1, token_idx)),
+ jn as (select *, case when same and regexp_matches(right(pt, 1), '^[\p{L}\p{N},]$') and regexp_matches(left(token, 1), '^[\p{L}\p{N}(]$') and gap >= 0.25 then ' ' else '' end as sep, sum(case when same then 0 else 1 end) over (partition by doc_id, page_index, bucket order by x0, x1, token_idx rows unbounded preceding) as isl from lg)
+select doc_id, page_index, arg_min(token_idx, (x0, x1, token_idx)) as first, count(*) as n, string_agg(sep || token, '' order by x0, x1, token_idx) as text, round(min(x0), 4) as x0, round(max(x1), 4) as x1 from jn group by doc_id, page_index, bucket, isl""")
 def j17(spark, d):
-    return context.joined_runs(layout.runs(_tok(spark, d)))
+    return context.joined_runs(layout.runs(_tok(spark, d))).withColumns({c: F.round(c, 4) for c in ("x0", "x1")})
 
 
 J18 = REL + """, rgt as materialized (select b.doc_id, b.token_idx, r.token_idx as rt, r.x0 - b.x1 as gap from det b join run r on b.doc_id = r.doc_id and b.line = r.line where r.x0 >= b.x1),
