@@ -33,7 +33,7 @@ from .components import components
 from .shingles import mix, shingle_hashes, words_of
 
 SHINGLE, PERCENT = 4, 80
-COORDINATES, MATCHES = 64, 34
+COORDINATES, MATCHES = 64, 34  # coordinates have a bit each in a long: 64 at most
 LARGE, PIVOTS, BLOCK = 48, 4, 512
 BROADCAST_KEYS = 1_000_000
 _SLICE = 1 << 15
@@ -120,16 +120,20 @@ class Join:
         self.classes = cut(some.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     def postings(self) -> DataFrame:
-        """class, n, weight, token and how many classes the token has, for the rarest tokens of each class.
+        """class, n, weight, mask, token and how many classes the token has, for the rarest tokens of each class.
 
+        mask: a bit for each coordinate whose token is among these and has more than LARGE classes.
         weight: how many classes its tokens have in all. Of near copies the one that most others were made from has the most.
         """
         tokens = self.classes.select("class", F.posexplode("signature").alias("at", "value")).select("class", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
         counts = tokens.groupBy("token").agg(F.count("*").alias("of_token")).where("of_token > 1")
         shared = skewed_lookup(tokens, counts, ["token"], name="tokens").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("of_token", "token"))).alias("ts"), F.sum("of_token").alias("weight"))
         # tokens of one class alone are the rarest and join nothing: of the others size - matches + 1 are left to the prefix
-        rare = shared.where(F.size("ts") >= self.matches).select("class", "weight", F.explode(F.slice("ts", F.lit(1), F.size("ts") - self.matches + 1)).alias("t"))
-        return cut(rare.select("class", "weight", "t.*").join(self.classes.select("class", "n").hint("shuffle_merge"), "class"), "postings")
+        rare = shared.where(F.size("ts") >= self.matches).select("class", "weight", F.slice("ts", F.lit(1), F.size("ts") - self.matches + 1).alias("ts"))
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t["token"], 32).cast("int"))
+        mask = F.aggregate(F.filter("ts", lambda t: t["of_token"] > self.large), F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t)))
+        rare = rare.select("class", "weight", mask.alias("mask"), F.explode("ts").alias("t"))
+        return cut(rare.select("class", "weight", "mask", "t.*").join(self.classes.select("class", "n").hint("shuffle_merge"), "class"), "postings")
 
     def small_pairs(self, postings: DataFrame) -> DataFrame:
         """Pairs of different labels in lists of LARGE classes at most."""
@@ -177,18 +181,18 @@ class Join:
         The classes of a list's commonest label don't meet each other: the others, the askers, meet all of the list, by
         signature first; the blocks of those that agree often enough with one of another label then get their full sets.
         """
-        p = postings.where(F.col("of_token") > self.large).select("token", "class", "label", "n")
+        p = postings.where(F.col("of_token") > self.large).select("token", "class", "label", "n", "mask")
         most = p.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("size")).where("size > top.size")
         p = skewed_lookup(p, most.select("token", "size", (F.col("size") - F.col("top.size")).alias("askers"), F.col("top.label").alias("common")), ["token"], name="mixed")
         blocks = lambda n: F.ceil(F.col(n) / self.block).cast("long")
-        p = p.select("token", "class", "label", "n", (F.col("label") != F.col("common")).alias("asks"), blocks("askers").alias("ka"), blocks("size").alias("ks"))
+        p = p.select("token", "class", "label", "n", "mask", (F.col("label") != F.col("common")).alias("asks"), blocks("askers").alias("ka"), blocks("size").alias("ks"))
         spread = lambda k: F.pmod(F.xxhash64("class", F.lit(1)), F.col(k))
         every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-        asking = p.where("asks").select("token", "class", "label", "n", "asks", spread("ka").alias("a"), every("ks").alias("b"))
-        asked = p.select("token", "class", "label", "n", F.lit(False).alias("asks"), every("ka").alias("a"), spread("ks").alias("b"))
-        units = asking.union(asked).select(F.xxhash64("token", "a", "b").alias("unit"), "class", "label", "n", "asks")
+        asking = p.where("asks").select("token", "class", "label", "n", "mask", "asks", spread("ka").alias("a"), every("ks").alias("b"))
+        asked = p.select("token", "class", "label", "n", "mask", F.lit(False).alias("asks"), every("ka").alias("a"), spread("ks").alias("b"))
+        units = asking.union(asked).select(F.xxhash64("token", "a", "b").alias("unit"), F.shiftright("token", 32).cast("int").alias("at"), "class", "label", "n", "mask", "asks")
         signed = self.classes.select("class", "signature").hint("shuffle_merge")
-        shape = "unit long, class long, label long, n long, asks boolean"
+        shape = "unit long, at int, class long, label long, n long, mask long, asks boolean"
         met = cut(units.join(signed, "class").groupBy("unit").applyInArrow(_block(self.matches, self.percent, False), shape), "met")
         if met.isEmpty():
             return None
@@ -216,6 +220,8 @@ def _block(matches: int, percent: int, full: bool):
     def run(t: pa.Table) -> pa.Table:
         ids, labels, n, asks = (t.column(c).to_numpy() for c in ("class", "label", "n", "asks"))
         s = t.column("signature").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        bits = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> np.arange(s.shape[1], dtype=np.uint64) & np.uint64(1)).astype(bool)
+        at = t.column("at")[0].as_py()
         data = np.flatnonzero(~asks)
         items = t.column("items").combine_chunks() if full else None
         top = {int(x): int(x) for x in labels}
@@ -227,8 +233,11 @@ def _block(matches: int, percent: int, full: bool):
 
         met, us, vs = np.zeros(len(ids), bool), [], []
         for i in np.flatnonzero(asks):
-            agree = (s[data] == s[i]).sum(1)
-            fits = (agree >= matches) & (labels[data] != labels[i]) & (100 * np.minimum(n[i], n[data]) >= percent * np.maximum(n[i], n[data]))
+            equal = s[data] == s[i]
+            agree = equal.sum(1)
+            # a pair is looked at in one list alone, that of the first coordinate by which both are in a long list
+            own_list = (equal & bits[data] & bits[i]).argmax(1) == at
+            fits = own_list & (agree >= matches) & (labels[data] != labels[i]) & (100 * np.minimum(n[i], n[data]) >= percent * np.maximum(n[i], n[data]))
             j = data[fits]
             if not len(j):
                 continue
@@ -246,7 +255,7 @@ def _block(matches: int, percent: int, full: bool):
                         vs.append(max(ids[i], ids[k]))
         if full:
             return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-        return t.filter(pa.array(met)).select(["unit", "class", "label", "n", "asks"])
+        return t.filter(pa.array(met)).select(["unit", "at", "class", "label", "n", "mask", "asks"])
 
     return run
 
