@@ -228,7 +228,7 @@ def groups(seed=9):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("how", [{}, {"large": 2, "block": 16}, {"large": 8, "block": 30}])
+@pytest.mark.parametrize("how", [{}, {"large": 4, "block": 16}])
 def test_minhash_against_brute_force(spark, how):
     rows = groups() + [(3, groups()[3][1]), (None, groups()[5][1]), (None, None), (None, "only one of no id here"), (-4, groups()[80][1])]
     df = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in rows], "doc_id long, text string, class long, n int, u long, label string").repartition(3)
