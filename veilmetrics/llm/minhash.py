@@ -146,7 +146,8 @@ class Join:
         p = postings.where(F.col("of_token") > self.large).select("token", "class", "n", "weight")
         least = lambda h: F.min(F.struct(h.alias("h"), "class", "n"))
         pivots = p.groupBy("token").agg(F.array(least(-F.col("weight")), *[least(F.xxhash64("class", F.lit(s))) for s in range(PIVOTS - 1)]).alias("pivots"))
-        met = skewed_lookup(p, pivots, ["token"], name="pivots").select("class", "n", F.explode("pivots").alias("p")).where((F.col("class") != F.col("p.class")) & _similar(F.col("n"), F.col("p.n"), self.percent))
+        of = F.array_distinct(F.flatten(F.collect_list(F.transform("pivots", lambda x: F.struct(x["class"].alias("class"), x["n"].alias("n"))))))  # a few for each token, mostly the same
+        met = skewed_lookup(p, pivots, ["token"], name="pivots").groupBy("class", "n").agg(of.alias("pivots")).select("class", "n", F.explode("pivots").alias("p")).where((F.col("class") != F.col("p.class")) & _similar(F.col("n"), F.col("p.n"), self.percent))
         return met.select(F.least("class", "p.class").alias("u"), F.greatest("class", "p.class").alias("v"))
 
     def _with(self, pairs: DataFrame, right: DataFrame, column: str) -> DataFrame:
