@@ -9,7 +9,7 @@ from veilmetrics import __main__ as main
 from veilmetrics import service
 from veilmetrics.functions import geometry as g
 from veilmetrics.functions import widths
-from veilmetrics.operators import context, detection, evaluate, measure, names, raster
+from veilmetrics.operators import analysis, context, detection, evaluate, measure, names, raster
 from veilmetrics.sources import fonts, pdf, render, reports
 
 
@@ -308,3 +308,8 @@ def test_service(spark, tmp_path):
     assert {r["stage"] for r in spark.read.json(str(tmp_path / "out/timings")).collect()} == {"manifest", "boxes", "fonts"}
     (tmp_path / "d.txt").write_text("b|c  d\n\na\nb c d\n")
     assert [r["entry"] for r in service.load_dictionary(spark, str(tmp_path / "d.txt")).orderBy("entry_idx").collect()] == ["a", "b c d"]
+
+
+def test_complexity_takes_the_rows_of_a_path_together(spark):
+    d = spark.createDataFrame([("a", "x\n# y"), ("a", "z"), ("b", "u\n\nv\nw"), ("c", None)], "path string, text string")
+    assert [tuple(r) for r in analysis.complexity(d, "path", "text").collect()] == [("b", 4, 3), ("a", 3, 2), ("c", 1, 0)]
