@@ -1,5 +1,6 @@
 """Hand-worked vectors of single operators."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -313,3 +314,10 @@ def test_service(spark, tmp_path):
 def test_complexity_takes_the_rows_of_a_path_together(spark):
     d = spark.createDataFrame([("a", "x\n# y"), ("a", "z"), ("b", "u\n\nv\nw"), ("c", None)], "path string, text string")
     assert [tuple(r) for r in analysis.complexity(d, "path", "text").collect()] == [("b", 4, 3), ("a", 3, 2), ("c", 1, 0)]
+
+
+def test_simple_upper_is_that_of_sql(spark):
+    words = ["straße", "STRASSE", "ﬁne", "ıſ", "ŉ", "été", "ᾳ", "", *names.LONG_UPPER]
+    want = [duckdb.execute("select upper(?)", [w]).fetchone()[0] for w in words]
+    d = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", names.simple_upper(F.col("w")).alias("u")).orderBy("i")
+    assert [r["u"] for r in d.collect()] == want
