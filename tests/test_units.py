@@ -321,3 +321,9 @@ def test_simple_upper_is_that_of_sql(spark):
     want = [duckdb.execute("select upper(?)", [w]).fetchone()[0] for w in words]
     d = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", names.simple_upper(F.col("w")).alias("u")).orderBy("i")
     assert [r["u"] for r in d.collect()] == want
+
+
+def test_width_of_a_box_is_that_of_its_edges(spark):
+    rows = [(i, 0, 0, 0, "word", 1500, 10, 72.0 + i * 0.1, 94.6 + i * 0.37, True) for i in range(200)]
+    tok = spark.createDataFrame(rows, "doc_id long, page_index long, line long, token_idx long, token string, units long, font_size long, x0 double, x1 double, is_box boolean")
+    assert all(r["target_width"] == r["box_x1"] - r["box_x0"] for r in measure.edges(tok).collect())
