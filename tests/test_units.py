@@ -10,7 +10,8 @@ from veilmetrics import __main__ as main
 from veilmetrics import service
 from veilmetrics.functions import geometry as g
 from veilmetrics.functions import widths
-from veilmetrics.operators import analysis, context, detection, evaluate, measure, names, raster
+from veilmetrics.operators import analysis, anchors, context, detection, evaluate, measure, names, raster
+from veilmetrics.plans import anchoring
 from veilmetrics.sources import fonts, pdf, render, reports
 
 
@@ -327,3 +328,19 @@ def test_width_of_a_box_is_that_of_its_edges(spark):
     rows = [(i, 0, 0, 0, "word", 1500, 10, 72.0 + i * 0.1, 94.6 + i * 0.37, True) for i in range(200)]
     tok = spark.createDataFrame(rows, "doc_id long, page_index long, line long, token_idx long, token string, units long, font_size long, x0 double, x1 double, is_box boolean")
     assert all(r["target_width"] == r["box_x1"] - r["box_x0"] for r in measure.edges(tok).collect())
+
+
+def test_pages_meet_their_lines_without_a_shuffle(spark):
+    sf = "/root/testdata/sf0.001"
+    got, want = anchors.page_pool(anchoring.page_inputs(spark, sf)), anchors.candidate_pool(*anchoring.inputs(spark, sf))
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    key = lambda d: sorted((r["doc_id"], r["page_index"], r["token_idx"], r["bx0"], r["bx1"], r["by0"], r["by1"], r["n_lines"], sorted(map(str, r["pool"]))) for r in d.collect())
+    assert key(got) == key(want)
+    empty = spark.createDataFrame([(1, 0, [(5, 1.0, 2.0, 3.0, 4.0)], [])], "doc_id long, page_index long, boxes array<struct<token_idx:long,x0:double,y0:double,x1:double,y1:double>>, runs array<struct<token_idx:long,token:string,font_size:long,x0:double,y0:double,x1:double,y1:double>>")
+    assert [(r["mode"], r["n_lines"]) for r in anchors.resolve(anchors.page_pool(empty)).collect()] == [("unresolved", 0)]
+
+
+def test_histogram_of_boxes_is_that_of_their_events(spark):
+    r = anchoring.resolved(spark, "/root/testdata/sf0.001").where("doc_id % 20 = 0")
+    rows = lambda d: sorted(map(str, d.select("doc_id", "code", "n", "boxes").collect()))
+    assert rows(anchors.box_histograms(r, ["doc_id"])) == rows(anchors.histograms(anchors.diagnostics(r), ["doc_id"]))
