@@ -344,3 +344,30 @@ def test_histogram_of_boxes_is_that_of_their_events(spark):
     r = anchoring.resolved(spark, "/root/testdata/sf0.001").where("doc_id % 20 = 0")
     rows = lambda d: sorted(map(str, d.select("doc_id", "code", "n", "boxes").collect()))
     assert rows(anchors.box_histograms(r, ["doc_id"])) == rows(anchors.histograms(anchors.diagnostics(r), ["doc_id"]))
+
+
+def test_components_of_any_mask():
+    r = np.random.default_rng(5)
+    masks = [r.random((h, w)) < p for h, w in ((1, 1), (1, 30), (30, 1), (17, 23), (40, 40)) for p in (0.0, 0.3, 0.5, 0.6, 0.9, 1.0)] + [np.zeros((0, 4), bool), np.zeros((4, 0), bool)]
+    for mask in masks:
+        want, n = np.zeros(mask.shape, int), 0  # flood fill, in order of the first pixel
+        for y, x in np.argwhere(mask):
+            todo = [] if want[y, x] else [(y, x)]
+            n += bool(todo)
+            while todo:
+                i, j = todo.pop()
+                if 0 <= i < mask.shape[0] and 0 <= j < mask.shape[1] and mask[i, j] and not want[i, j]:
+                    want[i, j] = n
+                    todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+        got, m = raster.components(mask)
+        assert m == n and (got == want).all()
+        (ys, xs, of), area, box = raster.measured(got, m)
+        assert [(*(int(e[k]) for e in box), int(area[k])) for k in range(m)] == [(q[1].min(), q[0].min(), q[1].max() + 1, q[0].max() + 1, len(q[0])) for q in (np.nonzero(want == k + 1) for k in range(m))]
+
+
+def test_a_page_of_text_is_searched_in_few_calls(monkeypatch):
+    a = render.page_raster(*(lambda f: (f, f.pages()[0]))(fonts.File(fonts.make_pdf(["one two three"], "abc", 3))), 72)[0]
+    calls, nonzero = [], np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda *x: calls.append(1) or nonzero(*x))
+    monkeypatch.setattr(np, "flatnonzero", lambda x: calls.append(1) or nonzero(np.ravel(x))[0])
+    assert raster.regions(a) and len(calls) < 20  # one for each row of pixels before
