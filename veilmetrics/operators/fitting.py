@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions.widths import strict_units
 from .measure import PENALTY_PT, error_pt, overlaps_neighbour
+from .measure import spread as rows_apart
 
 TOP = 20
 REACH_PT = (0.5, 3.5, 14.0, 56.0, 224.0, 16_384.0)  # the last is wider than any page
 CELLS = [max(1, int(r * 25)) for r in REACH_PT[:-1]] + [1 << 40]  # units of a cell of widths, for each reach
 KEYS = ["doc_id", "token_idx"]
+MODES = ("two_sided", "left_only", "right_only")
 
 
 def measured(variants: DataFrame, text: str = "text", template: str = "template") -> DataFrame:
@@ -63,7 +65,10 @@ def _cells(lo: Column, hi: Column, cell: int) -> Column:
 
 
 def with_reach(rows: DataFrame, groups: DataFrame, enough: int) -> DataFrame:
-    """Adds `step`, the first reach within which whole cells hold `enough` candidates that fit."""
+    """Adds `step`, the first reach within which whole cells hold `enough` candidates that fit.
+
+    A row's cells are counted where the row is, if rows are dealt out by KEYS.
+    """
     steps = range(len(REACH_PT) - 1)
     at = F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.floor(F.col("units") / CELLS[s]).alias("cell")) for s in steps]))
     counts = groups.select("canonical", "n", at.alias("_a")).groupBy("_a.step", "_a.cell").agg(F.sum(F.when(F.col("canonical"), F.col("n")).otherwise(0)).alias("plain"), F.sum(F.when(~F.col("canonical"), F.col("n")).otherwise(0)).alias("other"))
@@ -71,7 +76,8 @@ def with_reach(rows: DataFrame, groups: DataFrame, enough: int) -> DataFrame:
     near = lambda s: _cells(F.col("_t") - REACH_PT[s] / F.col("_k"), F.least(F.col("_t") + REACH_PT[s] / F.col("_k"), F.col("_most")), CELLS[s])
     tagged = lambda s: F.transform(near(s), lambda x: F.struct(F.lit(s).alias("step"), x.alias("cell")))
     inner = F.flatten(F.array(*map(tagged, steps)))
-    probe = rows.select(*KEYS, "_t", "_k", "_most", F.explode(inner).alias("_a")).select(*KEYS, "_t", "_k", "_most", "_a.*").join(F.broadcast(counts), ["step", "cell"])
+    held = [c for c in rows.columns if c not in KEYS]
+    probe = rows.withColumn("_a", F.explode_outer(inner)).select(*rows.columns, "_a.*").join(F.broadcast(counts), ["step", "cell"], "left")
     size, reach = F.element_at(F.array(*map(F.lit, CELLS)), F.col("step") + 1), F.element_at(F.array(*map(F.lit, REACH_PT)), F.col("step") + 1)
     first, last = F.col("cell") * size, (F.col("cell") + 1) * size - 1
 
@@ -80,9 +86,9 @@ def with_reach(rows: DataFrame, groups: DataFrame, enough: int) -> DataFrame:
         return (first >= F.col("_t") - b) & (last <= F.least(F.col("_t") + b, F.col("_most") - 1))
 
     n = F.when(whole(0.0), F.col("plain")).otherwise(0) + F.when(whole(PENALTY_PT), F.col("other")).otherwise(0)
-    sums = probe.groupBy(*KEYS).agg(*[F.sum(F.when(F.col("step") == s, n)).alias(f"_n{s}") for s in steps])
+    sums = probe.groupBy(*KEYS).agg(*[F.first(c).alias(c) for c in held], *[F.sum(F.when(F.col("step") == s, F.coalesce(n, F.lit(0)))).alias(f"_n{s}") for s in steps])
     step = F.coalesce(*[F.when(F.col(f"_n{s}") >= enough, F.lit(s)) for s in steps], F.lit(len(REACH_PT) - 1))
-    return rows.join(sums.select(*KEYS, step.alias("step")), KEYS, "left").withColumn("step", F.coalesce("step", F.lit(len(REACH_PT) - 1)))
+    return sums.select(*KEYS, *held, step.alias("step"))
 
 
 def fitted(rows: DataFrame, variants: DataFrame, top: int = TOP) -> DataFrame:
@@ -91,23 +97,26 @@ def fitted(rows: DataFrame, variants: DataFrame, top: int = TOP) -> DataFrame:
     rows: one for each (doc_id, token_idx), as measure.edges gives them, with a column tolerance (and h_scale, per cent, if
     it is not 100). variants: measured(). The result is that of the full product: ranked, duplicates by normalised text dropped.
     """
-    groups = width_groups(variants, top)
+    groups = width_groups(variants, top).persist()  # of bounded size, and read four times below
     spread = groups.select(F.explode("ws").alias("w")).groupBy("w.norm").count().agg(F.max("count")).first()[0] or 1  # one number
-    r = with_reach(_ranges(rows.where("mode <> 'unresolved'")), groups, top * spread)
+    # numbers alone, so that rows are counted without sorting; what is joined and ranked below stays where its row is
+    ranged = _ranges(rows.where("mode <> 'unresolved'")).withColumn("_mode", F.array_position(F.array(*map(F.lit, MODES)), F.col("mode")))
+    r = with_reach(rows_apart(ranged.select(*KEYS, "_mode", "left_edge", "right_edge", "box_x0", "box_x1", "prev_box_x1", "next_box_x0", "tolerance", "_k", "_t", "_most"), *KEYS), groups, top * spread)
+    r = r.withColumn("mode", F.element_at(F.array(*map(F.lit, MODES)), F.col("_mode").cast("int"))).drop("_mode")
     reach = F.element_at(F.array(*map(F.lit, REACH_PT)), F.col("step") + 1)
     b = reach / F.col("_k") + 1
     own = F.lit(None).cast("array<bigint>")
     for s in range(len(REACH_PT)):
         own = F.when(F.col("step") == s, _cells(F.col("_t") - b, F.least(F.col("_t") + b, F.col("_most") + 1), CELLS[s])).otherwise(own)
-    posted = groups.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.floor(F.col("units") / CELLS[s]).alias("cell")) for s in range(len(REACH_PT))])).alias("_a")).select("units", "canonical", "n", "ws", "_a.*")
+    posted = groups.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.floor(F.col("units") / CELLS[s]).alias("cell")) for s in range(len(REACH_PT))])).alias("_a")).select("units", "canonical", "n", "_a.*")
     width = F.col("units") * F.col("_k")
-    met = r.drop("units").withColumn("cell", F.explode(own)).join(F.broadcast(posted), ["step", "cell"])
+    met = r.withColumn("cell", F.explode(own)).join(F.broadcast(posted), ["step", "cell"])
     met = met.withColumn("error_pt", F.round(error_pt(width), 4))
     met = met.withColumn("adjusted", F.when(F.col("canonical"), F.col("error_pt")).otherwise(F.round(F.col("error_pt") + PENALTY_PT, 4)))
     met = met.where((F.col("adjusted") <= reach) & ~overlaps_neighbour(width, F.col("tolerance")))
     near = Window.partitionBy(*KEYS).orderBy(F.round(F.col("adjusted") * 10_000).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("_before", F.coalesce(F.sum("n").over(near), F.lit(0))).where(F.col("_before") < top * spread)
-    each = met.select(*KEYS, "tolerance", "error_pt", "adjusted", F.inline("ws"))
+    each = met.select(*KEYS, "tolerance", "error_pt", "adjusted", "units", "canonical").join(F.broadcast(groups.drop("n")), ["units", "canonical"]).select(*KEYS, "tolerance", "error_pt", "adjusted", F.inline("ws"))
     order = F.struct("adjusted", "less_alpha", "less_toks", "norm", "text")
     kept = each.groupBy(*KEYS, "norm").agg(F.min_by(F.struct("text", "template", "error_pt", "adjusted", "less_alpha", "less_toks", "tolerance"), order).alias("c")).select(*KEYS, "norm", "c.*")
     w = Window.partitionBy(*KEYS).orderBy("adjusted", "less_alpha", "less_toks", "norm")
@@ -115,9 +124,12 @@ def fitted(rows: DataFrame, variants: DataFrame, top: int = TOP) -> DataFrame:
     return ranked.select(*KEYS, "rank", "text", "template", "norm", "error_pt", "adjusted", F.round(F.col("adjusted") / F.greatest("tolerance", F.lit(1.0)), 8).alias("normalised"))
 
 
-def with_placeholders(boxes: DataFrame, rows: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Every box: its mode and target width (the box's own where it has no row, and 'unresolved'), with its candidates or one row of nulls."""
-    b = boxes.select(*KEYS, (F.col("x1") - F.col("x0")).alias("_w"))
-    r = rows.select(*KEYS, "mode", "target_width")
-    d = b.join(r, KEYS, "left").join(ranked, KEYS, "left")
+def with_placeholders(boxes: DataFrame, rows: DataFrame | None, ranked: DataFrame) -> DataFrame:
+    """Every box: its mode and target width (the box's own where it has no row, and 'unresolved'), with its candidates or one row of nulls.
+
+    rows: None if each box has its own mode and target_width.
+    """
+    width = (F.col("x1") - F.col("x0")).alias("_w")
+    d = boxes.select(*KEYS, width, "mode", "target_width") if rows is None else boxes.select(*KEYS, width).join(rows.select(*KEYS, "mode", "target_width"), KEYS, "left")
+    d = d.join(ranked, KEYS, "left")
     return d.withColumns({"mode": F.coalesce("mode", F.lit("unresolved")), "target_width": F.round(F.coalesce("target_width", "_w"), 4)}).drop("_w")

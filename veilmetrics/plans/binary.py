@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..operators import analysis as an
-from ..operators import context, detection, evaluate, raster
+from ..operators import detection, raster
 from ..operators import typography as ty
-from ..sources import fonts, layout, pdf, render
+from ..sources import fonts, layout, lines, pdf, render
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -58,11 +58,7 @@ def d02(spark, d):
  c as (select *, coalesce(lag(x0) over w - x1 <= 6, true) as near from s window w as (partition by doc_id, token_idx order by gap, x0)), k as (select *, bool_and(near) over (partition by doc_id, token_idx order by gap, x0) as chained from c)
 select doc_id, token_idx, count(*) as n, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from k where chained group by 1, 2""")
 def v08(spark, d):
-    t = layout.load(spark, d)
-    b = layout.boxes(t).select("doc_id", "line", "token_idx", F.col("x0").alias("bx0"))
-    r = layout.runs(t).select("doc_id", "line", "x0", "y0", "x1", "y1")
-    s = b.join(r, ["doc_id", "line"]).where("x1 <= bx0").withColumn("gap", F.col("bx0") - F.col("x1"))
-    return s.groupBy("doc_id").applyInPandas(evaluate.each_part(context.grouped_span, ["token_idx"]), "doc_id long, token_idx long, n long, x0 double, y0 double, x1 double, y1 double")
+    return lines.grouped_spans(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 @query("z01_windowed_timings", "select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import widths
 from ..operators import context, fitting, measure, names
 from ..operators import typography as ty
-from ..sources import layout
+from ..sources import layout, lines
 from .dictionary import VARIANTS, entries
 from .flagship import DICT_SQL, EDGES_SQL
 
@@ -44,7 +44,7 @@ def m02(spark, d):
 @query("m03_row_variant_product", L + EDGES_SQL + VARIANTS.replace("with k as", ", k as", 1) + "select mode, count(*) as pairs from (select * from edge where mode <> 'unresolved') e, (select distinct template from var) v group by 1")
 def m03(spark, d):
     v = names.expand(entries(spark, d), roles=False).select("template").distinct()
-    return measure.edges(layout.load(spark, d)).where("mode <> 'unresolved'").crossJoin(F.broadcast(v)).groupBy("mode").agg(F.count("*").alias("pairs"))
+    return lines.load_edges(spark, d).where("mode <> 'unresolved'").crossJoin(F.broadcast(v)).groupBy("mode").agg(F.count("*").alias("pairs"))
 
 
 TOLERANCE_SQL = """, nx as (select doc_id, line, x0 - lag(x1) over (partition by doc_id, line order by token_idx) - font_size * 0.278::double as res from run),
@@ -69,21 +69,20 @@ FIT_SQL = (
 
 def fit_rows(spark, d):
     """Boxes with edges and the tolerance of their line, and the measured variants of the dictionary."""
-    t = layout.load(spark, d)
-    rows = measure.edges(t).join(context.row_bias(layout.runs(t)).select("doc_id", "line", "tolerance"), ["doc_id", "line"], "left").withColumn("tolerance", F.coalesce("tolerance", F.lit(3.5)))
-    return t, rows, fitting.measured(names.expand(entries(spark, d), roles=False))
+    return lines.load_edges(spark, d), fitting.measured(names.expand(entries(spark, d), roles=False))
 
 
 @query("m09_fitted_variants", FIT_SQL + "select doc_id, token_idx, rank::int as rank, text, template, error_pt, adjusted, round(adjusted / greatest(tolerance, 1), 8) as normalised from fit")
 def m09_fit(spark, d):
-    _, rows, variants = fit_rows(spark, d)
+    rows, variants = fit_rows(spark, d)
     return fitting.fitted(rows, variants).drop("norm")
 
 
 @query("m12_fitted_boxes", FIT_SQL + "select b.doc_id, b.token_idx, coalesce(r.mode, 'unresolved') as mode, round(coalesce(r.target_width, b.x1 - b.x0), 4) as target_width, f.rank::int as rank, f.text, f.adjusted from box b left join fr r on b.doc_id = r.doc_id and b.token_idx = r.token_idx left join fit f on b.doc_id = f.doc_id and b.token_idx = f.token_idx")
 def m12_fit(spark, d):
-    t, rows, variants = fit_rows(spark, d)
-    return fitting.with_placeholders(layout.boxes(t), rows.where("mode <> 'unresolved'"), fitting.fitted(rows, variants)).select("doc_id", "token_idx", "mode", "target_width", "rank", "text", "adjusted")
+    rows, variants = fit_rows(spark, d)
+    boxes = rows.withColumns({"x0": F.col("box_x0"), "x1": F.col("box_x1")})  # a row for each box
+    return fitting.with_placeholders(boxes, None, fitting.fitted(rows, variants)).select("doc_id", "token_idx", "mode", "target_width", "rank", "text", "adjusted")
 
 
 @query("m04_support_cache", L + DICT_SQL + ", f as (select distinct font_size from tok) select font_size, count(*) as texts, round(sum(units * font_size / 1000::double), 3) as total_pt from dict, f group by 1")
@@ -103,7 +102,7 @@ se as (select *, round(case mode when 'two_sided' then abs(left_edge + w - right
 def own(spark, d):
     """Every box measured against the word that it hides."""
     w = F.col("units") * F.col("font_size") / F.lit(1000.0)
-    return measure.edges(layout.load(spark, d)).withColumns({"err": F.round(measure.error_pt(w), 4), "pl": measure.predicted_left(w), "pr": measure.predicted_right(w), "bad": measure.overlaps_neighbour(w, F.lit(1.0))})
+    return lines.load_edges(spark, d).withColumns({"err": F.round(measure.error_pt(w), 4), "pl": measure.predicted_left(w), "pr": measure.predicted_right(w), "bad": measure.overlaps_neighbour(w, F.lit(1.0))})
 
 
 @query("m05_edge_error", L + SELF + "select doc_id, token_idx, mode, err, round(pl, 4) as pl, round(pr, 4) as pr from se")
@@ -167,7 +166,7 @@ def m11(spark, d):
 
 @query("m13_anchor_only", L + EDGES_SQL + "select doc_id, line, list(mode order by token_idx)::varchar as modes from edge group by 1, 2")
 def m13(spark, d):
-    e = measure.edges(layout.load(spark, d)).groupBy("doc_id", "line").agg(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", "mode"))), lambda x: x["mode"]).alias("m"))
+    e = lines.load_edges(spark, d).groupBy("doc_id", "line").agg(F.transform(F.sort_array(F.collect_list(F.struct("token_idx", "mode"))), lambda x: x["mode"]).alias("m"))
     return e.select("doc_id", "line", F.concat(F.lit("["), F.array_join("m", ", "), F.lit("]")).alias("modes"))
 
 

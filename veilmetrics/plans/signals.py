@@ -8,7 +8,7 @@ from ..functions.widths import HELVETICA
 from ..operators import analysis as an
 from ..operators import context, detection, measure
 from ..operators import typography as ty
-from ..sources import layout
+from ..sources import layout, lines
 from .evaluation import RANKS, ranks
 from .flagship import EDGES_SQL
 from .spatial import J18
@@ -89,7 +89,7 @@ def o05(spark, d):
 @query("o08_overlay_assembly", L + EDGES_SQL + """, f as (select *, case mode when 'two_sided' then 'anchored_pair' when 'unresolved' then 'plain' else 'selected_only' end as style, max(box_x1) over (partition by doc_id, line order by token_idx rows between unbounded preceding and 1 preceding) as floor_ from edge)
 select doc_id, token_idx, style, round(greatest(coalesce(left_edge, box_x0), coalesce(floor_, 0)), 4) as text_x from f""")
 def o08(spark, d):
-    e = measure.edges(layout.load(spark, d))
+    e = lines.load_edges(spark, d)
     w = Window.partitionBy("doc_id", "line").orderBy("token_idx").rowsBetween(Window.unboundedPreceding, -1)
     style = F.when(F.col("mode") == "two_sided", "anchored_pair").when(F.col("mode") == "unresolved", "plain").otherwise("selected_only")
     return e.select("doc_id", "token_idx", style.alias("style"), F.round(F.greatest(F.coalesce("left_edge", "box_x0"), F.coalesce(F.max("box_x1").over(w), F.lit(0.0))), 4).alias("text_x"))
@@ -102,7 +102,7 @@ def e37(spark, d):
 
 @query("e44_overlap_without_scale", L + EDGES_SQL + "select doc_id, token_idx, round(left_edge + units * font_size / 1000::double - next_box_x0, 4) as overlap_pt, left_edge + units * font_size / 1000::double - next_box_x0 > 1 as still_rejected from edge where next_box_x0 is not null and left_edge is not null")
 def e44(spark, d):
-    j = measure.edges(layout.load(spark, d)).where("next_box_x0 is not null and left_edge is not null")
+    j = lines.load_edges(spark, d).where("next_box_x0 is not null and left_edge is not null")
     over = F.col("left_edge") + F.col("units") * F.col("font_size") / F.lit(1000.0) - F.col("next_box_x0")
     return j.select("doc_id", "token_idx", F.round(over, 4).alias("overlap_pt"), (over > 1).alias("still_rejected"))
 
@@ -170,7 +170,7 @@ def p23(spark, d):
 
 @query("p27_report_rows", L + EDGES_SQL + "select 'p' || page_index || ':' || line as place, doc_id, token_idx, coalesce(mode, 'unresolved') as mode, round(target_width, 2) as target_width from edge")
 def p27(spark, d):
-    return measure.edges(layout.load(spark, d)).select(F.concat(F.lit("p"), F.col("page_index").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("place"), "doc_id", "token_idx", F.coalesce("mode", F.lit("unresolved")).alias("mode"), F.round("target_width", 2).alias("target_width"))
+    return lines.load_edges(spark, d).select(F.concat(F.lit("p"), F.col("page_index").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("place"), "doc_id", "token_idx", F.coalesce("mode", F.lit("unresolved")).alias("mode"), F.round("target_width", 2).alias("target_width"))
 
 
 CODES = {"no_left": "left_edge is null", "no_right": "right_edge is null", "box_beside": "prev_box_x1 is not null or next_box_x0 is not null", "wide_gap": "target_width > 60",
@@ -183,7 +183,7 @@ CODES = {"no_left": "left_edge is null", "no_right": "right_edge is null", "box_
 
 @query("m15_reason_codes", L + EDGES_SQL + ", cd as (select doc_id, token_idx, unnest([" + ", ".join(f"case when {w} then '{k}' end" for k, w in CODES.items()) + "]) as code from edge) select * from cd where code is not null")
 def m15(spark, d):
-    return measure.edges(layout.load(spark, d)).select("doc_id", "token_idx", F.explode(ty.reason_codes(ty.anchor_codes())).alias("code"))
+    return lines.load_edges(spark, d).select("doc_id", "token_idx", F.explode(ty.reason_codes(ty.anchor_codes())).alias("code"))
 
 
 @query("o04_line_anchor", L + """, c as (select b.doc_id, b.token_idx, r.token, r.x0, r.x1, b.x0 as bx0, b.x1 as bx1, abs((r.y0 + r.y1) / 2 - (b.y0 + b.y1) / 2) as off from box b join run r on b.doc_id = r.doc_id and b.page_index = r.page_index and r.line between b.line - 1 and b.line + 1
