@@ -69,3 +69,44 @@ def test_only_boxes_are_shuffled(spark, name):
     """One shuffle by box and none by line or page."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Exchange hashpartitioning(doc_id#" in plan
+
+
+def test_files_are_handed_on_in_parts():
+    """A batch of any size gives parts of 200 files at most, so that a task never holds what it makes of them all."""
+    import pandas as pd
+
+    from veilmetrics.sources import pdf
+
+    batch = pd.DataFrame({"path": [f"{i}.pdf" for i in range(450)], "content": [pdf.make_pdf(["a b"])] * 450})
+    parts = list(pdf._each([batch], ["path", "n", "error"], lambda d: [(len(d),)]))
+    assert [len(p) for p in parts] == [200, 200, 50] and list(pd.concat(parts)["path"]) == list(batch["path"])
+
+
+def test_policy_matrix_counts_in_the_task(spark):
+    from veilmetrics.operators import analysis
+
+    r = random.Random(3)
+    rows = [(k, f"t{j:02d}", r.choice([0.5, 1.0, 1.25]), r.random() < 0.5, r.random() < 0.4, r.random() < 0.3) for k in range(40) for j in range(r.randint(1, 9))]
+    d = spark.createDataFrame(rows, "k int, text string, err double, a boolean, b boolean, hit boolean")
+    got = analysis.policy_matrix(d, ["k"], {"a": F.col("a"), "b": F.col("b")}, F.col("hit"), "err", ["text"], (0.25, 0.5))
+    want = {}
+    for name, flag, way, extra in [("none", 3, "penalty", 0.0)] + [(f"{w}:{n}" + (f":{x}" if w == "penalty" else ""), f, w, x) for f, n in ((3, "a"), (4, "b")) for w, x in (("drop", 0.0), ("keep", 0.0), ("penalty", 0.25), ("penalty", 0.5))]:
+        best = []
+        for k in range(40):
+            left = sorted((x[2] + (extra if x[flag] and name != "none" else 0.0), x[1], x[5]) for x in rows if x[0] == k and (way == "penalty" or x[flag] == (way == "keep")))
+            best += [i + 1 for i, x in enumerate(left) if x[2]][:1]
+        want[name] = (len(best), round(sum(best) / len(best), 6), round(sum(1 / n for n in best) / len(best), 6))
+    assert {x["policy"]: (x["found"], x["mean_rank"], x["mrr"]) for x in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each policy is ranked
+
+
+def test_a_window_is_the_page_cut():
+    import numpy as np
+
+    from veilmetrics.sources import fonts, render
+
+    data = fonts.make_pdf(["some words of a line", "and more"], "Abc", 33)
+    whole = next(render.rasters(data, 72))[1]
+    for x0, y0, x1, y1 in ((67, 717, 177, 747), (-5, 40, 200, 90), (80, 60, 90, 75), (600, 780, 700, 900)):
+        part = next(render.rasters(data, 72, lambda w, h: (x0, y0, x1, y1)))[1]
+        assert np.array_equal(part, whole[max(0, y0) : y1, max(0, x0) : x1])

@@ -70,7 +70,7 @@ def font_files(spark, d):
     """A page for each document: its first three words by glyph names, its first thirty by ToUnicode, a path and a form placed by doc_id."""
 
     def run(batches):
-        for b in batches:
+        for b in pdf.slices(batches):
             rows = []
             for i, text in zip(b["doc_id"], b["text"]):
                 w = (text or "").split()[:30]
@@ -169,7 +169,7 @@ def d16(spark, d):
 @query("v06_dark_pixels", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, y0 = 50 as is_path, ((x1 - x0) * (y1 - y0))::bigint as dark from r")
 def v06(spark, d):
     def run(batches):
-        for b in batches:
+        for b in pdf.slices(batches):
             rows = []
             for path, data in zip(b["path"], b["content"]):
                 i = int(path[3:-4])
@@ -190,7 +190,7 @@ def v04(spark, d):
 @query("s12_page_png", "select 'doc' || doc_id || '.png' as name, 306::int as width, 396::int as height from documents")
 def s12(spark, d):
     def run(batches):
-        for b in batches:
+        for b in pdf.slices(batches):
             rows = []
             for path, data in zip(b["path"], b["content"]):
                 made = list(render.rasters(bytes(data), 36))
@@ -203,13 +203,13 @@ def s12(spark, d):
 @query("v13_crop_png", "select 'doc' || doc_id || '.pdf' as path, 110::int as width, 30::int as height from documents")
 def v13(spark, d):
     def run(batches):
-        for b in batches:
+        for b in pdf.slices(batches):
             rows = []
             for path, data in zip(b["path"], b["content"]):
                 i = int(path[3:-4]) % 100
-                for _, a, _, h in render.rasters(bytes(data), 72):
-                    box = (72 + i, int(h) - 70, 172 + i, int(h) - 50)
-                    rows.append((path, *render.png_size(render.png(render.crop(a, box[0] - 5, box[1] - 5, box[2] + 5, box[3] + 5, [(*box, (255, 0, 0))])))))
+                around = lambda _, h, i=i: (67 + i, int(h) - 75, 177 + i, int(h) - 45)
+                for _, a, _, _ in render.rasters(bytes(data), 72, around):  # only these pixels are drawn
+                    rows.append((path, *render.png_size(render.png(render.crop(a, 0, 0, 110, 30, [(5, 5, 105, 25, (255, 0, 0))])))))
             yield pd.DataFrame(rows, columns=["path", "width", "height"])
 
     return font_files(spark, d).mapInPandas(run, "path string, width int, height int")
@@ -218,7 +218,7 @@ def v13(spark, d):
 @query("s11_annotated_pdf", f"with {W30} select 'doc' || doc_id || '.pdf' as path, 'seen (' || doc_id || ')' as overlay, ceil(len(w) / 10)::bigint as own_lines from w")
 def s11(spark, d):
     def run(batches):
-        for b in batches:
+        for b in pdf.slices(batches):
             yield pd.DataFrame([(p, render.annotate(bytes(c), [(0, 72, 300, 172, 320, f"seen ({p[3:-4]})", 9)])) for p, c in zip(b["path"], b["content"])], columns=["path", "content"])
 
     s = fonts.read_shown(font_files(spark, d).mapInPandas(run, "path string, content binary"))
@@ -236,7 +236,7 @@ def s13(spark, d):
         import io
         import zipfile
 
-        for b in batches:
+        for b in pdf.slices(batches):
             rows = []
             for key, data in zip(b["key"], b["zip"]):
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
