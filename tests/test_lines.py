@@ -110,3 +110,17 @@ def test_a_window_is_the_page_cut():
     for x0, y0, x1, y1 in ((67, 717, 177, 747), (-5, 40, 200, 90), (80, 60, 90, 75), (600, 780, 700, 900)):
         part = next(render.rasters(data, 72, lambda w, h: (x0, y0, x1, y1)))[1]
         assert np.array_equal(part, whole[max(0, y0) : y1, max(0, x0) : x1])
+
+
+def test_clusters_are_assigned_in_order(spark):
+    import pandas as pd
+
+    r = random.Random(8)
+    rows = pd.DataFrame([(c, c * 10 + k, j, r.choice("abcd")) for c in range(30) for k in range(r.randint(1, 5)) for j in range(r.randint(1, 4))], columns=["cluster", "row_id", "rank", "text"])
+    want = sorted(tuple(x) for _, g in rows.groupby("cluster") for x in evaluate.greedy_assignment(g).astype(object).where(lambda d: d.notna(), None).itertuples(index=False))
+    for size in (1, 7, 10_000):
+        got = pd.concat(evaluate._assigned(rows.iloc[i : i + size] for i in range(0, len(rows), size))).astype(object)
+        assert sorted(tuple(x) for x in got.where(got.notna(), None).itertuples(index=False)) == want
+    made = evaluate.assigned(spark.createDataFrame(rows))
+    assert sorted(tuple(x) for x in made.collect()) == want
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
