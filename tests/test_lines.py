@@ -124,3 +124,11 @@ def test_clusters_are_assigned_in_order(spark):
     made = evaluate.assigned(spark.createDataFrame(rows))
     assert sorted(tuple(x) for x in made.collect()) == want
     assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_are_dealt_out(spark):
+    """A small file of entries is not one task."""
+    from veilmetrics.plans import dictionary
+
+    plan = dictionary.entries(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entry_idx" in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_NUM" in plan
