@@ -132,3 +132,61 @@ def test_entries_are_dealt_out(spark):
 
     plan = dictionary.entries(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(entry_idx" in plan and f", {spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_NUM" in plan
+
+
+def test_numbers_of_names():
+    """Numbers by runs are those of a search from 2 for each name; families don't meet; a name's many copies are one run."""
+    from veilmetrics.sources import render
+
+    def slow(names):
+        used, out = set(), []
+        for name in names:
+            at = name.rfind(".")
+            stem, ext = (name[:at], name[at:]) if at > 0 else (name, "")
+            k, now = 1, name
+            while now.lower() in used:
+                k += 1
+                now = f"{stem} ({k}){ext}"
+            used.add(now.lower())
+            out.append(now)
+        return out
+
+    r = random.Random(4)
+    for _ in range(1500):
+        stem = lambda: r.choice(["a", "A", "a (2)", "A (3)", "a (2) (2)", "ΑΣ", "ασ", "b (02)", "", "x. (2)"]) + r.choice(["", " (2)", " (4)"])
+        found = [stem() + r.choice(["", ".txt", ".TXT", ".", ".Σ"]) for _ in range(r.randint(1, 12))]
+        assert render.unique_names(found) == slow(found)
+        families = {}
+        for x in found:
+            families.setdefault(render.name_family(x), []).append(x)
+        assert sorted(y for v in families.values() for y in render.unique_names(v)) == sorted(slow(found))
+    n = render.Numbers()
+    assert n.runs("a (4).txt", 1) == [(1, 1)] and n.runs("A.txt", 10**9) == [(1, 1), (4, 5)] and n.runs("a.TXT", 2) == [(1, 10**9 + 2)]
+
+
+def test_a_key_has_zips_of_bounded_size(spark):
+    """A key's files are neither one group nor one ZIP, and its names differ over all of them."""
+    import io
+    import zipfile
+
+    from veilmetrics.sources import render
+
+    r = random.Random(6)
+    rows = [(r.choice([1, 2, None]), r.choice(["a.txt", "A.txt", "a (2).txt", "a (9).txt", "b", "B"]), r.randbytes(r.choice([0, 1, 40, 900]))) for _ in range(400)] + [(3, "big", b"x" * 5000), (3, "big", b"x" * 5000)]
+    files = spark.createDataFrame(rows, "k int, n string, c binary").repartition(5)
+    made = render.bundles(files, "k", "n", "c", limit=2000)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    zips = made.collect()
+    assert len({z["part"] for z in zips}) == len(zips) and len(zips) > 50
+    got = {}
+    for z in zips:
+        inside = zipfile.ZipFile(io.BytesIO(z["zip"]))
+        assert len(z["zip"]) <= 2000 or len(inside.namelist()) == 1
+        got.setdefault(z["key"], []).extend((e.filename, inside.read(e)) for e in inside.infolist())
+    for key in (1, 2, 3, None):
+        own = [(n, c) for k, n, c in rows if k == key]
+        names, entries = sorted(n for n, _ in own), got[None if key is None else str(key)]
+        assert sorted(n for n, _ in entries) == sorted(render.unique_names(names))
+        assert sorted(c for _, c in entries) == sorted(c for _, c in own)
+        for n, c in entries:  # a number is added, nothing else
+            assert any(c == x and n.startswith(m.rpartition(".")[0] or m) for m, x in own)

@@ -236,14 +236,12 @@ def s13(spark, d):
         import io
         import zipfile
 
-        for b in pdf.slices(batches):
-            rows = []
+        for b in batches:
             for key, data in zip(b["key"], b["zip"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
-                    rows += [(key, e.filename, len(z.read(e))) for e in z.infolist()]  # read checks the crc32
-            yield pd.DataFrame(rows, columns=["key", "name", "size"])
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    yield pd.DataFrame([(key, e.filename, len(z.read(e))) for e in z.infolist()], columns=["key", "name", "size"])  # read checks the crc32
 
-    return render.bundles(files, "k", "n", "c").mapInPandas(opened, "key string, name string, size long")
+    return render.bundles(files, "k", "n", "c").select("key", "zip").mapInPandas(opened, "key string, name string, size long")
 
 
 @query("p28_complexity", "with l as (select url, unnest(string_split(coalesce(html, ''), chr(10))) as line from pages) select url as path, count(*) as lines, count(*) filter (where not regexp_matches(trim(line), '^(//|#|--|$)')) as code from l group by 1 order by code desc, path limit 12")
