@@ -190,3 +190,24 @@ def test_a_key_has_zips_of_bounded_size(spark):
         assert sorted(c for _, c in entries) == sorted(c for _, c in own)
         for n, c in entries:  # a number is added, nothing else
             assert any(c == x and n.startswith(m.rpartition(".")[0] or m) for m, x in own)
+
+
+PLAN = lambda d: d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_entries_are_worked_out_once(spark):
+    """Their ids come back from one row; a null id and repeated rows stay."""
+    from veilmetrics.operators import names
+    from veilmetrics.plans import dictionary
+
+    rows = [(i % 50 if i % 9 else None, ["Anne-Marie Holt", "Èo Rook", "Ida Ann", None][i % 4]) for i in range(200)]
+    d = spark.createDataFrame(rows, "entry_idx long, entry string")
+    made = names.together(d)
+    again = [(i["entry_idx"], r["entry"]) for r in made.collect() for i in r["ids"]]
+    assert sorted(again, key=repr) == sorted(rows, key=repr) and made.count() <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    al = part.groupBy(F.lit("given").alias("role"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("key")).agg(F.min(F.concat(F.lit("al-"), "p_brand")).alias("alias")).withColumn("place", F.lit(0))
+    each = names.role_templates(dictionary.normal(spark, SF), al).select("entry_idx", F.explode("roles").alias("r")).select("entry_idx", "r.*")
+    query = registry.queries()["x05_role_templates"](spark, SF)
+    same(query, each)
+    assert "collect_list" in PLAN(query)
