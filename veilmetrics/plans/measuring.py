@@ -7,7 +7,7 @@ from ..functions import widths
 from ..operators import context, fitting, measure, names
 from ..operators import typography as ty
 from ..sources import layout, lines
-from .dictionary import VARIANTS, entries
+from .dictionary import VARIANTS, source
 from .flagship import DICT_SQL, EDGES_SQL
 
 L = layout.SQL
@@ -43,7 +43,7 @@ def m02(spark, d):
 
 @query("m03_row_variant_product", L + EDGES_SQL + VARIANTS.replace("with k as", ", k as", 1) + "select mode, count(*) as pairs from (select * from edge where mode <> 'unresolved') e, (select distinct template from var) v group by 1")
 def m03(spark, d):
-    v = names.expand(entries(spark, d), roles=False).select("template").distinct()
+    v = names.expand(source(spark, d), roles=False).select("template").distinct()
     return lines.load_edges(spark, d).where("mode <> 'unresolved'").crossJoin(F.broadcast(v)).groupBy("mode").agg(F.count("*").alias("pairs"))
 
 
@@ -69,7 +69,7 @@ FIT_SQL = (
 
 def fit_rows(spark, d):
     """Boxes with edges and the tolerance of their line, and the measured variants of the dictionary."""
-    return lines.load_edges(spark, d), fitting.measured(names.expand(entries(spark, d), roles=False))
+    return lines.load_edges(spark, d), fitting.measured(names.expand(source(spark, d), roles=False))
 
 
 @query("m09_fitted_variants", FIT_SQL + "select doc_id, token_idx, rank::int as rank, text, template, error_pt, adjusted, round(adjusted / greatest(tolerance, 1), 8) as normalised from fit")
