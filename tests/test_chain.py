@@ -39,7 +39,7 @@ def by_arrays(spark, d):
         "m15_event_histogram": anchors.histograms(log, ["doc_id"])}
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", [*NAMES, "m15_event_histogram"])
 def test_equal_to_the_operators(spark, folder, name):
     got, want = registry.queries()[name](spark, folder), by_arrays(spark, folder)[name]
     assert got.dtypes == want.dtypes
@@ -55,7 +55,12 @@ def test_nothing_is_shuffled_or_interpreted(spark, folder, name):
     assert "Exchange" not in plan and "lambda" not in plan
 
 
+def test_histogram_shuffles_counts_alone(spark, folder):
+    plan = registry.queries()["m15_event_histogram"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 def test_no_text_at_all(spark, tmp_path):
     spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in NAMES:
+    for name in [*NAMES, "m15_event_histogram"]:
         assert registry.queries()[name](spark, str(tmp_path)).count() == 0
