@@ -9,7 +9,7 @@ from veilmetrics.operators import anchors
 from veilmetrics.plans import anchoring, registry
 
 KEYS = ["doc_id", "page_index", "token_idx"]
-NAMES = "j18_pair_pool j16_span_rules e60_selected_pair_facts m14_event_order".split()
+NAMES = "j22_anchor_chain j18_pair_pool j16_span_rules e60_selected_pair_facts m14_event_order".split()
 
 
 @pytest.fixture(scope="module")
