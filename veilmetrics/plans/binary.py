@@ -124,13 +124,18 @@ def d04(spark, d):
     return fonts.read_drawn(font_files(spark, d)).where("kind = 'drawn_rect'").select("path", "x0", "y0", "x1", "y1")
 
 
-def on_pages(files, dpi, schema, found):
-    """found(page raster) of each page of each file, rendered at this resolution."""
+def on_pages(files, schema, found):
+    """Rows of found(at) for each page, where at(dpi) is its gray raster, width and height; files are read once, and handed on in parts."""
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        for b in batches:
-            rows = [(path, page, *r) for path, data in zip(b["path"], b["content"]) for page, a, w, h in render.rasters(bytes(data), dpi) for r in found(a, w, h)]
+        for b in pdf.slices(batches):
+            rows = []
+            for path, data in zip(b["path"], b["content"]):
+                f = fonts.File(bytes(data))
+                for page, p in enumerate(f.pages()):
+                    seen = render.marks(f, p)
+                    rows += [(path, page, *r) for r in found(lambda dpi, seen=seen: render.draw(*seen, dpi, tones=raster.TONES))]
             yield pd.DataFrame(rows, columns=["path", "page_index", *columns])
 
     return files.select("path", "content").mapInPandas(run, f"path string, page_index int, {schema}")
@@ -140,30 +145,35 @@ RECTS_AT = "r as (select doc_id, 72 + doc_id % 100 as x0, 50 as y0, 172 + doc_id
 GRID = "px0 int, py0 int, px1 int, py1 int, tone double, share double, score double"
 
 
-def covering(regions, dpi):
-    """Which of a page's two black rectangles a region covers: their centres, in pixels."""
+def covering(regions, dpi, looked_at=None):
+    """Which of a page's two black rectangles a region covers: their centres, in pixels. Regions that are not looked at stay, without a rectangle."""
     i = F.regexp_extract("path", "doc([0-9]+)", 1).cast("long")
-    centre = F.explode(F.array(F.struct((122 + i % 100).alias("x"), F.lit(60).alias("y")), F.struct(F.lit(330).alias("x"), (106 + i % 50).alias("y"))))
-    c = regions.withColumn("c", centre)
-    px, py = F.col("c.x") * dpi / 72, (792 - F.col("c.y")) * dpi / 72
-    return c.where((px >= F.col("px0")) & (px <= F.col("px1")) & (py >= F.col("py0")) & (py <= F.col("py1")))
+    px, py = lambda c: c["x"] * dpi / 72, lambda c: (792 - c["y"]) * dpi / 72
+    inside = lambda c: (px(c) >= F.col("px0")) & (px(c) <= F.col("px1")) & (py(c) >= F.col("py0")) & (py(c) <= F.col("py1"))
+    centres = F.array(F.struct((122 + i % 100).alias("x"), F.lit(60).alias("y")), F.struct(F.lit(330).alias("x"), (106 + i % 50).alias("y")))
+    if looked_at is None:
+        return regions.withColumn("c", F.explode_outer(centres)).where(inside(F.col("c")))
+    return regions.withColumn("c", F.explode_outer(F.filter(centres, lambda c: looked_at & inside(c))))
 
 
 @query("d09_dark_grid", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, x0 < 300 and y0 = 50 as is_path, true as found from r")
 def d09(spark, d):
-    r = on_pages(font_files(spark, d), 96, GRID, lambda a, w, h: raster.grid_regions(raster.gray(a)))
+    r = on_pages(font_files(spark, d), GRID, lambda at: raster.grid_regions(at(96)[0]))
     return covering(r, 96).select("path", (F.col("c.y") == 60).alias("is_path"), F.lit(True).alias("found")).distinct()
 
 
 @query("d16_two_resolutions", "select 'doc' || doc_id || '.pdf' as path, 'highpass' as source, true as both_found from documents")
 def d16(spark, d):
     """A pass at 18 dots an inch selects pages, one at 96 looks at these alone; where it finds nothing, the first one's regions stay."""
-    files, find = font_files(spark, d), lambda a, w, h: raster.grid_regions(raster.gray(a))
-    low = on_pages(files, 18, GRID, find)
-    high = on_pages(files.join(low.select("path").distinct(), "path", "left_semi"), 96, GRID, find)
-    hits = covering(high, 96).groupBy("path").agg((F.countDistinct("c") == 2).alias("both_found"))
-    picked = low.select("path").distinct().join(hits, "path", "left")
-    return picked.select("path", F.when(F.col("both_found").isNull(), "prepass").otherwise("highpass").alias("source"), F.coalesce("both_found", F.lit(False)).alias("both_found"))
+
+    def find(at):
+        low = [(18, *r) for r in raster.grid_regions(at(18)[0])]
+        return low + [(96, *r) for r in raster.grid_regions(at(96)[0])] if low else []
+
+    r = on_pages(font_files(spark, d), "dpi int, " + GRID, find)
+    # of a page: that it was selected, and which rectangles its second pass covers
+    picked = covering(r, 96, F.col("dpi") == 96).groupBy("path").agg(*[F.max(F.coalesce(F.col("c.x") == x if k else F.col("c.y") == x, F.lit(False))).alias(name) for name, k, x in (("first", 0, 60), ("second", 1, 330))])
+    return picked.select("path", F.when(F.col("first") | F.col("second"), "highpass").otherwise("prepass").alias("source"), (F.col("first") & F.col("second")).alias("both_found"))
 
 
 @query("v06_dark_pixels", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, y0 = 50 as is_path, ((x1 - x0) * (y1 - y0))::bigint as dark from r")
@@ -183,8 +193,11 @@ def v06(spark, d):
 
 @query("v04_components", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, x0::int as px0, (792 - y1)::int as py0, x1::int as px1, (792 - y0)::int as py1, ((x1 - x0) * (y1 - y0))::bigint as pixels from r")
 def v04(spark, d):
-    found = lambda a, w, h: raster.dark_components(raster.gray(a), 40, 8, (0, 0, int(w), 60))
-    return on_pages(font_files(spark, d), 72, "px0 int, py0 int, px1 int, py1 int, pixels long", found).drop("page_index")
+    def found(at):
+        g, w, _ = at(72)
+        return raster.dark_components(g, 40, 8, (0, 0, int(w), 60))
+
+    return on_pages(font_files(spark, d), "px0 int, py0 int, px1 int, py1 int, pixels long", found).drop("page_index")
 
 
 @query("s12_page_png", "select 'doc' || doc_id || '.png' as name, 306::int as width, 396::int as height from documents")
@@ -260,8 +273,9 @@ PROFILED = "region int, px0 int, py0 int, px1 int, py1 int, pixels int, fill dou
 
 @query("d13_dark_regions", f"with {RECTS_AT} select 'doc' || doc_id || '.pdf' as path, x0::int as px0, (792 - y1)::int as py0, x1::int as px1, (792 - y0)::int as py1, ((x1 - x0) * (y1 - y0))::int as pixels, 1.0::double as fill, 1.0::double as dark, 0.0::double as spread, 'selected_black_component' as verdict from r")
 def d13(spark, d):
-    r = on_pages(font_files(spark, d), 72, PROFILED, lambda a, w, h: raster.regions(a))
-    return r.where("verdict = 'selected_black_component'").drop("page_index", "region")
+    """Regions that are rejected, most of them letters, don't leave their task."""
+    r = on_pages(font_files(spark, d), PROFILED, lambda at: [x for x in raster.gray_regions(at(72)[0]) if x[-1] == "selected_black_component"])
+    return r.drop("page_index", "region")
 
 
 @query("v05_dominant_component", "select 'doc' || doc_id || '.pdf' as path, (72 + doc_id % 100)::int as px0, 722::int as py0, (172 + doc_id % 100)::int as px1, 742::int as py1, 2000::int as pixels, 1.0::double as fill from documents")
