@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veilmetrics.operators import context, evaluate, measure
+from veilmetrics.operators import context, evaluate, measure, names
 from veilmetrics.plans import registry
 from veilmetrics.sources import layout, lines
 
@@ -55,8 +56,17 @@ def test_boxes_of_lines_and_pages(docs):
     same(lines.grouped_spans(docs), s.groupBy("doc_id").applyInPandas(evaluate.each_part(context.grouped_span, ["token_idx"]), "doc_id long, token_idx long, n long, x0 double, y0 double, x1 double, y1 double"))
 
 
+def test_targets(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(["Lo", "lO", "so", "ſo", "ma", "ıma", "ima", "straße", "strasse", "ﬁne", "fine", "été"]) for _ in range(r.randint(1, 3)))
+    docs = spark.createDataFrame([(i - 2, " ".join(word() for _ in range(n))) for i, n in enumerate((0, 1, 2, 12, 13, 40, 599, 601, 1300))] + [(20, None), (21, " Word word  other\nmore "), (22, "\nTail of some Lines")], "doc_id long, text string")
+    w = Window.partitionBy("doc_id", "line").orderBy("token_idx")
+    k = layout.tokens(docs).withColumns({"pv": F.lag("token").over(w), "nx": F.lead("token").over(w)}).withColumn("same", F.count("*").over(Window.partitionBy("doc_id", "page_index", names.simple_upper(F.col("token")))))
+    same(lines.targets(docs), k.where(F.rlike("token", F.lit(layout.TARGET)) & F.expr("same = 1 and pv is not null and nx is not null and x1 - x0 >= 6")).select("doc_id", "token_idx", "token"))
+
+
 SF = "/root/testdata/sf0.001"
-NO_SHUFFLE = "v08_grouped_span e20_spaced_sample p03_seed_clusters e04_greedy_match e15_gap_boxes j07_context_spans j03_before_after_anchor j24_usable_edges".split()
+NO_SHUFFLE = "v08_grouped_span e20_spaced_sample p03_seed_clusters e04_greedy_match e15_gap_boxes j07_context_spans j03_before_after_anchor j24_usable_edges e19_target_selection".split()
 
 
 @pytest.mark.parametrize("name", NO_SHUFFLE)
