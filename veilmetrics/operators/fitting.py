@@ -9,17 +9,20 @@ do not. Only the best `top` are wanted, and three bounds make the work small wit
   the dictionary is, and are broadcast.
 - A normalised text is in `spread` groups at most (its spellings differ in width); so the first top * spread candidates of a row hold `top`
   different texts, and groups that come after so many are never opened.
-- A row looks no farther than it has to: of the reaches REACH_PT it takes the first within which the counts of whole cells
-  of widths already promise top * spread candidates. All candidates of a lower adjusted error lie within that reach.
+- The groups' texts are sorted by width, so that a row needs no more than that many on both sides of the width that it aims at. Tasks rank
+  many rows at once by numpy; rows are shuffled once, to be dealt out, and candidates never. (`with_reach` bounds a row's reach by counts.)
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import half_up
 from ..functions.widths import strict_units
-from .measure import PENALTY_PT, error_pt, overlaps_neighbour
+from .measure import PENALTY_PT
 from .measure import spread as rows_apart
 
 TOP = 20
@@ -91,37 +94,109 @@ def with_reach(rows: DataFrame, groups: DataFrame, enough: int) -> DataFrame:
     return sums.select(*KEYS, *held, step.alias("step"))
 
 
-def fitted(rows: DataFrame, variants: DataFrame, top: int = TOP) -> DataFrame:
+class Items:
+    """The groups' texts as flat arrays by class and width, small enough for each task, and what ranks them for many rows at once."""
+
+    def __init__(self, groups: DataFrame):
+        t = groups.select("units", "canonical", F.inline("ws")).toArrow()
+        get = lambda c: t.column(c).to_pylist()
+        key = list(zip(get("less_alpha"), get("less_toks"), get("norm"), get("text")))
+        place = {k: i for i, k in enumerate(sorted(set(key)))}  # code points are in the order of their UTF-8
+        order, units, canonical = np.array([place[k] for k in key], np.int64), np.array(get("units"), np.int64), np.array(get("canonical"), bool)
+        at = np.lexsort((order, units, ~canonical))
+        self.order, self.units, self.canonical, self.parted = order[at], units[at], canonical[at], int(canonical.sum())
+        self.text, self.template, self.norm = (pa.array(get(c), pa.string()).take(pa.array(at)) for c in ("text", "template", "norm"))
+        self.norm_id = self.norm.dictionary_encode().indices.to_numpy().astype(np.int64)
+        self.spread = int(np.bincount(self.norm_id).max()) if len(at) else 1
+
+    def rank(self, r: dict[str, np.ndarray], top: int) -> tuple[np.ndarray, ...]:
+        """Of rows, nan for null: row, rank, item, error and adjusted error of the best `top` texts.
+
+        A class's items on both sides of the width aimed at: `enough` of them, what a cut group may lack, and what may lie between
+        the widest that fits and its rounding. All others have a higher adjusted error than `enough` that are among them.
+        """
+        enough = top * self.spread
+        reach = np.arange(enough + 3 * top)
+        found, allowed = [], []
+        for a, z in ((0, self.parted), (self.parted, len(self.units))):
+            own = self.units[a:z]
+            end = np.searchsorted(own, r["_most"] + 1, "right")[:, None]
+            mid = np.minimum(np.searchsorted(own, r["_t"])[:, None], end)
+            k = np.concatenate([mid - 1 - reach, mid + reach], 1)
+            allowed.append((k >= 0) & (k < end))
+            found.append(np.clip(k + a, 0, len(self.units) - 1))
+        k, ok = np.concatenate(found, 1), np.concatenate(allowed, 1)
+        c = {name: v[:, None] for name, v in r.items()}
+        width, right = self.units[k] * c["_k"], c["_mode"] == 3
+        left, end = np.where(right, c["right_edge"] - width, c["left_edge"]), np.where(right, c["right_edge"], c["left_edge"] + width)
+        error = np.abs(np.where(right, left - c["box_x0"], end - np.where(c["_mode"] == 1, c["right_edge"], c["box_x1"])))
+        ok &= ~((c["prev_box_x1"] - left > c["tolerance"]) | (end - c["next_box_x0"] > c["tolerance"]))
+        error = _round4(error, ok)
+        adjusted = np.where(self.canonical[k], error, _round4(error + PENALTY_PT, ok))
+        with np.errstate(invalid="ignore"):
+            key = np.where(ok, np.rint(adjusted * 10_000).astype(np.int64) * (len(self.units) + 1) + self.order[k], np.iinfo(np.int64).max)
+        best = np.argsort(key, 1, kind="stable")[:, :enough]
+        k, ok, error, adjusted = (np.take_along_axis(v, best, 1) for v in (k, ok, error, adjusted))
+        norm = np.where(ok, self.norm_id[k], -1)
+        by_norm = np.argsort(norm, 1, kind="stable")
+        of = np.take_along_axis(norm, by_norm, 1)
+        fresh = np.ones(of.shape, bool)
+        fresh[:, 1:] = of[:, 1:] != of[:, :-1]
+        first = np.empty(of.shape, bool)
+        np.put_along_axis(first, by_norm, fresh, 1)
+        first &= ok
+        rank = np.cumsum(first, 1)
+        row, at = np.nonzero(first & (rank <= top))
+        return row, rank[row, at], k[row, at], error[row, at], adjusted[row, at]
+
+
+def _round4(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """To four places as Spark's round does it: what is close to a half by its decimal digits."""
+    y = x * 10_000
+    out = np.rint(y) / 10_000
+    for at in zip(*np.nonzero(wanted & (np.abs(y - np.floor(y) - 0.5) < 1e-5))):
+        out[at] = half_up(float(x[at]), 4)
+    return out
+
+
+NUMBERS = ["left_edge", "right_edge", "box_x0", "box_x1", "prev_box_x1", "next_box_x0", "tolerance", "_k", "_t", "_most"]
+FOUND = "rank int, text string, template string, norm string, error_pt double, adjusted double"
+
+
+def fitted(rows: DataFrame, variants: DataFrame, top: int = TOP, every: bool = False) -> DataFrame:
     """doc_id, token_idx, rank, text, template, norm, error_pt, adjusted and normalised of each resolved row's best `top` variants.
 
     rows: one for each (doc_id, token_idx), as measure.edges gives them, with a column tolerance (and h_scale, per cent, if
     it is not 100). variants: measured(). The result is that of the full product: ranked, duplicates by normalised text dropped.
+    every: rows without a candidate stay, with nulls, and all have their mode and target_width.
     """
-    groups = width_groups(variants, top).persist()  # of bounded size, and read four times below
-    spread = groups.select(F.explode("ws").alias("w")).groupBy("w.norm").count().agg(F.max("count")).first()[0] or 1  # one number
-    # numbers alone, so that rows are counted without sorting; what is joined and ranked below stays where its row is
-    ranged = _ranges(rows.where("mode <> 'unresolved'")).withColumn("_mode", F.array_position(F.array(*map(F.lit, MODES)), F.col("mode")))
-    r = with_reach(rows_apart(ranged.select(*KEYS, "_mode", "left_edge", "right_edge", "box_x0", "box_x1", "prev_box_x1", "next_box_x0", "tolerance", "_k", "_t", "_most"), *KEYS), groups, top * spread)
-    r = r.withColumn("mode", F.element_at(F.array(*map(F.lit, MODES)), F.col("_mode").cast("int"))).drop("_mode")
-    reach = F.element_at(F.array(*map(F.lit, REACH_PT)), F.col("step") + 1)
-    b = reach / F.col("_k") + 1
-    own = F.lit(None).cast("array<bigint>")
-    for s in range(len(REACH_PT)):
-        own = F.when(F.col("step") == s, _cells(F.col("_t") - b, F.least(F.col("_t") + b, F.col("_most") + 1), CELLS[s])).otherwise(own)
-    posted = groups.select("*", F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.floor(F.col("units") / CELLS[s]).alias("cell")) for s in range(len(REACH_PT))])).alias("_a")).select("units", "canonical", "n", "_a.*")
-    width = F.col("units") * F.col("_k")
-    met = r.withColumn("cell", F.explode(own)).join(F.broadcast(posted), ["step", "cell"])
-    met = met.withColumn("error_pt", F.round(error_pt(width), 4))
-    met = met.withColumn("adjusted", F.when(F.col("canonical"), F.col("error_pt")).otherwise(F.round(F.col("error_pt") + PENALTY_PT, 4)))
-    met = met.where((F.col("adjusted") <= reach) & ~overlaps_neighbour(width, F.col("tolerance")))
-    near = Window.partitionBy(*KEYS).orderBy(F.round(F.col("adjusted") * 10_000).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
-    met = met.withColumn("_before", F.coalesce(F.sum("n").over(near), F.lit(0))).where(F.col("_before") < top * spread)
-    each = met.select(*KEYS, "tolerance", "error_pt", "adjusted", "units", "canonical").join(F.broadcast(groups.drop("n")), ["units", "canonical"]).select(*KEYS, "tolerance", "error_pt", "adjusted", F.inline("ws"))
-    order = F.struct("adjusted", "less_alpha", "less_toks", "norm", "text")
-    kept = each.groupBy(*KEYS, "norm").agg(F.min_by(F.struct("text", "template", "error_pt", "adjusted", "less_alpha", "less_toks", "tolerance"), order).alias("c")).select(*KEYS, "norm", "c.*")
-    w = Window.partitionBy(*KEYS).orderBy("adjusted", "less_alpha", "less_toks", "norm")
-    ranked = kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return ranked.select(*KEYS, "rank", "text", "template", "norm", "error_pt", "adjusted", F.round(F.col("adjusted") / F.greatest("tolerance", F.lit(1.0)), 8).alias("normalised"))
+    groups = width_groups(variants, top)  # of bounded size
+    items = rows.sparkSession.sparkContext.broadcast(Items(groups))
+    d = _ranges(rows if every else rows.where("mode <> 'unresolved'")).withColumn("_mode", F.coalesce(F.array_position(F.array(*map(F.lit, MODES)), F.col("mode")), F.lit(0)).cast("long"))
+    own = ["mode", "target_width"] if every else []
+    d = rows_apart(d.select(*[F.col(c).cast("long") for c in KEYS], "_mode", *[F.col(c).cast("double") for c in NUMBERS], *own), *KEYS)
+    kind = "doc_id long, token_idx long, " + ("mode string, target_width double, " if every else "") + FOUND + ", tolerance double"
+
+    def run(batches):
+        it = items.value
+        size = max(1, 400_000 // (4 * top * (it.spread + 3)))
+        schema = None
+        for big in batches:
+            for at in range(0, big.num_rows, size):
+                b = big.slice(at, size)
+                n = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("_mode", *NUMBERS)}
+                which = np.flatnonzero(n["_mode"] > 0) if len(it.units) else np.zeros(0, int)
+                row, rank, k, error, adjusted = it.rank({c: v[which] for c, v in n.items()}, top) if len(which) else (np.zeros(0, int),) * 5
+                row = which[row]
+                none = np.setdiff1d(np.arange(b.num_rows), row) if every else np.zeros(0, int)
+                of, item = pa.array(np.append(row, none)), pa.array(np.append(k, none), mask=np.append(k < 0, none >= 0))
+                value = lambda v, none=none, row=row: pa.array(np.append(v, none), mask=np.append(row < 0, none >= 0))
+                made = [b.column(c).take(of) for c in (*KEYS, *own)] + [value(rank).cast(pa.int32()), *(v.take(item) for v in (it.text, it.template, it.norm)), value(error.astype(float)), value(adjusted.astype(float)), b.column("tolerance").take(of)]
+                schema = schema or pa.schema([(c.split()[0], v.type) for c, v in zip(kind.split(", "), made)])
+                yield pa.RecordBatch.from_arrays(made, schema=schema)
+
+    ranked = d.mapInArrow(run, kind)
+    return ranked.select(*KEYS, *own, *[c.split()[0] for c in FOUND.split(", ")], F.round(F.col("adjusted") / F.greatest("tolerance", F.lit(1.0)), 8).alias("normalised"))
 
 
 def with_placeholders(boxes: DataFrame, rows: DataFrame | None, ranked: DataFrame) -> DataFrame:
