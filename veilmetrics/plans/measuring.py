@@ -81,8 +81,8 @@ def m09_fit(spark, d):
 @query("m12_fitted_boxes", FIT_SQL + "select b.doc_id, b.token_idx, coalesce(r.mode, 'unresolved') as mode, round(coalesce(r.target_width, b.x1 - b.x0), 4) as target_width, f.rank::int as rank, f.text, f.adjusted from box b left join fr r on b.doc_id = r.doc_id and b.token_idx = r.token_idx left join fit f on b.doc_id = f.doc_id and b.token_idx = f.token_idx")
 def m12_fit(spark, d):
     rows, variants = fit_rows(spark, d)
-    boxes = rows.withColumns({"x0": F.col("box_x0"), "x1": F.col("box_x1")})  # a row for each box
-    return fitting.with_placeholders(boxes, None, fitting.fitted(rows, variants)).select("doc_id", "token_idx", "mode", "target_width", "rank", "text", "adjusted")
+    d = fitting.fitted(rows, variants, every=True).withColumn("target_width", F.round("target_width", 4))  # a row for each box, with its target width
+    return d.select("doc_id", "token_idx", "mode", "target_width", "rank", "text", "adjusted")
 
 
 @query("m04_support_cache", L + DICT_SQL + ", f as (select distinct font_size from tok) select font_size, count(*) as texts, round(sum(units * font_size / 1000::double), 3) as total_pt from dict, f group by 1")
